@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from reelmill.llm import sharding
+from reelmill.llm import sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_simhash": simhash.op3_simhash,
 }
 
 ORACLE_SQL = {
