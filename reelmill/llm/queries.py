@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from reelmill.llm import sharding, simhash
+from reelmill.llm import sharding, simhash, winnowing
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_simhash": simhash.op3_simhash,
+    "op8_winnowing": winnowing.op8_winnowing,
 }
 
 ORACLE_SQL = {
