@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from reelmill.llm import langid, packing, sharding, simhash, winnowing
+from reelmill.llm import langid, packing, sharding, simhash, toxicity, winnowing
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_sharding": sharding.op2_sharding,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_winnowing": winnowing.op8_winnowing,
 }
 
