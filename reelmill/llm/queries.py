@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelmill.llm import langid, packing, sharding, simhash, toxicity, winnowing
+from reelmill.llm import balltree, langid, packing, sharding, simhash, toxicity, winnowing
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op8_winnowing": winnowing.op8_winnowing,
+    "op9_balltree": balltree.op9_balltree,
 }
 
 ORACLE_SQL = {
     "op2_sharding": sharding.OP2_SQL,
+    "op9_balltree": balltree.OP9_SQL,
 }
