@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelmill.llm import balltree, langid, packing, sharding, simhash, toxicity, winnowing
+from reelmill.llm import balltree, extraction, langid, packing, sharding, simhash, toxicity, winnowing
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_extraction": extraction.op6_extraction,
     "op8_winnowing": winnowing.op8_winnowing,
     "op9_balltree": balltree.op9_balltree,
 }
