@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from reelmill.llm import balltree, extraction, langid, packing, sharding, simhash, toxicity, winnowing
+from reelmill.llm import balltree, extraction, langid, packing, pieces, sharding, simhash, toxicity, winnowing
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op10_pieces": pieces.op10_pieces,
     "op2_sharding": sharding.op2_sharding,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
