@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelmill.llm import balltree, extraction, langid, packing, pieces, sharding, simhash, toxicity, winnowing
+from reelmill.llm import balltree, extraction, langid, packing, pieces, sharding, simhash, substrings, toxicity, winnowing
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -12,11 +12,13 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_extraction": extraction.op6_extraction,
+    "op7_substrings": substrings.op7_substrings,
     "op8_winnowing": winnowing.op8_winnowing,
     "op9_balltree": balltree.op9_balltree,
 }
 
 ORACLE_SQL = {
     "op2_sharding": sharding.OP2_SQL,
+    "op7_substrings": substrings.OP7_SQL,
     "op9_balltree": balltree.OP9_SQL,
 }
