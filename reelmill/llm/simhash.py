@@ -9,10 +9,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import batch, fresh, signed, written
+from reelmill.llm.common import WORD_SPACE, batch, fresh, signed, written
 from reelmill.llm.components import components
 
 BITS = 64
@@ -82,23 +82,35 @@ def links_in_group(exact: np.ndarray, probe: np.ndarray, start: int, distance: i
     width = BITS // segments
     both = np.concatenate((exact, probe))
     label = np.arange(len(both))
-    for i in range(len(exact)):
-        x = both ^ exact[i]
-        left, total = np.arange(len(both)), np.zeros(len(both), np.int64)
-        for step in range(1, segments + 1):  # budgets in proportion to the length of the chain
-            segment = (x[left] >> np.uint64((start + step - 1) % segments * width)) & np.uint64((1 << width) - 1)
-            sums = total[left] + np.bitwise_count(segment)
-            total[left] = sums
-            left = left[sums <= step * distance // segments]
-        left = left[np.bitwise_count(x[left]) <= distance]
-        roots = np.unique(np.append(label[left], label[i]))
-        if len(roots) > 1:
-            label[np.isin(label, roots)] = roots[0]
-    least: dict[int, int] = {}
-    for fp, k in zip(both.tolist(), label.tolist()):
-        least[k] = min(least.get(k, fp), fp)
-    root = np.array([least[k] for k in label.tolist()], np.uint64)
-    return both[both != root], root[both != root]
+
+    def differ(x: np.ndarray, step: int) -> np.ndarray:
+        segment = (x >> np.uint64((start + step) % segments * width)) & np.uint64((1 << width) - 1)
+        return np.bitwise_count(segment)
+
+    rows = max(1, (1 << 20) // len(both))
+    for at in range(0, len(exact), rows):
+        x = exact[at : at + rows, None] ^ both
+        total = differ(x, 0)
+        fits = total <= distance // segments
+        total = total + differ(x, 1)
+        i, j = np.nonzero(fits & (total <= 2 * distance // segments))
+        x, total = x[i, j], total[i, j]
+        for step in range(2, segments):  # budgets in proportion to the length of the chain
+            total = total + differ(x, step)
+            fits = total <= (step + 1) * distance // segments
+            i, j, x, total = i[fits], j[fits], x[fits], total[fits]
+        fits = (np.bitwise_count(x) <= distance) & (i + at != j)
+        i, j = i[fits] + at, j[fits]
+        while len(i):  # join the labels' roots until both ends of every link agree
+            a, b = label[i], label[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(both)))
+    a, b = both[moved], both[label[moved]]
+    return a[a != b], b[a != b]
 
 
 def near_links(fingerprints: DataFrame, distance: int = 3, segments: int = 4, block: int = BLOCK) -> DataFrame:
@@ -184,6 +196,34 @@ def near_classes(fingerprints: DataFrame, distance: int = 3, segments: int = 4)
     return fp.join(linked, fp.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+#: A text with fewer shingles has too few votes a bit for its fingerprint to tell near texts from others.
+FEW = 32
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each class of near copies: that of the least id.
+
+    Fingerprints of ``words``-word shingles link at the bits that two texts of this Jaccard similarity differ
+    by on average (``near_distance``). Texts of fewer than ``FEW`` shingles are linked only where they are equal
+    but for case and white space. Null and empty texts are copies of each other; a null id sorts first; of rows
+    equal in id and text one stays; an empty table stays empty; other columns are kept whatever their names.
+    """
+    fp, n, tie, row = (fresh(docs, x) for x in ("fingerprint", "shingles", "tie_x", "row_x"))
+    plain = F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), WORD_SPACE, " ")))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.when(F.length(text_col) < FEW * 400, plain).alias("plain"), F.col(text_col).alias("body"))
+    own = written(with_fingerprints(source, "body", words), "fingerprints")
+    long = own.where(F.col("shingles") >= FEW).select("id", "tie", F.col("fingerprint").alias("fp"))
+    least = F.min(F.struct("id", "tie")).alias("first")
+    roots = near_classes(long, near_distance(similarity))
+    firsts = long.groupBy("fp").agg(least).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    short = own.where(F.col("shingles") < FEW).groupBy("fingerprint", F.coalesce("plain", "tie")).agg(least).select("first.*")
+    stay = written(firsts.unionByName(short).withColumnsRenamed({"id": fp, "tie": n}), "stay")
+    marked = docs.withColumn(tie, F.xxhash64(text_col))
+    joined = marked.join(stay, F.col(id_col).eqNullSafe(F.col(fp)) & (F.col(tie) == F.col(n)))
+    one = Window.partitionBy(id_col, tie).orderBy(F.lit(0))
+    return joined.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).select(*docs.columns)
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document with its 3-word SimHash and the least doc_id that links of 3 bits or fewer reach."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

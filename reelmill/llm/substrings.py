@@ -290,14 +290,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, re
     uid, found = fresh(docs, "uid_x"), fresh(docs, "spans_x")
     spans = spans.withColumnsRenamed({"uid": uid, "spans": found})
     both = docs.withColumn(uid, F.unhex(F.md5(F.col(text_col).cast("binary")))).join(spans, uid, "left").select(*docs.columns, found)
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [without(t, s) if s else t for t, s in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
             columns = list(b.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return both.mapInArrow(run, docs.schema)
 
