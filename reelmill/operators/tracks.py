@@ -48,7 +48,7 @@ def audio_plan(s: Settings, kind: Column, audio: Column) -> Column:
     fixed = {"aac": action("aac", kbps), "ac3": action("ac3", kbps), "flac": action("flac", none)}
     copy = action("copy", none)
     fits = (F.size(audio) > 0) & F.forall(audio, lambda t: t["codec"].isin(*q.MP4_AUDIO))
-    chosen = fixed.get(s.audio_policy) or F.when((kind == "mkv") | fits, copy).otherwise(fixed["aac"])
+    chosen = fixed[s.audio_policy] if s.audio_policy in fixed else F.when((kind == "mkv") | fits, copy).otherwise(fixed["aac"])
     said = F.when(F.size(audio) == 0, "no audio").when(chosen["codec"] == "copy", "copied").otherwise(
         F.concat_ws(" ", F.element_at(F.create_map(*[F.lit(x) for x in ("aac", "AAC", "ac3", "AC-3", "flac", "FLAC", "copy", "")]), chosen["codec"]), F.concat(chosen["kbps"].cast("string"), F.lit("k")))
     )
