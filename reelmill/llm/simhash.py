@@ -210,7 +210,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     fp, n, tie, row = (fresh(docs, x) for x in ("fingerprint", "shingles", "tie_x", "row_x"))
     plain = F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), WORD_SPACE, " ")))
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.when(F.length(text_col) < FEW * 400, plain).alias("plain"), F.col(text_col).alias("body"))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.when(F.length(F.coalesce(text_col, F.lit(""))) < FEW * 400, plain).alias("plain"), F.col(text_col).alias("body"))
     own = written(with_fingerprints(source, "body", words), "fingerprints")
     long = own.where(F.col("shingles") >= FEW).select("id", "tie", F.col("fingerprint").alias("fp"))
     least = F.min(F.struct("id", "tie")).alias("first")
