@@ -109,7 +109,7 @@ def sums(n: int, of: str = "p") -> Column:
 def evidence(p: DataFrame, by: str, n: int, weight: float) -> DataFrame:
     """log P(value of ``by`` | language), smoothed towards the value's overall share."""
     per = p.groupBy(by).agg(sums(n).alias("c"))
-    whole = p.agg(sums(n).alias("c")).first()[0] or [0.0] * n
+    whole = [x or 0.0 for x in p.agg(sums(n).alias("c")).first()[0]]
     total = max(sum(whole), 1e-9)
     languages = F.array(*[F.lit(float(x)) for x in whole])
     share = F.aggregate("c", F.lit(0.0), lambda s, x: s + x) / F.lit(total)
@@ -119,7 +119,7 @@ def evidence(p: DataFrame, by: str, n: int, weight: float) -> DataFrame:
 def host_priors(p: DataFrame, n: int, weight: float) -> DataFrame:
     """log P(language | host): host counts smoothed by the domain's, those by the corpus's."""
     hosts = p.groupBy("host", "domain").agg(sums(n).alias("c"))
-    whole = p.agg(sums(n).alias("c")).first()[0] or [0.0] * n
+    whole = [x or 0.0 for x in p.agg(sums(n).alias("c")).first()[0]]
     base = [(x + 1 / n) / (sum(whole) + 1) for x in whole]
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     smooth = lambda c, prior: F.zip_with(c, prior, lambda x, q: (x + weight * q) / (total(c) + weight))

@@ -63,7 +63,7 @@ def marker_words(docs: list[set[str]], labels: np.ndarray, most: int, least_rows
     found: dict[str, float] = {}
     counts = Counter(w for d in docs for w in d)
     for j in range(labels.shape[1]):
-        base = labels[:, j].mean()
+        base = labels[:, j].mean() if len(docs) else 0.0
         positive = Counter(w for d, y in zip(docs, labels[:, j]) if y for w in d)
         for w, k in positive.items():
             n = counts[w]
