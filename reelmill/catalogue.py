@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reelmill import oracle as o
 from reelmill.functions import quality as q
 from reelmill.functions.names import cut_tail, extension, stem
-from reelmill.operators import history, paths, predict, progress, report, rules, tracks
+from reelmill.operators import detail, history, paths, predict, progress, report, rules, tracks
 from reelmill.plans import library as plans
 from reelmill.settings import TIER_MBPS, Settings
 from reelmill.sources import media, probe
@@ -275,6 +275,25 @@ def _(spark, d):
     return _contained(spark, d, FORCED).select("file_id", tracks.audio_plan(FORCED, F.col("container"), F.col("audio")).alias("p")).select("file_id", "p.*")
 
 
+CAPTION_SQL = """, told AS (SELECT d.*, container, reason, CASE WHEN mode = 'remux' THEN source_kbps ELSE target_kbps::double END AS kbps FROM decided d JOIN (SELECT file_id, container, reason FROM contained) USING (file_id) WHERE mode IS NOT NULL),
+  lines AS (SELECT *, CASE WHEN pixels > 0 AND fps > 0 THEN kbps * 1000.0::double / (pixels * fps) ELSE 0 END AS density, CASE WHEN n_audio = 0 THEN 'no audio' WHEN container = 'mkv' OR n_foreign = 0 THEN 'copied' ELSE 'AAC ' || CASE WHEN max_channels > 2 THEN '448k' ELSE '256k' END END AS audio_says,
+    CASE WHEN n_subs = 0 THEN '' WHEN container = 'mkv' THEN 'all ' || n_subs ELSE concat_ws('; ', CASE WHEN n_subs > n_images THEN (n_subs - n_images) || ' embedded' END, CASE WHEN n_images > 0 THEN n_images || ' dropped' END) END AS subtitles_say FROM told)
+  SELECT file_id, concat_ws(' · ', CASE WHEN ext <> container THEN ext || '→' || container WHEN reason <> '' THEN 'kept ' || container || ': ' || reason ELSE 'kept ' || container END,
+    CASE mode WHEN 'remux' THEN vcodec || ' copied' WHEN 'transcode' THEN vcodec || '→hevc transcoded at ' || target_kbps || ' kbps' ELSE vcodec || '→hevc shrunk to ' || target_kbps || ' kbps' END,
+    CASE WHEN density > 0 THEN round_even(density * 1000, 0)::bigint || ' millibits a pixel' END, 'audio ' || audio_says, CASE WHEN subtitles_say <> '' THEN 'subtitles ' || subtitles_say END) AS caption FROM lines"""
+
+
+@query("result_captions", o.planning(S, _container_sql(S)) + CAPTION_SQL)
+def _(spark, d):
+    return detail.details(plan(spark, d, S, subtitles=True), S).select("file_id", detail.caption().alias("caption"))
+
+
+@query("provenance_tags", o.planning(S) + """ SELECT file_id, 'REELMILL_CODEC=h265;REELMILL_DATE=2024-01-31;REELMILL_MODE=' || mode || ';REELMILL_QUALITY=169' || CASE WHEN target_kbps > 0 THEN ';REELMILL_TARGET_KBPS=' || target_kbps ELSE '' END || ';REELMILL_TIER=EXCELLENT' AS tags FROM decided WHERE mode IS NOT NULL""")
+def _(spark, d):
+    entries = F.array_sort(F.transform(F.map_entries(detail.tags(S, F.lit("2024-01-31").cast("date"))), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return plan(spark, d).where("mode is not null").select("file_id", F.array_join(entries, ";").alias("tags"))
+
+
 SUBS = replace(S, sub_langs=("eng", "fre"), sub_kinds=("normal", "forced"))
 
 

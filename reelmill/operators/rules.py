@@ -71,7 +71,7 @@ def ignore_reason(name: Column, size: Column, s: Settings) -> Column:
 
 
 def own_work(tags: Column | None, comment: Column, mark: str) -> Column:
-    """Whether a file says that a lossy run of ours made it; a remux doesn't count."""
+    """Whether a file says that a lossy run of ours made it; a remux doesn't count. Our tags begin with ``mark`` in capitals."""
     low = F.lower(F.coalesce(comment, F.lit("")))
     said = F.contains(low, F.lit(mark.lower())) & (F.contains(low, F.lit("shrink")) | F.contains(low, F.lit("transcode")))
-    return said if tags is None else F.coalesce(F.element_at(tags, "VTC_MODE").isin("shrink", "transcode"), F.lit(False)) | said
+    return said if tags is None else F.coalesce(F.element_at(tags, f"{mark.upper()}_MODE").isin("shrink", "transcode"), F.lit(False)) | said

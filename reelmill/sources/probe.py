@@ -52,7 +52,7 @@ def sane(bps: Column, container: Column) -> Column:
     return F.when((bps > 0) & (container > 0) & (bps > container * STALE), 0).otherwise(bps).cast("long")
 
 
-def normalised(probes: DataFrame, doc_col: str = "document") -> DataFrame:
+def normalised(probes: DataFrame, doc_col: str = "document", mark: str = "REELMILL") -> DataFrame:
     """``probes`` with the media columns of each JSON document; ``ok`` is false and the rest empty for broken ones."""
     d = F.from_json(doc_col, DOCUMENT)
     rows = probes.withColumn("d", d).withColumn("ok", F.col("d.streams").isNotNull())
@@ -75,7 +75,7 @@ def normalised(probes: DataFrame, doc_col: str = "document") -> DataFrame:
         "audio_bps": sane(audio_sum, F.col("container_bit_rate")),
         "audio": F.transform(of("audio"), lambda s: F.struct(whole(s["index"]).cast("int").alias("index"), codec(s).alias("codec"), F.coalesce(F.nullif(whole(s["channels"]), F.lit(0)), F.lit(2)).cast("int").alias("channels"), language(s).alias("language"))),
         "subtitles": F.transform(of("subtitle"), lambda s: F.struct(whole(s["index"]).cast("int").alias("index"), codec(s).alias("codec"), codec(s).isin(*TEXT_SUBS).alias("is_text"), language(s).alias("language"), flag(s, "forced").alias("forced"), flag(s, "hearing_impaired").alias("hearing_impaired"), flag(s, "default").alias("default"))),
-        "comment": F.coalesce(F.col("file_tags")["COMMENT"], F.lit("")), "own_tags": F.map_filter("file_tags", lambda k, _: F.startswith(k, F.lit("VTC_"))),
+        "comment": F.coalesce(F.col("file_tags")["COMMENT"], F.lit("")), "own_tags": F.map_filter("file_tags", lambda k, _: F.startswith(k, F.lit(f"{mark}_"))),
         "pixels": whole(F.col("video.width")) * whole(F.col("video.height")),
     }).drop("d", "video", "file_tags")
 

@@ -41,12 +41,12 @@ def test_probe_documents(spark):
     cover = {"codec_type": "video", "codec_name": "mjpeg", "disposition": {"attached_pic": 1}}
     sound = {"codec_type": "audio", "codec_name": "DTS", "channels": "6", "bit_rate": "1000", "tags": {"language": "eng"}}
     text = {"codec_type": "subtitle", "codec_name": "subrip", "disposition": {"forced": 1}}
-    full = {"streams": [cover, video, sound, text], "format": {"bit_rate": "800000", "duration": "10", "tags": {"comment": "x", "vtc_mode": "shrink"}}}
+    full = {"streams": [cover, video, sound, text], "format": {"bit_rate": "800000", "duration": "10", "tags": {"comment": "x", "reelmill_mode": "shrink"}}}
     stale = {"streams": [video | {"bit_rate": "9017498"}], "format": {"bit_rate": "5374111", "duration": "nan"}}
     docs = [(1, json.dumps(full)), (2, json.dumps(stale)), (3, json.dumps({"error": "gone"})), (4, "no json"), (5, None), (6, json.dumps({"streams": [], "format": {}}))]
     a, b, *rest = probe.normalised(spark.createDataFrame(docs, "id long, document string")).orderBy("id").collect()
     assert (a.vcodec, a.pixels, round(a.fps, 3), a.bit_rate, a.audio_bps, a.comment) == ("h264", 2073600, 23.976, 720000, 1000, "x")
-    assert a.audio[0].codec == "dts" and a.audio[0].language == "eng" and a.subtitles[0].forced and a.subtitles[0].is_text and a.own_tags == {"VTC_MODE": "shrink"}
+    assert a.audio[0].codec == "dts" and a.audio[0].language == "eng" and a.subtitles[0].forced and a.subtitles[0].is_text and a.own_tags == {"REELMILL_MODE": "shrink"}
     assert (b.bit_rate, b.duration, b.audio) == (0, 0.0, [])
     assert [(r.ok, r.vcodec, r.bit_rate) for r in rest] == [(False, None, 0)] * 3 + [(True, None, 0)]
 
