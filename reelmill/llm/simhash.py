@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import WORD_SPACE, batch, fresh, signed, written
+from reelmill.llm.common import batch, fresh, signed, written
 from reelmill.llm.components import components
 
 BITS = 64
@@ -87,6 +86,7 @@ def links_in_group(exact: np.ndarray, probe: np.ndarray, start: int, distance: i
         segment = (x >> np.uint64((start + step) % segments * width)) & np.uint64((1 << width) - 1)
         return np.bitwise_count(segment)
 
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     rows = max(1, (1 << 20) // len(both))
     for at in range(0, len(exact), rows):
         x = exact[at : at + rows, None] ^ both
@@ -99,17 +99,22 @@ def links_in_group(exact: np.ndarray, probe: np.ndarray, start: int, distance: i
             total = total + differ(x, step)
             fits = total <= (step + 1) * distance // segments
             i, j, x, total = i[fits], j[fits], x[fits], total[fits]
-        fits = (np.bitwise_count(x) <= distance) & (i + at != j)
-        i, j = i[fits] + at, j[fits]
-        while len(i):  # join the labels' roots until both ends of every link agree
-            a, b = label[i], label[j]
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (label[label] != label).any():
-                label = label[label]
-    moved = np.flatnonzero(label != np.arange(len(both)))
-    a, b = both[moved], both[label[moved]]
+        bits = np.bitwise_count(x)
+        fits = (bits <= distance) & (i + at != j)
+        i, j, bits = i[fits] + at, j[fits], bits[fits]
+        for level in np.unique(bits).tolist():  # nearest first: of several ways to link a class the closest pairs stay
+            a, b = i[bits == level], j[bits == level]
+            while True:
+                low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+                apart = np.flatnonzero(low != high)
+                if not len(apart):
+                    break
+                pick = apart[np.unique(high[apart], return_index=True)[1]]  # one link for each root that moves
+                found.append((both[a[pick]], both[b[pick]]))
+                label[high[pick]] = low[pick]
+                while (label[label] != label).any():
+                    label = label[label]
+    a, b = (np.concatenate(f) for f in zip(*found)) if found else (both[:0], both[:0])
     return a[a != b], b[a != b]
 
 
@@ -189,37 +194,51 @@ def _and_end(batches):
     yield None
 
 
-def near_classes(fingerprints: DataFrame, distance: int = 3, segments: int = 4) -> DataFrame:
-    """(fp, root) for every distinct fingerprint of ``fingerprints`` (column fp): root is the least of its class."""
+def near_classes(fingerprints: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, root) for every distinct fingerprint of ``fingerprints`` (column fp): root is the least that links (a, b) reach."""
     fp = fingerprints.select("fp").where("fp is not null").distinct()
-    linked = components(near_links(fingerprints, distance, segments))
+    linked = components(links)
     return fp.join(linked, fp.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-#: A text with fewer shingles has too few votes a bit for its fingerprint to tell near texts from others.
-FEW = 32
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(fp, shingles): the distinct shingle hashes of each row of (fp, body)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [signed(np.unique(shingle_hashes(t.as_py(), words))) for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    return texts.select("fp", "body").mapInArrow(run, "fp long, shingles array<bigint>")
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 11) -> DataFrame:
     """``docs`` with one row of each class of near copies: that of the least id.
 
-    Fingerprints of ``words``-word shingles link at the bits that two texts of this Jaccard similarity differ
-    by on average (``near_distance``). Texts of fewer than ``FEW`` shingles are linked only where they are equal
-    but for case and white space. Null and empty texts are copies of each other; a null id sorts first; of rows
-    equal in id and text one stays; an empty table stays empty; other columns are kept whatever their names.
+    Fingerprints of ``words``-word shingles at ``distance`` or fewer bits are candidates; a link stays if the
+    shingle sets of the two texts have this Jaccard similarity. At 11 bits of 64 that finds about 73 % of the
+    pairs at 0.8, 88 % at 0.85 and 97 % at 0.9 (directly; others of a class may link them too). Texts of
+    equal fingerprint are copies. Texts without words (null, empty, white space) are copies of each other; a
+    null id sorts first; of rows equal in id and text one stays; an empty table stays empty; other columns are
+    kept whatever their names.
     """
-    fp, n, tie, row = (fresh(docs, x) for x in ("fingerprint", "shingles", "tie_x", "row_x"))
-    plain = F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), WORD_SPACE, " ")))
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.when(F.length(F.coalesce(text_col, F.lit(""))) < FEW * 400, plain).alias("plain"), F.col(text_col).alias("body"))
-    own = written(with_fingerprints(source, "body", words), "fingerprints")
-    long = own.where(F.col("shingles") >= FEW).select("id", "tie", F.col("fingerprint").alias("fp"))
-    least = F.min(F.struct("id", "tie")).alias("first")
-    roots = near_classes(long, near_distance(similarity))
-    firsts = long.groupBy("fp").agg(least).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    short = own.where(F.col("shingles") < FEW).groupBy("fingerprint", F.coalesce("plain", "tie")).agg(least).select("first.*")
-    stay = written(firsts.unionByName(short).withColumnsRenamed({"id": fp, "tie": n}), "stay")
+    first_id, first_tie, tie, row = (fresh(docs, x) for x in ("id_x", "first_x", "tie_x", "row_x"))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("body"))
+    own = written(with_fingerprints(source, "body", words).withColumnRenamed("fingerprint", "fp"), "fingerprints")
+    firsts = written(own.groupBy("fp").agg(F.min(F.struct("id", "tie")).alias("first")), "firsts")
+    links = written(near_links(own, distance).distinct(), "links")
+    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
+    asked = written(firsts.join(ends, "fp").select("fp", F.col("first.id").alias("want_id"), F.col("first.tie").alias("want_tie")), "asked")
+    bodies = source.join(asked, source.id.eqNullSafe(F.col("want_id")) & (source.tie == F.col("want_tie")))
+    sets = written(shingle_sets(bodies, words).dropDuplicates(["fp"]), "shingles")
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set"))
+    both = links.join(side("a"), "a").join(side("b"), "b")
+    alike = F.size(F.array_intersect("a_set", "b_set")) >= F.lit(similarity) * F.size(F.array_union("a_set", "b_set"))
+    checked = both.where((F.size("a_set") > 0) & alike).select("a", "b")
+    roots = near_classes(own, checked)
+    stay = written(firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias(first_id), F.col("first.tie").alias(first_tie)), "stay")
     marked = docs.withColumn(tie, F.xxhash64(text_col))
-    joined = marked.join(stay, F.col(id_col).eqNullSafe(F.col(fp)) & (F.col(tie) == F.col(n)))
+    joined = marked.join(stay, F.col(id_col).eqNullSafe(F.col(first_id)) & (F.col(tie) == F.col(first_tie)))
     one = Window.partitionBy(id_col, tie).orderBy(F.lit(0))
     return joined.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).select(*docs.columns)
 
@@ -228,12 +247,7 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document with its 3-word SimHash and the least doc_id that links of 3 bits or fewer reach."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     own = written(with_fingerprints(docs, "text", 3).select("doc_id", F.col("fingerprint").alias("fp")), "fingerprints")
-    classes = near_classes(own, 3)
+    classes = near_classes(own, near_links(own, 3))
     least = own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes, "fp")
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_distance(similarity: float) -> int:
-    """Bits that SimHashes of shingle sets at this Jaccard similarity differ by on average, rounded down."""
-    return math.floor(BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
