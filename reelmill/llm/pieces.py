@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelmill.llm.common import fresh
 
@@ -19,9 +20,12 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Stands for a space sign of the text itself; no valid text holds it.
 LITERAL = "\ud800"
+DONE = np.iinfo(np.int64).max
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words that a task keeps with their ids before it forgets them; words in one batch of the lattice; word length beyond which it is walked alone.
-KEPT, TOGETHER, LONG = 400_000, 16_384, 64
+KEPT, TOGETHER, LONG = 400_000, 8_192, 64
+#: Rows that a task encodes before it hands them on.
+SLICE = 256
 
 
 class Vocabulary:
@@ -45,6 +49,9 @@ class Vocabulary:
                 self.text[i] = bytes([int(p[3:5], 16)])
             elif k == "normal":
                 self.text[i] = p.replace(SPACE, " ").encode()
+        self.widths = np.array([len(t) for t in self.text])
+        self.starts = np.cumsum(self.widths) - self.widths
+        self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
         letters = sorted({c for i in normal for c in pieces[i]} - {SPACE})
         known = "".join(map(re.escape, letters))
         # a word: spaces and what follows them; a character in no piece stands alone
@@ -96,47 +103,58 @@ class Vocabulary:
         score[1][alone] = self.unknown
         return score, ids
 
-    def segment(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of each word; words of one length advance together."""
-        out: dict[str, tuple[int, ...]] = {}
+    def segment(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word as 32-bit integers; words of one length advance together."""
+        out: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
-            step = TOGETHER if length <= LONG else 1
-            for at in range(0, len(group), max(1, step * 8 // max(8, length))):
-                part = group[at : at + max(1, step * 8 // max(8, length))]
+            step = max(1, TOGETHER * 8 // max(8, length)) if length <= LONG else 1
+            for at in range(0, len(group), step):
+                part = group[at : at + step]
                 codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length).astype(np.uint64)
-                for w, ids in zip(part, self.best(codes)):
-                    out[w] = tuple(chain.from_iterable([i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).replace(LITERAL, SPACE).encode()] for i in ids)) if min(ids) < 0 else tuple(ids)
+                ids, counts = self.best(codes)
+                if ids.min() < 0:  # an unknown character becomes its byte pieces
+                    rows = np.repeat(np.arange(len(part)), counts).tolist()
+                    spelt = [[] for _ in part]
+                    for row, i in zip(rows, ids.tolist()):
+                        spelt[row] += [i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).replace(LITERAL, SPACE).encode()]
+                    out.update((w, np.array(x, np.int32).tobytes()) for w, x in zip(part, spelt))
+                else:
+                    flat, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
+                    out.update((w, flat[a:b]) for w, a, b in zip(part, [0, *ends], ends))
         return out
 
-    def best(self, codes: np.ndarray) -> list[list[int]]:
-        """Viterbi over the lattice of words of equal length; an unknown character c comes back as -1 - c."""
+    def best(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi over words of equal length: the ids of all words and each word's number; an unknown character c is -1 - c."""
         n, length = codes.shape
         block = 1 << 12
         if length > block:  # one very long word: its lattice is made in blocks that overlap by the longest piece
-            return [self.walked(codes[0], block)]
+            ids = np.array(self.walked(codes[0], block))
+            return ids, np.array([len(ids)])
         score, ids = self.lattice(codes)
-        total = np.full((length + 1, n), -np.inf)
-        total[0] = 0
-        width = np.zeros((length + 1, n), np.int32)
+        total = np.zeros((length + 1, n))
+        width = np.zeros((length + 1, n), np.int64)
+        rows = np.arange(n)
         for end in range(1, length + 1):
-            for w in range(min(end, len(score) - 1), 0, -1):  # longer pieces first: ties stay with them
-                sums = total[end - w] + score[w, end]
-                better = sums > total[end]
-                total[end][better] = sums[better]
-                width[end][better] = w
-        rows, at, steps = np.arange(n), np.full(n, length), []
+            most = min(end, len(score) - 1)
+            sums = total[end - most : end] + score[most:0:-1, end]  # longer pieces first: ties stay with them
+            first = sums.argmax(axis=0)
+            total[end] = sums[first, rows]
+            width[end] = most - first
+        at, steps = np.full(n, length), []
         while at.any():
-            w = np.where(at > 0, width[at, rows], 0)
+            w = width[at, rows]  # 0 at the start of a word
             piece = ids[w, at, rows].astype(np.int64)
             missing = (piece < 0) & (at > 0)
             piece[missing] = -1 - codes[rows[missing], at[missing] - 1].astype(np.int64)
-            steps.append(np.where(at > 0, piece, np.iinfo(np.int64).max))
+            piece[at == 0] = DONE
+            steps.append(piece)
             at = at - w
         found = np.array(steps[::-1]).T
-        return [r[r != np.iinfo(np.int64).max].tolist() for r in found]
+        real = found != DONE
+        return found[real], real.sum(axis=1)
 
     def walked(self, codes: np.ndarray, block: int) -> list[int]:
         length, longest = len(codes), max(self.keys)
@@ -165,7 +183,11 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids; byte pieces join to UTF-8, the first space goes."""
-        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        widths = self.widths[ids]
+        ends = np.cumsum(widths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - ends + widths, widths)
+        text = self.bytes[at].tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -175,7 +197,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.known = vocabulary, {}
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int] | None]:
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         """Ids of each text, in order; None for None. About a million characters are looked up together."""
         at = 0
         while at < len(texts):
@@ -184,36 +206,41 @@ class Encoder:
                 size += len(texts[upto] or "")
                 upto += 1
             split = [None if t is None else self.vocabulary.split(t) if t else [] for t in texts[at:upto]]
-            new = set(chain.from_iterable(s for s in split if s)) - self.known.keys()
+            new = set(chain.from_iterable(s for s in split if s)).difference(self.known)
             if len(self.known) > KEPT:
                 self.known.clear()
                 new = set(chain.from_iterable(s for s in split if s))
             self.known.update(self.vocabulary.segment(list(new)))
             for s in split:
-                yield None if s is None else list(chain.from_iterable(map(self.known.__getitem__, s)))
+                yield None if s is None else np.frombuffer(b"".join(map(self.known.__getitem__, s)), np.int32)
             at = upto
 
 
-def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """``docs`` with ``out_col``: the piece ids of the whole text (array of int).
+def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = MODEL, back_col: str | None = None) -> DataFrame:
+    """``docs`` with ``out_col``: the piece ids of the whole text (array of int); with ``back_col``: the text decoded from them.
 
     For models without normalisation of their own (identity, space put before the text, byte fallback). Null
     texts have null ids, the empty text none; characters in no piece, and the space sign itself, are spelt in
     byte pieces, so decoding gives the text back. Repeated words of a task are segmented once; memory is bounded
-    by the batch and the words kept. Repeated rows get equal ids; an empty table gives none; an existing column
-    of that name stays and the new one gets an underscore.
+    by a few hundred rows and the words kept. Repeated rows get equal ids; an empty table gives none; an
+    existing column of that name stays and the new one gets an underscore.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    out_col = fresh(docs, out_col)
-    at, names = docs.columns.index(text_col), [*docs.columns, out_col]
+    schema = T.StructType([*docs.schema, T.StructField(fresh(docs, out_col), T.ArrayType(T.IntegerType()))])
+    if back_col:
+        schema = schema.add(fresh(docs, back_col), T.StringType())
+    at, names = docs.columns.index(text_col), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value)
-        for b in batches:
-            ids = pa.array(list(encoder.encode(b.column(at).to_pylist())), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=names)
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+            ids = list(encoder.encode(b.column(at).to_pylist()))
+            columns = [*b.columns, pa.array(ids, pa.list_(pa.int32()))]
+            if back_col:
+                columns.append(pa.array([None if i is None else sent.value.decode(i) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.withColumn(out_col, F.array(F.lit(0))).schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -227,13 +254,13 @@ def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mode
             texts = [None if i is None else sent.value.decode(i) for i in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
-    return docs.mapInArrow(run, docs.withColumn(out_col, F.lit("")).schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(out_col, T.StringType())]))
 
 
 def op10_pieces(spark, sf_dir: str) -> DataFrame:
     """Every document's number of pieces, a digest of its ids, and whether decoding gives the text back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = decode(encode(docs), "ids")
+    found = encode(docs, back_col="decoded")
     packed = F.concat_ws(" ", F.transform("ids", lambda i: i.cast("string")))
     return found.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_ids"), F.md5(packed).alias("ids_md5"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
