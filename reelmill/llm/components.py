@@ -22,12 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(near, "u")
-        e = written(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u > v").distinct(),
-            "edges",
-        )
+        near = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        several = large.join(near.where("n > 1").select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(near.select("u", F.col("m").alias("v")).unionByName(several).where("u > v").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if now == seen:
             break
