@@ -58,14 +58,27 @@ class Chain:
         return earlier
 
 
-def marker_words(docs: list[set[str]], labels: np.ndarray, most: int, least_rows: int = 8) -> list[str]:
-    """The words most telling of any category: by the lower bound of their rate of positive rows, best first."""
+def marker_words(texts: list[str | None], labels: np.ndarray, most: int, least_rows: int = 8) -> list[str]:
+    """The words most telling of any category: by the lower bound of their rate of positive rows, best first.
+
+    Texts are cut into words anew on each pass, and only words seen in several positive rows are counted over
+    all, so the driver never holds the words of all texts.
+    """
+    positive = [Counter() for _ in range(labels.shape[1])]
+    for t, row in zip(texts, labels):
+        if row.any():
+            words = tokens(t)
+            for j in np.flatnonzero(row):
+                positive[j].update(words)
+    positive = [{w: k for w, k in c.items() if k > 2} for c in positive]
+    wanted = set().union(*positive)
+    counts = Counter()
+    for t in texts:
+        counts.update(tokens(t) & wanted)
     found: dict[str, float] = {}
-    counts = Counter(w for d in docs for w in d)
-    for j in range(labels.shape[1]):
-        base = labels[:, j].mean() if len(docs) else 0.0
-        positive = Counter(w for d, y in zip(docs, labels[:, j]) if y for w in d)
-        for w, k in positive.items():
+    for j, seen in enumerate(positive):
+        base = labels[:, j].mean() if len(texts) else 0.0
+        for w, k in seen.items():
             n = counts[w]
             if n >= least_rows and (bound := k / n - 1.64 * np.sqrt((k / n * (1 - k / n) + 0.25 / n) / n)) > 2 * base:
                 found[w] = max(found.get(w, 0.0), bound / max(base, 1e-9))
@@ -74,22 +87,21 @@ def marker_words(docs: list[set[str]], labels: np.ndarray, most: int, least_rows
 
 def fit_chain(texts: list[str | None], labels: np.ndarray, categories: list[str], most_words: int = 160, folds: int = 5, penalty: float = 0.2) -> Chain:
     """Fit the chain: the earlier probabilities that a later model learns from are out-of-fold predictions."""
-    docs = [tokens(t) for t in texts]
-    words = marker_words(docs, labels, most_words)
+    words = marker_words(texts, labels, most_words)
     index = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(docs), len(words)))
-    for i, d in enumerate(docs):
-        x[i, [index[w] for w in d & index.keys()]] = 1
-    fold = np.arange(len(docs)) % folds
-    one, weights, earlier = np.ones((len(docs), 1)), [], np.zeros((len(docs), 0))
+    x = np.zeros((len(texts), len(words)))
+    for i, t in enumerate(texts):
+        x[i, [index[w] for w in tokens(t) & index.keys()]] = 1
+    fold = np.arange(len(texts)) % folds
+    one, weights, earlier = np.ones((len(texts), 1)), [], np.zeros((len(texts), 0))
     for j in range(labels.shape[1]):
         design, y = np.hstack((x, earlier, one)), labels[:, j].astype(float)
-        out = np.zeros(len(docs))
+        out = np.zeros(len(texts))
         for f in range(folds):
             held = fold == f
             if held.any() and not held.all():
                 out[held] = sigmoid(design[held] @ fit_linear(design[~held], y[~held], penalty))
-        weights.append(fit_linear(design, y, penalty) if len(docs) else np.append(np.zeros(design.shape[1] - 1), -9.0))
+        weights.append(fit_linear(design, y, penalty) if len(texts) else np.append(np.zeros(design.shape[1] - 1), -9.0))
         earlier = np.hstack((earlier, out[:, None]))
     return Chain(categories, words, weights)
 
