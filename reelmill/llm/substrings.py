@@ -142,8 +142,8 @@ def segment_rows(texts: DataFrame, window: int) -> DataFrame:
         rows = lambda out: batch(SEGMENTS, **{n: list(c) for n, c in zip(SEGMENTS.names, zip(*out))})
         for b in batches:
             out: list[tuple] = []
-            for uid, text, wanted in zip(*(c.to_pylist() for c in b.columns)):
-                words = words_of(text)
+            for uid, text, wanted in zip(*b.columns):
+                uid, wanted, words = uid.as_py(), wanted.as_py(), words_of(text.as_py())
                 h, first, last = anchors(words, window)
                 own = set(wanted)
                 for a, s, e in zip(signed(h).tolist(), first.tolist(), last.tolist()):
@@ -168,9 +168,13 @@ def anchor_rows(texts: DataFrame, keep: list[str], window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [words_of(t) for t in b.column(len(keep) + 1).to_pylist()]
-            found = [signed(anchors(w, window)[0]) for w in words]
-            columns = [*b.columns[:-1], pa.array([len(w) for w in words], pa.int64()), pa.array(map(digest, words), pa.string()), pa.array(found, pa.list_(pa.int64()))]
+            count, whole, found = [], [], []
+            for text in b.column(len(keep) + 1):  # one text at a time: its words take several times its size
+                words = words_of(text.as_py())
+                count.append(len(words))
+                whole.append(digest(words))
+                found.append(signed(anchors(words, window)[0]))
+            columns = [*b.columns[:-1], pa.array(count, pa.int64()), pa.array(whole, pa.string()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return texts.select(*keep, "uid", "text").mapInArrow(run, schema)
