@@ -57,7 +57,7 @@ def fit(rows: DataFrame, text_col: str, label_col: str, sample: int, most: int =
     """Gram counts of each declared language over about ``sample`` rows, drawn by a hash of the text."""
     labelled = rows.where(F.col(label_col).isNotNull() & (F.col(label_col) != "")).select(F.lower(label_col).alias("label"), F.col(text_col).alias("body"))
     total = max(1, labelled.count())
-    drawn = labelled.where(F.pmod(F.xxhash64("body"), F.lit(total)) < sample).coalesce(8)
+    drawn = labelled.where(F.pmod(F.xxhash64("body"), F.lit(total)) < sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
