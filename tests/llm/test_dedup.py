@@ -109,6 +109,46 @@ def test_near_dedup_of_edited_texts(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2 * i for i in range(12)]
 
 
+def near_kept(texts, distance=11, similarity=0.8):
+    """Ids that near_dedup keeps, by all pairs."""
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    prints = [simhash.simhash(s) for s in sets]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (prints[i] ^ prints[j]).bit_count() <= distance:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+    return sorted(set(root))
+
+
+def around_the_threshold():
+    rng = random.Random(12)
+    texts = []
+    for rate in (0.012, 0.013, 0.014):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        texts += [" ".join(f"e{rng.randrange(10**9)}" if rng.random() < rate else w for w in base) for _ in range(120)]
+    return texts
+
+
+def test_near_dedup_around_the_threshold(spark):
+    texts = around_the_threshold()
+    kept = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == near_kept(texts)
+
+
+def test_open_links_in_blocks(spark):
+    texts = around_the_threshold()[100:260]
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)).view(np.int64).tolist() for t in texts]
+    prints = [int(np.uint64(simhash.simhash(np.array(s).view(np.uint64))).astype(np.int64)) for s in sets]
+    nodes = spark.createDataFrame([(f, i, i, len(s)) for i, (f, s) in enumerate(zip(prints, sets))], "fp long, node long, root long, n long")
+    found = simhash.open_links(nodes, spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<bigint>"), 0.8, 11, block=16)
+    joined = {r.node: r.root for r in components(found).collect()}
+    assert sorted({joined.get(i, i) for i in range(len(texts))}) == near_kept(texts)
+
+
 def removed(texts, window):
     words = [(t or "").encode().split() for t in texts]
     where = {}
