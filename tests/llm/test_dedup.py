@@ -149,6 +149,23 @@ def test_open_links_in_blocks(spark):
     assert sorted({joined.get(i, i) for i in range(len(texts))}) == near_kept(texts)
 
 
+def test_near_dedup_of_texts_with_a_frequent_line(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line = words(7)
+    texts = [f"{words(100)} {' '.join([line] * 40)}" for _ in range(8)]
+    texts += [f"{texts[0]} {' '.join([line] * 30)}"]  # the same set
+    kept = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(8)) == near_kept(texts)
+
+
+def test_equal_fingerprints_are_checked(spark):
+    sets = [list(range(0, 100)), list(range(1000, 1100)), list(range(5, 105)), list(range(1003, 1103))]
+    nodes = spark.createDataFrame([(77, i, i, 100) for i in range(4)], "fp long, node long, root long, n long")
+    found = simhash.open_links(nodes, spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<bigint>"), 0.8, 11)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(0, 2), (1, 3)]
+
+
 def removed(texts, window):
     words = [(t or "").encode().split() for t in texts]
     where = {}
