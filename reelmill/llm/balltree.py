@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from reelmill.llm.common import batch, written
 
 LEAF = 256
-ROWS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+ROWS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("times", pa.int64())])
 
 
 class BallTree:
     """Vectors cut in halves along the line between two far points; each node keeps its centre and radius."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, leaf: int = LEAF):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], vectors[order]
+        self.ids, self.x, self.copies = ids[order], vectors[order], copies[order]
         self.nodes: list[tuple] = []  # centre, radius, least id, members or (left, right)
         self.root = self.build(np.arange(len(ids)), leaf)
 
@@ -51,8 +51,8 @@ class BallTree:
         self.radii = np.array([n[1] for n in self.nodes])
         return root
 
-    def search(self, query_id: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """(score, id) of the k best rows other than the query's own, none below ``floor``.
+    def search(self, query_id: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int, int]]:
+        """(score, id, copies) of the k best rows other than the query's own, none below ``floor``.
 
         Nodes wait in a heap by their upper bound q.c + |q| r; the search ends when the best waiting node is
         below the kth score. Scores are integers, so the bound is rounded up against float error, and a node
@@ -60,7 +60,7 @@ class BallTree:
         """
         bounds = self.centres @ q + np.linalg.norm(q) * self.radii
         bounds += 1e-9 * np.abs(bounds) + 1e-6
-        best: list[tuple[int, int]] = []  # (score, -id): the worst first
+        best: list[tuple[int, int, int]] = []  # (score, -id, copies): the worst first
         waiting = [(-bounds[self.root], self.root)]
         while waiting:
             bound, at = heapq.heappop(waiting)
@@ -76,19 +76,16 @@ class BallTree:
             m = node[3]
             scores = self.x[m] @ q
             least = max(floor, best[0][0]) if len(best) == k else floor
-            good = np.flatnonzero(scores >= least)
-            if len(good) > k:  # only the k best of a leaf matter; rows are in order of id, so ties keep the least
-                good = good[np.lexsort((self.ids[m[good]], -scores[good]))[: k + 1]]
+            good = np.flatnonzero((scores >= least) & (self.ids[m] != query_id))
+            if len(good) > k:  # only the k best of a leaf matter; ties keep the least id
+                good = good[np.lexsort((self.ids[m[good]], -scores[good]))[:k]]
             for i in good.tolist():
-                vec = int(self.ids[m[i]])
-                if vec == query_id:
-                    continue
-                entry = (int(scores[i]), -vec)
+                entry = (int(scores[i]), -int(self.ids[m[i]]), int(self.copies[m[i]]))
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
                     heapq.heapreplace(best, entry)
-        return [(s, -i) for s, i in best]
+        return [(s, -i, n) for s, i, n in best]
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -109,14 +106,16 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
 
     Vectors null or holding null or non-finite components take no part, nor do null ids; vectors of another
     number of components are compared among themselves; rows that repeat an id are candidates of their own,
-    but no row is a candidate of a query with its own id; zero vectors and empty tables are ordinary cases;
+    but no row is a candidate of a query with its own id; rows equal in id and vector are searched once with
+    their number, and as in a join every pair of copies of a query and a candidate is a result of its own; zero vectors and empty tables are ordinary cases;
     other columns are not read.
     """
-    rows = written(integer_vectors(vectors, id_col, vector_col, scale), "vectors")
+    each = integer_vectors(vectors, id_col, vector_col, scale)
+    rows = written(each.groupBy("vec_id", "v", "dim").agg(F.count("*").alias("times")), "vectors")
     n, asked = rows.count(), rows.where(is_query).count()
     shards, blocks = max(1, round(n / shard_rows)), max(1, round(asked / block_rows))
-    data = rows.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"))
-    query = rows.where(is_query).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    data = rows.select("vec_id", "v", "dim", "times", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"))
+    query = rows.where(is_query).select("vec_id", "v", "dim", "times", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     none = F.lit(float("-inf"))
     home = F.pmod(F.col("block"), F.lit(shards))
     first = written(met(data, query.select("*", home.alias("shard"), none.alias("floor")), blocks, shards, k, home_only=True), "first")
@@ -125,22 +124,23 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
         found = first
     else:
         others = F.expr(f"filter(sequence(0, {shards - 1}), s -> s != block % {shards})")
-        rest = query.join(kth, query.vec_id == kth.query_id, "left").select("vec_id", "v", "dim", "block", F.explode(others).alias("shard"), F.coalesce("floor", none).alias("floor"))
+        rest = query.join(kth, query.vec_id == kth.query_id, "left").select("vec_id", "v", "dim", "times", "block", F.explode(others).alias("shard"), F.coalesce("floor", none).alias("floor"))
         found = first.unionByName(met(data, rest, blocks, shards, k, home_only=False))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def met(data: DataFrame, query: DataFrame, blocks: int, shards: int, k: int, home_only: bool) -> DataFrame:
     """Search each (block, shard) of ``query`` in that shard of ``data``."""
     met_blocks = F.expr(f"filter(sequence(0, {blocks - 1}), b -> (b % {shards} = shard) = {str(home_only).lower()})")
-    sides = data.select(F.explode(met_blocks).alias("block"), "shard", F.lit(0).alias("asks"), "vec_id", "v", "dim", F.lit(0.0).alias("floor"))
-    sides = sides.unionByName(query.select("block", "shard", F.lit(1).alias("asks"), "vec_id", "v", "dim", "floor"))
+    sides = data.select(F.explode(met_blocks).alias("block"), "shard", F.lit(0).alias("asks"), "vec_id", "v", "dim", F.lit(0.0).alias("floor"), "times")
+    sides = sides.unionByName(query.select("block", "shard", F.lit(1).alias("asks"), "vec_id", "v", "dim", "floor", "times"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vectors, tree = None, [], [], None
+        key, ids, vectors, copies, tree = None, [], [], [], None
         for b in batches:
-            block, shard, asks, vec, dim, floor = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5, 6))
+            block, shard, asks, vec, dim, floor, times = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5, 6, 7))
             column = b.column(4)
             flat, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             offsets = offsets - offsets[0]
@@ -148,19 +148,20 @@ def met(data: DataFrame, query: DataFrame, blocks: int, shards: int, k: int, hom
             for i in range(b.num_rows):
                 now = (int(dim[i]), int(block[i]), int(shard[i]))
                 if now != key:
-                    key, ids, vectors, tree = now, [], [], None
+                    key, ids, vectors, copies, tree = now, [], [], [], None
                 x = flat[offsets[i] : offsets[i + 1]]
                 if not asks[i]:
                     ids.append(int(vec[i]))
                     vectors.append(x)
+                    copies.append(int(times[i]))
                 elif ids:
-                    tree = tree or BallTree(np.array(ids), np.array(vectors).reshape(len(ids), -1))
-                    out += [(int(vec[i]), c, s) for s, c in tree.search(int(vec[i]), x, k, float(floor[i]))]
+                    tree = tree or BallTree(np.array(ids), np.array(vectors).reshape(len(ids), -1), np.array(copies))
+                    out += [(int(vec[i]), c, s, n * int(times[i])) for s, c, n in tree.search(int(vec[i]), x, k, float(floor[i]))]
             if out:
-                yield batch(ROWS, query_id=[o[0] for o in out], vec_id=[o[1] for o in out], score=[o[2] for o in out])
+                yield batch(ROWS, query_id=[o[0] for o in out], vec_id=[o[1] for o in out], score=[o[2] for o in out], times=[o[3] for o in out])
 
-    dealt = sides.select("block", "shard", "asks", "vec_id", "v", "dim", "floor").repartition("dim", "block", "shard").sortWithinPartitions("dim", "block", "shard", "asks")
-    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+    dealt = sides.select("block", "shard", "asks", "vec_id", "v", "dim", "floor", "times").repartition("dim", "block", "shard").sortWithinPartitions("dim", "block", "shard", "asks")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score long, times long")
 
 
 def op9_balltree(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -142,6 +143,23 @@ def test_search_matches_brute_force(spark):
     assert balltree.search(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_search_of_repeated_rows_matches_its_sql(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(310)]
+    rows += [rows[i] for i, n in ((0, 1), (50, 2), (100, 5), (150, 9)) for _ in range(n)]  # queries
+    rows += [rows[i] for i in range(7, 300, 9) for _ in range(i % 8)]
+    rows += [(200, [float(x) for x in 9 * rng.normal(size=4)]) for _ in range(8)]  # an id of several vectors
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = duckdb.connect()
+    sql.execute(f"create view embeddings as from '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = sorted(sql.execute(balltree.OP9_SQL).fetchall())
+    assert len(expected) == 35
+    df = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    for shard in (10**6, 60):
+        found = balltree.search(df, F.col("vec_id") % 50 == 0, 5, shard_rows=shard).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == expected
+
+
 def slow_viterbi(vocabulary, scores, word):
     best = [(0.0, [])] + [(-np.inf, None)] * len(word)
     for end in range(1, len(word) + 1):
