@@ -53,11 +53,15 @@ class TextModel:
         return total * (min(n, cap) / n) if n else total
 
 
-def fit(rows: DataFrame, text_col: str, label_col: str, sample: int, most: int = 64) -> TextModel:
-    """Gram counts of each declared language over about ``sample`` rows, drawn by a hash of the text."""
-    labelled = rows.where(F.col(label_col).isNotNull() & (F.col(label_col) != "")).select(F.lower(label_col).alias("label"), F.col(text_col).alias("body"))
-    total = max(1, labelled.count())
-    drawn = labelled.where(F.pmod(F.xxhash64("body"), F.lit(total)) < sample)
+def fit(rows: DataFrame, text_col: str, label_col: str, sample: int) -> TextModel:
+    """Gram counts of every declared language over about ``sample`` of its distinct texts, all if it has no more.
+
+    Texts are drawn by their hash, in each language apart. Every language that has grams is a class, however rare
+    and however many there are: the model takes 128 KB for each.
+    """
+    labelled = rows.where(F.col(label_col).isNotNull() & (F.col(label_col) != "")).select(F.lower(label_col).alias("label"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("hash"))
+    texts = written(labelled.groupBy("label").agg(F.approx_count_distinct("hash").alias("texts")), "labels")
+    drawn = labelled.join(texts, "label").where(F.pmod("hash", F.greatest("texts", F.lit(1))) < sample).dropDuplicates(["label", "hash"]).select("label", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -72,11 +76,11 @@ def fit(rows: DataFrame, text_col: str, label_col: str, sample: int, most: int =
 
     counts = drawn.mapInArrow(run, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     counts = written(counts, "grams")
-    chosen = [r[0] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(most).collect()]
-    chosen.sort()
-    table = counts.where(F.col("label").isin(chosen)).toPandas()  # languages times buckets at most
+    chosen = sorted(r[0] for r in counts.select("label").distinct().collect())
     out = np.zeros((len(chosen), BUCKETS))
-    out[table["label"].map({x: i for i, x in enumerate(chosen)}).to_numpy(np.int64), table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy()
+    places = rows.sparkSession.createDataFrame(list(zip(chosen, range(len(chosen)))), "label string, place int")
+    table = counts.join(F.broadcast(places), "label").select("place", F.col("bucket").cast("int").alias("bucket"), "n").toPandas()  # languages times buckets at most
+    out[table["place"].to_numpy(), table["bucket"].to_numpy()] = table["n"].to_numpy()
     return TextModel(chosen, out)
 
 
@@ -131,7 +135,7 @@ def host_priors(p: DataFrame, n: int, weight: float) -> DataFrame:
 def identify(rows: DataFrame, text_col: str, declared: Column, address: Column | None, host: Column, sample: int = 20000, cap: int = 200, weight: float = 20.0, narrow: bool = False) -> DataFrame:
     """``rows`` with ``language``, ``confidence`` (its posterior) and ``declared_as``.
 
-    Evidence: (1) byte-trigram likelihoods of the text, fitted on about ``sample`` declared rows and counted
+    Evidence: (1) byte-trigram likelihoods of the text, fitted on about ``sample`` distinct texts of each declared language and counted
     as ``cap`` grams at most; (2) the declared markup language and (3) the address suffix, as likelihoods
     P(value | language) from sums of text posteriors grouped by value over all rows; (4) the host's prior,
     its grouped sums smoothed with ``weight`` rows of the domain's prior, and that with the corpus's. The class

@@ -43,6 +43,20 @@ def test_language_of_odd_rows(spark, docs, empty):
     assert langid.keep_identified(docs).columns == docs.columns
 
 
+def test_every_declared_language_is_a_class(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+        rows += [(" ".join(rng.choice(words) for _ in range(60)), f"l{i:02}", "a") for _ in range(40 if i else 400)]
+    rows += [(rows[-1][0], "l69", "a")] * 500
+    df = spark.createDataFrame(rows, "text string, lang string, source string")
+    model = langid.fit(df, "text", "lang", 60)
+    assert model.languages == [*(f"l{i:02}" for i in range(70)), "und"]
+    rare = spark.createDataFrame([(f"some common words {i}", "en") for i in range(3000)] + [("etwas ganz anderes", "de"), ("noch ein text", "de")], "text string, lang string")
+    assert langid.fit(rare, "text", "lang", 5).languages == ["de", "en", "und"]
+
+
 def test_junk_is_no_language(spark):
     rng = random.Random(1)
     clean = [(i, " ".join(rng.choice(["the", "and", "house", "river", "seemed", "older"]) for _ in range(60)), "en", "a") for i in range(40)]
