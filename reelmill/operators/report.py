@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelmill.functions import quality as q
+from reelmill.functions.names import cut_tail
+
 #: Outcomes in the order of the report.
 ORDER = ("shrink", "transcode", "remux", "skip-at-tier", "skip-under-tier", "skip-modern", "skip-existing", "skip-min-saving", "skip-incompatible", "skip-codec", "resume", "error")
 CHANGED = ("shrink", "transcode", "remux")
@@ -46,21 +49,54 @@ def saved_bytes() -> Column:
     return F.when(changed(), F.greatest(F.lit(0), F.col("src_bytes") - F.col("out_bytes"))).otherwise(0).cast("long")
 
 
-def render(results: DataFrame) -> str:
-    """The report as text. The driver gets one row an outcome and the notes of files that have any, in blocks."""
-    total = tally(results).first()
-    lines = [f"{total.total} files: {total.changed} changed, {total.left_alone} left as they are, {total.errors} errors"]
-    lines += [f"  {r.outcome:<24}{r.files:>8}" for r in by_outcome(results).orderBy("place").collect()]
-    if saved := space_saved(results).first():
-        lines.append(f"{saved.files} files: {human(saved.before)} before, {human(saved.after)} after, {human(saved.saved)} saved ({saved.percent:.1f}%)")
-    for r in notes(results, ["path"]).drop("nth").toLocalIterator():
-        lines.append(f"  [{r.level}] {r.message}: {r.path}")
-    return "\n".join(lines)
-
-
-def human(n: float) -> str:
-    for unit in ("B", "KB", "MB", "GB"):
-        if n < 1024:
-            return f"{n:.1f} {unit}"
-        n /= 1024
-    return f"{n:.1f} TB"
+def size_text(n: Column) -> Column:
+    """A byte count as text, 1,024 to the unit."""
+    h = q.human(n, 1024, 1)
+    return F.concat(F.format_string("%.1f", h["amount"]), F.lit(" "), h["unit"])
+
+
+def lines(results: DataFrame) -> DataFrame:
+    """The report as (part, nth, path, line): head, outcomes in their order, space saved, then every note of every file."""
+    one = lambda df, part, nth, path, line: df.select(F.lit(part).alias("part"), nth.cast("long").alias("nth"), path.alias("path"), line.alias("line"))
+    none = F.lit("")
+    head = one(tally(results), 0, F.lit(0), none, F.format_string("%d files: %d changed, %d left as they are, %d errors", "total", "changed", "left_alone", "errors"))
+    table = one(by_outcome(results), 1, F.col("place"), none, F.format_string("  %-24s%8d", "outcome", "files"))
+    saved = F.format_string("%d files: %s before, %s after, %s saved (%.1f%%)", "files", size_text(F.col("before")), size_text(F.col("after")), size_text(F.col("saved")), "percent")
+    space = one(space_saved(results), 2, F.lit(0), none, saved)
+    said = one(notes(results, []), 3, F.col("nth"), F.col("path"), F.format_string("  [%s] %s: %s", "level", "message", "path"))
+    return head.unionByName(table).unionByName(space).unionByName(said)
+
+
+#: How a list names files that were left alone.
+LEFT_ALONE = {
+    "skip-at-tier": "already efficient", "skip-under-tier": "below your quality tier", "skip-modern": "already modern", "skip-existing": "already converted",
+    "skip-min-saving": "saving too small", "skip-incompatible": "codec kept", "skip-non-mp4": "left as-is", "skip-codec": "unsupported codec",
+    "skip-second-generation": "already encoded by this tool", "resume": "already efficient",
+}
+
+
+def short_size(n: Column) -> Column:
+    """A byte count, 1,000 to the unit: two decimals from a KB on, GB at most."""
+    n = F.greatest(F.lit(0), n).cast("long")
+    scaled = lambda base, unit: F.format_string(f"%.2f {unit}", n / float(base))
+    return F.when(n >= 10**9, scaled(10**9, "GB")).when(n >= 10**6, scaled(10**6, "MB")).when(n >= 1000, scaled(1000, "KB")).otherwise(F.format_string("%d B", n))
+
+
+def listed(results: DataFrame) -> DataFrame:
+    """``results`` with bucket, severity and label, as one line of a list shows them."""
+    warned = F.exists("notes", lambda n: n["level"] == "WARN")
+    first = F.coalesce(F.get("notes", F.lit(0))["message"], F.lit(""))
+    names = F.create_map(*[F.lit(x) for pair in LEFT_ALONE.items() for x in pair])
+    severity = F.when(F.col("outcome") == "error", "err").when(warned, "warn").when(F.size("notes") > 0, "note").otherwise("")
+    label = (
+        F.when(changed(), F.when(F.col("src_bytes") > 0, F.concat_ws(" → ", short_size(F.col("src_bytes")), short_size(F.col("out_bytes")))).otherwise(F.col("outcome")))
+        .when(F.col("outcome") == "error", cut_tail(F.when(first == "", "encode failed").otherwise(first), 58))
+        .when((F.col("outcome") == "skip-codec") & warned, "couldn't read file")
+        .otherwise(F.coalesce(F.try_element_at(names, F.col("outcome")), F.translate(F.regexp_replace("outcome", "skip-", ""), "-", " ")))
+    )
+    return results.withColumns({"bucket": bucket(), "severity": severity, "label": label})
+
+
+def failed(results: DataFrame) -> DataFrame:
+    """The paths that a retry takes."""
+    return results.where(F.col("outcome") == "error").select("path")

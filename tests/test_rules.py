@@ -129,10 +129,20 @@ def test_report(spark):
     saved = report.space_saved(df).first()
     assert (saved.before, saved.after, round(saved.percent, 1)) == (3500, 1900, 45.7)
     assert report.space_saved(df.where("outcome = 'resume'")).first() is None
-    text = report.render(df)
+    text = "\n".join(r.line for r in report.lines(df).orderBy("part", "nth", "path").collect())
     assert "7 files" in text and "encode failed" in text and "45.7%" in text
 
 
+def test_list_rows(spark):
+    rows = [("/a/b.mkv", "shrink", 1_900_000_000, 463_740_000, []), ("c", "remux", 0, 0, []), ("d", "skip-codec", 0, 0, [("WARN", "no")]), ("e", "error", 0, 0, [("ERROR", "x" * 70)]), ("f", "error", 5, 5, []), ("g", "skip-at-tier", 9, 0, [("INFO", "i")]), ("h", "skip-odd-one", 0, 0, []), ("i", "transcode", 999, 1000, [])]
+    df = spark.createDataFrame(rows, "path string, outcome string, src_bytes long, out_bytes long, notes array<struct<level:string,message:string>>")
+    got = {r.path: (r.bucket, r.severity, r.label) for r in report.listed(df).collect()}
+    assert got["/a/b.mkv"] == ("ok", "", "1.90 GB → 463.74 MB") and got["c"] == ("ok", "", "remux") and got["d"] == ("fail", "warn", "couldn't read file")
+    assert got["e"] == ("fail", "err", "x" * 58 + "… (see log)") and got["f"] == ("fail", "err", "encode failed") and got["g"] == ("skip", "note", "already efficient")
+    assert got["h"] == ("skip", "", "odd one") and got["i"] == ("ok", "", "999 B → 1.00 KB")
+    assert sorted(r.path for r in report.failed(df).collect()) == ["e", "f"]
+
+
 def test_a_second_run_changes_nothing(spark):
     """What a shrink makes is at its tier: deciding again leaves it."""
     first = planned(media(spark, [{"bit_rate": 30_000_000}]), replace(S, codec="h264")).first()

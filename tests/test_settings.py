@@ -28,5 +28,11 @@ def test_problems():
 
 def test_answers_are_clamped_and_junk_is_passed_over():
     s = Settings.of({"tier": "good", "codec": "H264", "jobs": "-3", "min_saving_ratio": "oops", "ignore_exts": "avi", "nonsense": 1, "remux_to_mp4": "no", "container": "ogg"})
-    assert (s.tier, s.codec, s.jobs, s.min_saving_ratio, s.ignore_exts, s.remux_to_mp4, s.container) == ("GOOD", "h264", 0, 0.75, ("avi",), False, "auto")
+    assert (s.tier, s.codec, s.jobs, s.min_saving_ratio, s.ignore_exts, s.remux_to_mp4, s.container) == ("GOOD", "h264", 1, 0.75, ("avi",), False, "auto")
     assert s.has_ignore_rules and not s.needs_size_to_ignore
+
+
+def test_each_answer_has_its_own_range():
+    s = Settings.of({"floor_kbps": 5, "tolerance": "9", "hevc": [0.1, "x", 2], "audio_kbps_stereo": 9999, "jobs": 99, "tier_bpp": {"good": 7, "OK": "x", "excellent": density("EXCELLENT"), "none": 1}, "sub_kinds": ["hoh", "forced", "normal"], "output_dir": "/out", "tier": None})
+    assert (s.floor_kbps, s.tolerance, s.hevc, s.audio_kbps_stereo, s.jobs, s.tier_bpp, s.sub_kinds, s.output_dir, s.tier) == (200, 2.0, (0.2, 0.50, 1.0), 640, 16, {"GOOD": 1.0}, (), "/out", "EXCELLENT")
+    assert Settings.of({"sub_kinds": ["hoh", "odd"], "hevc": 3, "tier_bpp": 4}) == Settings(sub_kinds=("hoh",))
