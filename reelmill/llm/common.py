@@ -9,17 +9,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space of the word contract: x20 and x09 to x0D. ``bytes.split()`` cuts at exactly these.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where all tasks run in this process (tests)."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="reelmill-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -31,6 +35,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def heavy_keys(counts: DataFrame, key: str, n: str, least: int = 10_000) -> list:
+    """Keys with over a thousandth of all rows (and over ``least``), of a table of keys with their numbers of rows.
+
+    No table has more than 1,000 such keys, so the list has a bound whatever the data.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col(n) > max(least, total // 1000))).select(key).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, heavy: list) -> DataFrame:
+    """``left`` joined with ``right`` (one row a key), rows of ``heavy`` keys without a shuffle.
+
+    The at most 1,000 rows of ``right`` with heavy keys are broadcast; all other keys have at most a thousandth
+    of the rows each and are joined as usual.
+    """
+    if not heavy:
+        return left.join(right, key, how)
+    dense = F.coalesce(F.col(key).isin([F.lit(k) for k in heavy]), F.lit(False))
+    few = left.where(dense).join(F.broadcast(right.where(dense)), key, how)
+    return left.where(~dense).join(right, key, how).unionByName(few)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8 bytes; none for null."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

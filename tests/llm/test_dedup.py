@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from reelmill.llm import simhash, substrings
+from reelmill.llm.common import mix
 from reelmill.llm.components import components
 
 
@@ -54,7 +55,7 @@ def test_spark_hashes_alike(spark):
 
 
 def linked(spark, values, distance, **more):
-    df = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in values], "fp long")
+    df = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) * 2 for v in values], "node long, fp long")
     links = simhash.near_links(df, distance, **more)
     joined = components(links)
     found = {int(np.int64(r.node).astype(np.uint64)): r.root for r in joined.collect()}
@@ -109,14 +110,19 @@ def test_near_dedup_of_edited_texts(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2 * i for i in range(12)]
 
 
+def near_prints(a, b, distance):
+    low, high = sorted((x ^ y).bit_count() for x, y in zip(a, b))
+    return low <= distance and high <= 2 * distance
+
+
 def near_kept(texts, distance=11, similarity=0.8):
     """Ids that near_dedup keeps, by all pairs."""
     sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
-    prints = [simhash.simhash(s) for s in sets]
+    prints = [(simhash.simhash(s), simhash.simhash(mix(s))) for s in sets]
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if root[i] != root[j] and (prints[i] ^ prints[j]).bit_count() <= distance:
+            if root[i] != root[j] and near_prints(prints[i], prints[j], distance):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
                     low, high = sorted((root[i], root[j]))
@@ -139,11 +145,45 @@ def test_near_dedup_around_the_threshold(spark):
     assert sorted(r.doc_id for r in kept.collect()) == near_kept(texts)
 
 
+def similar_classes(sets, similarity):
+    """Classes by all pairs of this similarity, whatever the fingerprints; and those pairs."""
+    root, pairs = list(range(len(sets))), []
+    for i in range(len(sets)):
+        for j in range(i):
+            if min(len(sets[i]), len(sets[j])) >= similarity * max(len(sets[i]), len(sets[j])):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                    pairs.append((i, j))
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+    return root, pairs
+
+
+def test_recall_over_all_pairs_of_edited_texts(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(100):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(rng.randint(60, 500))]
+        for _ in range(6):
+            rate = rng.uniform(0.0, 0.025)
+            texts.append(" ".join(f"e{rng.randrange(10**9)}" if rng.random() < rate else w for w in base))
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    root, pairs = similar_classes(sets, 0.8)
+    prints = [(simhash.simhash(s), simhash.simhash(mix(s))) for s in sets]
+    direct = sum(near_prints(prints[i], prints[j], 11) for i, j in pairs) / len(pairs)
+    kept = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = sorted(r.doc_id for r in kept.collect())
+    assert got == near_kept(texts)
+    removed = len(texts) - len(set(root))
+    assert direct >= 0.9 and len(texts) - len(got) >= 0.97 * removed and set(root) <= set(got)
+
+
 def test_open_links_in_blocks(spark):
     texts = around_the_threshold()[100:260]
     sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)).view(np.int64).tolist() for t in texts]
-    prints = [int(np.uint64(simhash.simhash(np.array(s).view(np.uint64))).astype(np.int64)) for s in sets]
-    nodes = spark.createDataFrame([(f, i, i, len(s)) for i, (f, s) in enumerate(zip(prints, sets))], "fp long, node long, root long, n long")
+    half = lambda h: int(np.uint64(simhash.simhash(h)).astype(np.int64))
+    hashes = [np.array(s).view(np.uint64) for s in sets]
+    nodes = spark.createDataFrame([(half(h), half(mix(h)), i, i, len(h)) for i, h in enumerate(hashes)], "fp long, twin long, node long, root long, n long")
     found = simhash.open_links(nodes, spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<bigint>"), 0.8, 11, block=16)
     joined = {r.node: r.root for r in components(found).collect()}
     assert sorted({joined.get(i, i) for i in range(len(texts))}) == near_kept(texts)
@@ -161,7 +201,7 @@ def test_near_dedup_of_texts_with_a_frequent_line(spark):
 
 def test_equal_fingerprints_are_checked(spark):
     sets = [list(range(0, 100)), list(range(1000, 1100)), list(range(5, 105)), list(range(1003, 1103))]
-    nodes = spark.createDataFrame([(77, i, i, 100) for i in range(4)], "fp long, node long, root long, n long")
+    nodes = spark.createDataFrame([(77, 78, i, i, 100) for i in range(4)], "fp long, twin long, node long, root long, n long")
     found = simhash.open_links(nodes, spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<bigint>"), 0.8, 11)
     assert sorted((r.a, r.b) for r in found.collect()) == [(0, 2), (1, 3)]
 
