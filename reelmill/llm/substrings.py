@@ -11,16 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import batch, fresh, mix, signed, word_hashes, words_of, written
+from reelmill.llm.common import batch, fresh, heavy_keys, mix, signed, spread_join, word_hashes, words_of, written
 
 #: Words of the gram whose least hash anchors a window.
 GRAM = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct segments of an anchor that one automaton holds; a hot anchor has several reference shards.
+#: Distinct segments that one automaton of an anchor holds at most; windows of anchors with more are dealt by their own hash.
 REFERENCE = 512
+#: Bytes of all distinct segments up to which their automata are broadcast, and bytes of one such shard.
+BROADCAST, SHARD = 1 << 20, 1 << 18
 
-SEGMENTS = pa.schema([("uid", pa.binary()), ("anchor", pa.int64()), ("start", pa.int32()), ("body", pa.binary())])
-SPANS = pa.schema([("anchor", pa.int64()), ("seg", pa.binary()), ("spans", pa.list_(pa.int32()))])
+SEGMENTS = pa.schema([("uid", pa.binary()), ("anchor", pa.int64()), ("start", pa.int32()), ("seg", pa.binary()), ("body", pa.binary()), ("times", pa.int64())])
+SPANS = pa.schema([("seg", pa.binary()), ("spans", pa.list_(pa.int32()))])
+WINDOWS = pa.schema([("window", pa.binary()), ("seg", pa.binary()), ("start", pa.int32()), ("times", pa.int64())])
 
 
 def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,27 +138,33 @@ class SuffixAutomaton:
         return spans
 
 
-def segment_rows(texts: DataFrame, window: int) -> DataFrame:
-    """(uid, anchor, start, body): the words of the windows of each wanted anchor of each row of (uid, text, wanted)."""
+def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return batch(schema, **{n: list(c) for n, c in zip(schema.names, zip(*rows))})
+
+
+def segment_rows(texts: DataFrame, window: int, bodies: bool) -> DataFrame:
+    """(uid, anchor, start, seg, body, times) of each row of (uid, text, wanted, times): the words of the windows of each wanted anchor.
+
+    ``seg`` is the MD5 of the body; without ``bodies`` the body is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = lambda out: batch(SEGMENTS, **{n: list(c) for n, c in zip(SEGMENTS.names, zip(*out))})
         for b in batches:
             out: list[tuple] = []
-            for uid, text, wanted in zip(*b.columns):
-                uid, wanted, words = uid.as_py(), wanted.as_py(), words_of(text.as_py())
+            for uid, text, wanted, times in zip(*b.columns):
+                uid, own, times, words = uid.as_py(), set(wanted.as_py()), times.as_py(), words_of(text.as_py())
                 h, first, last = anchors(words, window)
-                own = set(wanted)
                 for a, s, e in zip(signed(h).tolist(), first.tolist(), last.tolist()):
                     if a in own:
-                        out.append((uid, a, s, b" ".join(words[s : e + window])))
+                        body = b" ".join(words[s : e + window])
+                        out.append((uid, a, s, hashlib.md5(body).digest(), body if bodies else None, times))
                 if len(out) > 20000:
-                    yield rows(out)
+                    yield rows_of(SEGMENTS, out)
                     out = []
             if out:
-                yield rows(out)
+                yield rows_of(SEGMENTS, out)
 
-    return texts.select("uid", "text", "wanted").mapInArrow(run, "uid binary, anchor long, start int, body binary")
+    return texts.select("uid", "text", "wanted", "times").mapInArrow(run, "uid binary, anchor long, start int, seg binary, body binary, times long")
 
 
 def digest(words: list[bytes]) -> str:
@@ -180,84 +189,138 @@ def anchor_rows(texts: DataFrame, keep: list[str], window: int) -> DataFrame:
     return texts.select(*keep, "uid", "text").mapInArrow(run, schema)
 
 
+def repeated_windows(segments: DataFrame, window: int) -> DataFrame:
+    """(seg, spans) for segments (seg, body, times) of anchors with many contexts: each window is dealt by the MD5 of its words.
+
+    Rows grow with the segments, a window with its own hash however many contexts it has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for seg, body, times in zip(*(c.to_pylist() for c in b.columns)):
+                words = body.split(b" ")
+                out += [(hashlib.md5(b" ".join(words[i : i + window])).digest(), seg, i, times) for i in range(len(words) - window + 1)]
+            if out:
+                yield rows_of(WINDOWS, out)
+
+    rows = written(segments.select("seg", "body", "times").mapInArrow(run, "window binary, seg binary, start int, times long"), "windows")
+    counts = written(rows.groupBy("window").agg(F.sum("times").alias("all"), F.count("*").alias("n")), "counts")
+    again = spread_join(rows, counts.where("all > 1").select("window"), "window", "left_semi", heavy_keys(counts, "window", "n"))
+    return again.groupBy("seg").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + window))).alias("spans"))
+
+
 def matched(segments: DataFrame, window: int, reference: int) -> DataFrame:
-    """(anchor, seg, spans) for the distinct segments (anchor, seg, body, times) that hold a repeated window.
+    """(seg, spans) for the distinct segments (anchor, seg, body, times) that hold a repeated window.
 
-    The segments of an anchor are cut into reference shards; each shard's automaton is built from its own
-    segments and all segments of the anchor are streamed through it. In its own shard a segment needs windows
-    that occur twice, in another shard once.
+    The segments of an anchor are a reference shard: its suffix automaton is built from them and they are
+    streamed through it; windows need to occur twice. Anchors with over ``reference`` distinct segments go to
+    ``repeated_windows``, so no group is larger than that and none is multiplied.
     """
-    per = segments.groupBy("anchor").agg(F.ceil(F.count("*") / reference).cast("int").alias("shards"), F.sum("times").alias("all"))
-    rows = segments.join(per.where("all > 1"), "anchor").withColumn("own", F.pmod(F.xxhash64("seg"), F.col("shards")).cast("int"))
-    rows = rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    rows = rows.select("anchor", "shard", (F.col("own") != F.col("shard")).cast("int").alias("guest"), "seg", "body", "times")
+    per = written(segments.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("times").alias("all")), "contexts")
+    rows = spread_join(segments, per.where("all > 1").select("anchor", "n"), "anchor", "inner", heavy_keys(per, "anchor", "n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree, members = None, None, []
+        key, members = None, []
         out: list[tuple] = []
 
         def settle() -> None:
-            if len(members) == 1 and members[0][2] > 1:  # one sequence that occurs often: the automaton is a chain
-                out.append((key[0], members[0][0], [0, len(members[0][1])]))
-            elif len(members) > 1 or tree is not None:
-                ready()
+            if len(members) == 1:  # one sequence that occurs often: the automaton is a chain
+                out.append((members[0][0], [0, len(members[0][1])]))
+            elif members:
+                tree = automaton([(words, times) for _, words, times in members])
                 for seg, words, _ in members:
                     if spans := tree.covered(words, window, 2):
-                        out.append((key[0], seg, spans))
-
-        def ready() -> None:
-            nonlocal tree
-            if tree is None:
-                tree = SuffixAutomaton()
-                for _, words, times in members:
-                    tree.add(words, times)
-                tree.finish()
+                        out.append((seg, spans))
 
         for b in batches:
-            for anchor, shard, guest, seg, body, times in zip(*(c.to_pylist() for c in b.columns)):
-                if (anchor, shard) != key:
+            for anchor, seg, body, times in zip(*(c.to_pylist() for c in b.columns)):
+                if anchor != key:
                     settle()
-                    key, tree, members = (anchor, shard), None, []
-                words = body.split(b" ")
-                if not guest:
-                    members.append((seg, words, times))
-                elif members:
-                    ready()
-                    if spans := tree.covered(words, window, 1):
-                        out.append((anchor, seg, spans))
+                    key, members = anchor, []
+                members.append((seg, body.split(b" "), times))
             if out:
-                yield batch(SPANS, **{n: list(c) for n, c in zip(SPANS.names, zip(*out))})
+                yield rows_of(SPANS, out)
                 out = []
         settle()
         if out:
-            yield batch(SPANS, **{n: list(c) for n, c in zip(SPANS.names, zip(*out))})
+            yield rows_of(SPANS, out)
+
+    dealt = rows.where(F.col("n") <= reference).select("anchor", "seg", "body", "times").repartition("anchor").sortWithinPartitions("anchor")
+    found = dealt.mapInArrow(run, "seg binary, spans array<int>")
+    if per.where(F.col("n") > reference).isEmpty():
+        return found
+    return found.unionByName(repeated_windows(rows.where(F.col("n") > reference), window))
+
+
+def automaton(sequences: list[tuple[list[bytes], int]]) -> SuffixAutomaton:
+    tree = SuffixAutomaton()
+    for words, times in sequences:
+        tree.add(words, times)
+    tree.finish()
+    return tree
+
+
+def streamed(texts: DataFrame, shards: list[list[tuple[bytes, int]]], window: int) -> DataFrame:
+    """(uid, spans) of each row of (uid, text) that repeats something: every text runs through every broadcast shard's automaton.
+
+    ``shards`` are (body, times) of segments, all segments of an anchor in one shard, so a window's occurrences
+    are counted in one place.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(shards)  # at most BROADCAST bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = [automaton([(body.split(b" "), times) for body, times in shard]) for shard in sent.value]
+        for b in batches:
+            out = []
+            for uid, text in zip(*b.columns):
+                words = words_of(text.as_py())
+                spans = [x for tree in trees for x in tree.covered(words, window, 2)]
+                if spans:
+                    out.append((uid.as_py(), spans))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.list_(pa.int32()))], names=["uid", "spans"])
 
-    dealt = rows.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "guest")
-    return dealt.mapInArrow(run, "anchor long, seg binary, spans array<int>")
+    return texts.select("uid", "text").mapInArrow(run, "uid binary, spans array<int>")
 
 
-def repeats(docs: DataFrame, text_col: str, keep: list[str], window: int, reference: int = REFERENCE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What removal needs: all rows (*keep, uid, n_words, whole_sha256), texts with candidates (uid, text), spans (uid, spans).
+def repeats(docs: DataFrame, text_col: str, keep: list[str], window: int, reference: int = REFERENCE, broadcast: int = BROADCAST) -> tuple[DataFrame, DataFrame, DataFrame, list]:
+    """What removal needs: all rows (*keep, uid, n_words, whole_sha256), texts with candidates (uid, text), spans (uid, spans), heavy uids.
 
-    ``uid`` is the MD5 of the text: copies share their spans. Spans are flat pairs of word numbers.
+    ``uid`` is the MD5 of the text: copies are one text with its number, and share their spans. Spans are flat
+    pairs of word numbers.
 
     1. Each text gives the anchors of its windows; an anchor that occurs once cannot hold a repeated window.
     2. Texts with repeated anchors give the segments around them; equal segments are counted before the shuffle.
-    3. Segments meet in the automata of their anchor's reference shards.
+    3. The distinct segments are the reference. Where all of them are small (``broadcast`` bytes), their automata
+       are broadcast in shards and the texts streamed through; else each anchor's segments meet in its automaton.
     """
     texts = docs.select(*keep, F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("uid"), F.col(text_col).alias("text"))
     rows = written(anchor_rows(texts, keep, window), "anchors")
-    single = rows.select("uid", F.explode("anchors").alias("anchor"))
-    repeated = single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = written(single.join(repeated, "anchor", "left_semi").groupBy("uid").agg(F.collect_set("anchor").alias("wanted")), "wanted")
-    texts = written(texts.select("uid", "text").join(wanted, "uid"), "candidates")
-    segments = segment_rows(texts, window)
-    counted = segments.groupBy("anchor", "body").agg(F.count("*").alias("times")).withColumn("seg", F.unhex(F.md5("body")))
-    spans = matched(written(counted, "segments"), window, reference)
-    placed = segments.select("uid", "anchor", F.unhex(F.md5("body")).alias("seg"), "start").distinct().join(spans, ["anchor", "seg"])
-    moved = placed.select("uid", F.transform("spans", lambda s: s + F.col("start")).alias("spans"))
-    spans = written(moved.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    return rows.drop("anchors"), texts.select("uid", "text"), spans
+    distinct = written(rows.where("uid is not null").groupBy("uid").agg(F.first("anchors").alias("anchors"), F.count("*").alias("times")), "texts")
+    heavy = heavy_keys(distinct, "uid", "times")
+    single = distinct.select("uid", "times", F.explode("anchors").alias("anchor"))
+    counts = written(single.groupBy("anchor").agg(F.sum("times").alias("all"), F.count("*").alias("n")), "counts")
+    again = spread_join(single, counts.where("all > 1").select("anchor"), "anchor", "left_semi", heavy_keys(counts, "anchor", "n"))
+    wanted = written(again.groupBy("uid").agg(F.collect_set("anchor").alias("wanted"), F.first("times").alias("times")), "wanted")
+    one = texts.select("uid", "text").dropDuplicates(["uid"])  # copies meet before the shuffle, and the join needs no other
+    candidates = written(one.join(wanted, "uid"), "candidates")
+    counted = segment_rows(candidates, window, bodies=True).groupBy("anchor", "seg").agg(F.first("body").alias("body"), F.sum("times").alias("times"))
+    counted = written(counted, "segments")
+    size = counted.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    if size <= broadcast:
+        shards: dict[int, list] = {}
+        for anchor, body, times in counted.select("anchor", "body", "times").collect():  # at most ``broadcast`` bytes
+            shards.setdefault(anchor % (size // SHARD + 1), []).append((bytes(body), times))
+        spans = written(streamed(candidates, list(shards.values()), window), "spans")
+    else:
+        found = written(matched(counted, window, reference), "matches")
+        places = written(segment_rows(candidates, window, bodies=False).select("uid", "seg", "start"), "places")
+        per = places.groupBy("seg").agg(F.count("*").alias("n"))
+        placed = spread_join(places, found, "seg", "inner", heavy_keys(per, "seg", "n"))
+        moved = placed.select("uid", F.transform("spans", lambda s: s + F.col("start")).alias("spans"))
+        spans = written(moved.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    return rows.drop("anchors"), candidates.select("uid", "text"), spans, heavy
 
 
 def removed_flags(n: int, spans: list[int]) -> list[int]:
@@ -280,20 +343,20 @@ def without(text: str, spans: list[int]) -> str:
     return (data[:start] + b"".join(m[0] for m, c in zip(found, cover) if not c)).decode()
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, reference: int = REFERENCE) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, reference: int = REFERENCE, broadcast: int = BROADCAST) -> DataFrame:
     """``docs`` with each text cleared of the words in windows of ``window`` words that also occur elsewhere.
 
     Windows are judged on the input, all occurrences go, in the same document too; what stays keeps its white
     space. Null texts stay null, texts shorter than a window stay as they are, repeated rows count as
     occurrences of each other, an empty table stays empty, other columns are not touched. Words are whatever
-    ASCII white space separates. An anchor shared by very many texts is split over reference shards of
-    ``reference`` distinct segments, so an automaton's size has a bound; a large group of copies adds counts,
-    not segments.
+    ASCII white space separates. However many contexts a passage has, rows grow with the texts that hold it:
+    an automaton has at most ``reference`` distinct segments, and what is more goes by window. A large group
+    of copies is one text with a number.
     """
-    _, _, spans = repeats(docs, text_col, [], window, reference)
+    _, _, spans, heavy = repeats(docs, text_col, [], window, reference, broadcast)
     uid, found = fresh(docs, "uid_x"), fresh(docs, "spans_x")
     spans = spans.withColumnsRenamed({"uid": uid, "spans": found})
-    both = docs.withColumn(uid, F.unhex(F.md5(F.col(text_col).cast("binary")))).join(spans, uid, "left").select(*docs.columns, found)
+    both = spread_join(docs.withColumn(uid, F.unhex(F.md5(F.col(text_col).cast("binary")))), spans, uid, "left", heavy).select(*docs.columns, found)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +372,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, re
 def op7_substrings(spark, sf_dir: str) -> DataFrame:
     """Words, removed words and a digest of the kept ones for every document, windows of 35 words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows, texts, spans = repeats(docs, "text", ["doc_id"], 35)
+    rows, texts, spans, heavy = repeats(docs, "text", ["doc_id"], 35)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,8 +383,8 @@ def op7_substrings(spark, sf_dir: str) -> DataFrame:
                 kept.append(digest(words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["uid", "n_removed", "sha"])
 
-    changed = texts.join(spans, "uid").mapInArrow(run, "uid binary, n_removed long, sha string").distinct()
-    return rows.join(changed, "uid", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("sha", "whole_sha256").alias("kept_sha256"))
+    changed = texts.join(spans, "uid").mapInArrow(run, "uid binary, n_removed long, sha string")
+    return spread_join(rows, written(changed, "changed"), "uid", "left", heavy).select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("sha", "whole_sha256").alias("kept_sha256"))
 
 
 OP7_SQL = """

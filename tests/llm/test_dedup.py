@@ -229,16 +229,36 @@ def test_substring_query_matches_brute_force(spark, docs, folder):
 
 def test_removal_with_many_contexts_and_small_shards(spark):
     rng = random.Random(4)
-    for letters, window in (("ab", 9), ("abcdefgh", 10)):
+    for letters, window, sizes in (("ab", 9, {"reference": 3, "broadcast": 0}), ("abcdefgh", 10, {"reference": 3, "broadcast": 0}), ("ab", 9, {}), ("abcdefgh", 10, {"broadcast": 0})):
         texts = [" ".join(rng.choice(letters) for _ in range(rng.randint(0, 70))) for _ in range(60)]
         core = " ".join(rng.choice("xyz") for _ in range(window + 3))
         texts += [f"{rng.choice(letters)} {rng.choice(letters)} {core} {' '.join(rng.choice(letters) for _ in range(6))}" for _ in range(40)]
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        got = {r.doc_id: r.text for r in substrings.remove_repeats(df, window=window, reference=3).collect()}
+        got = {r.doc_id: r.text for r in substrings.remove_repeats(df, window=window, **sizes).collect()}
         for i, (n, gone, sha) in enumerate(removed(texts, window)):
             assert hashlib.sha256(" ".join(got[i].split()).encode()).hexdigest() == sha, (i, n, gone)
 
 
+def test_rows_grow_with_the_contexts_of_a_passage(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    core = words(40)
+    texts = [f"{words(30)} {core} {words(30)}" for _ in range(5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    segments = substrings.segment_rows(df.select(F.unhex(F.md5("text")).alias("uid"), "text", anchors_of(texts[:1]).alias("wanted"), F.lit(1).cast("long").alias("times")), 35, True)
+    counted = segments.groupBy("anchor", "seg").agg(F.first("body").alias("body"), F.sum("times").alias("times"))
+    n, contexts = counted.count(), counted.groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert contexts > substrings.REFERENCE and n < 4 * len(texts)
+    assert substrings.matched(counted, 35, substrings.REFERENCE).count() <= n
+    got = {r.doc_id: r.text.split() for r in substrings.remove_repeats(df, broadcast=0).collect()}
+    assert all(got[i] == t.split()[:30] + t.split()[70:] for i, t in enumerate(texts))
+
+
+def anchors_of(texts):
+    found = {int(a) for t in texts for a in substrings.anchors(t.encode().split(), 35)[0].view(np.int64)}
+    return F.array(*[F.lit(a) for a in sorted(found)])
+
+
 def test_removal_keeps_columns_and_white_space(spark, docs, empty):
     out = substrings.remove_repeats(docs.withColumn("uid_x", F.lit(7)))
     assert out.columns == [*docs.columns, "uid_x"] and out.count() == docs.count()
