@@ -144,7 +144,8 @@ def identify(rows: DataFrame, text_col: str, declared: Column, address: Column |
     their written size allows and else sorts and splits skewed values.
 
     ``address`` is a host name of which the last label is the suffix (None: no such evidence). ``narrow``
-    drops the text after the first pass and so scores it once. Null or empty texts, declarations, addresses
+    drops the text after the first pass. Texts are read whole, in blocks; of classes of equal posterior the first
+    by name wins. Null or empty texts, declarations, addresses
     and hosts are values like others; repeated rows are scored alike; an empty table gives no rows; columns
     named like those added are kept and the added ones get an underscore.
     """
@@ -159,12 +160,8 @@ def identify(rows: DataFrame, text_col: str, declared: Column, address: Column |
     model = fit(rows, text_col, d, sample)
     n = len(model.languages)
     found = scored(rows, text_col, model, like, cap)
-    if narrow:
-        found = written(found.drop(text_col), "likelihoods")
-        p_rows = found
-    else:
-        p_rows = written(scored(rows.select(text_col, d, s, h, m), text_col, model, like, cap).drop(text_col), "likelihoods")
-    p = p_rows.select(F.col(d).alias("declared"), F.col(s).alias("suffix"), F.col(h).alias("host"), F.col(m).alias("domain"), softmax(F.col(like)).alias("p"))
+    found = written(found.drop(text_col) if narrow else found, "likelihoods")  # each text is scored once
+    p = found.select(F.col(d).alias("declared"), F.col(s).alias("suffix"), F.col(h).alias("host"), F.col(m).alias("domain"), softmax(F.col(like)).alias("p"))
     hosts = host_priors(p, n, weight).withColumnsRenamed({"host": "host_k", "domain": "domain_k"})
     by_declared = evidence(p, "declared", n, weight)
     by_suffix = evidence(p, "suffix", n, weight)
@@ -203,7 +200,11 @@ def op1_langid(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those in which no language is recognised; the columns stay as they are."""
+    """``docs`` without those in which no language is recognised; the columns stay as they are.
+
+    Rows of null, empty or unknown text stay where their declaration or source speaks for a language; repeated
+    rows are judged alike; an empty table stays empty.
+    """
     found = identify(docs, "text", F.col("lang"), None, F.col("source"))
     added = [c for c in found.columns if c not in docs.columns]
     return found.where(F.col(added[0]) != UNKNOWN).select(*docs.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import batch
+from reelmill.llm.common import batch, heavy_keys, spread_join, written
 
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -56,8 +56,9 @@ def pack(docs: DataFrame, capacity: int, id_col: str = "doc_id", length_col: str
     A document longer than a bin is cut: its full pieces are bins by themselves, the rest is packed. Rests
     are dealt at random, by a hash of the id, to packs of about ``rows`` rows, and each pack is filled by
     best fit on decreasing length. No bin holds two documents of one source or of one duplicate cluster, so a
-    hot source or a large group of copies is spread over bins, and over packs by the hash. A pack's memory is
-    bounded by ``rows``, not by the table.
+    hot source or a large group of copies is spread over bins, and over packs by the hash. Rows that repeat one
+    id and cluster over ``rows`` times are numbered and dealt by their number, so a pack's memory is bounded by
+    ``rows``, not by the table.
 
     Returns doc_id, piece, start and length in units of the document, pack, bin (numbered within the pack)
     and offset. Documents of null or negative length count as 0 and still get a
@@ -72,7 +73,15 @@ def pack(docs: DataFrame, capacity: int, id_col: str = "doc_id", length_col: str
     )
     total = df.count()
     packs = max(1, -(-total // rows))
-    df = df.withColumn("pack", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(packs)))
+    df = df.withColumn("k", F.xxhash64("doc_id", "cluster"))
+    counts = df.groupBy("k").agg(F.count("*").alias("n"))
+    often = written(counts.where(F.col("n") > rows).select("k", F.lit(True).alias("often")), "often")
+    if often.isEmpty():
+        df = df.withColumn("pack", F.pmod("k", F.lit(packs)))
+    else:
+        numbered = written(df.withColumn("number", F.monotonically_increasing_id()), "numbered")
+        df = spread_join(numbered, often, "k", "left", heavy_keys(counts, "k", "n"))
+        df = df.withColumn("pack", F.pmod(F.when(F.col("often"), F.xxhash64("k", "number")).otherwise(F.col("k")), F.lit(packs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -109,5 +118,10 @@ def op4_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame, capacity: int = 8192) -> DataFrame:
-    """``pack`` for a table of documents: code points as units, equal texts as clusters."""
+    """``pack`` for a table of documents: code points as units, equal texts as clusters.
+
+    Null and empty texts have length 0 and still get a place, very long ones are cut into full bins and a rest,
+    null ids and sources are values like others, repeated rows are packed one by one, an empty table gives no
+    rows; other columns are not read.
+    """
     return pack(docs.select("doc_id", F.length("text").alias("length"), "source", F.xxhash64("text").alias("cluster")), capacity)

@@ -23,7 +23,7 @@ def interleave(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_i
     """Put every row of ``docs`` into one of ``shards`` shards whose mixture of strata matches the corpus.
 
     Rows of a stratum are shuffled by an MD5 of seed and id and ranked; row r of n gets the fractional
-    rank (r - 1/2) / n. All rows are then ordered by fractional rank and cut into equal runs, so shard
+    rank (r - u) / n, where u from 0 to 1 is a hash of the stratum's name (many strata of one row spread out). All rows are then ordered by fractional rank and cut into equal runs, so shard
     row counts differ by one at most and each stratum is spread evenly (law ``rows``).
 
     No stratum is ranked in one task: the shuffle key cuts it into ``4096`` hash ranges, counts of
@@ -42,6 +42,8 @@ def interleave(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_i
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("key"),
     ).withColumn("cut", F.substring("key", 1, 3))
     key = ["key", "doc_id", "text_crc32", "size"]
+    # each stratum starts elsewhere in its step, else all strata of one row would share one rank
+    phase = F.conv(F.substring(F.md5(F.coalesce("stratum", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
     counts = rows.groupBy("stratum", "cut").agg(F.count("*").alias("n"))
     by_cut = Window.partitionBy("stratum").orderBy("cut")
@@ -54,7 +56,7 @@ def interleave(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_i
     ranked = (
         rows.withColumn("at", F.row_number().over(Window.partitionBy("stratum", "cut").orderBy(*key)))
         .join(offsets, F.col("stratum").eqNullSafe(F.col("o_stratum")) & (F.col("cut") == F.col("o_cut")))
-        .withColumn("rank", (F.col("before") + F.col("at") - 0.5) / F.col("of"))
+        .withColumn("rank", (F.col("before") + F.col("at") - phase) / F.col("of"))
         .withColumn("range", F.floor(F.col("rank") * RANGES).cast("int"))
     )
 
@@ -100,7 +102,7 @@ WITH crc_table AS (
       lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32
   FROM docs, crc_table
 ), ranked AS (
-  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, text_crc32, size) - 0.5::double) / count(*) OVER (PARTITION BY stratum) AS rank
+  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, text_crc32, size) - ('0x' || md5(coalesce(stratum, ''))[1:8])::bigint / 4294967296.0::double) / count(*) OVER (PARTITION BY stratum) AS rank
   FROM rows
 ), placed AS (
   SELECT *, row_number() OVER (ORDER BY rank, stratum NULLS FIRST, key, doc_id, text_crc32, size) - 1 AS position, count(*) OVER () AS total

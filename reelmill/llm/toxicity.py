@@ -58,65 +58,81 @@ class Chain:
         return earlier
 
 
-def marker_words(texts: list[str | None], labels: np.ndarray, most: int, least_rows: int = 8) -> list[str]:
-    """The words most telling of any category: by the lower bound of their rate of positive rows, best first.
+def fold_counts(texts: list[str | None], labels: np.ndarray, fold: np.ndarray, folds: int) -> tuple[list[list[Counter]], list[Counter]]:
+    """For each fold: rows with each word among the positive rows of each category, and among all rows.
 
     Texts are cut into words anew on each pass, and only words seen in several positive rows are counted over
     all, so the driver never holds the words of all texts.
     """
-    positive = [Counter() for _ in range(labels.shape[1])]
-    for t, row in zip(texts, labels):
+    positive = [[Counter() for _ in range(labels.shape[1])] for _ in range(folds)]
+    for t, row, f in zip(texts, labels, fold):
         if row.any():
             words = tokens(t)
             for j in np.flatnonzero(row):
-                positive[j].update(words)
-    positive = [{w: k for w, k in c.items() if k > 2} for c in positive]
-    wanted = set().union(*positive)
-    counts = Counter()
-    for t in texts:
-        counts.update(tokens(t) & wanted)
+                positive[f][j].update(words)
+    wanted = {w for j in range(labels.shape[1]) for w, k in sum((p[j] for p in positive), Counter()).items() if k > 2}
+    counts = [Counter() for _ in range(folds)]
+    for t, f in zip(texts, fold):
+        counts[f].update(tokens(t) & wanted)
+    return positive, counts
+
+
+def marker_words(positive: list[Counter], counts: Counter, bases: np.ndarray, most: int, least_rows: int = 8) -> list[str]:
+    """The words most telling of any category: by the lower bound of their rate of positive rows, best first."""
     found: dict[str, float] = {}
-    for j, seen in enumerate(positive):
-        base = labels[:, j].mean() if len(texts) else 0.0
+    for seen, base in zip(positive, bases):
         for w, k in seen.items():
             n = counts[w]
-            if n >= least_rows and (bound := k / n - 1.64 * np.sqrt((k / n * (1 - k / n) + 0.25 / n) / n)) > 2 * base:
+            if k > 2 and n >= least_rows and (bound := k / n - 1.64 * np.sqrt((k / n * (1 - k / n) + 0.25 / n) / n)) > 2 * base:
                 found[w] = max(found.get(w, 0.0), bound / max(base, 1e-9))
     return sorted(found, key=lambda w: (-found[w], w))[:most]
 
 
-def fit_chain(texts: list[str | None], labels: np.ndarray, categories: list[str], most_words: int = 160, folds: int = 5, penalty: float = 0.2) -> Chain:
-    """Fit the chain: the earlier probabilities that a later model learns from are out-of-fold predictions."""
-    words = marker_words(texts, labels, most_words)
-    index = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(texts), len(words)))
+def fit_chain(texts: list[str | None], labels: np.ndarray, categories: list[str], most_words: int = 160, folds: int = 5, penalty: float = 0.2) -> tuple[Chain, np.ndarray]:
+    """Fit the chain; also the out-of-fold predictions that its later models learnt from, a column a category.
+
+    Row i is in fold i % ``folds``. For each fold the words (at most ``most_words``) and the weights come from the
+    other folds' rows alone; the final models take words and weights from all rows.
+    """
+    fold = np.arange(len(texts)) % folds
+    positive, counts = fold_counts(texts, labels, fold, folds)
+    some = lambda parts: sum(parts, Counter())
+    rate = lambda rows: labels[rows].mean(axis=0) if rows.any() else np.zeros(labels.shape[1])
+    per_category = lambda leave: [some(positive[f][j] for f in range(folds) if f != leave) for j in range(labels.shape[1])]
+    chosen = [marker_words(per_category(f), some(counts[g] for g in range(folds) if g != f), rate(fold != f), most_words) for f in (*range(folds), None)]
+    index = {w: i for i, w in enumerate(sorted(set().union(*chosen)))}
+    x = np.zeros((len(texts), len(index)), np.float32)
     for i, t in enumerate(texts):
         x[i, [index[w] for w in tokens(t) & index.keys()]] = 1
-    fold = np.arange(len(texts)) % folds
+    columns = [[index[w] for w in words] for words in chosen]
     one, weights, earlier = np.ones((len(texts), 1)), [], np.zeros((len(texts), 0))
     for j in range(labels.shape[1]):
-        design, y = np.hstack((x, earlier, one)), labels[:, j].astype(float)
-        out = np.zeros(len(texts))
+        y, out = labels[:, j].astype(float), np.zeros(len(texts))
+        design = lambda f: np.hstack((x[:, columns[f]], earlier, one))  # noqa: B023, E731
         for f in range(folds):
             held = fold == f
             if held.any() and not held.all():
-                out[held] = sigmoid(design[held] @ fit_linear(design[~held], y[~held], penalty))
-        weights.append(fit_linear(design, y, penalty) if len(texts) else np.append(np.zeros(design.shape[1] - 1), -9.0))
+                d = design(f)
+                out[held] = sigmoid(d[held] @ fit_linear(d[~held], y[~held], penalty))
+        d = design(-1)
+        weights.append(fit_linear(d, y, penalty) if len(texts) else np.append(np.zeros(d.shape[1] - 1), -9.0))
         earlier = np.hstack((earlier, out[:, None]))
-    return Chain(categories, words, weights)
+    return Chain(categories, chosen[-1], weights), earlier
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, longest: int = 20000) -> Chain:
-    """Fit a chain on at most ``sample`` labelled rows, drawn by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, longest: int = 20000, most_words: int = 160) -> Chain:
+    """Fit a chain on at most ``sample`` labelled rows, drawn by a hash of the id, with at most ``most_words`` words.
 
     ``categories`` are Boolean columns over ``labels``, in chain order. Only texts of at most ``longest``
-    characters are drawn, so what the driver gathers for fitting has a bound; scoring reads whole texts.
+    characters are drawn, so what the driver gathers for fitting has a bound; scoring reads whole texts. Labels
+    of null ids are left out, null categories count as false, ids labelled or standing several times give a row
+    each; without any labelled row every probability is near 0.
     """
     drawn = labels.where(F.col(id_col).isNotNull()).select(id_col, *[F.coalesce(c, F.lit(False)).cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())])
     drawn = drawn.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.where(F.length(text_col) <= longest).select(id_col, text_col).join(F.broadcast(drawn), id_col).orderBy(F.xxhash64(id_col)).limit(sample).toPandas()
     y = rows[[f"y{i}" for i in range(len(categories))]].to_numpy(np.int64)
-    return fit_chain(rows[text_col].tolist(), y, list(categories))
+    return fit_chain(rows[text_col].tolist(), y, list(categories), most_words)[0]
 
 
 def predicted(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
@@ -142,7 +158,10 @@ def predicted(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: st
 def label_categories() -> dict[str, Column]:
     """The chain over the label table: unfit text of any kind, toxic text, toxic text of low quality.
 
-    The table has one toxicity label; the other two categories combine it with the quality label.
+    The table has one toxicity label; the other two categories combine it with the quality label. What the chain
+    gives ``toxic``: the probability of ``unfit`` tells it of junk of any kind, which the words of toxic rows alone
+    don't; ``toxic_low`` is told both, and only reported. A caller with labels of several kinds of toxicity passes
+    them in place of these.
     """
     toxic, low = F.col("toxic") == 1, F.col("quality") == 0
     return {"unfit": toxic | low, "toxic": toxic, "toxic_low": toxic & low}
@@ -162,7 +181,11 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows rejected as toxic; the columns stay as they are."""
+    """``docs`` without the rows rejected as toxic; the columns stay as they are.
+
+    Null and empty texts are kept (no word speaks against them), repeated rows are judged alike, long texts are
+    read whole; with an empty table of labels all rows stay; an empty table stays empty.
+    """
     chain = train(docs, labels, label_categories())
     found = predicted(docs, chain)
     return found.where(F.element_at(found.columns[-1], 2) < THRESHOLD).select(*docs.columns)

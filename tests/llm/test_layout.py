@@ -76,6 +76,21 @@ def test_every_document_is_packed_once_without_conflicts(spark, docs, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_repeated_rows_are_dealt_to_several_packs(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, "same", "s") for i in range(300)] + [(i, f"t{i}", "s") for i in range(100, 140)], "doc_id long, text string, source string")
+    rows = packing.pack(df.select("doc_id", F.lit(4).alias("length"), "source", F.xxhash64("text").alias("cluster")), 64, rows=40).collect()
+    sizes = Counter(r.pack for r in rows)
+    assert len(rows) == 340 and len(sizes) > 4 and max(sizes.values()) < 100
+    assert len({(r.pack, r.bin) for r in rows}) == 340  # one source: no two share a bin
+
+
+def test_many_small_strata_spread_over_the_ranks(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.concat(F.lit("host"), F.col("id").cast("string")).alias("source"))
+    rows = sharding.interleave(df, 8).collect()
+    assert set(Counter(r.shard for r in rows).values()) == {500}
+    assert {r.doc_id for r in rows} == set(range(4000))
+
+
 def windows(tokens, k, w):
     grams = [tuple(tokens[i : i + k]) for i in range(max(1, len(tokens) - k + 1))] if tokens else []
     return grams, [grams[i : i + w] for i in range(max(1, len(grams) - w + 1))] if grams else []

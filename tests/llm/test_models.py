@@ -43,6 +43,41 @@ def test_language_of_odd_rows(spark, docs, empty):
     assert langid.keep_identified(docs).columns == docs.columns
 
 
+def test_fusion_matches_a_slow_version(spark):
+    rng = random.Random(31)
+    vocabulary = {"en": ["the", "and", "house", "river"], "de": ["der", "und", "haus", "fluss"], "fr": ["le", "et", "maison", "fleuve"]}
+    rows = []
+    for i in range(240):
+        true = rng.choice(list(vocabulary))
+        text = " ".join(rng.choice(vocabulary[true]) for _ in range(rng.randint(0, 12)))
+        rows.append((i, text, rng.choice([true, true, true, "en", None]), rng.choice([None, f"x.{true}", "x.com"]), rng.choice([f"a.{true}.org", "b.org", "c.b.org", None])))
+    df = spark.createDataFrame(rows, "id long, text string, lang string, address string, host string")
+    got = {r.id: (r.language, r.confidence) for r in langid.identify(df, "text", F.col("lang"), F.col("address"), F.col("host")).collect()}
+    model = langid.fit(df.withColumn("l", F.coalesce("lang", F.lit(""))), "text", "l", 20000)
+    n, weight = len(model.languages), 20.0
+    like = [model.likelihood(r[1].encode(), 200) for r in rows]
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    p = np.array([soft(z) for z in like])
+    declared = [r[2] or "" for r in rows]
+    suffix = [r[3].rsplit(".", 1)[1] if r[3] else "" for r in rows]
+    host = [r[4] or "" for r in rows]
+    domain = [".".join(h.split(".")[-2:]) for h in host]
+    whole = p.sum(axis=0)
+
+    def spoken(values):
+        sums = {v: p[[x == v for x in values]].sum(axis=0) for v in set(values)}
+        return [np.log((sums[v] + weight * sums[v].sum() / whole.sum() + 1e-12) / (whole + weight + 1e-12)) for v in values]
+
+    base = (whole + 1 / n) / (whole.sum() + 1)
+    by_domain = {d: p[[x == d for x in domain]].sum(axis=0) for d in set(domain)}
+    by_domain = {d: (c + weight * base) / (c.sum() + weight) for d, c in by_domain.items()}
+    by_host = {h: p[[x == h for x in host]].sum(axis=0) for h in set(host)}
+    for i, (a, b) in enumerate(zip(spoken(declared), spoken(suffix))):
+        prior = (by_host[host[i]] + weight * by_domain[domain[i]]) / (by_host[host[i]].sum() + weight)
+        post = soft(like[i] + np.log(prior) + a + b)
+        assert abs(got[i][1] - post.max()) < 1e-6 and post[model.languages.index(got[i][0])] > post.max() - 1e-9
+
+
 def test_every_declared_language_is_a_class(spark):
     rng = random.Random(8)
     rows = []
@@ -69,7 +104,7 @@ def test_toxicity_on_held_out_rows(labelled):
     rows = labelled.sample(frac=1, random_state=3).reset_index(drop=True)
     y = np.stack([(rows.toxic == 1) | (rows.quality == 0), rows.toxic == 1, (rows.toxic == 1) & (rows.quality == 0)], axis=1).astype(int)
     cut = len(rows) * 2 // 3
-    chain = toxicity.fit_chain(rows.text[:cut].tolist(), y[:cut], ["unfit", "toxic", "toxic_low"])
+    chain, _ = toxicity.fit_chain(rows.text[:cut].tolist(), y[:cut], ["unfit", "toxic", "toxic_low"])
     p = np.array([chain.predict(toxicity.tokens(t))[1] >= 0.5 for t in rows.text[cut:]])
     truth = y[cut:, 1] == 1
     english = (rows.lang[cut:] == "en").to_numpy()
@@ -80,11 +115,36 @@ def test_later_models_learn_from_held_out_predictions():
     texts = ["good words here"] * 60 + ["vile words here"] * 40
     y = np.array([[0, 0]] * 60 + [[1, 1]] * 40)
     order = np.random.default_rng(0).permutation(100)
-    chain = toxicity.fit_chain([texts[i] for i in order], y[order], ["a", "b"])
+    chain, _ = toxicity.fit_chain([texts[i] for i in order], y[order], ["a", "b"])
     assert chain.predict(toxicity.tokens("vile"))[1] > 0.8 > 0.2 > chain.predict(toxicity.tokens("good"))[1]
     assert len(chain.weights[1]) == len(chain.weights[0]) + 1
 
 
+def test_held_out_rows_leave_their_fold_alone(labelled):
+    texts = labelled.text[:400].tolist()
+    y = np.stack([labelled.toxic[:400] == 1, labelled.quality[:400] == 0], axis=1).astype(int)
+    _, out = toxicity.fit_chain(texts, y, ["toxic", "low"], most_words=20)
+    changed = y.copy()
+    changed[0::5, 0] = 1 - changed[0::5, 0]  # the labels of fold 0
+    _, other = toxicity.fit_chain(texts, changed, ["toxic", "low"], most_words=20)
+    assert np.allclose(out[0::5, 0], other[0::5, 0]) and not np.allclose(out[1::5, 0], other[1::5, 0])
+
+
+def test_chain_matches_a_slow_version(spark, labelled):
+    texts = labelled.text.tolist()
+    y = np.stack([labelled.toxic == 1, labelled.quality == 0], axis=1).astype(int)
+    chain, out = toxicity.fit_chain(texts, y, ["toxic", "low"], most_words=30)
+    words = sorted(chain.index, key=chain.index.get)
+    x = np.array([[float(w in toxicity.tokens(t)) for w in words] for t in texts])
+    first = toxicity.fit_linear(np.hstack((x, np.ones((len(texts), 1)))), y[:, 0].astype(float), 0.2)
+    second = toxicity.fit_linear(np.hstack((x, out[:, :1], np.ones((len(texts), 1)))), y[:, 1].astype(float), 0.2)
+    got = {r.id: r.toxicity for r in toxicity.predicted(spark.createDataFrame(list(enumerate(texts[:80])), "id long, text string"), chain).collect()}
+    for i in range(80):
+        p = 1 / (1 + np.exp(-(x[i] @ first[:-1] + first[-1])))
+        q = 1 / (1 + np.exp(-(x[i] @ second[:-2] + second[-2] * p + second[-1])))
+        assert np.allclose(got[i], [p, q], atol=1e-6)
+
+
 def test_toxicity_of_odd_rows(spark, docs, empty):
     labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
     found = toxicity.keep_clean(docs.withColumn("toxicity", F.lit(1)), labels)
