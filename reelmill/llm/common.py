@@ -27,14 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables that this process has written, in order.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reelmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``written``, and every table written after the first ``since`` of this process is removed: ``df`` was all that needed them."""
+    out = written(df, name)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for path in _TABLES[since:-1]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    _TABLES[since:] = _TABLES[-1:]
+    return out
+
+
+def tables_so_far() -> int:
+    return len(_TABLES)
+
+
 def heavy_keys(counts: DataFrame, key: str, n: str, least: int = 10_000) -> list:
     """Keys with over a thousandth of all rows (and over ``least``), of a table of keys with their numbers of rows.
 
