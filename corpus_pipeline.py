@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reelmill.llm import langid, packing, simhash, substrings, toxicity
-from reelmill.llm.common import written
+from reelmill.llm.common import settled, tables_so_far
 from reelmill.session import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised."""
+    """Documents in which a language is recognised; nulls, repeated rows and empty tables as in ``langid.keep_identified``."""
     ship(spark)
     return langid.keep_identified(docs)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't call toxic."""
+    """Documents that the classifier chain doesn't call toxic; odd rows as in ``toxicity.keep_clean``."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies; odd rows as in ``simhash.near_dedup``."""
     return simhash.near_dedup(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 35 words or more that also stand elsewhere."""
+    """Documents without the passages of 35 words or more that also stand elsewhere; odd rows as in ``substrings.remove_repeats``."""
     return substrings.remove_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's place in the sequences of the training set."""
+    """Every document's place in the sequences of the training set; odd rows as in ``packing.packed``."""
     return packing.packed(docs)
 
 
@@ -48,8 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's result is written to the shared folder."""
+    """All stages over the documents; each stage's result is written to the shared folder and its other tables go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = tables_so_far()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(stage(spark, docs, sf_dir), name, since)
     return STAGES[-1][1](spark, docs, sf_dir)
