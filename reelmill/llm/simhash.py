@@ -92,54 +92,76 @@ def key_plan(distance: int, segments: int) -> tuple[int, list[int], list[int]]:
     return 2, [0], masks(width, 2 * distance // segments)
 
 
-def links_in_group(key: int, first: np.ndarray, node: np.ndarray, fp: np.ndarray, twin: np.ndarray, n: np.ndarray, distance: int, segments: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the nodes of one key: pairs of a ``first`` row and any other pass the chain, then the Hamming check.
+def pair_blocks(starts: np.ndarray, ends: np.ndarray, small: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j of rows of one group, in blocks, for groups that lie one after the other.
 
-    ``twin`` is the other half of the fingerprint (zeros where there is none): pairs of nodes far apart in it
-    can't be similar, and a pair near in both halves is met in the first half's keys.
+    Small groups together: each row with the next of its group, then the one after that, and so on. Others by themselves.
     """
-    width, half, start = BITS // segments, (key >> 60) // segments, (key >> 60) % segments
-    label = np.unique(node, return_inverse=True)[1]
-    own = np.flatnonzero(first)
-
-    def differ(x: np.ndarray, step: int) -> np.ndarray:
-        segment = (x >> np.uint64((start + step) % segments * width)) & np.uint64((1 << width) - 1)
-        return np.bitwise_count(segment)
-
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    rows = max(1, (1 << 20) // len(fp))
-    for at in range(0, len(own), rows):
-        x = fp[own[at : at + rows], None] ^ fp
-        total = differ(x, 0)
-        fits = total <= distance // segments
-        total = total + differ(x, 1)
-        i, j = np.nonzero(fits & (total <= 2 * distance // segments))
-        x, total, i = x[i, j], total[i, j], own[i + at]
-        for step in range(2, segments):  # budgets in proportion to the length of the chain
-            total = total + differ(x, step)
-            fits = total <= (step + 1) * distance // segments
-            i, j, x, total = i[fits], j[fits], x[fits], total[fits]
-        bits, other = np.bitwise_count(x), np.bitwise_count(twin[i] ^ twin[j])
-        fits = (bits <= distance) & (other <= 2 * distance) & (node[i] != node[j]) & (similarity * np.maximum(n[i], n[j]) <= np.minimum(n[i], n[j]))
-        if half:
-            fits &= other > distance
-        i, j, bits = i[fits], j[fits], bits[fits]
-        for level in np.unique(bits).tolist():  # nearest first: of several ways to link a class the closest pairs stay
-            a, b = i[bits == level], j[bits == level]
-            while True:
-                low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-                apart = np.flatnonzero(low != high)
-                if not len(apart):
-                    break
-                pick = apart[np.unique(high[apart], return_index=True)[1]]  # one link for each root that moves
-                found.append((node[a[pick]], node[b[pick]]))
-                to = np.arange(label.max() + 1)
-                to[high[pick]] = low[pick]
-                while (to[to] != to).any():
-                    to = to[to]
-                label = to[label]
-    a, b = (np.concatenate(f) for f in zip(*found)) if found else (node[:0], node[:0])
-    return a, b
+    size = ends - starts
+    last = np.repeat(ends, size)
+    i = np.arange(starts[0], ends[-1])[np.repeat(size <= small, size)]
+    step = 0
+    while True:
+        step += 1
+        i = i[i + step < last[i - starts[0]]]
+        if not len(i):
+            break
+        yield i, i + step
+    for s, e in zip(starts[size > small].tolist(), ends[size > small].tolist()):
+        rows = max(1, (1 << 20) // (e - s))
+        for at in range(s, e, rows):
+            i, j = np.meshgrid(np.arange(at, min(e, at + rows)), np.arange(at + 1, e), indexing="ij")
+            yield i[i < j], j[i < j]
+
+
+def chained(key: np.ndarray, x: np.ndarray, distance: int, segments: int) -> np.ndarray:
+    """Places of the differences ``x`` that pass the chain from their key's start segment, then the Hamming check.
+
+    The budgets are in proportion to the length of the chain.
+    """
+    width, start, at = BITS // segments, (key >> 60) % segments, np.arange(len(x))
+    total = np.zeros(len(x), np.uint8)
+    for step in range(segments):
+        shift = ((start[at] + step) % segments * width).astype(np.uint64)
+        total = total + np.bitwise_count((x[at] >> shift) & np.uint64((1 << width) - 1))
+        fits = total <= (step + 1) * distance // segments
+        at, total = at[fits], total[fits]
+    return at
+
+
+def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of links that join all that the links (a, b) join; nearest first, so the closest pairs stay."""
+    ends, label = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = label[: len(a)], label[len(a) :]
+    root, found = np.arange(len(ends)), []
+    for level in np.unique(bits).tolist():
+        at = np.flatnonzero(bits == level)
+        while True:
+            low, high = np.minimum(root[a[at]], root[b[at]]), np.maximum(root[a[at]], root[b[at]])
+            at, low, high = (v[low != high] for v in (at, low, high))
+            if not len(at):
+                break
+            pick = np.unique(high, return_index=True)[1]  # one link for each root that moves
+            found.append(at[pick])
+            to = np.arange(len(root))
+            to[high[pick]] = low[pick]
+            while (to[to] != to).any():
+                to = to[to]
+            root = to[root]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def candidates(key: np.ndarray, fp: np.ndarray, twin: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int, segments: int, similarity: float) -> np.ndarray:
+    """Places of the pairs (i, j) of rows of one key that pass the chain, the Hamming check and the bounds on twin and n.
+
+    ``twin`` is the other half of the fingerprint (zeros where there is none): sets far apart in it can't be
+    similar, and a pair near in both halves is met in the first half's keys.
+    """
+    at = chained(key[i], fp[i] ^ fp[j], distance, segments)
+    i, j = i[at], j[at]
+    other = np.bitwise_count(twin[i] ^ twin[j])
+    fits = (other <= 2 * distance) & (similarity * np.maximum(n[i], n[j]) <= np.minimum(n[i], n[j]))
+    return at[fits & ((other > distance) | (key[i] >> 60 < segments))]
 
 
 def with_keys(nodes: DataFrame, segments: int, spans: int) -> DataFrame:
@@ -193,28 +215,23 @@ def near_links(nodes: DataFrame, distance: int = 3, segments: int = 4, block: in
         rows = firsts.select(*columns).unionByName(partners.select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for key, _, _, side, node, fp, twin, n in group_runs(batches, 3):
-            first = side == 0
-            if first.any():
-                a, b = links_in_group(int(key[0]), first, node, fp.view(np.uint64), twin.view(np.uint64), n, distance, segments, similarity)
-                if len(a):
-                    out.append((a, b))
-            if len(out) > 4096:
-                yield link_batch(out)
-                out = []
-        if out:
-            yield link_batch(out)
+        for (key, _, _, side, node, fp, twin, n), starts, ends in whole_groups(batches, 3):
+            f, t, found = fp.view(np.uint64), twin.view(np.uint64), []
+            for i, j in pair_blocks(starts, ends):
+                at = (side[i] == 0) | (side[j] == 0)
+                i, j = i[at], j[at]
+                at = candidates(key, f, t, n, i, j, distance, segments, similarity)
+                i, j = i[at], j[at]
+                found.append((i[node[i] != node[j]], j[node[i] != node[j]]))
+            i, j = (np.concatenate(c) for c in zip(*found)) if found else (starts[:0],) * 2
+            if len(i):
+                at = spanning(node[i], node[j], np.bitwise_count(f[i] ^ f[j]))
+                a, b = node[i[at]], node[j[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return rows.select(*columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def link_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b = (np.concatenate(c) for c in zip(*found))
-    pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-
 def _and_end(batches):
     yield from batches
     yield None
@@ -245,38 +262,51 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.size(F.array_intersect("a_set", "b_set")) >= F.lit(similarity) * F.size(F.array_union("a_set", "b_set"))).select("a", "b")
 
 
-def group_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
-    """The columns of each run of two or more rows with equal first ``keys`` columns; lists stay Arrow arrays."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 16) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Columns of several groups of rows with equal first ``keys`` columns, and where each group begins and ends.
+
+    Groups of one row are left out; lists stay Arrow arrays.
+    """
+    join = lambda h, c: pa.concat_arrays([h, c]) if isinstance(c, pa.Array) else np.concatenate((h, c))
     held: list | None = None
     for b in _and_end(batches):
         if b is not None:
             now = [c if pa.types.is_nested(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
-            held = now if held is None else [pa.concat_arrays([h, c]) if isinstance(c, pa.Array) else np.concatenate((h, c)) for h, c in zip(held, now)]
-        if held is None or not len(held[0]):
+            held = now if held is None else [join(h, c) for h, c in zip(held, now)]
+        if held is None or not len(held[0]) or (b is not None and len(held[0]) < rows):
             continue
         n, cut = len(held[0]), np.zeros(len(held[0]) - 1, bool)
         for c in held[:keys]:
             cut |= c[1:] != c[:-1]
-        starts = [0, *(np.flatnonzero(cut) + 1).tolist()]
-        for s, e in zip(starts, [*starts[1:], n]):
-            if e - s > 1 and (e < n or b is None):
-                yield [c[s:e] for c in held]
-        held = [c[starts[-1] :] for c in held]  # the last group may go on
-
-
-def met_here(a: np.ndarray, b: np.ndarray, key: int, flips: int, segments: int) -> np.ndarray:
+        starts = np.concatenate(([0], np.flatnonzero(cut) + 1))
+        ends = np.append(starts[1:], n)
+        if b is not None:  # the last group may go on
+            starts, ends, rest = starts[:-1], ends[:-1], int(starts[-1])
+        else:
+            rest = n
+        several = ends - starts > 1
+        if several.any():
+            size = (ends - starts)[several]
+            mine = np.repeat(several, ends - starts)
+            chunk = [c.slice(0, rest).filter(pa.array(mine)) if isinstance(c, pa.Array) else c[:rest][mine] for c in held]
+            yield chunk, np.cumsum(size) - size, np.cumsum(size)
+        held = [c[rest:] for c in held]
+
+
+def met_here(a: np.ndarray, b: np.ndarray, key: np.ndarray, flips: int, segments: int) -> np.ndarray:
     """Whether ``key`` is the first that a and b share: of the first segment they share keys of, the least of two."""
     width, start = BITS // segments, (key >> 60) % segments
-    part = lambda v, i: (v >> np.uint64(i * width)) & np.uint64((1 << width) - 1)
-    first = np.ones(np.broadcast(a, b).shape, bool)
-    for i in range(start):
-        first &= np.bitwise_count(part(a ^ b, i)) > 2 * flips
-    a, b = part(a, start), part(b, start)
-    rest, low = a ^ b, np.zeros_like(a ^ b)
+    low_bits = np.uint64((1 << width) - 1)
+    first = np.ones(len(a), bool)
+    for s in range(segments):
+        first &= (s >= start) | (np.bitwise_count((a ^ b) >> np.uint64(s * width) & low_bits) > 2 * flips)
+    shift = (start * width).astype(np.uint64)
+    a, b = (a >> shift) & low_bits, (b >> shift) & low_bits
+    rest, low = a ^ b, np.zeros_like(a)
     for _ in range(flips):  # half way between them
         bit = rest & (~rest + np.uint64(1))
         rest, low = rest ^ bit, low | bit
-    return first & (np.minimum(a ^ low, b ^ low) == np.uint64(key & ((1 << width) - 1)))
+    return first & (np.minimum(a ^ low, b ^ low) == (key.view(np.uint64) & low_bits))
 
 
 def open_links(nodes: DataFrame, sets: DataFrame, similarity: float, distance: int, segments: int = 4, block: int = 4096, shingles: int = 1 << 22) -> DataFrame:
@@ -299,52 +329,48 @@ def open_links(nodes: DataFrame, sets: DataFrame, similarity: float, distance: i
         rows = cut.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
     columns = ["key", "x", "y", "own", "node", "fp", "twin", "root", "n"]
 
-    def met(key: int, split: bool, i, j, own, fp, twin, root, n) -> np.ndarray:
-        """Whether rows i and j are an open pair that this key is the first to hold."""
+    def met(i: np.ndarray, j: np.ndarray, key, x, y, own, fp, twin, root, n) -> np.ndarray:
+        """Places of the open pairs of rows i and j that their key is the first to hold."""
+        at = np.flatnonzero((root[i] != root[j]) & ((x[i] == y[i]) | (own[i] != own[j])))
+        at = at[np.bitwise_count(fp[i[at]] ^ fp[j[at]]) <= distance]
+        i, j = i[at], j[at]
         other = np.bitwise_count(twin[i] ^ twin[j])
-        fits = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (other <= 2 * distance) & (root[i] != root[j])
-        fits &= similarity * np.maximum(n[i], n[j]) <= np.minimum(n[i], n[j])
-        if (key >> 60) // segments:
-            fits &= other > distance
-        if split:
-            fits &= own[i] != own[j]
-        at = np.nonzero(fits)
-        i, j = (np.broadcast_to(v, fits.shape)[at] for v in (i, j))
-        fits[at] = met_here(fp[i], fp[j], key, flips, segments)
-        return fits
+        fits = (other <= 2 * distance) & ((other > distance) | (key[i] >> 60 < segments)) & (similarity * np.maximum(n[i], n[j]) <= np.minimum(n[i], n[j]))
+        at, i, j = at[fits], i[fits], j[fits]
+        return at[met_here(fp[i], fp[j], key[i], flips, segments)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, x, y, own, node, fp, twin, root, n in group_runs(batches, 3):
-            if (root == root[0]).all():
-                continue
-            f, t, member, all_rows = fp.view(np.uint64), twin.view(np.uint64), np.zeros(len(fp), bool), np.arange(len(fp))
-            step = max(1, (1 << 20) // len(f))
-            for at in range(0, len(f), step):
-                i, j = np.nonzero(met(int(key[0]), x[0] != y[0], all_rows[at : at + step, None], all_rows, own, f, t, root, n))
-                member[i + at] = member[j] = True
+        for (key, x, y, own, node, fp, twin, root, n), starts, ends in whole_groups(batches, 3):
+            f, t, member = fp.view(np.uint64), twin.view(np.uint64), np.zeros(len(fp), bool)
+            for i, j in pair_blocks(starts, ends):
+                at = met(i, j, key, x, y, own, f, t, root, n)
+                member[i[at]] = member[j[at]] = True
             if member.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[member]) for c in (key, x, y, own, node, fp, twin, root)], names=columns[:-1])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, x, y, own, node, fp, twin, root, held in group_runs(batches, 3):
+        for (key, x, y, own, node, fp, twin, root, held), starts, ends in whole_groups(batches, 3, 2):
             f, t = np.ascontiguousarray(fp).view(np.uint64), np.ascontiguousarray(twin).view(np.uint64)
             offsets = held.offsets.to_numpy().astype(np.int64)
             offsets = offsets - offsets[0]
             n, ids = np.diff(offsets), np.unique(held.flatten().to_numpy(), return_inverse=True)[1]
-            mark, label, out = np.zeros(len(ids), bool), np.unique(root, return_inverse=True)[1], []
-            later = np.arange(len(f))
-            for i in range(len(f) - 1):
-                c = later[i + 1 :][met(int(key[0]), x[0] != y[0], i, later[i + 1 :], own, f, t, label, n)]
-                if not len(c):
-                    continue
-                mark[ids[offsets[i] : offsets[i + 1]]] = True
-                shared = mark[np.concatenate([ids[offsets[j] : offsets[j + 1]] for j in c.tolist()])].astype(np.int64)
-                shared = np.add.reduceat(shared, np.cumsum(n[c]) - n[c])
-                mark[ids[offsets[i] : offsets[i + 1]]] = False
-                for j in c[shared >= similarity * (n[i] + n[c] - shared)].tolist():
-                    if label[i] != label[j]:
-                        out.append((node[i], node[j]))
-                        label[label == label[j]] = label[i]
+            mark, out = np.zeros(len(ids), bool), []
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                label = np.zeros(len(f), np.int64)
+                label[s:e] = np.unique(root[s:e], return_inverse=True)[1]
+                for i in range(s, e - 1):
+                    later = np.arange(i + 1, e)
+                    c = later[met(np.full(len(later), i), later, key, x, y, own, f, t, label, n)]
+                    if not len(c):
+                        continue
+                    mark[ids[offsets[i] : offsets[i + 1]]] = True
+                    shared = mark[np.concatenate([ids[offsets[j] : offsets[j + 1]] for j in c.tolist()])].astype(np.int64)
+                    shared = np.add.reduceat(shared, np.cumsum(n[c]) - n[c])
+                    mark[ids[offsets[i] : offsets[i + 1]]] = False
+                    for j in c[shared >= similarity * (n[i] + n[c] - shared)].tolist():
+                        if label[i] != label[j]:
+                            out.append((node[i], node[j]))
+                            label[label == label[j]] = label[i]
             if out:
                 a, b = np.array(out, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
