@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,15 +41,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(df: DataFrame, name: str, since: int) -> DataFrame:
-    """``written``, and every table written after the first ``since`` of this process is removed: ``df`` was all that needed them."""
-    out = written(df, name)
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for path in _TABLES[since:-1]:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
-    _TABLES[since:] = _TABLES[-1:]
-    return out
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nobody holds any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def forget(spark: SparkSession, since: int, *keep: str) -> None:
+    """Remove the tables written after the first ``since`` of this process, but for those of the names to keep."""
+    conf, stay = spark._jsc.hadoopConfiguration(), []
+    for path in _TABLES[since:]:
+        if path.rsplit("/", 1)[1].rsplit("-", 1)[0] in keep:
+            stay.append(path)
+        else:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+    _TABLES[since:] = stay
+    release(spark)
 
 
 def tables_so_far() -> int:

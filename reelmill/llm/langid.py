@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import fresh, written
+from reelmill.llm.common import fresh, heavy_keys, spread_join, written
 
 BUCKETS = 1 << 15
 #: The class of rows in which no known language is recognised; its text likelihood is uniform over grams.
@@ -205,6 +205,12 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     Rows of null, empty or unknown text stay where their declaration or source speaks for a language; repeated
     rows are judged alike; an empty table stays empty.
     """
-    found = identify(docs, "text", F.col("lang"), None, F.col("source"))
-    added = [c for c in found.columns if c not in docs.columns]
-    return found.where(F.col(added[0]) != UNKNOWN).select(*docs.columns)
+    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    same = F.md5(F.concat_ws("\n", F.length("lang").cast("string"), value("lang"), value("source"), F.md5(value("text").cast("binary"))).cast("binary"))
+    key = fresh(docs, "key_x")
+    # rows equal in these three are judged alike, so the decision goes back by their hash and texts are scored once
+    found = identify(docs.select(same.alias("key"), "text", "lang", "source"), "text", F.col("lang"), None, F.col("source"), narrow=True)
+    rejected = written(found.where(F.col("language") == UNKNOWN).groupBy("key").agg(F.count("*").alias("n")), "rejected")
+    heavy = heavy_keys(rejected, "key", "n")
+    keyed = docs.withColumn(key, same)
+    return spread_join(keyed, rejected.select(F.col("key").alias(key)), key, "left_anti", heavy).select(*docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import fresh, mix, signed, written
+from reelmill.llm.common import forget, fresh, mix, release, signed, tables_so_far, written
 from reelmill.llm.components import components
 
 BITS = 64
@@ -396,28 +396,33 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are shuffled once for the sets of candidates and, where the rows to drop are too many to broadcast,
     once for the result.
     """
-    name = fresh(docs, "row_x")
+    name, since, spark = fresh(docs, "row_x"), tables_so_far(), docs.sparkSession
     row = F.concat_ws(":", F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n")), F.xxhash64(text_col).cast("string"))
     source = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("body"))
     own = written(with_set_prints(source, words), "fingerprints")
     firsts = written(own.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first"), F.min("fp").alias("fp"), F.min("twin").alias("twin"), F.max("n").alias("n")), "firsts")
     some = firsts.where("n > 0")
     links = written(near_links(some.select("node", "fp", "twin", "n"), distance, similarity=similarity).distinct(), "links")
+    release(spark)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     asked = written(some.join(ends, "node").select("node", "fp", "twin", "n", F.col("first.row").alias("row")), "asked")
     bodies = source.join(asked.select("row", "node"), "row").dropDuplicates(["row"])
     sets = written(shingle_sets(bodies, words), "shingles")
+    release(spark)
     firm = written(components(alike(links, sets, similarity)), "firm")
     nodes = written(asked.drop("row").join(firm, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+    release(spark)
     more = written(open_links(nodes, sets, similarity, distance), "more")
+    release(spark)
     if not more.isEmpty():
         firm = components(firm.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     roots = firsts.join(firm, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     stay = written(roots.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "stay")
     times = own.groupBy("row").agg(F.count("*").alias("times"))
     gone = written(own.select("row").distinct().join(stay, "row", "left_anti").withColumnRenamed("row", name), "gone")
-    kept = docs.withColumn(name, row).join(gone, name, "left_anti")
     several = written(times.where("times > 1").join(stay, "row", "left_semi").select(F.col("row").alias(name)), "several")
+    forget(spark, since, "gone", "several")
+    kept = docs.withColumn(name, row).join(gone, name, "left_anti")
     if not several.isEmpty():  # rows equal in id and text
         kept = kept.join(several, name, "left_anti").unionByName(kept.join(several, name, "left_semi").dropDuplicates([name]))
     return kept.select(*docs.columns)

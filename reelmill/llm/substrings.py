@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import batch, fresh, heavy_keys, mix, signed, spread_join, word_hashes, words_of, written
+from reelmill.llm.common import batch, forget, fresh, heavy_keys, mix, release, signed, spread_join, tables_so_far, word_hashes, words_of, written
 
 #: Words of the gram whose least hash anchors a window.
 GRAM = 8
@@ -305,6 +305,7 @@ def repeats(docs: DataFrame, text_col: str, keep: list[str], window: int, refere
     wanted = written(again.groupBy("uid").agg(F.collect_set("anchor").alias("wanted"), F.first("times").alias("times")), "wanted")
     one = texts.select("uid", "text").dropDuplicates(["uid"])  # copies meet before the shuffle, and the join needs no other
     candidates = written(one.join(wanted, "uid"), "candidates")
+    release(docs.sparkSession)
     counted = segment_rows(candidates, window, bodies=True).groupBy("anchor", "seg").agg(F.first("body").alias("body"), F.sum("times").alias("times"))
     counted = written(counted, "segments")
     size = counted.agg(F.sum(F.octet_length("body"))).first()[0] or 0
@@ -315,6 +316,7 @@ def repeats(docs: DataFrame, text_col: str, keep: list[str], window: int, refere
         spans = written(streamed(candidates, list(shards.values()), window), "spans")
     else:
         found = written(matched(counted, window, reference), "matches")
+        release(docs.sparkSession)
         places = written(segment_rows(candidates, window, bodies=False).select("uid", "seg", "start"), "places")
         per = places.groupBy("seg").agg(F.count("*").alias("n"))
         placed = spread_join(places, found, "seg", "inner", heavy_keys(per, "seg", "n"))
@@ -353,7 +355,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, re
     an automaton has at most ``reference`` distinct segments, and what is more goes by window. A large group
     of copies is one text with a number.
     """
+    since = tables_so_far()
     _, _, spans, heavy = repeats(docs, text_col, [], window, reference, broadcast)
+    forget(docs.sparkSession, since, "spans")
     uid, found = fresh(docs, "uid_x"), fresh(docs, "spans_x")
     spans = spans.withColumnsRenamed({"uid": uid, "spans": found})
     both = spread_join(docs.withColumn(uid, F.unhex(F.md5(F.col(text_col).cast("binary")))), spans, uid, "left", heavy).select(*docs.columns, found)
@@ -372,6 +376,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, re
 def op7_substrings(spark, sf_dir: str) -> DataFrame:
     """Words, removed words and a digest of the kept ones for every document, windows of 35 words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    since = tables_so_far()
     rows, texts, spans, heavy = repeats(docs, "text", ["doc_id"], 35)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +389,9 @@ def op7_substrings(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["uid", "n_removed", "sha"])
 
     changed = texts.join(spans, "uid").mapInArrow(run, "uid binary, n_removed long, sha string")
-    return spread_join(rows, written(changed, "changed"), "uid", "left", heavy).select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("sha", "whole_sha256").alias("kept_sha256"))
+    changed = written(changed, "changed")
+    forget(spark, since, "anchors", "changed")
+    return spread_join(rows, changed, "uid", "left", heavy).select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("sha", "whole_sha256").alias("kept_sha256"))
 
 
 OP7_SQL = """
