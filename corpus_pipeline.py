@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reelmill.llm import langid, packing, simhash, substrings, toxicity
-from reelmill.llm.common import settled, tables_so_far
+from reelmill.llm.common import forget, tables_so_far, written
 from reelmill.session import ship
 
 
@@ -52,5 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     since = tables_so_far()
     for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), name, since)
+        docs = written(stage(spark, docs, sf_dir), name)
+        forget(spark, since, name)
     return STAGES[-1][1](spark, docs, sf_dir)
