@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import batch, written
+from reelmill.llm.common import batch, release, written
 
 LEAF = 256
-ROWS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("times", pa.int64())])
+#: Shards at most: their centres go to every task, so their number has a bound and shards grow instead.
+MOST_SHARDS = 4096
+#: Below this all sums of products are exact in doubles; beyond it scores are summed as Python integers.
+EXACT = 2.0**53
+LONG = 2**63 - 1
+ROWS = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("times", pa.int64())])
+#: Stands for a null id in a tree: after all others on ties.
+NO_ID = LONG
 
 
 class BallTree:
@@ -22,8 +30,12 @@ class BallTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, leaf: int = LEAF):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x, self.copies = ids[order], vectors[order], copies[order]
-        self.nodes: list[tuple] = []  # centre, radius, least id, members or (left, right)
+        self.nodes: list[list] = []  # centre, radius, least id, members or [left, right]
         self.root = self.build(np.arange(len(ids)), leaf)
+        self.largest = float(np.abs(self.x).max()) if self.x.size else 0.0
+        self.centres = np.array([n[0] for n in self.nodes])
+        self.radii = np.array([n[1] for n in self.nodes])
+        self.lengths = np.array([length(c) for c in self.centres])
 
     def build(self, members: np.ndarray, leaf: int) -> int:
         stack = [(members, -1, 0)]
@@ -31,11 +43,13 @@ class BallTree:
         while stack:
             m, parent, side = stack.pop()
             x = self.x[m]
+            unit = max(1.0, float(np.abs(x).max()) if x.size else 1.0)  # squares of large components stay finite
+            x = x / unit
             centre = x.mean(axis=0)
             away = ((x - centre) ** 2).sum(axis=1)
             radius = float(np.sqrt(away.max()))
             at = len(self.nodes)
-            self.nodes.append([centre, radius, int(self.ids[m].min()), m])
+            self.nodes.append([centre * unit, radius * unit * (1 + 1e-9), int(self.ids[m].min()), m])
             if parent >= 0:
                 self.nodes[parent][3][side] = at
             else:
@@ -43,12 +57,9 @@ class BallTree:
             if len(m) > leaf and radius > 0:
                 a = x[away.argmax()]
                 b = x[((x - a) ** 2).sum(axis=1).argmax()]
-                along = x @ (b - a)
-                cut = np.argpartition(along, len(m) // 2)
+                cut = np.argpartition(x @ (b - a), len(m) // 2)
                 self.nodes[at][3] = [-1, -1]
                 stack += [(m[cut[: len(m) // 2]], at, 0), (m[cut[len(m) // 2 :]], at, 1)]
-        self.centres = np.array([n[0] for n in self.nodes])
-        self.radii = np.array([n[1] for n in self.nodes])
         return root
 
     def search(self, query_id: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int, int]]:
@@ -58,8 +69,11 @@ class BallTree:
         below the kth score. Scores are integers, so the bound is rounded up against float error, and a node
         that can only tie is entered only for the ids it might hold that are less than the kth's.
         """
-        bounds = self.centres @ q + np.linalg.norm(q) * self.radii
-        bounds += 1e-9 * np.abs(bounds) + 1e-6
+        size = length(q)
+        bounds = self.centres @ q + size * self.radii
+        bounds += 1e-9 * size * (self.lengths + self.radii) + 1e-6
+        whole = len(q) * self.largest * float(np.abs(q).max(initial=0.0)) >= EXACT
+        exact_q = [int(v) for v in q.tolist()] if whole else None
         best: list[tuple[int, int, int]] = []  # (score, -id, copies): the worst first
         waiting = [(-bounds[self.root], self.root)]
         while waiting:
@@ -74,11 +88,17 @@ class BallTree:
                     heapq.heappush(waiting, (-bounds[child], child))
                 continue
             m = node[3]
-            scores = self.x[m] @ q
-            least = max(floor, best[0][0]) if len(best) == k else floor
-            good = np.flatnonzero((scores >= least) & (self.ids[m] != query_id))
-            if len(good) > k:  # only the k best of a leaf matter; ties keep the least id
-                good = good[np.lexsort((self.ids[m[good]], -scores[good]))[:k]]
+            m = m[self.ids[m] != query_id]
+            if whole:
+                scores = np.array([sum(a * int(b) for a, b in zip(exact_q, row)) for row in self.x[m].tolist()], object)
+            else:
+                scores = self.x[m] @ q
+            good = np.arange(len(m))
+            if not whole:
+                least = max(floor, best[0][0]) if len(best) == k else floor
+                good = np.flatnonzero(scores >= least)
+                if len(good) > k:  # only the k best of a leaf matter; ties keep the least id
+                    good = good[np.lexsort((self.ids[m[good]], -scores[good]))[:k]]
             for i in good.tolist():
                 entry = (int(scores[i]), -int(self.ids[m[i]]), int(self.copies[m[i]]))
                 if len(best) < k:
@@ -87,81 +107,218 @@ class BallTree:
                     heapq.heapreplace(best, entry)
         return [(s, -i, n) for s, i, n in best]
 
+    def packed(self) -> bytes:
+        """The tree as bytes, for a table."""
+        shape = [[n[2], *(n[3] if isinstance(n[3], list) else (-1, -1))] for n in self.nodes]
+        members = [np.zeros(0, np.int64) if isinstance(n[3], list) else n[3] for n in self.nodes]
+        out = io.BytesIO()
+        np.savez(
+            out, ids=self.ids, x=self.x, copies=self.copies, centres=self.centres, radii=self.radii, lengths=self.lengths,
+            shape=np.array(shape, np.int64), members=np.concatenate(members), ends=np.cumsum([len(m) for m in members]),
+        )
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> BallTree:
+        tree, has = cls.__new__(cls), np.load(io.BytesIO(data))
+        tree.ids, tree.x, tree.copies, tree.centres, tree.radii, tree.lengths = (has[n] for n in ("ids", "x", "copies", "centres", "radii", "lengths"))
+        members, ends = has["members"], has["ends"].tolist()
+        tree.nodes = [[None, None, least, [left, right] if left >= 0 else members[s:e]] for (least, left, right), s, e in zip(has["shape"].tolist(), [0, *ends], ends)]
+        tree.root, tree.largest = 0, float(np.abs(tree.x).max()) if tree.x.size else 0.0
+        return tree
+
+
+def length(v: np.ndarray) -> float:
+    """Euclidean length; large components don't overflow."""
+    unit = float(np.abs(v).max(initial=0.0))
+    return unit * float(np.linalg.norm(v / unit)) if unit > 0 else 0.0
+
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v array<double>, dim): floor(scale * x) of every component; rows with null or non-finite ones are left out."""
-    v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    whole = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(vector_col).alias("dim"))
+    """(vec_id, v array<double>, dim): floor(scale * x) of every component; vectors with null or non-finite ones are left out.
 
+    A double from 2^53 on is a whole number itself, so only smaller ones are floored.
+    """
+    scaled = lambda x: x.cast("double") * scale
+    v = F.transform(F.col(vector_col), lambda x: F.when(F.abs(scaled(x)) >= EXACT, scaled(x)).otherwise(F.floor(scaled(x)).cast("double")))
+    whole = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(scaled(x)) < float("inf")))
+    return vectors.where(F.col(vector_col).isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(vector_col).alias("dim"))
 
-def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
-    """The k highest inner products of each query row with every other row, ties to the lesser id.
 
-    Rows are cut into shards of about ``shard_rows`` by a hash, queries (rows where ``is_query`` holds on
-    vec_id) into blocks of ``block_rows``. First each block meets one shard, which gives every query a kth
-    score; that floor goes with the block to the other shards, where a node below it is never opened and fewer
-    than k rows may come back. The best k of all partial results are exact. Every task holds one shard's
-    tree and one block; nothing is gathered.
-
-    Vectors null or holding null or non-finite components take no part, nor do null ids; vectors of another
-    number of components are compared among themselves; rows that repeat an id are candidates of their own,
-    but no row is a candidate of a query with its own id; rows equal in id and vector are searched once with
-    their number, and as in a join every pair of copies of a query and a candidate is a result of its own; zero vectors and empty tables are ordinary cases;
-    other columns are not read.
+def rows_of(b: pa.RecordBatch, at: int) -> list[np.ndarray]:
+    column = b.column(at)
+    flat, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    return [flat[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def with_cells(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with ``cell``: the nearest of ``shards`` rows drawn by hash, so that a shard's ball is small; -1 where none has its length."""
+    drawn = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(shards).select("v", "dim").collect()  # at most MOST_SHARDS
+    by_dim: dict[int, tuple[list[int], list]] = {}
+    for i, r in enumerate(drawn):
+        at, vs = by_dim.setdefault(r.dim, ([], []))
+        at.append(i)
+        vs.append(r.v)
+    pivots = {d: (np.array(at), np.array(vs, float).reshape(len(at), d)) for d, (at, vs) in by_dim.items()}
+    names, at = rows.columns, rows.columns.index("v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = np.full(b.num_rows, -1, np.int32)
+            vectors = rows_of(b, at)
+            dims = np.array([len(v) for v in vectors])
+            for d, (place, p) in pivots.items():
+                mine = np.flatnonzero(dims == d)
+                for s in range(0, len(mine), 1024):
+                    x = np.array([vectors[i] for i in mine[s : s + 1024]], float).reshape(-1, d)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        away = (p**2).sum(axis=1) - 2 * x @ p.T
+                    cell[mine[s : s + 1024]] = place[np.nan_to_num(away, nan=np.inf).argmin(axis=1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=[*names, "cell"])
+
+    return rows.mapInArrow(run, rows.withColumn("cell", F.lit(0)).schema)
+
+
+def trees(rows: DataFrame, shards: int, shard_rows: int) -> DataFrame:
+    """(shard, dim, centre, radius, tree) for every shard of ``rows`` (vec_id, v, dim, times): its ball tree, built once.
+
+    Shards are the cells around drawn rows; a cell of over ``shard_rows`` rows is cut by a hash.
     """
-    each = integer_vectors(vectors, id_col, vector_col, scale)
-    rows = written(each.groupBy("vec_id", "v", "dim").agg(F.count("*").alias("times")), "vectors")
-    n, asked = rows.count(), rows.where(is_query).count()
-    shards, blocks = max(1, round(n / shard_rows)), max(1, round(asked / block_rows))
-    data = rows.select("vec_id", "v", "dim", "times", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"))
-    query = rows.where(is_query).select("vec_id", "v", "dim", "times", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    none = F.lit(float("-inf"))
-    home = F.pmod(F.col("block"), F.lit(shards))
-    first = written(met(data, query.select("*", home.alias("shard"), none.alias("floor")), blocks, shards, k, home_only=True), "first")
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(none).alias("floor"))
-    if shards == 1:
-        found = first
-    else:
-        others = F.expr(f"filter(sequence(0, {shards - 1}), s -> s != block % {shards})")
-        rest = query.join(kth, query.vec_id == kth.query_id, "left").select("vec_id", "v", "dim", "times", "block", F.explode(others).alias("shard"), F.coalesce("floor", none).alias("floor"))
-        found = first.unionByName(met(data, rest, blocks, shards, k, home_only=False))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def met(data: DataFrame, query: DataFrame, blocks: int, shards: int, k: int, home_only: bool) -> DataFrame:
-    """Search each (block, shard) of ``query`` in that shard of ``data``."""
-    met_blocks = F.expr(f"filter(sequence(0, {blocks - 1}), b -> (b % {shards} = shard) = {str(home_only).lower()})")
-    sides = data.select(F.explode(met_blocks).alias("block"), "shard", F.lit(0).alias("asks"), "vec_id", "v", "dim", F.lit(0.0).alias("floor"), "times")
-    sides = sides.unionByName(query.select("block", "shard", F.lit(1).alias("asks"), "vec_id", "v", "dim", "floor", "times"))
+    placed = written(with_cells(rows, shards), "cells")
+    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / (2 * shard_rows)).cast("int").alias("parts"))
+    cut = placed.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
+    order = ["dim", "cell", "part"]
+    dealt = cut.select(*order, F.coalesce("vec_id", F.lit(NO_ID)).alias("id"), "v", "times").repartition(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, vectors, copies = None, [], [], []
+
+        def built() -> pa.RecordBatch:
+            tree = BallTree(np.array(ids, np.int64), np.array(vectors, float).reshape(len(ids), -1), np.array(copies, np.int64))
+            c = tree.centres[tree.root]
+            row = [f"{key[0]}.{key[1]}.{key[2]}"], [key[0]], [c.tolist()], [float(tree.radii[tree.root])], [tree.packed()]
+            types = pa.string(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["shard", "dim", "centre", "radius", "tree"])
+
+        for b in batches:
+            for d, c, p, i, v, n in zip(*(b.column(x).to_pylist() for x in (0, 1, 2, 3)), rows_of(b, 4), b.column(5).to_pylist()):
+                if (d, c, p) != key:
+                    if ids:
+                        yield built()
+                    key, ids, vectors, copies = (d, c, p), [], [], []
+                ids.append(i)
+                vectors.append(v)
+                copies.append(n)
+        if ids:
+            yield built()
+
+    return dealt.mapInArrow(run, "shard string, dim int, centre array<double>, radius double, tree binary")
+
+
+def routed(queries: DataFrame, balls: list, low: int, high: int | None) -> DataFrame:
+    """(query, query_id, v, times, floor, shard): each query once for the shards in places ``low`` to ``high`` of its order by upper bound.
+
+    The bound of a shard is q.c + |q| r; those below the query's floor are left out.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast(balls)  # (shard, dim, centre, radius), at most MOST_SHARDS and their parts
+    names = ["query", "query_id", "v", "times", "floor", "shard"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vectors, copies, tree = None, [], [], [], None
+        by_dim: dict[int, tuple] = {}
+        for d in {b[1] for b in sent.value}:
+            own = [b for b in sent.value if b[1] == d]
+            centres = np.array([b[2] for b in own], float).reshape(len(own), -1)
+            by_dim[d] = [b[0] for b in own], centres, np.array([b[3] for b in own]), np.array([length(c) for c in centres])
         for b in batches:
-            block, shard, asks, vec, dim, floor, times = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5, 6, 7))
-            column = b.column(4)
-            flat, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            offsets = offsets - offsets[0]
+            floors = b.column(4).to_numpy(zero_copy_only=False)
+            at, shard = [], []
+            for i, v in enumerate(rows_of(b, 2)):
+                if len(v) not in by_dim:
+                    continue
+                labels, centres, radii, lengths = by_dim[len(v)]
+                size = length(v)
+                bounds = centres @ v + size * radii + 1e-9 * size * (lengths + radii) + 1e-6
+                order = np.argsort(-bounds, kind="stable")[low:high]
+                order = order[bounds[order] >= floors[i]]
+                at += [i] * len(order)
+                shard += [labels[x] for x in order.tolist()]
+            out = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(shard, pa.string())], names=names)
+
+    return queries.select(*names[:-1]).mapInArrow(run, "query long, query_id long, v array<double>, times long, floor double, shard string")
+
+
+def met(built: DataFrame, asked: DataFrame, k: int, block: int) -> DataFrame:
+    """Search each routed query in its shard's tree; a shard that very many queries ask is read by several tasks."""
+    cuts = written(asked.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
+    data = built.join(cuts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("asks"), "tree")
+    sides = asked.join(cuts, "shard").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
+    none = lambda t: F.lit(None).cast(t)
+    data = data.select("shard", "block", "asks", "tree", none("long").alias("query"), none("long").alias("query_id"), none("array<double>").alias("v"), none("long").alias("times"), none("double").alias("floor"))
+    sides = sides.select("shard", "block", F.lit(1).alias("asks"), none("binary").alias("tree"), "query", "query_id", "v", "times", "floor")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for b in batches:
+            asks, data, query, own, vectors, times, floor = (b.column(i) for i in (2, 3, 4, 5, 6, 7, 8))
             out = []
             for i in range(b.num_rows):
-                now = (int(dim[i]), int(block[i]), int(shard[i]))
-                if now != key:
-                    key, ids, vectors, copies, tree = now, [], [], [], None
-                x = flat[offsets[i] : offsets[i + 1]]
-                if not asks[i]:
-                    ids.append(int(vec[i]))
-                    vectors.append(x)
-                    copies.append(int(times[i]))
-                elif ids:
-                    tree = tree or BallTree(np.array(ids), np.array(vectors).reshape(len(ids), -1), np.array(copies))
-                    out += [(int(vec[i]), c, s, n * int(times[i])) for s, c, n in tree.search(int(vec[i]), x, k, float(floor[i]))]
+                if not asks[i].as_py():
+                    tree = BallTree.unpacked(data[i].as_py())
+                    continue
+                q = np.array(vectors[i].as_py(), float)
+                found = tree.search(own[i].as_py(), q, k, floor[i].as_py())
+                out += [(query[i].as_py(), own[i].as_py(), None if c == NO_ID else c, max(-LONG - 1, min(LONG, s)), n) for s, c, n in found]
             if out:
-                yield batch(ROWS, query_id=[o[0] for o in out], vec_id=[o[1] for o in out], score=[o[2] for o in out], times=[o[3] for o in out])
+                yield batch(ROWS, **{n: list(c) for n, c in zip(ROWS.names, zip(*out))})
 
-    dealt = sides.select("block", "shard", "asks", "vec_id", "v", "dim", "floor", "times").repartition("dim", "block", "shard").sortWithinPartitions("dim", "block", "shard", "asks")
-    return dealt.mapInArrow(run, "query_id long, vec_id long, score long, times long")
+    dealt = data.unionByName(sides).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks")
+    return dealt.mapInArrow(run, "query long, query_id long, vec_id long, score long, times long")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, shard_rows: int = 8192, block_rows: int = 2048, waves: tuple[int, ...] = (1, 4)) -> DataFrame:
+    """The k highest inner products of each query row with every other row, ties to the lesser id.
+
+    Rows are cut into shards around drawn rows and each shard's ball tree is built and written once. Queries
+    (rows where ``is_query`` holds on vec_id) are routed in waves: first to the shard of the highest upper bound,
+    then to the next ``waves``, then to all others that can still matter. After each wave every query's kth score so
+    far is its floor: shards and nodes below it are never opened. The best k of all partial results are exact.
+    Every task holds one shard's tree; nothing is gathered but the shards' balls (at most 4,096 cells and parts).
+
+    Vectors null or holding null or non-finite components (also after scaling) take no part. Components may
+    be as large as doubles are: where sums of products pass 2^53 they are summed as whole numbers, and scores
+    beyond a long are cut to its ends. Vectors of another number of components are compared among themselves.
+    Rows of a null id are candidates (after all others on ties) and never queries. A query is a row: rows that
+    repeat an id get k places each, and no row is a candidate of a query with its own id; rows equal in id
+    and vector are searched once and counted by their number. Zero vectors and empty tables are ordinary
+    cases; other columns are not read.
+    """
+    each = integer_vectors(vectors, id_col, vector_col, scale)
+    rows = written(each.groupBy("vec_id", "v", "dim").agg(F.count("*").alias("times")), "vectors")
+    shards = min(MOST_SHARDS, max(1, round(rows.count() / shard_rows)))
+    built = written(trees(rows, shards, max(shard_rows, -(-rows.count() // MOST_SHARDS))), "trees")
+    balls = [tuple(r) for r in built.select("shard", "dim", "centre", "radius").collect()]
+    asked = rows.where(F.col("vec_id").isNotNull()).where(is_query)
+    queries = written(asked.select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "v", "times"), "queries")
+    floors = queries.withColumn("floor", F.lit(float("-inf")))
+    cuts = [0, *np.cumsum(waves).tolist(), None]
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    found = None
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        if low and low >= len(balls):
+            break
+        part = met(built, routed(floors, balls, low, high), k, block_rows)
+        together = part if found is None else found.unionByName(part)
+        # copies of a candidate take a place each; no more than k of them matter
+        found = written(together.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth"), "found")
+        release(rows.sparkSession)
+        kth = found.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score").cast("double") * (1 - F.signum(F.min("score")) * 1e-15)).alias("kth"))
+        floors = queries.join(kth, "query", "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf")))).drop("kth")
+    copy = lambda n: F.explode(F.sequence(F.lit(1), F.least(n, F.lit(k))))
+    ranked = found.withColumn("copy", copy("times")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = ranked.join(queries.select("query", F.col("times").alias("asks")), "query")
+    return ranked.withColumn("ask", F.explode(F.sequence(F.lit(1).cast("long"), F.col("asks")))).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_balltree(spark, sf_dir: str) -> DataFrame:
@@ -171,12 +328,12 @@ def op9_balltree(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::double))) = 0
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::double))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id IS DISTINCT FROM c.vec_id AND len(q.v) = len(c.v)
 )
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::int AS rank, vec_id, score
+SELECT query_id, (row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST))::int AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
