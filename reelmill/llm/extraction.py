@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmill.llm.common import fresh
-from reelmill.llm.dom import Block, leaf_blocks
+from reelmill.llm.dom import INLINE, Block, Element, leaf_blocks
 
 TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "li", "table", "p", "h1", "h2", "h3", "div", "button", "label", "blockquote", "pre", "figure")
 #: Parts of class, id and role names, by what they tell.
@@ -22,31 +22,70 @@ NAMED = {
     "side": r"side|related|recommend|widget|trending|popular|teaser|\bmore\b",
     "foot": r"foot|copyright|legal|imprint",
     "head": r"\bhead(er)?\b|masthead|topbar|logo|site-title",
-    "talk": r"comment|reply|replies|discuss|disqus|respons|guestbook",
+    "talk": r"comment|reply|replies|discuss|disqus|respons|guestbook|talk|feedback|opinion|reader|forum|thread",
     "notice": r"cookie|consent|notice|alert|popup|modal|gdpr|overlay|toast|warning",
     "ask": r"newsletter|subscri|signup|login|search|contact|\bshare|social",
     "main": r"content|article|\bpost\b|post-|entry|story|\bbody\b|\btext\b|\bmain\b",
 }
 NAME_RULES = [re.compile(r) for r in NAMED.values()]
-WIDTH = len(TAGS) + len(NAMED) + 9
+HEADS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: What blocks around main text tend to say.
+SAYS = {
+    "talk": r"^(\d+\s+)?(reader\s+)?(comments?|respons|repl(y|ies)|discussion|feedback|leave a (reply|comment)|join the (discussion|conversation))\b",
+    "more": r"^(related|read (more|next|also)|you (may|might) also|more (from|on|stories)|see also|trending|popular|recommended|share (this|on)|tags?:|filed under)\b",
+    "legal": r"©|\(c\)|copyright|all rights reserved|privacy policy|terms of (use|service)|we use cookies|accept (all )?cookies|subscribe|newsletter|sign (up|in)|log in|advertisement|sponsored",
+}
+SAY_RULES = [re.compile(r, re.I) for r in SAYS.values()]
+AROUND = len(TAGS) + len(NAMED)
+WIDTH = AROUND + len(SAYS) + 18
+
+
+def marks(element: Element | None) -> np.ndarray:
+    """Which elements and kinds of names stand around: those of the parent and one's own."""
+    open_ = []
+    while element is not None and element.marks is None:
+        open_.append(element)
+        element = element.parent
+    above = element.marks if element is not None else np.zeros(AROUND, bool)
+    for e in reversed(open_):
+        own = [e.name == t for t in TAGS] + [bool(e.names and r.search(e.names)) for r in NAME_RULES]
+        e.marks = above = above | np.array(own)
+    return above
+
+
+def box(element: Element | None) -> Element | None:
+    """The element in which a block's element stands: siblings share it. Inline elements and rows of lists and tables count with their box."""
+    while element is not None and element.name in INLINE:
+        element = element.parent
+    at = element.parent if element is not None else None
+    while at is not None and (at.name in INLINE or at.name in ("ul", "ol", "dl", "blockquote", "figure", "pre")):
+        at = at.parent
+    return at
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """One row a block: elements and names around it, then what its text is like; the constant last."""
+    """One row a block: elements and names around it, what its text is like, how much its box holds; the constant last."""
     x = np.zeros((len(blocks), WIDTH))
-    known: dict[tuple, np.ndarray] = {}
-    for i, b in enumerate(blocks):
-        around = known.get((b.tags, b.names))
-        if around is None:
-            joined = " ".join(b.names)
-            around = np.array([t in b.tags for t in TAGS] + [bool(joined and r.search(joined)) for r in NAME_RULES], float)
-            known[b.tags, b.names] = around
-        x[i, : len(around)] = around
-        n = len(b.text)
-        x[i, len(around) :] = (
-            n < 20, 20 <= n < 80, 80 <= n < 300, n >= 300, b.linked > 0.5, b.text[-1] in ".!?…:;\"”»",
-            "©" in b.text or "(c)" in b.text, i == 0, 1,
+    boxes = [box(b.element) for b in blocks]
+    held: dict[int, float] = {}  # characters outside links that each box holds
+    for b, at in zip(blocks, boxes):
+        held[id(at)] = held.get(id(at), 0.0) + len(b.text) * (1 - b.linked)
+    whole, most = max(1.0, sum(held.values())), max(held.values(), default=0.0)
+    since = 0.0  # characters since the last heading of reader talk, 0 before one
+    talk = False
+    for i, (b, at) in enumerate(zip(blocks, boxes)):
+        n, share = len(b.text), held[id(at)]
+        says = [n < 120 and bool(r.search(b.text)) for r in SAY_RULES[:2]] + [n < 400 and bool(SAY_RULES[2].search(b.text))]
+        head = b.element is not None and b.element.name in HEADS
+        if head or n < 40:
+            talk = says[0] or (talk and not (head and b.element.name in ("h1", "h2") and not says[0] and since > 0 and n > 60))
+        x[i, :AROUND] = marks(b.element)
+        x[i, AROUND:] = (
+            *says, n < 20, 20 <= n < 80, 80 <= n < 300, n >= 300, b.linked > 0.5, 0 < b.linked <= 0.5, b.text[-1] in ".!?…:;\"”»",
+            b.text.count(".") + b.text.count(",") >= 3, head, talk, share >= most, share / whole, share / max(most, 1.0) < 0.2, share / whole > 0.6,
+            len(blocks) == 1, len(blocks) <= 3, i == 0, 1,
         )
+        since += talk
     return x
 
 
@@ -73,7 +112,7 @@ class Field:
         return np.array(states, np.int64)
 
 
-def fit(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, penalty: float = 1e-3) -> Field:
+def fit(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 220, penalty: float = 1e-3) -> Field:
     """Maximise the conditional likelihood of labelled pages (features, states) by gradient with Adam steps."""
     n, longest = len(pages), max(len(y) for _, y in pages)
     x, y, on = np.zeros((n, longest, WIDTH)), np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
@@ -111,6 +150,18 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, penalty:
     return Field(theta[:WIDTH], theta[WIDTH : WIDTH + 4].reshape(2, 2), theta[WIDTH + 4 :])
 
 
+#: Openings of notices and footers in the made pages.
+SAID = ("&copy; 2024 ", "Copyright ", "All rights reserved. ", "We use cookies. ", "Subscribe to our newsletter. ", "Sign up for ", "Log in ", "Advertisement ", "Privacy policy ", "Terms of use ", "Sponsored ")
+
+
+def paragraphs(put, says, rng: random.Random, markup: str = "<p>$</p>") -> None:
+    """Main text without a container of its own."""
+    if rng.random() < 0.6:
+        put(f"<{(h := rng.choice(('h1', 'h2')))}>$</{h}>", says(2, 10), 1)
+    for _ in range(rng.choice((1, 1, 2, 3, 6, 9))):
+        put(markup, says(12, 160), 1)
+
+
 def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     """A page made by rule in one of many layouts, and for each leaf block whether it is main text."""
     word = lambda: "".join(rng.choice("aeinorstlud") for _ in range(rng.randint(1, 9)))
@@ -134,9 +185,11 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         html.append("</ul>")
 
     def talk() -> None:
-        put("<h3>$</h3>", rng.choice(("Comments", says(1, 3))), 0)
-        for _ in range(rng.randint(1, 5)):
-            around(rng.choice(("div", "li", "article")), rng.choice(("comment", "reply", "comment-body", "")), lambda: put(rng.choice(("<p>$</p>", "<div>$</div>")), says(3, 60), 0))
+        heading = rng.choice(("Comments", f"{rng.randint(1, 90)} comments", "Responses", "Discussion", "Reader comments", "Leave a reply", "Replies", says(1, 3)))
+        put(rng.choice(("<h3>$</h3>", "<h2>$</h2>", "<h4>$</h4>", "<p><b>$</b></p>")), heading, 0)
+        name = rng.choice(("comment", "reply", "comment-body", "", word(), word()))
+        for _ in range(rng.randint(1, 6)):
+            around(rng.choice(("div", "li", "article", "section")), name, lambda: (some(0.4) and put(rng.choice(("<span>$</span><br>", "<b>$</b><hr>", "<div>$</div>")).replace("<br>", "<p></p>"), says(1, 2), 0), put(rng.choice(("<p>$</p>", "<div>$</div>")), says(3, 60), 0)))
 
     def ask() -> None:
         put("<label>$</label>", says(1, 4), 0)
@@ -147,19 +200,22 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         lambda: around("div", rng.choice(("ad", "ads", "advert", "sponsored", "promo-box", "ad-banner")), lambda: put(rng.choice(("$", "<p>$</p>")), says(2, 30), 0)),
         lambda: around(rng.choice(("aside", "div")), rng.choice(("sidebar", "related", "widget", "recommended")), lambda: (put("<p>$</p>", says(2, 40), 0), links(rng.randint(0, 4)))),
         lambda: around("aside", "", lambda: (put("<p>$</p>", says(2, 40), 0))),
+        lambda: around("div", rng.choice(("", word())), lambda: put(rng.choice(("<p>$</p>", "$")), rng.choice(SAID) + says(0, 12), 0)),
+        lambda: around("div", rng.choice(("", word())), lambda: (put(rng.choice(("<h3>$</h3>", "<h4>$</h4>", "<b>$</b><br>")).replace("<br>", "<hr>"), rng.choice(("Related", "More from us", "Read next", "Popular")), 0), links(rng.randint(1, 5)))),
         lambda: around("div", rng.choice(("cookie-notice", "notice", "consent", "alert", "popup")), lambda: put("<p>$</p>", says(3, 30), 0)),
         lambda: around("form", rng.choice(("", "search", "newsletter", "login")), ask),
-        lambda: around(rng.choice(("section", "div", "ol")), rng.choice(("comments", "comment-list", "discussion", "responses")), talk),
+        lambda: around(rng.choice(("section", "div", "ol")), rng.choice(("comments", "comment-list", "discussion", "responses", "reader-talk", "", word())), talk),
         lambda: around("div", rng.choice(("share", "social", "breadcrumbs", "pagination")), lambda: links(rng.randint(1, 4))),
     ]
 
     def story() -> None:
         if some(0.8):
             put(f"<{(h := rng.choice(('h1', 'h1', 'h2')))}>$</{h}>", says(2, 12), 1)
-        for _ in range(rng.randint(1, 14)):
-            kind = rng.random()
+        short = some(0.15)
+        for _ in range(1 if short else rng.randint(1, 14)):
+            kind = 0.0 if short else rng.random()
             if kind < 0.75:
-                put(rng.choice(("<p>$</p>", "<p>$</p>", "<p><b>$<br>", "<p>$")), says(1, 4) if some(0.15) else says(5, 160), 1)
+                put(rng.choice(("<p>$</p>", "<p>$</p>", "<p><b>$<br>", "<p>$")), says(1, 4) if short or some(0.15) else says(5, 160), 1)
             elif kind < 0.82:
                 put("<h2>$</h2>", says(1, 6), 1)
             elif kind < 0.88:
@@ -169,10 +225,40 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
                 put("<blockquote>$</blockquote>", says(4, 50), 1)
             elif kind < 0.94:
                 put("<p><a href='#'>$</a></p>", says(3, 12), 1)
+            elif kind < 0.97:  # what an article says of itself stays
+                put("<p>$</p>", rng.choice(SAID) + says(0, 8) if some(0.5) else "All rights reserved.", 1)
             else:
                 rng.choice(aside)()
+        if some(0.12):
+            put("<p>$</p>", rng.choice(("All rights reserved.", "Sign up.", "Subscribe.", "Advertisement.")), 1)
 
     html.append("<html><body>")
+    plain = rng.random()
+    if plain < 0.06:  # nothing but text
+        for _ in range(rng.choice((1, 1, 2, 5))):
+            put(rng.choice(("<p>$</p>", "<div>$</div>", "$<hr>")), says(4, 160), 1)
+        html.append("</body></html>")
+        return "".join(html), labels
+    if plain < 0.18:  # a table for the layout
+        html.append("<table><tr>")
+        cells = [lambda: links(rng.randint(2, 7)), lambda: paragraphs(put, says, rng), lambda: rng.choice(aside)()]
+        for cell in rng.choice(((0, 1), (1, 0), (1, 2), (0, 1, 2), (1,))):
+            html.append("<td>")
+            cells[cell]()
+            html.append("</td>")
+        html.append("</tr></table>")
+        if some(0.5):
+            around("div", "", lambda: put("$", rng.choice(SAID) + says(0, 12), 0))
+        html.append("</body></html>")
+        return "".join(html), labels
+    if plain < 0.3:  # boxes without names
+        around("div", "", lambda: (put("<div>$</div>", says(1, 4), 0), links(rng.randint(2, 8))))
+        around("div", rng.choice(("", word())), lambda: paragraphs(put, says, rng, rng.choice(("<p>$</p>", "<div>$</div>"))))
+        for _ in range(rng.randint(0, 2)):
+            rng.choice(aside)()
+        around("div", "", lambda: put(rng.choice(("$", "<p>$</p>")), rng.choice(SAID) + says(0, 14), 0))
+        html.append("</body></html>")
+        return "".join(html), labels
     if some(0.3):
         html.append('<div id="wrapper">')
     if some(0.5):
@@ -191,7 +277,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     return "".join(html), labels
 
 
-def trained(pages: int = 600, seed: int = 11) -> Field:
+def trained(pages: int = 800, seed: int = 11) -> Field:
     """A field fitted on labelled pages made by rule (``labelled_page``), the same on every call."""
     rng = random.Random(seed)
     rows = []
@@ -214,7 +300,8 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text", fie
     """``pages`` without its HTML, with ``out_col``: the main text, blocks joined by a blank line.
 
     The whole HTML of each row is cut into leaf blocks, the field labels them and the blocks of main text are
-    joined; scripts, styles and markup are never blocks. Null or empty pages and pages without main text give
+    joined; scripts, styles and markup are never blocks. Time and memory are linear in the page, however broken its
+    markup; elements nested over 512 deep are read as if they stood there. Null or empty pages and pages without main text give
     the empty text; repeated rows give equal texts; an empty table gives none; an existing column of that name
     stays and the new one gets an underscore. A row is handled by itself, so skew and lost executors cost a
     task at most.

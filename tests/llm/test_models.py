@@ -177,6 +177,52 @@ def test_field_on_held_out_pages(field):
     assert right / blocks > 0.99
 
 
+LAYOUTS = {
+    "one paragraph": ("<html><body><p>The harbour was quiet after the storm, and the boats came back one by one.</p></body></html>", ["The harbour was quiet after the storm, and the boats came back one by one."]),
+    "table": (
+        "<html><body><table><tr><td><a href=/a>Home</a><br><a href=/b>News</a></td><td><p>" + "The first paragraph tells a long story about rivers, bridges and mills. " * 7 + "</p><p>The second one is shorter, but it ends the story well, as it should.</p></td></tr></table></body></html>",
+        [("The first paragraph tells a long story about rivers, bridges and mills. " * 7).strip(), "The second one is shorter, but it ends the story well, as it should."],
+    ),
+    "boxes": (
+        "<div><div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div><div><h1>On mills</h1><div>Mills ground corn for centuries, driven by wind, by water, and later by steam.</div><div>Few of them still turn today, but those that do draw many visitors each year.</div></div><div>&copy; 2024 Some Press. All rights reserved.</div></div>",
+        ["On mills", "Mills ground corn for centuries, driven by wind, by water, and later by steam.", "Few of them still turn today, but those that do draw many visitors each year."],
+    ),
+    "talk of another name": (
+        "<nav><a href=1>One</a></nav><article><h1>On mills</h1><p>Mills ground corn for centuries, driven by wind, by water, and later by steam.</p><p>Few of them still turn today, but those that do draw many visitors.</p></article>"
+        "<section class='reader-talk'><h3>3 comments</h3><div class=x1><p>I have seen one of them, near the coast, and it was lovely, really.</p></div><div class=x1><p>My grandfather was a miller, he would have liked this.</p></div></section>",
+        ["On mills", "Mills ground corn for centuries, driven by wind, by water, and later by steam.", "Few of them still turn today, but those that do draw many visitors."],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts_not_trained_on(field, name):
+    page, expected = LAYOUTS[name]
+    assert extraction.main_text(page, field).split("\n\n") == expected
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>word", "<p>w<table>", "<!", "<select>", "</x>", '<a b="', "<script", "<li>x", "<b><i>"])
+def test_long_broken_pages_take_linear_time(field, part):
+    import time
+
+    start = time.time()
+    extraction.main_text(part * (10**6 // len(part)), field)
+    assert time.time() - start < 20
+
+
+def test_odd_tags():
+    assert [b.text for b in leaf_blocks("<p>one <svg class=i/> two</p><p>three</p>")] == ["one two", "three"]
+    assert [b.text for b in leaf_blocks("<p title=it's>It doesn't stop</p><p>here, it's so</p>")] == ["It doesn't stop", "here, it's so"]
+    assert [b.text for b in leaf_blocks("<p>a < b</p><select><p>c")] == ["a < b", "c"]
+
+
+def test_extraction_keeps_columns_and_takes_empty_tables(spark, field):
+    df = spark.createDataFrame([(1, "<article><p>Some words of a page, and more.</p></article>", "own")] * 2 + [(None, None, None)], "id long, html string, text string")
+    rows = extraction.extract(df, field=field).collect()
+    assert rows[0].asDict() == {"id": 1, "text": "own", "text_": "Some words of a page, and more."} == rows[1].asDict() and rows[2]["text_"] == ""
+    assert extraction.extract(df.limit(0), field=field).count() == 0
+
+
 def test_viterbi_is_the_best_path(field):
     rng = np.random.default_rng(0)
     for _ in range(20):
