@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A window minimum is one long: 36 bits of gram hash above 27 bits that fall as the position rises.
-PLACE = 27
+from reelmill.llm.common import fresh
+
+#: Fixed values of the rolling hash: a prime below 2^31, so that products fit a long, and a base.
+PRIME, BASE = (1 << 31) - 1, 1_000_003
+#: A window minimum is one long: 31 bits of gram hash above 32 bits that fall as the position rises.
+PLACE = 32
+#: Bytes of text that one range of ids holds, and ranges at most.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 1 << 16
 #: A token is a word, or one character of a script that is written without spaces (Thai to Hangul).
 UNSPACED = r"\x{0E00}-\x{0EFF}\x{1780}-\x{17FF}\x{3040}-\x{9FFF}\x{AC00}-\x{D7AF}"
 TOKEN = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
@@ -14,19 +20,43 @@ TOKEN = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
 
 def bound(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row; inside a lambda it would be for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)  # one parameter: a second one would be the index
 
 
 def shifted(a: Column, by: int) -> Column:
     return F.slice(a, F.lit(1 + by), F.greatest(F.size(a) - by, F.lit(0)))
 
 
-def doubled(a: Column, reach: int, join) -> Column:
-    """Fold each run of ``reach`` neighbours (a power of two) in log2(reach) passes; runs at the end are shorter."""
-    step = 1
-    while step < reach:
-        a = bound(a, lambda v, step=step: F.zip_with(v, shifted(v, step), join))
-        step *= 2
+def rolled(x: Column, k: int) -> Column:
+    """The rolling (Karp-Rabin) hash of each run of ``k`` values: sum of x[i + j] * BASE^(k - 1 - j) modulo PRIME.
+
+    Hashes of a and b values make those of a + b, so all runs are rolled up in some log2(k) passes over the
+    array. Runs that pass the end are padded with zeros.
+    """
+    def joined(left: Column, right: Column, reach: int, more: int) -> Column:
+        power = F.lit(pow(BASE, more, PRIME)).cast("long")
+        return F.zip_with(left, shifted(right, reach), lambda a, b: (a * power + F.coalesce(b, F.lit(0).cast("long"))) % F.lit(PRIME))
+
+    def roll(v: Column) -> Column:
+        a, reach = v, 1
+        for bit in bin(k)[3:]:
+            a = bound(a, lambda w, reach=reach: joined(w, w, reach, reach))
+            reach *= 2
+            if bit == "1":
+                a = joined(a, v, reach, 1)
+                reach += 1
+        return a
+
+    return bound(x, roll)
+
+
+def least_of(a: Column, reach: int) -> Column:
+    """The least of each run of ``reach`` values, in some log2(reach) passes; the last pass overlaps, runs at the end are shorter."""
+    span = 1
+    while span < reach:
+        step = min(span, reach - span)
+        a = bound(a, lambda v, step=step: F.zip_with(v, shifted(v, step), lambda x, y: F.least(x, y)))
+        span += step
     return a
 
 
@@ -37,12 +67,10 @@ def whole_runs(a: Column, reach: int) -> Column:
 
 def marks(text: Column, k: int, window: int) -> Column:
     """The distinct window minima of a text as longs of hash and place, in order of position."""
-    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
-    # hashes of 2, 4, ... k tokens roll up from two hashes of half the length
-    grams = whole_runs(doubled(tokens, k, lambda a, b: F.when(b.isNull(), a).otherwise(F.xxhash64(a, b))), k)
-    top, low = (1 << (63 - PLACE)) - 1, (1 << PLACE) - 1
-    keyed = F.transform(grams, lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(top)), PLACE).bitwiseOR(F.lit(low) - i.cast("long").bitwiseAND(F.lit(low))))
-    return F.array_distinct(whole_runs(doubled(keyed, window, lambda a, b: F.least(a, b)), window))
+    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME)))
+    low = (1 << PLACE) - 1
+    keyed = F.transform(whole_runs(rolled(tokens, k), k), lambda h, i: F.shiftleft(h, PLACE).bitwiseOR(F.lit(low) - i.cast("long")))
+    return F.array_distinct(whole_runs(least_of(keyed, window), window))
 
 
 def hashes_of(found: Column) -> Column:
@@ -50,16 +78,17 @@ def hashes_of(found: Column) -> Column:
 
 
 def winnow(df: DataFrame, text_col: str = "text", out_col: str = "marks", k: int = 4, window: int = 8) -> DataFrame:
-    """``df`` with ``out_col``: array of structs (hash long of 36 bits, position int), in order of position.
-
-    The text is cut into tokens; each run of ``k`` tokens has a hash, and of each ``window`` hashes the least
-    is kept, the rightmost on ties, with its position. Any run of ``k + window - 1`` equal tokens that two
-    texts share gives at least one equal hash in both. ``k`` and ``window`` are powers of two: grams and
-    minima are built by doubling, so a text costs a few passes whatever its length. A text of fewer than
-    ``k`` tokens is one gram; a null text or one without tokens has none. Ties keep the rightmost; repeated
-    rows get equal fingerprints; an empty table gives none; other columns stay as they are (``out_col``
-    replaces a column of that name).
+    """``df`` with ``out_col``: array of structs (hash long of 31 bits, position int), in order of position.
+
+    The text is cut into tokens; each run of ``k`` tokens has a rolling hash, and of each ``window`` hashes the
+    least is kept, the rightmost on ties, with its position. Any run of ``k + window - 1`` equal tokens that
+    two texts share gives at least one equal hash in both. Hashes and minima are built by doubling, so a text
+    costs a few passes whatever its length; positions go up to 2^31. A text of fewer than ``k`` tokens is one
+    gram, padded with zeros; a null text or one without tokens has none. Ties keep the rightmost; repeated rows
+    get equal fingerprints; an empty table gives none; an existing column of that name stays and the new one
+    gets an underscore.
     """
+    out_col = fresh(df, out_col)
     low = (1 << PLACE) - 1
     mark = lambda v: F.struct(F.shiftright(v, PLACE).alias("hash"), (F.lit(low) - v.bitwiseAND(F.lit(low))).cast("int").alias("position"))
     return df.withColumn(out_col, F.transform(marks(F.col(text_col), k, window), mark))
@@ -71,17 +100,34 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(1.0))
 
 
+def place_in(bounds: list[int], value: str, per: int = 256) -> tuple[Column, list | None]:
+    """How many of the sorted ``bounds`` are at most ``value``; for many bounds in two steps, the second over a table (chunk, fine)."""
+    count = lambda array: F.size(F.filter(array, lambda b: b <= F.col(value)))
+    literal = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    if len(bounds) <= per:
+        return (count(literal(bounds)) if bounds else F.lit(0)), None
+    chunks = [bounds[i : i + per] for i in range(0, len(bounds), per)]
+    return count(literal([c[0] for c in chunks])), list(enumerate(chunks, 1))
+
+
 def in_ranges(docs: DataFrame, order: str, tie: str, ranges: int) -> DataFrame:
     """``docs`` with ``at`` (its range of ``order``) and ``own``; each range also holds the row that follows its last.
 
-    Descending order, nulls last; after the last row comes the first. The bounds are ``ranges`` quantiles, and
-    the first row of each range, found by an aggregate of one row a range, is copied to the range before it.
+    Descending order, nulls last; after the last row comes the first. The bounds are ``ranges`` quantiles, rows of
+    a null order go by 256 ranges of ``tie``, and the first row of each range, found by an aggregate of one row a
+    range, is copied to the range before it.
     """
     fractions = [i / ranges for i in range(1, ranges)]
-    bounds = docs.agg(F.percentile_approx(order, fractions, 10 * ranges)).first()[0] or []
-    literal = ", ".join(f"{x}L" for x in sorted(set(bounds)))
-    at = F.expr(f"coalesce(size(filter(array({literal}), b -> b <= {order})), -1)") if literal else F.lit(0)
-    placed = docs.withColumn("at", F.when(F.col(order).isNull(), -1).otherwise(at))
+    bounds = sorted(set(docs.agg(F.percentile_approx(order, fractions, 10 * ranges)).first()[0] or []))
+    place, table = place_in(bounds, order)
+    if table is None:
+        placed = docs.withColumn("at", place)
+    else:
+        fine = F.broadcast(docs.sparkSession.createDataFrame(table, "chunk int, fine array<long>"))  # at most 256 rows
+        found = docs.withColumn("chunk_of", place).join(fine, F.col("chunk_of") == F.col("chunk"), "left")
+        inner = F.size(F.filter("fine", lambda b: b <= F.col(order)))
+        placed = found.withColumn("at", F.when(F.col("chunk_of") == 0, 0).otherwise((F.col("chunk_of") - 1) * 256 + inner)).drop("chunk_of", "chunk", "fine")
+    placed = placed.withColumn("at", F.when(F.col(order).isNull(), F.shiftright(tie, 56).cast("int") - 128).otherwise(F.col("at")))
     heads = placed.groupBy("at").agg(F.max(F.struct(order, tie)).alias("head"))  # one row a range
     by = Window.partitionBy(F.lit(0)).orderBy("at")
     heads = heads.select(
@@ -95,13 +141,19 @@ def in_ranges(docs: DataFrame, order: str, tie: str, ranges: int) -> DataFrame:
         .drop("at", "h_at", "head", "before")
         .select("*", "copy.at", "copy.own")
         .drop("copy")
+        .repartition(ranges, "at")
     )
 
 
 def op8_winnowing(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document, of its edited text, and their likeness to it and to the next document."""
+    """Fingerprints of every document, of its edited text, and their likeness to it and to the next document.
+
+    Null texts are empty, documents of a null id come after all others, and rows that repeat one id follow each
+    other by a hash of their text. Texts are shuffled once, into ranges of about 32 MB however large the table is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = min(4096, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     docs = docs.withColumn("tie", F.xxhash64("text"))
     order = Window.partitionBy("at").orderBy(F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("tie"))
     half = F.floor(F.length("text") / 2).cast("int")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from reelmill.llm import packing, sharding, winnowing
@@ -118,22 +119,57 @@ def winnow_tokens(text):
     return re.findall(f"[{u}]|[^ \t-\r{u}]+", text)
 
 
-@pytest.mark.parametrize("partitions", [1, 16])
+def slow_marks(text, k, window):
+    """Hash and position of the window minima, one window after the other."""
+    x = [(h - (h >> 63 << 64)) % winnowing.PRIME for h in (xxhash.xxh64_intdigest(t.encode(), 42) for t in winnow_tokens(text))]
+    if not x:
+        return []
+    runs = [x[i : i + k] for i in range(max(1, len(x) - k + 1))]
+    grams = [sum(v * pow(winnowing.BASE, k - 1 - j, winnowing.PRIME) for j, v in enumerate(r)) % winnowing.PRIME for r in runs]
+    found = []
+    for i in range(max(1, len(grams) - window + 1)):
+        span = grams[i : i + window]
+        best = max(j for j, h in enumerate(span) if h == min(span)) + i
+        if not found or found[-1][1] != best:
+            found.append((grams[best], best))
+    return found
+
+
+@pytest.mark.parametrize(("k", "window"), [(4, 8), (1, 1), (3, 5), (7, 4), (2, 1)])
+def test_marks_match_a_slow_version(spark, docs, k, window):
+    rows = winnowing.winnow(docs.withColumn("marks", F.lit(1)), k=k, window=window).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert [(m.hash, m.position) for m in r.marks_] == slow_marks(r.text or "", k, window) and r.marks == 1
+
+
+def slow_likeness(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("partitions", [1, 16, 300])
 def test_fingerprints_of_edited_and_next_texts(spark, tmp_path, partitions):
     rng = random.Random(2)
-    texts = [" ".join("".join(rng.choice("aeiost") for _ in range(5)) for _ in range(rng.randint(0, 80))) for _ in range(80)] + ["", None, "é" * 7]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    df.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [" ".join("".join(rng.choice("aeiost") for _ in range(5)) for _ in range(rng.randint(0, 80))) for _ in range(380)] + ["", None, "é" * 7]
+    ids = [*range(len(texts)), None, None, 7, 7]
+    texts += ["a null id", "another null id with words", texts[7], "another text of id seven"]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    got = {r.doc_id: r for r in winnowing.op8_winnowing(spark, str(tmp_path)).collect()}
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in winnowing.op8_winnowing(spark, str(tmp_path)).collect())
     spark.conf.set("spark.sql.shuffle.partitions", 4)
-    assert len(got) == len(texts)
-    for i, t in enumerate(texts):
-        t, after = t or "", texts[i - 1] or ""  # descending ids; after the last comes the first
+    tie = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    rows = sorted(((i, t or "") for i, t in zip(ids, texts)), key=lambda r: (r[0] is None, -(r[0] or 0), -tie(r[1])))
+    digest = lambda m: hashlib.md5(",".join(str(h << 32 | (2**32 - 1 - p)) for h, p in m).encode()).hexdigest()
+    expected = Counter()
+    for (i, t), (_, after) in zip(rows, [*rows[1:], rows[0]]):
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-        assert (got[i].fingerprint == got[i].edited_fingerprint) >= (edited == t)
-    long = [r for r in got.values() if r.n_chars > 200]
-    assert all(0.1 < r.near_edited < 0.9 and r.near_next < 0.1 for r in long)
+        mine, theirs, following = (slow_marks(x, 4, 8) for x in (t, edited, after))
+        expected[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), digest(mine), digest(theirs), round(slow_likeness(mine, theirs), 9), round(slow_likeness(mine, following), 9)] += 1
+    assert got == expected
+
+
+def test_fingerprints_of_an_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert winnowing.op8_winnowing(spark, str(tmp_path)).count() == 0
