@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reelmill import oracle as o
 from reelmill.functions import quality as q
 from reelmill.functions.names import cut_tail, extension, stem
-from reelmill.operators import detail, history, paths, predict, progress, report, rules, tracks
+from reelmill.operators import detail, execute, history, paths, predict, progress, report, rules, tracks
 from reelmill.plans import library as plans
 from reelmill.settings import TIER_MBPS, Settings
 from reelmill.sources import media, probe
@@ -143,7 +143,7 @@ def _(spark, d):
 @query("dry_run_table", o.planning(S) + """ SELECT file_id, name, width || 'x' || height AS resolution, round_even(source_kbps / 1000, 1) AS source_m, round_even(target_kbps / 1000.0::double, 1) AS target_m, ruling AS action,
   round_even(saving * 100, 0) AS saving_pct FROM planned""")
 def _(spark, d):
-    return plan(spark, d).select(
+    return plans.dry_run(plan(spark, d)).select(
         "file_id", cut_tail(F.col("name"), 44).alias("name"), F.concat_ws("x", "width", "height").alias("resolution"), F.bround(F.col("source_kbps") / 1000, 1).alias("source_m"),
         F.bround(F.col("target_kbps") / 1000.0, 1).alias("target_m"), F.coalesce("mode", "outcome").alias("action"), F.bround(F.col("saving") * 100, 0).alias("saving_pct"),
     )
@@ -186,8 +186,10 @@ def _(spark, d):
 
 # history ---------------------------------------------------------------------------------------------------------
 
-LEDGER = f"ledger AS (SELECT CASE WHEN file_id % 3 = 0 THEN 'GOOD|h264|rmx1|xc1|inplace' ELSE '{S.signature()}' END AS signature, path, size, mtime FROM files WHERE o_orderstatus = 'F')"
-HELD = f"EXISTS (SELECT 1 FROM ledger l WHERE l.signature = '{S.signature()}' AND l.path = files.path AND l.size = files.size AND l.mtime = files.mtime)"
+#: Written out: the signature of the default settings.
+SIGNATURE = "EXCELLENT|h265|rmx1|xc1|inplace"
+LEDGER = f"ledger AS (SELECT CASE WHEN file_id % 3 = 0 THEN 'GOOD|h264|rmx1|xc1|inplace' ELSE '{SIGNATURE}' END AS signature, path, size, mtime FROM files WHERE o_orderstatus = 'F')"
+HELD = f"EXISTS (SELECT 1 FROM ledger l WHERE l.signature = '{SIGNATURE}' AND l.path = files.path AND l.size = files.size AND l.mtime = files.mtime)"
 
 
 @query("resume_split", f"WITH {o.FILES.strip()}, {LEDGER} SELECT file_id FROM files WHERE {HELD}")
@@ -200,7 +202,7 @@ def _(spark, d):
     return history.pending(history.keyed(media.files(spark, d), S), media.ledger(spark, d, S), S).select("file_id", "path")
 
 
-@query("ledger_keys", f"WITH {o.FILES.strip()} SELECT file_id, '{S.signature()}' || CASE WHEN file_id % 10 = 0 THEN '|sw' ELSE '' END || chr(9) || path || chr(9) || size || chr(9) || mtime AS line FROM files")
+@query("ledger_keys", f"WITH {o.FILES.strip()} SELECT file_id, '{SIGNATURE}' || CASE WHEN file_id % 10 = 0 THEN '|sw' ELSE '' END || chr(9) || path || chr(9) || size || chr(9) || mtime AS line FROM files")
 def _(spark, d):
     rows = history.keyed(media.files(spark, d), S, F.col("file_id") % 10 == 0)
     return rows.select("file_id", history.ledger_line(*[F.col(c) for c in history.KEY]).alias("line"))
@@ -235,9 +237,19 @@ def _(spark, d):
     return history.latest(first, retry, ["event_id"])
 
 
-@query("failed_files", f"WITH {o.RESULTS.strip()} SELECT run, count(*) AS failed, min(event_id) AS first_failed FROM results WHERE outcome = 'error' GROUP BY run")
+@query("failed_files", f"WITH {o.RESULTS.strip()} SELECT run, path FROM results WHERE outcome = 'error'")
 def _(spark, d):
-    return media.results(spark, d).where("outcome = 'error'").groupBy("run").agg(F.count("*").alias("failed"), F.min("event_id").alias("first_failed"))
+    rows = media.results(spark, d)
+    return rows.join(report.failed(rows), "path", "left_semi").select("run", "path")
+
+
+LABELS = "CASE outcome WHEN 'error' THEN CASE WHEN level IS NULL THEN 'encode failed' ELSE 'note ' || event_id END WHEN 'skip-at-tier' THEN 'already efficient' ELSE CASE WHEN src_bytes > 0 THEN {src} || ' → ' || {out} ELSE outcome END END"
+SHORT = "CASE " + " ".join(f"WHEN {{n}} >= {u} THEN printf('%d.%02d {name}', (({{n}} + {u // 200}) // {u // 100}) // 100, (({{n}} + {u // 200}) // {u // 100}) % 100)" for u, name in ((10**9, "GB"), (10**6, "MB"), (10**3, "KB"))) + " ELSE {n} || ' B' END"
+
+
+@query("report_rows", f"WITH {o.RESULTS.strip()} SELECT event_id, bucket, CASE WHEN outcome = 'error' THEN 'err' WHEN level = 'WARN' THEN 'warn' WHEN level IS NOT NULL THEN 'note' ELSE '' END AS severity, " + LABELS.format(src=SHORT.format(n="src_bytes"), out=SHORT.format(n="out_bytes")) + " AS label FROM judged")
+def _(spark, d):
+    return report.listed(media.results(spark, d)).select("event_id", "bucket", "severity", "label")
 
 
 # containers, audio, subtitles ------------------------------------------------------------------------------------
@@ -288,7 +300,7 @@ def _(spark, d):
     return detail.details(plan(spark, d, S, subtitles=True), S).select("file_id", detail.caption().alias("caption"))
 
 
-@query("provenance_tags", o.planning(S) + """ SELECT file_id, 'REELMILL_CODEC=h265;REELMILL_DATE=2024-01-31;REELMILL_MODE=' || mode || ';REELMILL_QUALITY=169' || CASE WHEN target_kbps > 0 THEN ';REELMILL_TARGET_KBPS=' || target_kbps ELSE '' END || ';REELMILL_TIER=EXCELLENT' AS tags FROM decided WHERE mode IS NOT NULL""")
+@query("provenance_tags", o.planning(S) + """ SELECT file_id, 'REELMILL_CODEC=h265;REELMILL_DATE=2024-01-31;REELMILL_MODE=' || mode || ';REELMILL_QUALITY=169' || CASE WHEN target_kbps > 0 THEN ';REELMILL_TARGET_KBPS=' || target_kbps ELSE '' END || ';REELMILL_TIER=EXCELLENT;REELMILL_VERSION=0.2' AS tags FROM decided WHERE mode IS NOT NULL""")
 def _(spark, d):
     entries = F.array_sort(F.transform(F.map_entries(detail.tags(S, F.lit("2024-01-31").cast("date"))), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return plan(spark, d).where("mode is not null").select("file_id", F.array_join(entries, ";").alias("tags"))
@@ -365,15 +377,21 @@ def _(spark, d):
 
 @query("preview_cache_keys", f"WITH {o.FILES.strip()} SELECT file_id, sha1(path || '|' || size || '|' || mtime || '|EXCELLENT|h265|')[1:10] AS cache_key, least(5.0::double, duration) AS seconds, greatest(0.0::double, least(0.5::double * duration, duration - 5)) AS starts FROM files")
 def _(spark, d):
-    parts = F.concat_ws("|", "path", F.col("size").cast("string"), F.col("mtime").cast("string"), F.lit(S.tier), F.lit(S.codec), F.lit(""))
-    dur = F.col("duration")
-    return media.files(spark, d).select("file_id", F.substring(F.sha1(parts), 1, 10).alias("cache_key"), F.least(F.lit(5.0), dur).alias("seconds"), F.greatest(F.lit(0.0), F.least(dur * 0.5, dur - 5)).alias("starts"))
+    window = detail.preview(F.col("duration"))
+    return media.files(spark, d).select("file_id", detail.cache_key(S, F.col("path"), F.col("size"), F.col("mtime")).alias("cache_key"), window["seconds"].alias("seconds"), window["starts"].alias("starts"))
 
 
-@query("human_sizes", f"""WITH {o.FILES.strip()} SELECT file_id, CASE WHEN size < 1024 THEN 'B' WHEN size < 1048576 THEN 'KB' WHEN size < 1073741824 THEN 'MB' WHEN size < 1099511627776 THEN 'GB' ELSE 'TB' END AS unit,
-  CASE WHEN size < 1000 THEN 'B' WHEN size < 1e6 THEN 'KB' WHEN size < 1e9 THEN 'MB' WHEN size < 1e12 THEN 'GB' ELSE 'TB' END AS unit_1000 FROM files""")
+def _human(base: str, digits: int) -> str:
+    power = lambda k: f"{base}::double ** {k}"
+    cases = " ".join(f"WHEN size < {power(k + 1)} THEN {{{k}}}" for k in range(4)) + " ELSE {4} END"
+    amount = "CASE " + cases.format(*[f"round_even(size / ({power(k)}), {digits})" for k in range(5)])
+    return amount + f" AS amount_{base}, CASE " + cases.format("'B'", "'KB'", "'MB'", "'GB'", "'TB'") + f" AS unit_{base}"
+
+
+@query("human_sizes", f"WITH {o.FILES.strip()} SELECT file_id, {_human('1024', 1)}, {_human('1000', 2)} FROM files")
 def _(spark, d):
-    return media.files(spark, d).select("file_id", q.human(F.col("size"), 1024, 1)["unit"].alias("unit"), q.human(F.col("size"), 1000, 2)["unit"].alias("unit_1000"))
+    sizes = [(b, q.human(F.col("size"), b, n)) for b, n in ((1024, 1), (1000, 2))]
+    return media.files(spark, d).select("file_id", *[c[f].alias(f"{f}_{b}") for b, c in sizes for f in ("amount", "unit")])
 
 
 # reports ---------------------------------------------------------------------------------------------------------
@@ -442,7 +460,12 @@ def _(spark, d):
     return progress.gaps(_timed(spark, d), "run", ["ts", "event_id"], "ts").select("event_id", "run", "gap_us")
 
 
-@query("progress_shown")
+@query("progress_shown", """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq) AS n FROM (
+    SELECT 'user' || user_id AS label, event_id AS seq, event_id / 4.0::double AS at_s, CASE WHEN event_id % 9 <> 0 THEN event_id % 200 / 2000.0::double END AS fraction FROM events)),
+  w AS (SELECT label, seq, at_s, fraction, n, true AS shows, at_s AS last, fraction AS seen FROM e WHERE n = 1
+    UNION ALL SELECT label, seq, at_s, fraction, n, shows, CASE WHEN shows THEN at_s ELSE last END, CASE WHEN shows THEN fraction ELSE seen END FROM (
+      SELECT e.*, w.last, w.seen, e.fraction IS NULL OR w.seen IS NULL OR abs(e.fraction - w.seen) >= 0.01::double OR e.at_s - w.last >= 1.5::double AS shows FROM w JOIN e ON e.label = w.label AND e.n = w.n + 1))
+  SELECT label, seq, at_s, fraction FROM w WHERE shows""")
 def _(spark, d):
     rows = media.table(spark, d, "events").select(
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("label"), F.col("event_id").alias("seq"),
@@ -509,14 +532,87 @@ def _scratch(spark) -> str:
 
 @query("stream_run_summary", f"WITH {o.RESULTS.strip()} SELECT outcome, count(*) AS files, sum(saved)::bigint AS saved FROM judged GROUP BY outcome")
 def _(spark, d):
-    return live.drained(live.running_summary(_streamed(spark, d)), "run_summary_live", "complete", _scratch(spark))
+    return live.newest(live.drained(live.running_summary(_streamed(spark, d)), "complete", _scratch(spark)))
 
 
-@query("stream_eta")
+@query("stream_eta", TIMED + """ SELECT run, done, spent_heavy, spent_light, CASE WHEN planned > 30 THEN least(5.0::double, greatest(0.2::double, spent_heavy / planned)) ELSE 1.0::double END AS rate, CASE WHEN n_light > 20 THEN spent_light / n_light ELSE 0.1::double END AS light_rate
+  FROM (SELECT run, count(*) AS done, coalesce(sum(real_s) FILTER (predicted_s >= 5), 0.0::double) AS spent_heavy, coalesce(sum(real_s) FILTER (predicted_s < 5), 0.0::double) AS spent_light, coalesce(sum(predicted_s) FILTER (predicted_s >= 5), 0.0::double) AS planned, count(*) FILTER (predicted_s < 5) AS n_light FROM timed GROUP BY run)""")
 def _(spark, d):
     seconds = F.when(F.col("outcome").isin("shrink", "transcode"), F.lit(20.0) + F.col("event_id") % 50).when(F.col("outcome") == "remux", 10.0).otherwise(0.1)
     timed = _streamed(spark, d).select("run", seconds.alias("predicted_s"), ((F.col("event_id") * 7) % 64 / 4.0).alias("real_s"))
-    return live.drained(live.running_eta(timed), "eta_live", "update", _scratch(spark))
+    return live.newest(live.drained(live.running_eta(timed), "update", _scratch(spark)), "run")
+
+
+# encoding --------------------------------------------------------------------------------------------------------
+
+DEEP = "CASE WHEN file_id % 5 = 0 THEN 'yuv420p10le' ELSE 'yuv420p' END"
+
+
+def _video_sql(s: Settings, hardware: str | None) -> str:
+    profile = f"CASE WHEN contains({DEEP}, '10') THEN 'main10' ELSE 'main' END"
+    soft = lambda crf, preset: f"'-c:v libx265 -crf {crf} -preset {preset} -maxrate ' || target_kbps || 'k -bufsize ' || target_kbps || 'k -profile:v ' || {profile} || ' -tag:v hvc1'"
+    if s.codec == "h264":
+        soft = lambda crf, preset: f"'-c:v libx264 -crf {int(crf) - (2 if preset == 'slow' else 1)} -preset {preset} -maxrate ' || target_kbps || 'k -bufsize ' || target_kbps || 'k -profile:v high -pix_fmt yuv420p'"
+    case = f"CASE mode WHEN 'transcode' THEN {soft(20, 'slow')} ELSE {soft(21, 'medium')} END"
+    if hardware == "hevc_videotoolbox":
+        case = f"CASE WHEN file_id % 10 = 0 THEN {case} ELSE '-c:v hevc_videotoolbox -b:v ' || target_kbps || 'k -profile:v ' || {profile} || ' -tag:v hvc1 -bf 2 -fps_mode cfr' END"
+    if hardware == "h264_nvenc":
+        case = f"CASE WHEN file_id % 10 = 0 THEN {case} ELSE '-c:v h264_nvenc -b:v ' || target_kbps || 'k -maxrate ' || target_kbps || 'k -preset p5 -profile:v high -pix_fmt yuv420p' END"
+    return f"CASE WHEN mode = 'remux' THEN CASE WHEN vcodec = 'hevc' THEN '-c:v copy -tag:v hvc1' ELSE '-c:v copy' END ELSE {case} END"
+
+
+ENCODERS = {"software": (S, None), "apple": (S, "hevc_videotoolbox"), "nvidia": (replace(S, codec="h264"), "h264_nvenc")}
+
+
+def _pixels(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("pix_fmt", F.when(F.col("file_id") % 5 == 0, "yuv420p10le").otherwise("yuv420p"))
+
+
+@query("video_arguments_rows", o.planning(S) + " SELECT file_id, " + ", ".join(f"{_video_sql(*v)} AS {k}" for k, v in ENCODERS.items()) + " FROM decided WHERE mode IS NOT NULL")
+def _(spark, d):
+    rows = _pixels(plan(spark, d).where("mode is not null"))
+    return rows.select("file_id", *[F.array_join(execute.video_arguments(s, h, F.col("file_id") % 10 == 0), " ").alias(k) for k, (s, h) in ENCODERS.items()])
+
+
+@query("attempt_rows", o.planning(S, _container_sql(FORCED)) + """, t AS (SELECT file_id, string_agg('-map 0:' || idx, ' ' ORDER BY idx, l_partkey, l_suppkey) AS maps FROM subs WHERE codec IN ('subrip', 'ass') GROUP BY file_id),
+  c AS (SELECT d.file_id, maps, container, '-c:a ' || CASE WHEN container = 'mkv' OR (c.n_audio > 0 AND c.n_foreign = 0) THEN 'copy' ELSE 'aac -b:a ' || CASE WHEN c.max_channels > 2 THEN '448k' ELSE '256k' END END AS audio, """ + _video_sql(S, None).replace("file_id", "d.file_id") + """ AS video
+    FROM decided d JOIN (SELECT file_id, container, n_audio, n_foreign, max_channels FROM contained) c USING (file_id) LEFT JOIN t USING (file_id) WHERE mode IS NOT NULL)
+  SELECT file_id, '-map 0:v:0 -map 0:a? ' || CASE WHEN container = 'mkv' THEN '-map 0:s? ' || video || ' ' || audio || ' -c:s copy' WHEN maps IS NOT NULL THEN maps || ' ' || video || ' ' || audio || ' -c:s mov_text -movflags +faststart+use_metadata_tags' ELSE video || ' ' || audio || ' -movflags +faststart+use_metadata_tags' END AS first,
+    CASE WHEN container <> 'mkv' AND maps IS NOT NULL THEN 2 ELSE 1 END AS attempts FROM c""")
+def _(spark, d):
+    rows = _pixels(plan(spark, d, S, subtitles=True).where("mode is not null"))
+    rows = rows.withColumn("c", tracks.container(FORCED, F.col("ext"), F.col("audio"), F.col("subtitles"))).select("*", "c.container").drop("c")
+    subs, none = F.col("subtitles"), F.array().cast("array<string>")
+    found = execute.attempts(F.col("container"), execute.video_arguments(S, None, F.lit(False)), execute.audio_arguments(FORCED, F.col("container"), F.col("audio")), subs, subs, none)
+    return rows.select("file_id", found.alias("a")).select("file_id", F.array_join(F.col("a")[0], " ").alias("first"), F.size("a").alias("attempts"))
+
+
+@query("skip_existing", o.planning(S) + ", e AS (SELECT DISTINCT '/out/t' || name_id || '.mp4' AS there FROM files WHERE file_id % 3 = 0) SELECT file_id, CASE WHEN there IS NULL THEN mode END AS mode, CASE WHEN mode IS NOT NULL AND there IS NOT NULL THEN 'skip-existing' ELSE outcome END AS outcome FROM (SELECT *, '/out/t' || name_id || '.mp4' AS out FROM decided) LEFT JOIN e ON out = there")
+def _(spark, d):
+    rows = plan(spark, d).withColumn("out", paths.output_path(FLAT, F.col("path"), F.lit("mp4")))
+    return paths.existing(rows, rows.where("file_id % 3 = 0").select(F.col("out").alias("path")), "out").select("file_id", "mode", "outcome")
+
+
+@query("results_in_queue", f"WITH {o.FILES.strip()} SELECT file_id FROM files WHERE name IN (SELECT name FROM files WHERE file_id % 4 = 0)")
+def _(spark, d):
+    rows = media.files(spark, d)
+    return history.by_name(rows, rows.where("file_id % 4 = 0")).select("file_id")
+
+
+@query("scan_order", f"WITH {o.FILES.strip()} SELECT file_id, row_number() OVER (ORDER BY path) AS seq FROM files")
+def _(spark, d):
+    return plans.in_scan_order(media.files(spark, d).select("file_id", "path")).select("file_id", "seq")
+
+
+@query("mean_work", o.planning(S) + f" SELECT round(avg({o.work()}), 6) AS mean FROM decided")
+def _(spark, d):
+    return plans.mean_work(plan(spark, d)).select(F.round("mean", 6).alias("mean"))
+
+
+@query("free_until_success", f"WITH {o.FILES.strip()} SELECT file_id, NOT coalesce(bool_or(file_id % 3 <> 0) OVER (PARTITION BY name_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS writes FROM files")
+def _(spark, d):
+    rows = media.files(spark, d).withColumns({"out": paths.output_path(FLAT, F.col("path"), F.lit("mp4")), "worked": F.col("file_id") % 3 != 0})
+    return paths.collisions(rows, "out", "path", "worked").select("file_id", "writes")
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -9,6 +9,7 @@ from reelmill.functions import quality as q
 from reelmill.operators import tracks
 from reelmill.settings import Settings
 
+VERSION = "0.2"
 ENCODER_NAMES = {"h264": "h264", "h265": "hevc"}
 
 
@@ -43,13 +44,41 @@ def caption() -> Column:
 
 def tags(s: Settings, day: Column, mark: str = "REELMILL") -> Column:
     """The tags written into an output; the target only where there is one."""
-    fixed = {"TIER": s.tier, "QUALITY": str(round(s.bpp * 1000)), "CODEC": s.codec}
+    fixed = {"VERSION": VERSION, "TIER": s.tier, "QUALITY": str(round(s.bpp * 1000)), "CODEC": s.codec}
     known = F.create_map(F.lit(f"{mark}_MODE"), F.col("mode"), *[F.lit(x) for k, v in fixed.items() for x in (f"{mark}_{k}", v)], F.lit(f"{mark}_DATE"), F.date_format(day, "yyyy-MM-dd"))
     target = F.create_map(F.lit(f"{mark}_TARGET_KBPS"), F.col("target_kbps").cast("string"))
     return F.when(F.col("target_kbps") > 0, F.map_concat(known, target)).otherwise(known)
 
 
+#: Statistics that tools leave on a stream; they are wrong once the video is encoded anew.
+STALE = ("BPS", "BPS-eng", "NUMBER_OF_BYTES", "NUMBER_OF_BYTES-eng", "NUMBER_OF_FRAMES", "NUMBER_OF_FRAMES-eng", "_STATISTICS_TAGS", "_STATISTICS_TAGS-eng", "_STATISTICS_WRITING_APP", "_STATISTICS_WRITING_APP-eng", "_STATISTICS_WRITING_DATE_UTC", "_STATISTICS_WRITING_DATE_UTC-eng")
+CODEC_LABELS = {"h264": "H.264", "h265": "H.265"}
+
+
+def provenance(s: Settings, day: Column, comment: Column, mark: str = "REELMILL") -> Column:
+    """Arguments that write ``tags``, clear stale statistics and, where the source has no comment, say it in words."""
+    pairs = F.array_sort(F.transform(F.map_entries(tags(s, day, mark)), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    ours = F.flatten(F.transform(pairs, lambda t: F.array(F.lit("-metadata"), t)))
+    cleared = F.array(*[F.lit(x) for name in STALE for x in ("-metadata:s:v:0", f"{name}=")])
+    what = F.when(F.col("mode") == "remux", "remuxed to").otherwise(F.concat(F.col("mode"), F.lit(" to")))
+    words = F.concat(F.lit(f"comment={mark.capitalize()} {VERSION} — "), what, F.lit(f" {CODEC_LABELS[s.codec]} at quality {round(s.bpp * 1000)} on "), F.date_format(day, "yyyy-MM-dd"))
+    said_here = F.when(F.trim(F.coalesce(comment, F.lit(""))) == "", F.array(F.lit("-metadata"), words)).otherwise(F.array().cast("array<string>"))
+    return F.concat(ours, cleared, said_here)
+
+
 def said(own_tags: Column, mark: str = "REELMILL") -> Column:
     """What a file's tags say of an earlier run, in one line."""
     at = lambda k: F.element_at(own_tags, f"{mark}_{k}")
     return F.concat_ws(" · ", F.upper(at("CODEC")), F.concat(F.lit("quality "), at("QUALITY")), at("DATE"))
+
+
+def cache_key(s: Settings, path: Column, size: Column, mtime: Column, start: str = "") -> Column:
+    """The name under which a preview is kept: ten digits of a hash of the file, its state, the tier, the codec and the start."""
+    return F.substring(F.sha1(F.concat_ws("|", path, size.cast("string"), mtime.cast("string"), F.lit(s.tier), F.lit(s.codec), F.lit(start))), 1, 10)
+
+
+def preview(duration: Column, start: Column | None = None, most: float = 5.0) -> Column:
+    """struct(starts, seconds) of a preview: a share of the duration from which it starts, the middle by default, never past the end."""
+    seconds = F.least(F.lit(most), duration)
+    share = F.lit(0.5) if start is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), start))
+    return F.struct(F.greatest(F.lit(0.0), F.least(duration * share, duration - most)).alias("starts"), seconds.alias("seconds"))

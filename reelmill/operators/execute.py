@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import errno
 import os
 import shutil
 import subprocess
@@ -12,28 +13,77 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelmill.functions import quality as q
+from reelmill.operators import tracks
 from reelmill.settings import Settings
 
 RESULT = "path string, ok boolean, out_path string, out_bytes long, attempt int, error string"
-#: Quality factors of the software encoder by codec.
-CRF = {"h264": 20, "h265": 21}
+#: Quality factor by codec and preset of software encoding, by what is done.
+SOFTWARE = {"transcode": ({"h264": "18", "h265": "20"}, "slow"), "shrink": ({"h264": "20", "h265": "21"}, "medium")}
+#: Hardware encoder families in the order in which they are tried.
+FAMILIES = ("videotoolbox", "nvenc", "qsv", "amf")
 
 
-def video_arguments(s: Settings, picked: Column) -> Column:
-    """Arguments for the video of a decided file: rate-capped software encoding, a hardware rate, or a copy."""
-    rate = F.concat(F.col("target_kbps").cast("string"), F.lit("k"))
-    slow = F.array(F.lit("-c:v"), F.lit("libx265" if s.codec == "h265" else "libx264"), F.lit("-preset"), F.when(picked, "slow").otherwise("medium"), F.lit("-crf"), F.lit(str(CRF[s.codec])), F.lit("-maxrate"), rate, F.lit("-bufsize"), rate)
-    fast = F.array(F.lit("-c:v"), F.lit("hevc_hw" if s.codec == "h265" else "h264_hw"), F.lit("-b:v"), rate)
-    copy = F.array(F.lit("-c:v"), F.lit("copy"))
-    software = picked | F.lit(s.encoder == "software")
-    profile = F.when(F.contains(F.coalesce("pix_fmt", F.lit("")), F.lit("10")), "main10").otherwise("main")
-    return F.when(F.col("mode") == "remux", copy).when(software, F.concat(slow, F.array(F.lit("-profile:v"), profile))).otherwise(fast)
+def texts(*parts: str | Column) -> Column:
+    return F.array(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def hardware_encoder(codec: str, listed: str, works: Callable[[str], bool]) -> str | None:
+    """The first encoder family that the tool lists and that really encodes here."""
+    stem = "hevc" if codec == "h265" else "h264"
+    return next((name for name in (f"{stem}_{family}" for family in FAMILIES) if name in listed and works(name)), None)
+
 
+def video_arguments(s: Settings, hardware: str | None, picked: Column) -> Column:
+    """Arguments for the video of a decided file: a copy, rate-capped software encoding, or a hardware encoder at the target rate.
 
-def attempts(kind: Column, audio_codec: Column) -> Column:
-    """Attempts in order as (subtitles, audio): Matroska embeds all; MP4 embeds text first and then goes without."""
-    one = lambda subs: F.struct(F.lit(subs).alias("subtitles"), audio_codec.alias("audio"))
-    return F.when(kind == "mkv", F.array(one("copy"))).otherwise(F.array(one("embed"), one("none")))
+    Software is taken where no ``hardware`` encoder is named, where the settings say so, and for ``picked`` files.
+    """
+    rate = F.concat(F.col("target_kbps").cast("string"), F.lit("k"))
+    deep = F.when(F.contains(F.coalesce("pix_fmt", F.lit("")), F.lit("10")), "main10").otherwise("main")
+    hvc1, plain = ("-tag:v", "hvc1"), ("-pix_fmt", "yuv420p")
+    still = F.when(F.lower(F.coalesce("vcodec", F.lit(""))) == "hevc", texts("-c:v", "copy", *hvc1)).otherwise(texts("-c:v", "copy"))
+
+    def software(mode: str) -> Column:
+        crf, preset = SOFTWARE[mode]
+        library, ends = ("libx264", ("high", *plain)) if s.codec == "h264" else ("libx265", (deep, *hvc1))
+        return texts("-c:v", library, "-crf", crf[s.codec], "-preset", preset, "-maxrate", rate, "-bufsize", rate, "-profile:v", *ends)
+
+    by_mode = F.when(F.col("mode") == "transcode", software("transcode")).otherwise(software("shrink"))
+    if hardware is not None and s.encoder != "software":
+        newer = "hevc" in hardware
+        profile, ends = (deep, hvc1) if newer else ("high", plain)
+        start = ("-c:v", hardware, "-b:v", rate)
+        chosen = {
+            "videotoolbox": texts(*start, "-profile:v", profile, *ends, "-bf", "2", *(("-fps_mode", "cfr") if newer else ())),
+            "nvenc": texts(*start, "-maxrate", rate, "-preset", "p5", "-profile:v", profile, *ends),
+            "qsv": texts(*start, "-maxrate", rate, "-profile:v", profile, *ends),
+            "amf": texts(*start, "-maxrate", rate, "-profile:v", profile, *ends),
+        }.get(hardware.rsplit("_", 1)[-1], texts(*start, "-maxrate", rate, *ends))
+        by_mode = F.when(picked, by_mode).otherwise(chosen)
+    return F.when(F.col("mode") == "remux", still).otherwise(by_mode)
+
+
+def audio_arguments(s: Settings, kind: Column, audio: Column) -> Column:
+    """The codec of the audio plan, with its rate where it has one."""
+    plan = tracks.audio_plan(s, kind, audio)
+    codec = F.array(F.lit("-c:a"), plan["codec"])
+    return F.when(plan["kbps"].isNull(), codec).otherwise(F.concat(codec, F.array(F.lit("-b:a"), F.concat(plan["kbps"].cast("string"), F.lit("k")))))
+
+
+def attempts(kind: Column, video: Column, audio: Column, subtitles: Column, wanted: Column, tags: Column) -> Column:
+    """Attempts in order, each all the arguments between input and output.
+
+    Matroska copies all subtitles, or the ``wanted`` ones where some are not; MP4 embeds the wanted text tracks first
+    and then goes without any.
+    """
+    maps = lambda kept: F.flatten(F.transform(kept, lambda t: F.array(F.lit("-map"), F.concat(F.lit("0:"), t["index"].cast("string")))))
+    base, text = texts("-map", "0:v:0", "-map", "0:a?"), F.filter(wanted, lambda t: q.is_text_sub(t["codec"]))
+    every = F.when(F.size(wanted) == F.size(subtitles), texts("-map", "0:s?")).otherwise(maps(wanted))
+    mkv = F.concat(base, every, video, audio, texts("-c:s", "copy"), tags)
+    ends = F.concat(tags, texts("-movflags", "+faststart+use_metadata_tags"))
+    embed, none = F.concat(base, maps(text), video, audio, texts("-c:s", "mov_text"), ends), F.concat(base, video, audio, ends)
+    return F.when(kind == "mkv", F.array(mkv)).when(F.size(text) > 0, F.array(embed, none)).otherwise(F.array(none))
 
 
 def tool(command: list[str], out: str) -> str:
@@ -43,7 +93,7 @@ def tool(command: list[str], out: str) -> str:
 
 
 def executed(jobs: DataFrame, encode: Callable[[list[str], str], str] = tool, binary: str = "ffmpeg") -> DataFrame:
-    """One result row for each job of (path, out_path, video array<string>, attempts).
+    """One result row for each job of (path, out_path, attempts array<array<string>>).
 
     Each attempt writes to a scratch name of its own and the first that succeeds replaces the target in one
     step, so a task that runs again only repeats the work. Errors are rows.
@@ -58,9 +108,8 @@ def executed(jobs: DataFrame, encode: Callable[[list[str], str], str] = tool, bi
         with tempfile.TemporaryDirectory() as scratch:
             for k, a in enumerate(job.attempts):
                 out = os.path.join(scratch, f"{k}-{os.path.basename(job.out_path)}")
-                subs = {"copy": ["-c:s", "copy"], "embed": ["-c:s", "mov_text"], "none": ["-sn"]}[a["subtitles"]]
                 try:
-                    error = encode([binary, "-y", "-i", job.path, *job.video, "-c:a", a["audio"], *subs, out], out)
+                    error = encode([binary, "-y", "-i", job.path, *a, out], out)
                     if not error:
                         size = os.path.getsize(out)
                         placed(out, job.out_path)
@@ -69,12 +118,41 @@ def executed(jobs: DataFrame, encode: Callable[[list[str], str], str] = tool, bi
                     error = str(e)
         return job.path, False, job.out_path, 0, -1, error
 
-    return jobs.select("path", "out_path", "video", "attempts").mapInPandas(run, RESULT)
+    return jobs.select("path", "out_path", "attempts").mapInPandas(run, RESULT)
 
 
 def placed(source: str, target: str) -> None:
-    """Move to another volume by copy beside the target and one rename."""
+    """Move by one rename; to another volume by a copy beside the target and a rename there."""
     os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-    part = f"{target}.part-{os.getpid()}"
-    shutil.copyfile(source, part)
-    os.replace(part, target)
+    try:
+        os.replace(source, target)
+    except OSError as e:
+        if e.errno != errno.EXDEV:
+            raise
+        part = f"{target}.part-{os.getpid()}"
+        shutil.copyfile(source, part)
+        os.replace(part, target)
+        os.unlink(source)
+
+
+def disposed(done: DataFrame) -> DataFrame:
+    """Carry out the ``fate`` of each original of (path, archive, fate): archived, deleted or left; (path, fate, error), never failing a task.
+
+    Archived-first originals have gone before their output was placed: a file that is no longer there is no error.
+    """
+
+    def act(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            errors = []
+            for r in rows.itertuples():
+                try:
+                    if r.fate in ("archived", "archived-first") and os.path.exists(r.path):
+                        placed(r.path, os.path.join(r.archive, os.path.basename(r.path)))
+                    elif r.fate == "deleted" and os.path.exists(r.path):
+                        os.unlink(r.path)
+                    errors.append("")
+                except OSError as e:
+                    errors.append(str(e))
+            yield pd.DataFrame({"path": rows["path"], "fate": rows["fate"], "error": errors})
+
+    return done.select("path", "archive", "fate").mapInPandas(act, "path string, fate string, error string")

@@ -16,7 +16,8 @@ def keyed(media: DataFrame, s: Settings, picked: Column | None = None) -> DataFr
     signature = F.lit(s.signature())
     if picked is not None:
         signature = F.when(picked, F.concat(signature, F.lit("|sw"))).otherwise(signature)
-    return media.withColumn("signature", signature)
+    known = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("size", "mtime") if c in media.columns}  # a file that is gone counts as 0
+    return media.withColumns({"signature": signature} | known)
 
 
 def ledger_line(signature: Column, path: Column, size: Column, mtime: Column) -> Column:
@@ -29,6 +30,23 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=LEDGER_DDL, quote="", escape="")
 
 
+def ledger_lines(spark: SparkSession, path: str) -> int:
+    """Lines of a ledger, of whatever settings; blank ones don't count."""
+    return spark.read.text(path).where(F.trim("value") != "").count()
+
+
+def clear_ledger(spark: SparkSession, path: str) -> int:
+    """Empty a ledger and return how many lines it had."""
+    had = ledger_lines(spark, path)
+    spark.createDataFrame([], LEDGER_DDL).write.mode("overwrite").csv(path, sep="\t")
+    return had
+
+
+def by_name(results: DataFrame, queue: DataFrame) -> DataFrame:
+    """Results whose file name is in the queue: by name, not by path, so files of one name stand for each other."""
+    return results.join(queue.select("name").distinct(), "name", "left_semi")
+
+
 def append_ledger(done: DataFrame, path: str) -> None:
     done.select(*KEY).write.mode("append").csv(path, sep="\t", quote="", escape="")
 

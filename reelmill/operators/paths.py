@@ -24,9 +24,28 @@ def archive_folder(s: Settings, path: Column) -> Column:
     return F.when(inner == "", F.lit(s.archive)).otherwise(F.concat(F.lit(f"{s.archive}/"), inner))
 
 
-def collisions(media: DataFrame, out: str, order: str) -> DataFrame:
-    """``media`` with ``writes``: whether it is the first, in scan order, to claim its output path. Others find it taken."""
-    return media.withColumn("writes", F.row_number().over(Window.partitionBy(out).orderBy(order)) == 1)
+def collisions(media: DataFrame, out: str, order: str, ok: str | None = None) -> DataFrame:
+    """``media`` with ``writes``: whether it claims its output path, in scan order. Others find it taken.
+
+    With ``ok`` (whether a file's work succeeded) the path is free until the first success.
+    """
+    if ok is None:
+        return media.withColumn("writes", F.row_number().over(Window.partitionBy(out).orderBy(order)) == 1)
+    before = Window.partitionBy(out).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return media.withColumn("writes", ~F.coalesce(F.bool_or(ok).over(before), F.lit(False)))
+
+
+def existing(plan: DataFrame, listing: DataFrame, out: str) -> DataFrame:
+    """``plan`` with outcome skip-existing, and no mode, where another file's output is there already.
+
+    ``listing`` has the paths that exist. A remux of a file onto itself is skip-modern; an encode onto itself goes on.
+    """
+    there = listing.select(F.col("path").alias("there")).distinct()
+    rows = plan.join(there, F.col(out) == F.col("there"), "left")
+    found = F.col("mode").isNotNull() & F.col("there").isNotNull() & (F.col(out) != F.col("path"))
+    same = (F.col("mode") == "remux") & (F.col(out) == F.col("path"))
+    outcome = F.when(same, "skip-modern").when(found, "skip-existing").otherwise(F.col("outcome"))
+    return rows.withColumns({"outcome": outcome, "mode": F.when(~F.coalesce(found | same, F.lit(False)), F.col("mode"))}).drop("there")
 
 
 def size_gate(mode: Column, src: Column, out: Column, ratio: float) -> Column:

@@ -76,9 +76,13 @@ LEFT_ALONE = {
 
 
 def short_size(n: Column) -> Column:
-    """A byte count, 1,000 to the unit: two decimals from a KB on, GB at most."""
+    """A byte count, 1,000 to the unit: two decimals from a KB on (ties go up), GB at most."""
     n = F.greatest(F.lit(0), n).cast("long")
-    scaled = lambda base, unit: F.format_string(f"%.2f {unit}", n / float(base))
+
+    def scaled(unit: int, name: str) -> Column:
+        hundredths = F.floor((n + unit // 200) / (unit // 100)).cast("long")
+        return F.format_string(f"%d.%02d {name}", F.floor(hundredths / 100).cast("long"), hundredths % 100)
+
     return F.when(n >= 10**9, scaled(10**9, "GB")).when(n >= 10**6, scaled(10**6, "MB")).when(n >= 1000, scaled(1000, "KB")).otherwise(F.format_string("%d B", n))
 
 
@@ -100,3 +104,8 @@ def listed(results: DataFrame) -> DataFrame:
 def failed(results: DataFrame) -> DataFrame:
     """The paths that a retry takes."""
     return results.where(F.col("outcome") == "error").select("path")
+
+
+def disposals(done: DataFrame) -> DataFrame:
+    """How many originals (fate, error) went where, and how many could not."""
+    return done.groupBy("fate").agg(F.count_if(F.col("error") == "").alias("done"), F.count_if(F.col("error") != "").alias("failed"))

@@ -38,8 +38,11 @@ def decide(media: DataFrame, s: Settings) -> DataFrame:
     is_h264, modern, legacy = (category == x for x in ("h264", "modern", "legacy"))
     rehome = F.lit(s.remux_to_mp4) & ~mp4
     rescue = F.when(source > 0, (source * 0.85).cast("long")).otherwise(s.floor_kbps)
+    unread = F.coalesce(F.col("vcodec"), F.lit("")) == ""
+    if "ok" in media.columns:  # whether the probe could read the file
+        unread = unread | ~F.coalesce(F.col("ok"), F.lit(False))
     rules = [
-        (F.coalesce(F.col("vcodec"), F.lit("")) == "", verdict(None, "skip-codec")),
+        (unread, verdict(None, "skip-codec")),
         (F.lit(s.leave_non_mp4) & ~mp4, verdict(None, "skip-non-mp4")),
         (F.col("own_work") & F.lit(not s.allow_second_generation), verdict(None, "skip-second-generation")),
         (is_h264 & worth, verdict("shrink", None, capped)),

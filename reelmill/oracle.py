@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from reelmill.functions.quality import H264, LEGACY, LOSSLESS, HIGH, MEDIUM, MODERN, MP4_AUDIO, MP4_EXTS, TEXT_SUBS
-from reelmill.settings import PIXELS_1080P, VIDEO_EXTS, Settings, density
-from reelmill.sources.media import AUDIO, CODECS, LANGUAGES, SIZES, SUBTITLES
-
+from reelmill.settings import Settings
+
+#: Fixed values, written out here and not taken from the engine, so that a wrong constant there shows.
+H264, MODERN = ("h264", "avc"), ("hevc", "av1", "vp9")
+LEGACY = ("mpeg2video", "mpeg4", "msmpeg4v1", "msmpeg4v2", "msmpeg4v3", "msmpeg4", "vc1", "wmv1", "wmv2", "wmv3", "flv1", "rv30", "rv40")
+LOSSLESS, HIGH, MEDIUM = ("truehd", "mlp", "flac", "alac", "pcm_s16le", "pcm_s24le", "pcm_bluray"), ("dts", "dca"), ("ac3", "eac3")
+MP4_AUDIO, MP4_EXTS = ("aac", "ac3", "eac3", "mp3", "alac", "mp4als"), ("mp4", "m4v", "mov")
+TEXT_SUBS = ("subrip", "srt", "ass", "ssa", "mov_text", "webvtt", "text")
+VIDEO_EXTS = ("mkv", "mp4", "mov", "avi", "webm", "m4v", "ts", "wmv", "flv")
+MBPS = {"OK": 6.0, "GOOD": 8.0, "EXCELLENT": 10.5, "STELLAR": 13.0, "INSANE": 15.5}
+#: How the test library is made from the order tables.
+CODECS = ("h264",) * 6 + ("hevc", "av1", "vp9", "mpeg2video", "mpeg4", "prores")
+SIZES = ((640, 360), (1280, 720), (1920, 1080), (2560, 1440), (3840, 2160), (7680, 4320))
+AUDIO, SUBTITLES, LANGUAGES = ("aac", "ac3", "dts", "truehd", "opus", "flac"), ("subrip", "ass", "hdmv_pgs_subtitle", "dvd_subtitle"), ("eng", "fre", "spa", "und")
 FPS = (24000 / 1001, 25.0, 30.0, 60.0, 0.0)
 
 
+def density(s: Settings) -> float:
+    """Bits a pixel and frame of the tier, or of the settings' own where they have one."""
+    return s.tier_bpp.get(s.tier) or MBPS[s.tier] * 1e6 / (1920 * 1080 * 30)
+
+
 def real(x: float) -> str:
     return f"{x:.17e}"
 
@@ -66,7 +81,7 @@ def factor(s: Settings) -> str:
 
 
 def raw_target(s: Settings) -> str:
-    return f"greatest({real(float(s.floor_kbps))}, {real(s.bpp)} * pixels * CASE WHEN fps > 0 THEN fps ELSE 30.0::double END * ({factor(s)}) / 1000.0::double)"
+    return f"greatest({real(float(s.floor_kbps))}, {real(density(s))} * pixels * CASE WHEN fps > 0 THEN fps ELSE 30.0::double END * ({factor(s)}) / 1000.0::double)"
 
 
 def decided(s: Settings) -> str:
@@ -117,7 +132,7 @@ sized AS (
 
 
 def work(picked: str = "false") -> str:
-    px = f"CASE WHEN pixels > 0 THEN {PIXELS_1080P}.0::double / pixels ELSE 1.0::double END"
+    px = f"CASE WHEN pixels > 0 THEN 2073600.0::double / pixels ELSE 1.0::double END"
     speed = f"(CASE WHEN {picked} THEN 0.82::double ELSE 6.0::double END * ({px}))"
     return f"CASE WHEN mode IN ('shrink', 'transcode') THEN CASE WHEN duration > 0 THEN duration / {speed} ELSE 1800.0::double / {speed} END WHEN mode = 'remux' THEN 10.0::double ELSE 0.1::double END"
 
@@ -147,4 +162,4 @@ def planning(s: Settings, *more: str) -> str:
     return "WITH " + ", ".join(x.strip() for x in (FILES, TRACKS, decided(s), predicted(s), *more))
 
 
-__all__ = ["FILES", "NAMED", "RESULTS", "TRACKS", "decided", "density", "planning", "predicted", "work"]
+__all__ = ["FILES", "NAMED", "RESULTS", "TRACKS", "decided", "planning", "predicted", "work"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.quality import half_even
@@ -56,3 +56,35 @@ def dry_run_totals(plan: DataFrame) -> DataFrame:
     saved = F.floor(F.col("size") * F.col("saving")).cast("long")
     one = plan.agg(F.count("*").alias("files"), F.count_if(gains).alias("saving_files"), F.sum(F.when(gains, F.col("size")).otherwise(0)).alias("bytes"), F.sum(F.when(gains, saved).otherwise(0)).alias("saved"))
     return one.withColumn("percent", F.when(F.col("bytes") > 0, F.col("saved") / F.col("bytes") * 100).otherwise(0.0))
+
+
+def estimate_state(probes: DataFrame, work_files: int, done: bool) -> str:
+    """Where an estimate stands: ready, still probing, or empty (all probed, nothing to work on)."""
+    if work_files and not probes.isEmpty():
+        return "ready"
+    return "empty" if done else "probing"
+
+
+def mean_work(plan: DataFrame, hardware: bool = True) -> DataFrame:
+    """One row: the mean seconds of a probed file, those left alone included; without any, that of five minutes of video."""
+    speed = predict.HARDWARE_SPEED if hardware else predict.SOFTWARE_SPEED
+    return plan.agg(F.coalesce(F.avg(predict.work_seconds(F.lit(False), hardware)), F.lit(300.0 / speed)).alias("mean"))
+
+
+def in_scan_order(scan: DataFrame) -> DataFrame:
+    """``scan`` with ``seq``, the place of each file in path order; numbered by path ranges, so no task holds the whole library."""
+    ranged = scan.repartitionByRange("path").withColumn("part", F.spark_partition_id())
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("part").alias("p"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
+    placed = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("path")))
+    return placed.join(F.broadcast(before), F.col("part") == F.col("p")).withColumn("seq", F.col("before") + F.col("nth")).drop("part", "p", "nth", "before")
+
+
+def first_file(scan: DataFrame) -> DataFrame:
+    """The file that a preview shows: the first in scan order."""
+    return scan.orderBy("path").limit(1)
+
+
+def dry_run(plan: DataFrame) -> DataFrame:
+    """The rows of a dry run by file name, then path."""
+    return plan.orderBy("name", "path")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import subprocess
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -90,12 +91,23 @@ def run_tool(path: str, tool: str = "ffprobe", seconds: int = 120) -> str:
         return json.dumps({"error": str(e)})
 
 
-def probed(scan: DataFrame, probe: Callable[[str], str] = run_tool, workers: int | None = None) -> DataFrame:
-    """``scan`` with ``document``: the probe's JSON of each path. Filter before: nothing is pushed through a probe."""
+def probed(scan: DataFrame, probe: Callable[[str], str] = run_tool, workers: int | None = None, pool: int = 12) -> DataFrame:
+    """``scan`` with ``document``: the probe's JSON of each path. Filter before: nothing is pushed through a probe.
+
+    Each task runs up to ``pool`` probes at once, as they mostly wait; a probe that raises leaves its row out.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(path: str) -> str | None:
+            try:
+                return probe(path)
+            except Exception:  # noqa: BLE001 - any probe may be passed
+                return None
+
         for rows in batches:
-            yield rows.assign(document=[probe(p) for p in rows["path"]])
+            with ThreadPoolExecutor(max_workers=max(1, min(pool, len(rows)))) as threads:
+                found = rows.assign(document=list(threads.map(one, rows["path"])))
+            yield found[found["document"].notna()]
 
     spread = scan.repartition(workers) if workers else scan
     return spread.mapInPandas(each, scan.withColumn("document", F.lit("")).schema)

@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reelmill.operators import report
 from reelmill.operators.predict import HEAVY_SECONDS, SKIP_SECONDS
+from reelmill.plans import library as plans
 
 
 def stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1, only: str = "*") -> DataFrame:
@@ -45,14 +47,42 @@ def running_eta(results: DataFrame) -> DataFrame:
     )
 
 
+def running_estimate(plan: DataFrame, total_files: int | None = None) -> DataFrame:
+    """The estimate over the files probed so far (output mode complete), scaled up to all until all are probed."""
+    return plans.estimate(plan, total_files)
+
+
+def field(line: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(line, rf"^{name}=\s*(\S.*)$", 1), F.lit(""))
+
+
+def told(line: Column, duration_s: Column) -> Column:
+    """struct(fps, bitrate, speed, fraction) that a line of encoder progress tells; null where it doesn't."""
+    return F.struct(*[field(F.trim(line), n).alias(n) for n in ("fps", "bitrate", "speed")], fraction(line, duration_s).alias("fraction"))
+
+
 def fraction(line: Column, duration_s: Column) -> Column:
     """The share done that a line of encoder progress tells, from 0 to 1; null for other lines."""
     at = F.nullif(F.regexp_extract(line, r"out_time_ms=(\d+)", 1), F.lit("")).try_cast("double") / 1e6
-    return F.when(duration_s > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), at / duration_s)))
+    return F.when((duration_s > 0) & at.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), at / duration_s)))
+
+
+def drained(query_source: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over all that is there; each batch's rows are a table of their own below ``folder``, with ``batch``."""
 
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
 
-def drained(query_source: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there into a table of the session and return it."""
-    started = query_source.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    started = query_source.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     started.awaitTermination()
-    return query_source.sparkSession.table(name)
+    spark = query_source.sparkSession
+    schema = StructType([*query_source.schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(schema).parquet(f"{folder}/rows") if started.lastProgress is not None else spark.createDataFrame([], schema)
+
+
+def newest(rows: DataFrame, *key: str) -> DataFrame:
+    """Of the batches of a drained stream the last row of each key, or the last batch where there is none."""
+    if not key:
+        return rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
+    rest = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")

@@ -5,8 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelmill.functions.names import extension, stem
-from reelmill.operators import execute, history
+from reelmill import settings
+from reelmill.operators import detail, execute, history, report
+from reelmill.plans import library as plans
 from reelmill.settings import Settings
+from reelmill.streaming import live
 from reelmill.sources import library, probe
 
 
@@ -55,8 +58,7 @@ def test_probe_rows_and_executor_never_fail(spark, tmp_path):
     scan = spark.createDataFrame([("/nowhere/a.mkv",)], "path string")
     assert not probe.normalised(probe.probed(scan)).first().ok
     out = str(tmp_path / "out" / "a.mp4")
-    job = [("/a.mkv", out, ["-c:v", "copy"], [("embed", "copy"), ("none", "copy")])]
-    jobs = spark.createDataFrame(job, "path string, out_path string, video array<string>, attempts array<struct<subtitles:string,audio:string>>")
+    jobs = spark.createDataFrame([("/a.mkv", out, [["-c:v", "copy", "-c:s", "mov_text"], ["-c:v", "copy", "-sn"]])], "path string, out_path string, attempts array<array<string>>")
 
     def second(command, to):
         if "-sn" not in command:
@@ -81,3 +83,74 @@ def test_ledger_round_trip(spark, tmp_path):
     assert history.pending(history.keyed(files, Settings(tier="GOOD")), ledger, s).count() == 2
     assert history.pending(keyed.withColumn("mtime", F.lit(0).cast("long")), ledger, s).count() == 2
     assert history.resumed(keyed, ledger, Settings(ledger_enabled=False)).count() == 0
+
+
+def test_a_pool_of_probes_leaves_raising_ones_out(spark):
+    scan = spark.createDataFrame([(f"/{i}",) for i in range(30)], "path string")
+
+    def probing(path):
+        if path.endswith("7"):
+            raise ValueError(path)
+        return f"doc {path}"
+
+    rows = probe.probed(scan, probing).collect()
+    assert {r.path for r in rows} == {f"/{i}" for i in range(30) if i % 10 != 7} and all(r.document == f"doc {r.path}" for r in rows)
+
+
+def test_ledger_is_cleared_and_gone_files_match(spark, tmp_path):
+    s, path = Settings(), str(tmp_path / "ledger")
+    files = spark.createDataFrame([("/a.mkv", None, None), ("/c.mkv", 6, 8)], "path string, size long, mtime long")
+    keyed = history.keyed(files, s)
+    history.append_ledger(keyed, path)
+    assert history.resumed(keyed, history.read_ledger(spark, path), s).count() == 2
+    assert history.clear_ledger(spark, path) == 2 and history.ledger_lines(spark, path) == 0
+
+
+def test_placement_and_disposal(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / name).write_text(name)
+    rows = [(str(tmp_path / n), str(tmp_path / "old"), f) for n, f in (("a", "archived"), ("b", "deleted"), ("c", "kept"), ("gone", "archived-first"))]
+    done = execute.disposed(spark.createDataFrame(rows, "path string, archive string, fate string"))
+    assert {(r.fate, r.done, r.failed) for r in report.disposals(done).collect()} == {("archived", 1, 0), ("deleted", 1, 0), ("kept", 1, 0), ("archived-first", 1, 0)}
+    assert (tmp_path / "old" / "a").read_text() == "a" and not (tmp_path / "b").exists() and (tmp_path / "c").exists()
+
+
+def test_encoder_families_in_order():
+    listed = "V hevc_nvenc V hevc_qsv V h264_amf"
+    assert execute.hardware_encoder("h265", listed, lambda n: True) == "hevc_nvenc"
+    assert execute.hardware_encoder("h265", listed, lambda n: n != "hevc_nvenc") == "hevc_qsv"
+    assert execute.hardware_encoder("h264", listed, lambda n: False) is None
+
+
+def test_provenance_arguments(spark):
+    rows = spark.createDataFrame([("shrink", 4000, None), ("remux", 0, "notes")], "mode string, target_kbps long, comment string")
+    a, b = [r.p for r in rows.select(detail.provenance(Settings(), F.lit("2024-01-31").cast("date"), F.col("comment")).alias("p")).collect()]
+    assert "REELMILL_TARGET_KBPS=4000" in a and a[-1] == "comment=Reelmill 0.2 — shrink to H.265 at quality 169 on 2024-01-31" and "BPS=" in a
+    assert b[-1] == "_STATISTICS_WRITING_DATE_UTC-eng=" and "REELMILL_MODE=remux" in b and not any(x.startswith("REELMILL_TARGET") for x in b)
+
+
+def test_progress_lines_and_previews(spark):
+    rows = spark.createDataFrame([("fps=25.0",), ("bitrate= 800kbits/s",), ("out_time_ms=5000000",), ("speed=2x",), ("junk",)], "line string")
+    got = [tuple(r.t) for r in rows.select(live.told(F.col("line"), F.lit(10.0)).alias("t")).collect()]
+    assert got == [("25.0", None, None, None), (None, "800kbits/s", None, None), (None, None, None, 0.5), (None, None, "2x", None), (None,) * 4]
+    view = lambda d, s=None: tuple(spark.range(1).select(detail.preview(F.lit(float(d)), None if s is None else F.lit(s)).alias("p")).first().p)
+    assert [view(100), view(100, 0.2), view(100, 1.5), view(3)] == [(50.0, 5.0), (20.0, 5.0), (95.0, 5.0), (0.0, 3.0)]
+
+
+def test_estimate_states_and_stream(spark, tmp_path):
+    plan = spark.createDataFrame([(100, 60, "shrink"), (50, 50, None)], "size long, predicted long, mode string")
+    assert [plans.estimate_state(plan, 2, True), plans.estimate_state(plan.limit(0), 2, False), plans.estimate_state(plan.limit(0), 0, True)] == ["ready", "probing", "empty"]
+    assert plans.mean_work(spark.createDataFrame([], "mode string, duration double, pixels long")).first().mean == 50.0
+    plan.write.parquet(f"{tmp_path}/t")
+    stream = live.stream(spark, f"{tmp_path}/t", plan.schema)
+    got = live.newest(live.drained(live.running_estimate(stream, 4), "complete", f"{tmp_path}/out"))
+    assert got.collect() == plans.estimate(plan, 4).collect()
+
+
+def test_sessions(tmp_path):
+    kept = tmp_path / "s.json"
+    kept.write_text(json.dumps({"src": str(tmp_path), "tier": "GOOD"}))
+    assert settings.saved(str(kept))["tier"] == "GOOD" and settings.saved("/nowhere") == {}
+    kept.write_text(json.dumps({"src": "/nowhere"}))
+    assert settings.saved(str(kept)) == {}
+    assert not settings.changed({"a": 1, "b": [2]}, {"b": [2], "a": 1}) and settings.changed({"a": 1}, {"a": 2})
