@@ -64,6 +64,11 @@ def tables_so_far() -> int:
     return len(_TABLES)
 
 
+def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """``rows`` (a written table of short rows) marked for broadcast where they are at most ``most``; else joins shuffle as usual."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def heavy_keys(counts: DataFrame, key: str, n: str, least: int = 10_000) -> list:
     """Keys with over a thousandth of all rows (and over ``least``), of a table of keys with their numbers of rows.
 

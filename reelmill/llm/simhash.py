@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import forget, fresh, mix, release, signed, tables_so_far, written
+from reelmill.llm.common import few, forget, fresh, mix, release, signed, tables_so_far, written
 from reelmill.llm.components import components
 
 BITS = 64
@@ -406,7 +406,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(spark)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     asked = written(some.join(ends, "node").select("node", "fp", "twin", "n", F.col("first.row").alias("row")), "asked")
-    bodies = source.join(asked.select("row", "node"), "row").dropDuplicates(["row"])
+    bodies = source.join(few(asked.select("row", "node")), "row").dropDuplicates(["row"])
     sets = written(shingle_sets(bodies, words), "shingles")
     release(spark)
     firm = written(components(alike(links, sets, similarity)), "firm")
@@ -422,7 +422,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = written(own.select("row").distinct().join(stay, "row", "left_anti").withColumnRenamed("row", name), "gone")
     several = written(times.where("times > 1").join(stay, "row", "left_semi").select(F.col("row").alias(name)), "several")
     forget(spark, since, "gone", "several")
-    kept = docs.withColumn(name, row).join(gone, name, "left_anti")
+    kept = docs.withColumn(name, row).join(few(gone), name, "left_anti")
     if not several.isEmpty():  # rows equal in id and text
         kept = kept.join(several, name, "left_anti").unionByName(kept.join(several, name, "left_semi").dropDuplicates([name]))
     return kept.select(*docs.columns)
