@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +17,14 @@ from reelmill.llm.common import batch, forget, fresh, heavy_keys, mix, release,
 #: Words of the gram whose least hash anchors a window.
 GRAM = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct segments that one automaton of an anchor holds at most; windows of anchors with more are dealt by their own hash.
+#: Distinct segments that one automaton of an anchor holds at most; windows of anchors with more are counted by slices.
 REFERENCE = 512
 #: Bytes of all distinct segments up to which their automata are broadcast, and bytes of one such shard.
 BROADCAST, SHARD = 1 << 20, 1 << 18
 
 SEGMENTS = pa.schema([("uid", pa.binary()), ("anchor", pa.int64()), ("start", pa.int32()), ("seg", pa.binary()), ("body", pa.binary()), ("times", pa.int64())])
 SPANS = pa.schema([("seg", pa.binary()), ("spans", pa.list_(pa.int32()))])
-WINDOWS = pa.schema([("window", pa.binary()), ("seg", pa.binary()), ("start", pa.int32()), ("times", pa.int64())])
+WINDOWS = pa.schema([("anchor", pa.int64()), ("part", pa.int32()), ("window", pa.binary()), ("times", pa.int64())])
 
 
 def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,25 +190,63 @@ def anchor_rows(texts: DataFrame, keep: list[str], window: int) -> DataFrame:
     return texts.select(*keep, "uid", "text").mapInArrow(run, schema)
 
 
-def repeated_windows(segments: DataFrame, window: int) -> DataFrame:
-    """(seg, spans) for segments (seg, body, times) of anchors with many contexts: each window is dealt by the MD5 of its words.
+def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple[bytes, int, list[bytes]]], set[bytes]]]:
+    """(anchor, part, [(seg, times, its windows' MD5s)], windows named) for each slice of sorted rows (anchor, part, window, seg, body, times, size).
 
-    Rows grow with the segments, a window with its own hash however many contexts it has.
+    A row has either a window or a segment.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for seg, body, times in zip(*(c.to_pylist() for c in b.columns)):
+    key, members, named = None, [], set()
+    for b in batches:
+        for anchor, part, window, seg, body, times, size in zip(*(c.to_pylist() for c in b.columns)):
+            if (anchor, part) != key:
+                if members:
+                    yield *key, members, named
+                key, members, named = (anchor, part), [], set()
+            if seg is None:
+                named.add(window)
+            else:
                 words = body.split(b" ")
-                out += [(hashlib.md5(b" ".join(words[i : i + window])).digest(), seg, i, times) for i in range(len(words) - window + 1)]
-            if out:
-                yield rows_of(WINDOWS, out)
+                members.append((seg, times, [hashlib.md5(b" ".join(words[i : i + size])).digest() for i in range(len(words) - size + 1)]))
+    if members:
+        yield *key, members, named
+
+
+def windows_in(members: list[tuple[bytes, int, list[bytes]]]) -> Counter:
+    """How often each window occurs in a slice."""
+    found: Counter = Counter()
+    for _, times, windows in members:
+        for w in windows:
+            found[w] += times
+    return found
+
+
+def repeated_windows(segments: DataFrame, window: int, reference: int) -> DataFrame:
+    """(seg, spans) for segments (anchor, seg, body, times, n) of anchors with ``n`` > ``reference`` distinct segments.
+
+    An anchor's segments are dealt in slices of about ``reference``. A slice gives each of its distinct windows once,
+    by the MD5 of the words, with its times; it is told which of those that it holds once are in other slices too.
+    Rows grow with the segments however many contexts an anchor has, and near copies in a slice share theirs.
+    """
+    part = F.pmod(F.hash("seg"), F.ceil(F.col("n") / reference)).cast("int").alias("part")
+    slices = written(segments.select("anchor", part, "seg", "body", "times"), "slices")
+    told = slices.select("anchor", "part", F.lit(None).cast("binary").alias("window"), "seg", "body", "times", F.lit(window).alias("size"))
+    dealt = lambda df: df.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.col("seg").isNotNull())
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for anchor, part, members, _ in slices_of(batches):
+            yield rows_of(WINDOWS, [(anchor, part, w, times) for w, times in windows_in(members).items()])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, members, named in slices_of(batches):
+            named |= {w for w, times in windows_in(members).items() if times > 1}
+            out = [(seg, [x for i, w in enumerate(windows) if w in named for x in (i, i + window)]) for seg, _, windows in members]
+            if out := [(seg, spans) for seg, spans in out if spans]:
+                yield rows_of(SPANS, out)
 
-    rows = written(segments.select("seg", "body", "times").mapInArrow(run, "window binary, seg binary, start int, times long"), "windows")
+    rows = written(dealt(told).mapInArrow(tell, "anchor long, part int, window binary, times long"), "windows")
     counts = written(rows.groupBy("window").agg(F.sum("times").alias("all"), F.count("*").alias("n")), "counts")
-    again = spread_join(rows, counts.where("all > 1").select("window"), "window", "left_semi", heavy_keys(counts, "window", "n"))
-    return again.groupBy("seg").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + window))).alias("spans"))
+    again = spread_join(rows.where("times = 1"), counts.where("all > 1").select("window"), "window", "left_semi", heavy_keys(counts, "window", "n"))
+    return dealt(told.unionByName(again.select("anchor", "part", "window"), allowMissingColumns=True)).mapInArrow(settle, "seg binary, spans array<int>")
 
 
 def matched(segments: DataFrame, window: int, reference: int) -> DataFrame:
@@ -250,7 +289,7 @@ def matched(segments: DataFrame, window: int, reference: int) -> DataFrame:
     found = dealt.mapInArrow(run, "seg binary, spans array<int>")
     if per.where(F.col("n") > reference).isEmpty():
         return found
-    return found.unionByName(repeated_windows(rows.where(F.col("n") > reference), window))
+    return found.unionByName(repeated_windows(rows.where(F.col("n") > reference), window, reference))
 
 
 def automaton(sequences: list[tuple[list[bytes], int]]) -> SuffixAutomaton:
