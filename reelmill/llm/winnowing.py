@@ -141,7 +141,7 @@ def in_ranges(docs: DataFrame, order: str, tie: str, ranges: int) -> DataFrame:
         .drop("at", "h_at", "head", "before")
         .select("*", "copy.at", "copy.own")
         .drop("copy")
-        .repartition(ranges, "at")
+        .repartitionById(ranges, "at")  # by its number: a hash would put several ranges into one task
     )
 
 
