@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import errno
 import os
-import shutil
 import subprocess
 import tempfile
 from collections.abc import Callable, Iterator
@@ -14,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelmill.functions import quality as q
-from reelmill.operators import tracks
+from reelmill.operators import tracks, volumes
 from reelmill.settings import Settings
 
 RESULT = "path string, ok boolean, out_path string, out_bytes long, attempt int, error string"
@@ -22,6 +20,8 @@ RESULT = "path string, ok boolean, out_path string, out_bytes long, attempt int,
 SOFTWARE = {"transcode": ({"h264": "18", "h265": "20"}, "slow"), "shrink": ({"h264": "20", "h265": "21"}, "medium")}
 #: Hardware encoder families in the order in which they are tried.
 FAMILIES = ("videotoolbox", "nvenc", "qsv", "amf")
+#: What an encode says that was ended because the run was; its job gives no row.
+ABORTED = "aborted"
 
 
 def texts(*parts: str | Column) -> Column:
@@ -86,33 +86,55 @@ def attempts(kind: Column, video: Column, audio: Column, subtitles: Column, want
     return F.when(kind == "mkv", F.array(mkv)).when(F.size(text) > 0, F.array(embed, none)).otherwise(F.array(none))
 
 
-def tool(command: list[str], out: str) -> str:
-    """Run the encoder; the last two lines of what it says where it fails."""
-    done = subprocess.run(command, capture_output=True, text=True, check=False)
-    return "" if done.returncode == 0 and os.path.exists(out) else " / ".join(done.stderr.strip().splitlines()[-2:]) or "no output"
+def tool(command: list[str], out: str, abort: str = "", every: float = 0.2) -> str:
+    """Run the encoder; the last two lines of what it says where it fails. It is killed when the file ``abort`` is there."""
+    ended = volumes.marker(abort)
+    with tempfile.TemporaryFile() as said:
+        with subprocess.Popen(command, stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=said) as running:
+            while running.poll() is None:
+                if ended():
+                    running.kill()
+                    return ABORTED
+                try:
+                    running.wait(every)
+                except subprocess.TimeoutExpired:
+                    continue
+        if running.returncode == 0 and os.path.exists(out):
+            return ""
+        said.seek(0)
+        return " / ".join(said.read().decode(errors="replace").strip().splitlines()[-2:]) or "no output"
 
 
-def executed(jobs: DataFrame, encode: Callable[[list[str], str], str] = tool, binary: str = "ffmpeg") -> DataFrame:
+def executed(jobs: DataFrame, encode: Callable[[list[str], str], str] = tool, binary: str = "ffmpeg", stop: str = "", events: str = "") -> DataFrame:
     """One result row for each job of (path, out_path, attempts array<array<string>>).
 
     Each attempt writes to a scratch name of its own and the first that succeeds replaces the target in one
-    step, so a task that runs again only repeats the work. Errors are rows.
+    step, so a task that runs again only repeats the work. Errors are rows. A job is begun only when the volumes of
+    its source and target answer; waits are told in the folder ``events``. Once the file ``stop`` is there (in a
+    folder that all executors share) jobs that run are finished and the others give no row, as aborted ones.
     """
+    fields = ["path", "ok", "out_path", "out_bytes", "attempt", "error"]
+    stopped = volumes.marker(stop)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        say = volumes.teller(events)
         for rows in batches:
-            yield pd.DataFrame([one(r) for r in rows.itertuples()], columns=["path", "ok", "out_path", "out_bytes", "attempt", "error"])
+            yield pd.DataFrame([d for r in rows.itertuples() if (d := one(r, say))], columns=fields)
 
-    def one(job) -> tuple:
+    def one(job, say) -> tuple | None:
+        if stopped() or not all(volumes.awaited(p, say, stopped) for p in (job.path, job.out_path)):
+            return None
         error = "no attempts"
         with tempfile.TemporaryDirectory() as scratch:
             for k, a in enumerate(job.attempts):
                 out = os.path.join(scratch, f"{k}-{os.path.basename(job.out_path)}")
                 try:
                     error = encode([binary, "-y", "-i", job.path, *a, out], out)
+                    if error == ABORTED:
+                        return None
                     if not error:
                         size = os.path.getsize(out)
-                        placed(out, job.out_path)
+                        volumes.moved(out, job.out_path, say)
                         return job.path, True, job.out_path, size, k, ""
                 except OSError as e:
                     error = str(e)
@@ -121,20 +143,6 @@ def executed(jobs: DataFrame, encode: Callable[[list[str], str], str] = tool, bi
     return jobs.select("path", "out_path", "attempts").mapInPandas(run, RESULT)
 
 
-def placed(source: str, target: str) -> None:
-    """Move by one rename; to another volume by a copy beside the target and a rename there."""
-    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-    try:
-        os.replace(source, target)
-    except OSError as e:
-        if e.errno != errno.EXDEV:
-            raise
-        part = f"{target}.part-{os.getpid()}"
-        shutil.copyfile(source, part)
-        os.replace(part, target)
-        os.unlink(source)
-
-
 def disposed(done: DataFrame) -> DataFrame:
     """Carry out the ``fate`` of each original of (path, archive, fate): archived, deleted or left; (path, fate, error), never failing a task.
 
@@ -147,7 +155,7 @@ def disposed(done: DataFrame) -> DataFrame:
             for r in rows.itertuples():
                 try:
                     if r.fate in ("archived", "archived-first") and os.path.exists(r.path):
-                        placed(r.path, os.path.join(r.archive, os.path.basename(r.path)))
+                        volumes.moved(r.path, os.path.join(r.archive, os.path.basename(r.path)))
                     elif r.fate == "deleted" and os.path.exists(r.path):
                         os.unlink(r.path)
                     errors.append("")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelmill.functions import quality as q
 from reelmill.functions.names import cut_tail
+from reelmill.settings import PIXELS_1080P, REFERENCE_FPS, Settings, density
 
 #: Outcomes in the order of the report.
 ORDER = ("shrink", "transcode", "remux", "skip-at-tier", "skip-under-tier", "skip-modern", "skip-existing", "skip-min-saving", "skip-incompatible", "skip-codec", "resume", "error")
@@ -101,6 +102,33 @@ def listed(results: DataFrame) -> DataFrame:
     return results.withColumns({"bucket": bucket(), "severity": severity, "label": label})
 
 
+def header(s: Settings, dry: bool = False) -> list[str]:
+    """What a run is about to do, line by line; a density of one's own gives the megabits of 1080p at 30 frames that it means."""
+    mbps = s.bpp * PIXELS_1080P * REFERENCE_FPS / 1e6
+    quality = f"{s.tier.lower()}, {mbps:.1f} Mbps H.264 at 1080p30" + (f", {mbps * s.hevc[0]:.1f} Mbps H.265" if s.codec == "h265" else "")
+    if abs(s.bpp - density(s.tier)) > 1e-9:
+        quality += f", set to {s.bpp:.4f} bits a pixel"
+    rules = [f"{word} {limit / 1e6:g} MB" for word, limit in (("under", s.ignore_under), ("over", s.ignore_over)) if limit]
+    rules += [f".{x}" for x in s.ignore_exts] + [f"names with {x!r}" for x in s.ignore_names]
+    said = {
+        "source": s.src, "codec": s.codec, "quality": quality, "ignored": ", ".join(rules), "encoder": s.encoder,
+        "remux": "yes" if s.remux_to_mp4 else "no", "transcode": "yes" if s.compat_transcode else "no",
+        "output": s.output_dir if s.output_mode == "separate" else "in place", "originals": s.source_action, "jobs": s.jobs,
+        "again": f"sources {round((s.tolerance - 1) * 100)}% over target", "resume": "" if dry else "on" if s.ledger_enabled else "off",
+    }
+    return [f"{k + ':':<12}{v}" for k, v in said.items() if v not in ("", None)]
+
+
+def console(results: DataFrame) -> DataFrame:
+    """What is said of each result as (path, nth, line): a line with the share saved of changed files, then its notes."""
+    names = F.create_map(*[F.lit(x) for pair in LEFT_ALONE.items() for x in pair])
+    share = F.when(changed() & (F.col("src_bytes") > 0), F.format_string("  (%.0f%% smaller)", q.half_even(100 * (1 - F.col("out_bytes") / F.col("src_bytes"))).cast("double"))).otherwise("")
+    name = F.element_at(F.split("path", "/"), -1)
+    first = F.format_string("  %-42s %s%s", F.coalesce(F.try_element_at(names, F.col("outcome")), F.col("outcome")), name, share)
+    notes = F.transform("notes", lambda n: F.format_string("      [%s] %s", n["level"], n["message"]))
+    return results.select("path", F.posexplode(F.concat(F.array(first), F.coalesce(notes, F.array()))).alias("nth", "line"))
+
+
 def failed(results: DataFrame) -> DataFrame:
     """The paths that a retry takes."""
     return results.where(F.col("outcome") == "error").select("path")

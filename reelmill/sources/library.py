@@ -16,10 +16,15 @@ from reelmill.settings import Settings
 #: Folder names that are never entered.
 PRUNED = (".Trashes", ".Spotlight-V100", ".fseventsd", ".TemporaryItems", "originals", "new versions", "archived")
 DDL = "path string, name string, size long, mtime long"
+#: Folders to walk from which levels are no longer split, levels looked at by the driver, and tasks at most.
+ENOUGH, LEVELS, TASKS = 256, 4, 4096
 
 
 class FolderReader(DataSourceReader):
-    """Walks the top folders in parallel; links are not followed and pruned folders not entered."""
+    """Walks folders in parallel; links are not followed and pruned folders not entered.
+
+    The upper levels are split until there are enough folders to walk, so one large folder is many tasks.
+    """
 
     def __init__(self, root: str, left_out: frozenset[str]):
         self.root, self.left_out = root, left_out
@@ -27,13 +32,27 @@ class FolderReader(DataSourceReader):
     def enters(self, folder: str) -> bool:
         return os.path.basename(folder) not in PRUNED and os.path.realpath(folder) not in self.left_out and not os.path.islink(folder)
 
+    def inner(self, folder: str) -> list[str]:
+        try:
+            with os.scandir(folder) as found:
+                return sorted(e.path for e in found if e.is_dir(follow_symlinks=False) and self.enters(e.path))
+        except OSError:
+            return []
+
     def partitions(self):
-        with os.scandir(self.root) as found:
-            folders = sorted(e.path for e in found if e.is_dir(follow_symlinks=False) and self.enters(e.path))
-        return [InputPartition((self.root, False)), *(InputPartition((f, True)) for f in folders)]
+        upper, walked = [], [self.root]
+        for _ in range(LEVELS):
+            if len(walked) >= ENOUGH:
+                break
+            upper, walked = upper + walked, [f for folder in walked for f in self.inner(folder)]
+        folders = [(f, False) for f in upper] + [(f, True) for f in walked]
+        return [InputPartition(folders[i::TASKS]) for i in range(min(TASKS, len(folders)))]
 
     def read(self, partition) -> Iterator[tuple]:
-        top, deep = partition.value
+        for top, deep in partition.value:
+            yield from self.walk(top, deep)
+
+    def walk(self, top: str, deep: bool) -> Iterator[tuple]:
         for folder, inner, names in os.walk(top):
             inner[:] = sorted(d for d in inner if deep and self.enters(os.path.join(folder, d)))
             for name in sorted(names):
