@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reelmill import oracle as o
 from reelmill.functions import quality as q
 from reelmill.functions.names import cut_tail, extension, stem
-from reelmill.operators import detail, execute, history, paths, predict, progress, report, rules, tracks
+from reelmill.operators import detail, execute, history, paths, predict, progress, report, rules, tracks, volumes
 from reelmill.plans import library as plans
 from reelmill.settings import TIER_MBPS, Settings
 from reelmill.sources import media, probe
@@ -252,6 +252,24 @@ def _(spark, d):
     return report.listed(media.results(spark, d)).select("event_id", "bucket", "severity", "label")
 
 
+CONSOLE = """SELECT event_id, 0 AS nth, '  ' || rpad(CASE outcome WHEN 'skip-at-tier' THEN 'already efficient' ELSE outcome END, 42, ' ') || ' e' || event_id
+    || CASE WHEN changed AND src_bytes > 0 THEN printf('  (%.0f%% smaller)', 100 * (1 - out_bytes / src_bytes::double)) ELSE '' END AS line FROM judged
+  UNION ALL SELECT event_id, 1 AS nth, '      [' || level || '] note ' || event_id AS line FROM judged WHERE level IS NOT NULL"""
+
+
+@query("console_lines", f"WITH {o.RESULTS.strip()} {CONSOLE}")
+def _(spark, d):
+    said = report.console(media.results(spark, d))
+    return said.select(F.regexp_extract("path", r"e(\d+)$", 1).cast("long").alias("event_id"), "nth", "line")
+
+
+@query("stuck_volumes", "SELECT path, since FROM (SELECT '/vol/' || user_id AS path, max(event_id) AS since, max_by(value > 50, event_id) AS stuck FROM events GROUP BY user_id) WHERE stuck")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    told = rows.select(F.concat(F.lit("/vol/"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("at"), F.when(F.col("value") > 50, "stuck").otherwise("back").alias("event"))
+    return volumes.stuck_now(told)
+
+
 # containers, audio, subtitles ------------------------------------------------------------------------------------
 
 
