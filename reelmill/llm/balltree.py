@@ -134,15 +134,15 @@ def length(v: np.ndarray) -> float:
     return unit * float(np.linalg.norm(v / unit)) if unit > 0 else 0.0
 
 
-def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v array<double>, dim): floor(scale * x) of every component; vectors with null or non-finite ones are left out.
+def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int, *more: Column) -> DataFrame:
+    """(vec_id, v array<double>, dim, *more): floor(scale * x) of every component; vectors with null or non-finite ones are left out.
 
     A double from 2^53 on is a whole number itself, so only smaller ones are floored.
     """
     scaled = lambda x: x.cast("double") * scale
     v = F.transform(F.col(vector_col), lambda x: F.when(F.abs(scaled(x)) >= EXACT, scaled(x)).otherwise(F.floor(scaled(x)).cast("double")))
     whole = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(scaled(x)) < float("inf")))
-    return vectors.where(F.col(vector_col).isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(vector_col).alias("dim"))
+    return vectors.where(F.col(vector_col).isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(vector_col).alias("dim"), *more)
 
 
 def rows_of(b: pa.RecordBatch, at: int) -> list[np.ndarray]:

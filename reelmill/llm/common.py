@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """``written`` for a result that comes in parts of one schema (at least one): each is a folder of one table."""
+    spark = path = schema = None
+    for i, df in enumerate(parts):
+        if path is None:
+            spark, schema = df.sparkSession, df.schema
+            path = f"{shared_dir(spark)}/reelmill/{name}-{uuid.uuid4().hex}"
+            _TABLES.append(path)
+        df.write.parquet(f"{path}/part_of_table={i}")
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nobody holds any more; it does so when the driver collects garbage."""
     gc.collect()
@@ -114,6 +127,27 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+LONG = 2**63 - 1
+
+
+def cut_score(n: int) -> tuple[int, bytes | None]:
+    """A whole number as a long, cut to the ends of its range, and where it is at or beyond them bytes that sort as the numbers do.
+
+    Sorted by both, numbers of any size are in their order; ``whole_score`` gives the number back.
+    """
+    if -LONG - 1 < n < LONG:
+        return n, None
+    size = (abs(n).bit_length() + 7) // 8
+    data = size.to_bytes(4, "big") + abs(n).to_bytes(size, "big")
+    return (LONG, b"\x01" + data) if n > 0 else (-LONG - 1, b"\x00" + bytes(255 - x for x in data))
+
+
+def whole_score(score: int, wide: bytes | None) -> int:
+    if wide is None:
+        return score
+    return int.from_bytes(wide[5:], "big") if wide[0] else -int.from_bytes(bytes(255 - x for x in wide[5:]), "big")
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=schema.field(n).type) for n, c in columns.items()],

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from reelmill.llm import balltree, extraction, infill, langid, packing, pieces, sharding, simhash, substrings, toxicity, winnowing
+from reelmill.llm import balltree, extraction, infill, langid, negatives, packing, pieces, sharding, simhash, substrings, toxicity, winnowing
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op10_pieces": pieces.op10_pieces,
     "op11_infill": infill.op11_infill,
+    "op13_negatives": negatives.op13_negatives,
     "op2_sharding": sharding.op2_sharding,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
@@ -20,6 +21,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op11_infill": infill.OP11_SQL,
+    "op13_negatives": negatives.OP13_SQL,
     "op2_sharding": sharding.OP2_SQL,
     "op7_substrings": substrings.OP7_SQL,
     "op9_balltree": balltree.OP9_SQL,
