@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from reelmill.llm import balltree, extraction, infill, langid, negatives, packing, pieces, sharding, simhash, substrings, toxicity, winnowing
+from reelmill.llm import balltree, extraction, infill, langid, negatives, packing, parity, pieces, sharding, simhash, substrings, toxicity, winnowing
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op10_pieces": pieces.op10_pieces,
     "op11_infill": infill.op11_infill,
+    "op12_parity": parity.op12_parity,
     "op13_negatives": negatives.op13_negatives,
     "op2_sharding": sharding.op2_sharding,
     "op3_simhash": simhash.op3_simhash,
