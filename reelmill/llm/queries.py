@@ -22,6 +22,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op11_infill": infill.OP11_SQL,
+    "op12_parity": parity.OP12_SQL,
     "op13_negatives": negatives.OP13_SQL,
     "op2_sharding": sharding.OP2_SQL,
     "op7_substrings": substrings.OP7_SQL,
