@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmill import oracle as o
+from reelmill import tables
 from reelmill.functions import quality as q
 from reelmill.functions.names import cut_tail, extension, stem
 from reelmill.operators import detail, execute, history, paths, predict, progress, report, rules, tracks, volumes
@@ -544,13 +543,9 @@ def _streamed(spark, d: str) -> DataFrame:
     return raw.select("event_id", F.col("user_id").alias("run"), outcome.alias("outcome"), src.alias("src_bytes"), F.floor(src * (F.col("event_id") % 10 + 1) / 10.0).cast("long").alias("out_bytes"))
 
 
-def _scratch(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelmill-")) + f"/stream-{uuid.uuid4().hex}"
-
-
 @query("stream_run_summary", f"WITH {o.RESULTS.strip()} SELECT outcome, count(*) AS files, sum(saved)::bigint AS saved FROM judged GROUP BY outcome")
 def _(spark, d):
-    return live.newest(live.drained(live.running_summary(_streamed(spark, d)), "complete", _scratch(spark)))
+    return live.newest(live.drained(live.running_summary(_streamed(spark, d)), "complete", tables.place(spark, "stream")))
 
 
 @query("stream_eta", TIMED + """ SELECT run, done, spent_heavy, spent_light, CASE WHEN planned > 30 THEN least(5.0::double, greatest(0.2::double, spent_heavy / planned)) ELSE 1.0::double END AS rate, CASE WHEN n_light > 20 THEN spent_light / n_light ELSE 0.1::double END AS light_rate
@@ -558,7 +553,7 @@ def _(spark, d):
 def _(spark, d):
     seconds = F.when(F.col("outcome").isin("shrink", "transcode"), F.lit(20.0) + F.col("event_id") % 50).when(F.col("outcome") == "remux", 10.0).otherwise(0.1)
     timed = _streamed(spark, d).select("run", seconds.alias("predicted_s"), ((F.col("event_id") * 7) % 64 / 4.0).alias("real_s"))
-    return live.newest(live.drained(live.running_eta(timed), "update", _scratch(spark)), "run")
+    return live.newest(live.drained(live.running_eta(timed), "update", tables.place(spark, "stream")), "run")
 
 
 # encoding --------------------------------------------------------------------------------------------------------

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmill.functions.quality import half_even
 from reelmill.operators import predict, rules
+from reelmill.operators.running import with_running
 from reelmill.settings import Settings
 
 ENCODED = ("shrink", "transcode")
@@ -71,13 +72,9 @@ def mean_work(plan: DataFrame, hardware: bool = True) -> DataFrame:
     return plan.agg(F.coalesce(F.avg(predict.work_seconds(F.lit(False), hardware)), F.lit(300.0 / speed)).alias("mean"))
 
 
-def in_scan_order(scan: DataFrame) -> DataFrame:
-    """``scan`` with ``seq``, the place of each file in path order; numbered by path ranges, so no task holds the whole library."""
-    ranged = scan.repartitionByRange("path").withColumn("part", F.spark_partition_id())
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select(F.col("part").alias("p"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
-    placed = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("path")))
-    return placed.join(F.broadcast(before), F.col("part") == F.col("p")).withColumn("seq", F.col("before") + F.col("nth")).drop("part", "p", "nth", "before")
+def in_scan_order(scan: DataFrame, parts: int | None = None) -> DataFrame:
+    """``scan`` with ``seq``, the place of each file in path order from 1, without a gap; no task holds the whole library."""
+    return with_running(scan, ["path"], {"seq": F.lit(1).cast("long")}, parts=parts).drop("seq_all")
 
 
 def first_file(scan: DataFrame) -> DataFrame:
