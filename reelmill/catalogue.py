@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reelmill import oracle as o
 from reelmill import tables
@@ -201,6 +203,18 @@ def _(spark, d):
     return history.pending(history.keyed(media.files(spark, d), S), media.ledger(spark, d, S), S).select("file_id", "path")
 
 
+def _stored(spark, d: str) -> DataFrame:
+    name = f"ledger_{uuid.uuid4().hex}"
+    return history.stored_ledger(media.ledger(spark, d, S), name, tables.place(spark, "ledger"))
+
+
+@query("resume_stored", f"WITH {o.FILES.strip()}, {LEDGER} SELECT file_id, CASE WHEN {HELD} THEN 'resume' ELSE 'pending' END AS state FROM files")
+def _(spark, d):
+    files, ledger = media.files(spark, d).select("file_id", "path", "size", "mtime"), _stored(spark, d)
+    held, left = (history.held_files(files, ledger, S.signature(), how) for how in ("left_semi", "left_anti"))
+    return held.select("file_id", F.lit("resume").alias("state")).unionByName(left.select("file_id", F.lit("pending").alias("state")))
+
+
 @query("ledger_keys", f"WITH {o.FILES.strip()} SELECT file_id, '{SIGNATURE}' || CASE WHEN file_id % 10 = 0 THEN '|sw' ELSE '' END || chr(9) || path || chr(9) || size || chr(9) || mtime AS line FROM files")
 def _(spark, d):
     rows = history.keyed(media.files(spark, d), S, F.col("file_id") % 10 == 0)
@@ -251,9 +265,9 @@ def _(spark, d):
     return report.listed(media.results(spark, d)).select("event_id", "bucket", "severity", "label")
 
 
-CONSOLE = """SELECT event_id, 0 AS nth, '  ' || rpad(CASE outcome WHEN 'skip-at-tier' THEN 'already efficient' ELSE outcome END, 42, ' ') || ' e' || event_id
-    || CASE WHEN changed AND src_bytes > 0 THEN printf('  (%.0f%% smaller)', 100 * (1 - out_bytes / src_bytes::double)) ELSE '' END AS line FROM judged
-  UNION ALL SELECT event_id, 1 AS nth, '      [' || level || '] note ' || event_id AS line FROM judged WHERE level IS NOT NULL"""
+CONSOLE = """SELECT event_id, 0 AS nth, 'e' || event_id || ': ' || CASE outcome WHEN 'skip-at-tier' THEN 'already efficient' ELSE outcome END
+    || CASE WHEN changed AND src_bytes > 0 THEN printf(', %.0f%% smaller', 100 * (1 - out_bytes / src_bytes::double)) ELSE '' END AS line FROM judged
+  UNION ALL SELECT event_id, 1 AS nth, '  ' || lower(level) || ': note ' || event_id AS line FROM judged WHERE level IS NOT NULL"""
 
 
 @query("console_lines", f"WITH {o.RESULTS.strip()} {CONSOLE}")
@@ -477,18 +491,24 @@ def _(spark, d):
     return progress.gaps(_timed(spark, d), "run", ["ts", "event_id"], "ts").select("event_id", "run", "gap_us")
 
 
-@query("progress_shown", """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq) AS n FROM (
+SHOWN = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq) AS n FROM (
     SELECT 'user' || user_id AS label, event_id AS seq, event_id / 4.0::double AS at_s, CASE WHEN event_id % 9 <> 0 THEN event_id % 200 / 2000.0::double END AS fraction FROM events)),
   w AS (SELECT label, seq, at_s, fraction, n, true AS shows, at_s AS last, fraction AS seen FROM e WHERE n = 1
     UNION ALL SELECT label, seq, at_s, fraction, n, shows, CASE WHEN shows THEN at_s ELSE last END, CASE WHEN shows THEN fraction ELSE seen END FROM (
       SELECT e.*, w.last, w.seen, e.fraction IS NULL OR w.seen IS NULL OR abs(e.fraction - w.seen) >= 0.01::double OR e.at_s - w.last >= 1.5::double AS shows FROM w JOIN e ON e.label = w.label AND e.n = w.n + 1))
-  SELECT label, seq, at_s, fraction FROM w WHERE shows""")
-def _(spark, d):
-    rows = media.table(spark, d, "events").select(
+  SELECT label, seq, at_s, fraction FROM w WHERE shows"""
+
+
+def _reports(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("label"), F.col("event_id").alias("seq"),
         (F.col("event_id") / 4.0).alias("at_s"), F.when(F.col("event_id") % 9 != 0, F.col("event_id") % 200 / 2000.0).alias("fraction"),
     )
-    return progress.shown(rows)
+
+
+@query("progress_shown", SHOWN)
+def _(spark, d):
+    return progress.shown(_reports(media.table(spark, d, "events")))
 
 
 @query("queue_chunks", f"WITH {o.FILES.strip()}, q AS (SELECT file_id, row_number() OVER (ORDER BY path) AS nth FROM files) SELECT file_id, nth::int AS nth, ((nth - 1) // 2000)::int AS chunk FROM q WHERE nth <= 50000")
@@ -529,15 +549,18 @@ def _documents(rows: DataFrame) -> DataFrame:
 # streams ---------------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark, d: str) -> DataFrame:
-    """The result table as files of a folder that a stream reads."""
-    from pyspark.sql.types import StructType
-
+def _event_files(spark, d: str) -> DataFrame:
+    """The event table as files of a folder that a stream reads."""
     name = f"{d}/events.parquet"
     found = spark.read.parquet(name)
     schema = StructType.fromJson(found.schema.jsonValue())
     one_file = all(f.endswith("/events.parquet") for f in found.inputFiles())
-    raw = live.stream(spark, d, schema, only="events.parquet") if one_file else live.stream(spark, name, schema)
+    return live.stream(spark, d, schema, only="events.parquet") if one_file else live.stream(spark, name, schema)
+
+
+def _streamed(spark, d: str) -> DataFrame:
+    """The results of the events as a stream."""
+    raw = _event_files(spark, d)
     outcome = F.when(F.col("event_type") == "purchase", "shrink").when(F.col("event_type") == "click", "transcode").when(F.col("event_type") == "view", "remux").when(F.col("event_type") == "signup", "skip-at-tier").otherwise("error")
     src = F.floor(F.col("value") * 1e6).cast("long")
     return raw.select("event_id", F.col("user_id").alias("run"), outcome.alias("outcome"), src.alias("src_bytes"), F.floor(src * (F.col("event_id") % 10 + 1) / 10.0).cast("long").alias("out_bytes"))
@@ -548,6 +571,13 @@ def _(spark, d):
     return live.newest(live.drained(live.running_summary(_streamed(spark, d)), "complete", tables.place(spark, "stream")))
 
 
+@query("stream_progress", SHOWN)
+def _(spark, d):
+    live.with_rocks(spark)
+    rows = live.drained(live.throttled(_reports(_event_files(spark, d))), "append", tables.place(spark, "stream"))
+    return rows.drop("batch")
+
+
 @query("stream_eta", TIMED + """ SELECT run, done, spent_heavy, spent_light, CASE WHEN planned > 30 THEN least(5.0::double, greatest(0.2::double, spent_heavy / planned)) ELSE 1.0::double END AS rate, CASE WHEN n_light > 20 THEN spent_light / n_light ELSE 0.1::double END AS light_rate
   FROM (SELECT run, count(*) AS done, coalesce(sum(real_s) FILTER (predicted_s >= 5), 0.0::double) AS spent_heavy, coalesce(sum(real_s) FILTER (predicted_s < 5), 0.0::double) AS spent_light, coalesce(sum(predicted_s) FILTER (predicted_s >= 5), 0.0::double) AS planned, count(*) FILTER (predicted_s < 5) AS n_light FROM timed GROUP BY run)""")
 def _(spark, d):

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import os
+import selectors
+import socket
 import subprocess
 import tempfile
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmill.functions import quality as q
-from reelmill.operators import tracks, volumes
+from reelmill.operators import placement, tracks, volumes
 from reelmill.settings import Settings
 
-RESULT = "path string, ok boolean, out_path string, out_bytes long, attempt int, error string"
+RESULT = "path string, ok boolean, staged string, out_path string, out_bytes long, attempt int, error string"
+REPORT = "label string, seq long, at_s double, line string"
 #: Quality factor by codec and preset of software encoding, by what is done.
 SOFTWARE = {"transcode": ({"h264": "18", "h265": "20"}, "slow"), "shrink": ({"h264": "20", "h265": "21"}, "medium")}
 #: Hardware encoder families in the order in which they are tried.
@@ -28,12 +35,6 @@ def texts(*parts: str | Column) -> Column:
     return F.array(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def hardware_encoder(codec: str, listed: str, works: Callable[[str], bool]) -> str | None:
-    """The first encoder family that the tool lists and that really encodes here."""
-    stem = "hevc" if codec == "h265" else "h264"
-    return next((name for name in (f"{stem}_{family}" for family in FAMILIES) if name in listed and works(name)), None)
-
-
 def video_arguments(s: Settings, hardware: str | None, picked: Column) -> Column:
     """Arguments for the video of a decided file: a copy, rate-capped software encoding, or a hardware encoder at the target rate.
 
@@ -86,81 +87,116 @@ def attempts(kind: Column, video: Column, audio: Column, subtitles: Column, want
     return F.when(kind == "mkv", F.array(mkv)).when(F.size(text) > 0, F.array(embed, none)).otherwise(F.array(none))
 
 
-def tool(command: list[str], out: str, abort: str = "", every: float = 0.2) -> str:
-    """Run the encoder; the last two lines of what it says where it fails. It is killed when the file ``abort`` is there."""
-    ended = volumes.marker(abort)
-    with tempfile.TemporaryFile() as said:
-        with subprocess.Popen(command, stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=said) as running:
-            while running.poll() is None:
+def tool(command: list[str], out: str, say: Callable[[str], None] = lambda line: None, abort: str = "", every: float = 0.2) -> str:
+    """Run the encoder; the last two lines of what it says where it fails.
+
+    What it prints is passed on line by line as it comes. It is killed when the file ``abort`` is there.
+    """
+    ended, rest = volumes.marker(abort), b""
+    with tempfile.TemporaryFile() as errors, selectors.DefaultSelector() as waits:
+        with subprocess.Popen(command, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=errors) as running:
+            waits.register(running.stdout, selectors.EVENT_READ)
+            talks = True
+            while talks or running.poll() is None:
                 if ended():
                     running.kill()
                     return ABORTED
-                try:
-                    running.wait(every)
-                except subprocess.TimeoutExpired:
-                    continue
+                if talks and waits.select(every):
+                    data = os.read(running.stdout.fileno(), 1 << 16)
+                    talks = bool(data)
+                    *lines, rest = (rest + data).split(b"\n")
+                    for line in lines:
+                        say(line.decode(errors="replace"))
+                elif not talks:
+                    time.sleep(every)
         if running.returncode == 0 and os.path.exists(out):
             return ""
-        said.seek(0)
-        return " / ".join(said.read().decode(errors="replace").strip().splitlines()[-2:]) or "no output"
+        errors.seek(0)
+        return " / ".join(errors.read().decode(errors="replace").strip().splitlines()[-2:]) or "no output"
+
+
+class Reports:
+    """The lines of one running job as files of a shared folder, which a stream of schema ``REPORT`` reads; a file each ``every`` seconds at most."""
+
+    def __init__(self, folder: str, label: str, every: float = 0.5):
+        self.folder, self.label, self.every, self.seq, self.held, self.last = folder, label, every, 0, [], 0.0
 
+    def say(self, line: str) -> None:
+        self.held.append({"label": self.label, "seq": self.seq, "at_s": time.time(), "line": line})
+        self.seq += 1
+        if time.monotonic() - self.last >= self.every:
+            self.flush()
 
-def executed(jobs: DataFrame, encode: Callable[[list[str], str], str] = tool, binary: str = "ffmpeg", stop: str = "", events: str = "") -> DataFrame:
+    def flush(self) -> None:
+        if self.held and self.folder:
+            name = f"{time.time_ns()}-{uuid.uuid4().hex}.json"
+            placement.written_whole(f"{self.folder}/{name}", "".join(f"{json.dumps(r)}\n" for r in self.held))
+        self.held, self.last = [], time.monotonic()
+
+
+def executed(jobs: DataFrame, stage: str, encode: Callable[[list[str], str, Callable[[str], None]], str] = tool, binary: str = "ffmpeg", stop: str = "", progress: str = "") -> DataFrame:
     """One result row for each job of (path, out_path, attempts array<array<string>>).
 
-    Each attempt writes to a scratch name of its own and the first that succeeds replaces the target in one
-    step, so a task that runs again only repeats the work. Errors are rows. A job is begun only when the volumes of
-    its source and target answer; waits are told in the folder ``events``. Once the file ``stop`` is there (in a
-    folder that all executors share) jobs that run are finished and the others give no row, as aborted ones.
+    The output of the first attempt that succeeds is the file ``staged`` in the folder ``stage``, which all executors
+    share; ``placement.place`` puts it in its place. So a task that runs again, or twice at once, repeats work and
+    changes nothing that others see. Errors are rows. While a job runs, what the encoder prints is told in the folder
+    ``progress`` (``Reports``), all of it before the job's result. Once the file ``stop`` is there jobs that run are
+    finished and the others give no row, as aborted ones.
     """
-    fields = ["path", "ok", "out_path", "out_bytes", "attempt", "error"]
+    fields = [f.split()[0] for f in RESULT.split(", ")]
     stopped = volumes.marker(stop)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        say = volumes.teller(events)
+        os.makedirs(stage, exist_ok=True)
         for rows in batches:
-            yield pd.DataFrame([d for r in rows.itertuples() if (d := one(r, say))], columns=fields)
-
-    def one(job, say) -> tuple | None:
-        if stopped() or not all(volumes.awaited(p, say, stopped) for p in (job.path, job.out_path)):
-            return None
-        error = "no attempts"
-        with tempfile.TemporaryDirectory() as scratch:
-            for k, a in enumerate(job.attempts):
-                out = os.path.join(scratch, f"{k}-{os.path.basename(job.out_path)}")
-                try:
-                    error = encode([binary, "-y", "-i", job.path, *a, out], out)
-                    if error == ABORTED:
-                        return None
-                    if not error:
-                        size = os.path.getsize(out)
-                        volumes.moved(out, job.out_path, say)
-                        return job.path, True, job.out_path, size, k, ""
-                except OSError as e:
-                    error = str(e)
-        return job.path, False, job.out_path, 0, -1, error
+            for r in rows.itertuples():
+                if not stopped() and (done := one(r)):
+                    yield pd.DataFrame([done], columns=fields)
+
+    def one(job) -> tuple | None:
+        error, told = "no attempts", Reports(progress, job.path)
+        for k, a in enumerate(job.attempts):
+            out = os.path.join(stage, f"{uuid.uuid4().hex}-{os.path.basename(job.out_path)}")
+            try:
+                error = encode([binary, "-y", "-i", job.path, *a, out], out, told.say)
+                if error == ABORTED:
+                    return None
+                if not error:
+                    return job.path, True, out, job.out_path, os.path.getsize(out), k, ""
+            except OSError as e:
+                error = str(e)
+            finally:
+                told.flush()
+                if error and os.path.exists(out):
+                    os.unlink(out)
+        return job.path, False, None, job.out_path, 0, -1, error
 
     return jobs.select("path", "out_path", "attempts").mapInPandas(run, RESULT)
 
 
-def disposed(done: DataFrame) -> DataFrame:
-    """Carry out the ``fate`` of each original of (path, archive, fate): archived, deleted or left; (path, fate, error), never failing a task.
+def encoders_of_hosts(spark: SparkSession, codec: str, listing: Callable[[], str], works: Callable[[str], bool], tasks: int, host: Callable[[], str] = socket.gethostname) -> DataFrame:
+    """(host, encoder, listed, works) of every hardware family on every host: each host tries each listed family once.
 
-    Archived-first originals have gone before their output was placed: a file that is no longer there is no error.
+    A barrier stage of ``tasks`` tasks (as many as the cluster runs at once, so that every host has one) first
+    gathers the tasks' hosts; on each host the first task lists and tries for all.
     """
+    stem = "hevc" if codec == "h265" else "h264"
 
-    def act(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            errors = []
-            for r in rows.itertuples():
-                try:
-                    if r.fate in ("archived", "archived-first") and os.path.exists(r.path):
-                        volumes.moved(r.path, os.path.join(r.archive, os.path.basename(r.path)))
-                    elif r.fate == "deleted" and os.path.exists(r.path):
-                        os.unlink(r.path)
-                    errors.append("")
-                except OSError as e:
-                    errors.append(str(e))
-            yield pd.DataFrame({"path": rows["path"], "fate": rows["fate"], "error": errors})
-
-    return done.select("path", "archive", "fate").mapInPandas(act, "path string, fate string, error string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            pass
+        context = BarrierTaskContext.get()
+        own = host()
+        hosts = context.allGather(own)
+        if hosts.index(own) == context.partitionId():
+            listed = listing()
+            names = [f"{stem}_{family}" for family in FAMILIES]
+            yield pd.DataFrame([(own, n, n in listed, n in listed and bool(works(n)), k) for k, n in enumerate(names)], columns=["host", "encoder", "listed", "works", "nth"])
+
+    return spark.range(0, tasks, 1, tasks).mapInPandas(run, "host string, encoder string, listed boolean, works boolean, nth int", barrier=True)
+
+
+def chosen_encoders(found: DataFrame, s: Settings) -> DataFrame:
+    """(host, encoder): the first family that works on each host; null for software, and where the settings ask for it."""
+    first = F.min_by("encoder", F.when(F.col("works"), F.col("nth")))
+    return found.groupBy("host").agg((F.lit(None).cast("string") if s.encoder == "software" else F.when(F.bool_or("works"), first)).alias("encoder"))

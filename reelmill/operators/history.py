@@ -65,10 +65,33 @@ def recorded(results: DataFrame) -> DataFrame:
     return results.where(~F.col("outcome").isin("resume", "error") & ~((F.col("outcome") == "skip-codec") & ~F.col("probed")))
 
 
-def filled(scan: DataFrame, probed: DataFrame, value: str, default: Column) -> DataFrame:
-    """``scan`` with the cached value of each path, or the default."""
-    cached = probed.select(F.col("path").alias("cached_path"), F.col(value).alias("cached"))
-    return scan.join(cached, scan.path == F.col("cached_path"), "left").withColumn(value, F.coalesce("cached", default)).drop("cached_path", "cached")
+def filled(scan: DataFrame, probed: DataFrame, value: str, default: Column, order: str | None = None) -> DataFrame:
+    """``scan`` with the cached value of each file, or the default; as many rows as it has, whatever the cache holds.
+
+    The cache is a log to which probes are appended. Of several probes of a file the newest counts (by ``order``, else
+    by value); where both tables have size and mtime, a probe of another size or time is out of date and isn't taken.
+    """
+    key = [c for c in ("path", "size", "mtime") if c in scan.columns and c in probed.columns]
+    newest = probed.groupBy(*key).agg(F.max_by(value, F.struct(*([order] if order else []), value)).alias("cached_value"))
+    side = newest.withColumnsRenamed({c: f"cached_{c}" for c in key})
+    same = [scan[c].eqNullSafe(side[f"cached_{c}"]) for c in key]
+    return scan.join(side, same, "left").withColumn(value, F.coalesce("cached_value", default)).select(*[c for c in scan.columns if c != value], value)
+
+
+def stored_ledger(ledger: DataFrame, table: str, path: str, buckets: int = 32) -> DataFrame:
+    """The ledger as a table by signature, its lines bucketed by file; under each signature a line once.
+
+    A run reads its own signature's folder only, and the join with the library doesn't shuffle it: choose ``buckets``
+    so that one of a signature fits a task.
+    """
+    once = ledger.select(*KEY).dropDuplicates(KEY).repartition(buckets, *KEY[1:])
+    once.write.mode("overwrite").partitionBy("signature").bucketBy(buckets, *KEY[1:]).sortBy(*KEY[1:]).option("path", path).format("parquet").saveAsTable(table)
+    return ledger.sparkSession.table(table)
+
+
+def held_files(media: DataFrame, ledger: DataFrame, signature: str, how: str = "left_semi") -> DataFrame:
+    """The files (path, size, mtime) that a stored ledger holds under one signature, or with ``left_anti`` those it doesn't."""
+    return media.join(ledger.where(F.col("signature") == signature).select(*KEY[1:]), KEY[1:], how)
 
 
 def with_picks(media: DataFrame, picks: DataFrame) -> DataFrame:

@@ -74,6 +74,18 @@ LEFT_ALONE = {
     "skip-min-saving": "saving too small", "skip-incompatible": "codec kept", "skip-non-mp4": "left as-is", "skip-codec": "unsupported codec",
     "skip-second-generation": "already encoded by this tool", "resume": "already efficient",
 }
+#: What is said of a file that can't be read, and of an error without a reason.
+UNREADABLE, FAILED = "couldn't read file", "encode failed"
+
+
+#: How lists and consoles speak of an outcome, for results with and without a warning: (severity, what is said).
+#: What is said is words, "sizes" (before and after) or "reason" (the first note).
+SPOKEN = {(x, w): ("warn" if w else "", "sizes") for x in CHANGED for w in (True, False)}
+SPOKEN |= {("error", w): ("err", "reason") for w in (True, False)}
+SPOKEN |= {(x, w): ("warn" if w else "", words) for x, words in LEFT_ALONE.items() for w in (True, False)}
+SPOKEN |= {("skip-codec", True): ("warn", UNREADABLE)}
+#: Characters of a reason that a list shows.
+REASON = 58
 
 
 def short_size(n: Column) -> Column:
@@ -87,46 +99,49 @@ def short_size(n: Column) -> Column:
     return F.when(n >= 10**9, scaled(10**9, "GB")).when(n >= 10**6, scaled(10**6, "MB")).when(n >= 1000, scaled(1000, "KB")).otherwise(F.format_string("%d B", n))
 
 
+def spoken(results: DataFrame) -> DataFrame:
+    """``results`` with ``warned``, and severity and ``says`` of its rule (null where its outcome has none)."""
+    rules = results.sparkSession.createDataFrame([(*k, *v) for k, v in SPOKEN.items()], "outcome string, warned boolean, rule string, says string")
+    return results.withColumn("warned", F.exists("notes", lambda n: n["level"] == "WARN")).join(F.broadcast(rules), ["outcome", "warned"], "left")  # some twenty rules
+
+
 def listed(results: DataFrame) -> DataFrame:
     """``results`` with bucket, severity and label, as one line of a list shows them."""
-    warned = F.exists("notes", lambda n: n["level"] == "WARN")
-    first = F.coalesce(F.get("notes", F.lit(0))["message"], F.lit(""))
-    names = F.create_map(*[F.lit(x) for pair in LEFT_ALONE.items() for x in pair])
-    severity = F.when(F.col("outcome") == "error", "err").when(warned, "warn").when(F.size("notes") > 0, "note").otherwise("")
-    label = (
-        F.when(changed(), F.when(F.col("src_bytes") > 0, F.concat_ws(" → ", short_size(F.col("src_bytes")), short_size(F.col("out_bytes")))).otherwise(F.col("outcome")))
-        .when(F.col("outcome") == "error", cut_tail(F.when(first == "", "encode failed").otherwise(first), 58))
-        .when((F.col("outcome") == "skip-codec") & warned, "couldn't read file")
-        .otherwise(F.coalesce(F.try_element_at(names, F.col("outcome")), F.translate(F.regexp_replace("outcome", "skip-", ""), "-", " ")))
-    )
-    return results.withColumns({"bucket": bucket(), "severity": severity, "label": label})
-
-
-def header(s: Settings, dry: bool = False) -> list[str]:
-    """What a run is about to do, line by line; a density of one's own gives the megabits of 1080p at 30 frames that it means."""
-    mbps = s.bpp * PIXELS_1080P * REFERENCE_FPS / 1e6
-    quality = f"{s.tier.lower()}, {mbps:.1f} Mbps H.264 at 1080p30" + (f", {mbps * s.hevc[0]:.1f} Mbps H.265" if s.codec == "h265" else "")
-    if abs(s.bpp - density(s.tier)) > 1e-9:
-        quality += f", set to {s.bpp:.4f} bits a pixel"
-    rules = [f"{word} {limit / 1e6:g} MB" for word, limit in (("under", s.ignore_under), ("over", s.ignore_over)) if limit]
-    rules += [f".{x}" for x in s.ignore_exts] + [f"names with {x!r}" for x in s.ignore_names]
-    said = {
-        "source": s.src, "codec": s.codec, "quality": quality, "ignored": ", ".join(rules), "encoder": s.encoder,
-        "remux": "yes" if s.remux_to_mp4 else "no", "transcode": "yes" if s.compat_transcode else "no",
-        "output": s.output_dir if s.output_mode == "separate" else "in place", "originals": s.source_action, "jobs": s.jobs,
-        "again": f"sources {round((s.tolerance - 1) * 100)}% over target", "resume": "" if dry else "on" if s.ledger_enabled else "off",
+    said = {"sizes": F.concat_ws(" → ", short_size(F.col("src_bytes")), short_size(F.col("out_bytes"))), "reason": cut_tail(F.coalesce(F.nullif(F.get("notes", F.lit(0))["message"], F.lit("")), F.lit(FAILED)), REASON)}
+    plain = F.translate(F.regexp_replace("outcome", "skip-", ""), "-", " ")
+    label = F.coalesce(*[F.when(F.col("says") == k, v) for k, v in said.items()], F.col("says"), plain)
+    unsized = (F.col("says") == "sizes") & ~F.coalesce(F.col("src_bytes") > 0, F.lit(False))
+    severity = F.coalesce(F.nullif("rule", F.lit("")), F.when(F.col("warned"), "warn").when(F.size("notes") > 0, "note").otherwise(""))
+    rows = spoken(results).withColumns({"bucket": bucket(), "severity": severity, "label": F.when(unsized, F.col("outcome")).otherwise(label)})
+    return rows.select(*results.columns, "bucket", "severity", "label")
+
+
+def header(s: Settings, dry: bool = False) -> dict[str, str]:
+    """What a run is about to do, by topic; only topics that apply.
+
+    A density of one's own gives the megabits of 1080p at 30 frames that it means.
+    """
+    full_hd = lambda share: f"{s.bpp * share * PIXELS_1080P * REFERENCE_FPS / 1e6:.1f}"
+    own = abs(s.bpp - density(s.tier)) > 1e-9
+    topics = {
+        "quality": s.tier.lower(), "bits a pixel": f"{s.bpp:.4f}" if own else "", "H.264 at 1080p30": f"{full_hd(1.0)} Mbps",
+        "H.265 at 1080p30": f"{full_hd(s.hevc[0])} Mbps" if s.codec == "h265" else "",
+        "from": s.src, "to": s.output_dir if s.output_mode == "separate" else "", "codec": s.codec, "encoder": s.encoder, "originals": s.source_action, "at once": str(s.jobs),
+        "encoded anew": f"from {s.tolerance:.0%} of the target", "remux": "non-MP4 files" if s.remux_to_mp4 else "", "transcode": "legacy codecs" if s.compat_transcode else "",
+        "left out under": f"{s.ignore_under / 1e6:g} MB" if s.ignore_under else "", "left out over": f"{s.ignore_over / 1e6:g} MB" if s.ignore_over else "",
+        "left out": ", ".join([*(f".{x}" for x in s.ignore_exts), *map(repr, s.ignore_names)]), "resume": "from the ledger" if s.ledger_enabled and not dry else "",
     }
-    return [f"{k + ':':<12}{v}" for k, v in said.items() if v not in ("", None)]
+    return {k: v for k, v in topics.items() if v}
 
 
 def console(results: DataFrame) -> DataFrame:
-    """What is said of each result as (path, nth, line): a line with the share saved of changed files, then its notes."""
-    names = F.create_map(*[F.lit(x) for pair in LEFT_ALONE.items() for x in pair])
-    share = F.when(changed() & (F.col("src_bytes") > 0), F.format_string("  (%.0f%% smaller)", q.half_even(100 * (1 - F.col("out_bytes") / F.col("src_bytes"))).cast("double"))).otherwise("")
-    name = F.element_at(F.split("path", "/"), -1)
-    first = F.format_string("  %-42s %s%s", F.coalesce(F.try_element_at(names, F.col("outcome")), F.col("outcome")), name, share)
-    notes = F.transform("notes", lambda n: F.format_string("      [%s] %s", n["level"], n["message"]))
-    return results.select("path", F.posexplode(F.concat(F.array(first), F.coalesce(notes, F.array()))).alias("nth", "line"))
+    """What is said of each result as (path, nth, line): its name, what became of it and the share saved, then its notes."""
+    rows = spoken(results)
+    became = F.when(F.col("says").isin("sizes", "reason"), F.col("outcome")).otherwise(F.coalesce("says", "outcome"))
+    smaller = F.when((F.col("says") == "sizes") & (F.col("src_bytes") > 0), F.format_string(", %.0f%% smaller", q.half_even((1 - F.col("out_bytes") / F.col("src_bytes")) * 100).cast("double"))).otherwise("")
+    first = F.concat(F.element_at(F.split("path", "/"), -1), F.lit(": "), became, smaller)
+    notes = F.transform("notes", lambda n: F.concat(F.lit("  "), F.lower(n["level"]), F.lit(": "), n["message"]))
+    return rows.select("path", F.posexplode(F.concat(F.array(first), F.coalesce(notes, F.array()))).alias("nth", "line"))
 
 
 def failed(results: DataFrame) -> DataFrame:

@@ -45,6 +45,6 @@ def with_running(rows: DataFrame, order: list[str], sums: dict[str, Column], by:
     keys = [*by, PART]
     named = offsets.withColumnsRenamed({k: f"offset_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"offset_{k}")) for k in keys]
-    both = placed.join(named, [s for s in same])
+    both = placed.join(named, same)
     both = both.withColumns({n: F.col(n) + F.col(f"before_{n}") for n in sums} | {n: F.coalesce(F.col(n), F.col(f"from_{n}"))["v"] for n in last})
     return both.select(*rows.columns, *sums, *[f"{n}_all" for n in sums], *last)

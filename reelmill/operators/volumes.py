@@ -1,27 +1,22 @@
-"""Volumes that go away while a run reads or writes them, and markers that stop a run."""
+"""Volumes that a run reads and writes: each is asked by itself, and jobs are dealt where both of theirs answer."""
 
 from __future__ import annotations
 
-import errno
-import json
 import os
-import queue
-import shutil
-import tempfile
-import threading
+import subprocess
 import time
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK = 8 << 20
-EVENT = "at long, event string, path string"
-
+from reelmill.tables import kept
 
-def silent(event: str, path: str) -> None:
-    """Tells nobody."""
+ANSWER = "volume string, answers boolean, at long"
+EVENT = "at long, event string, path string"
+#: Fixed values, in seconds: how long a volume may take to answer, how often it is asked, and how long an answer holds.
+PATIENCE, EVERY, FRESH = 5.0, 2.0, 3.0
 
 
 def marker(path: str) -> Callable[[], bool]:
@@ -29,126 +24,77 @@ def marker(path: str) -> Callable[[], bool]:
     return lambda: bool(path) and os.path.exists(path)
 
 
-def answers(path: str, seconds: float = 5.0, write: bool = False) -> bool:
-    """Whether the nearest folder at or above ``path`` answers in time (with ``write``, also to a file made there).
-
-    Asked on a thread of its own, as calls on a dead mount may never return.
-    """
-    said: queue.SimpleQueue = queue.SimpleQueue()
-
-    def ask() -> None:
-        at = os.path.abspath(path)
-        try:
-            while not os.path.isdir(at) and at != os.path.dirname(at):
-                at = os.path.dirname(at)
-            os.stat(at)
-            if write:
-                tempfile.TemporaryFile(dir=at).close()
-            said.put(True)
-        except OSError:
-            said.put(False)
-
-    threading.Thread(target=ask, daemon=True).start()
+def responds(volume: str, seconds: float = PATIENCE) -> bool:
+    """Whether a tool of its own process can look at the volume in time; one that hangs on a dead mount is left behind."""
+    asking = subprocess.Popen(["stat", volume], stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
     try:
-        return said.get(timeout=seconds)
-    except queue.Empty:
+        return asking.wait(seconds) == 0
+    except subprocess.TimeoutExpired:
+        asking.kill()
         return False
 
 
-def awaited(path: str, say=silent, stopped=marker(""), answering=answers, every: float = 2.0) -> bool:
-    """Wait until the volume of ``path`` answers, telling "stuck" and "back" once each; False if ``stopped`` meanwhile."""
-    waits = 0
-    while not answering(path):
-        if waits and stopped():
-            return False
-        if not waits:
-            say("stuck", path)
-        waits += 1
-        time.sleep(every)
-    if waits:
-        say("back", path)
-    return True
-
-
-def copied(source: str, target: str, say=silent, stopped=marker(""), stall: float = 60.0) -> bool:
-    """Copy in chunks on a thread of its own; ``stall`` seconds without a chunk are told as "stuck". False if ``stopped``."""
-    beats: queue.SimpleQueue = queue.SimpleQueue()
-
-    def copy() -> None:
-        try:
-            with open(source, "rb") as r, open(target, "wb") as w:
-                while (chunk := r.read(CHUNK)) and not stopped():
-                    w.write(chunk)
-                    w.flush()
-                    beats.put(True)
-            beats.put(not chunk)
-        except OSError as e:
-            beats.put(e)
-        beats.put(None)
-
-    threading.Thread(target=copy, daemon=True).start()
-    whole, stuck = False, False
-    while True:
-        try:
-            beat = beats.get(timeout=stall)
-        except queue.Empty:
-            if not stuck:
-                say("stuck", target)
-            stuck = True
-            continue
-        if stuck:
-            say("back", target)
-        stuck = False
-        if isinstance(beat, OSError):
-            raise beat
-        if beat is None:
-            return whole
-        whole = beat
-
-
-def moved(source: str, target: str, say=silent, stopped=marker(""), answering=answers, stall: float = 60.0) -> bool:
-    """Move by one rename; to another volume by a watched copy beside the target and a rename there.
-
-    A volume that does not answer is waited for. Where the move is stopped or fails, the source stays and no part of
-    the target is left.
-    """
-    folder = os.path.dirname(target) or "."
-    if not awaited(folder, say, stopped, answering):
-        return False
-    os.makedirs(folder, exist_ok=True)
-    try:
-        os.replace(source, target)
-        return True
-    except OSError as e:
-        if e.errno != errno.EXDEV:
-            raise
-    part = f"{target}.part-{uuid.uuid4().hex}"
-    try:
-        if not copied(source, part, say, stopped, stall):
-            return False
-        shutil.copystat(source, part)
-        os.replace(part, target)
-    finally:
-        if os.path.exists(part):
-            os.unlink(part)
-    os.unlink(source)
-    return True
+def volume_of(path: Column, volumes: list[str]) -> Column:
+    """The volume that a path lies on: the longest that it begins with; the empty text where there is none."""
+    own = [F.when((path == v) | F.startswith(path, F.lit(f"{v.rstrip('/')}/")), F.lit(v)) for v in sorted(volumes, key=len, reverse=True)]
+    return F.coalesce(*own, F.lit(""))
+
 
+def asked(spark: SparkSession, volumes: list[str], ask: Callable[[str], bool] = responds) -> DataFrame:
+    """(volume, answers, at) now, a task for each of the volumes (those of the settings: a handful)."""
 
-def teller(folder: str) -> Callable[[str, str], None]:
-    """Tells events as JSON files of a shared folder, which a stream or a batch of schema ``EVENT`` reads."""
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(answers=[bool(ask(v)) for v in rows["volume"]], at=time.time_ns() // 1_000_000)
 
-    def say(event: str, path: str) -> None:
-        os.makedirs(folder, exist_ok=True)
-        name = f"{time.time_ns()}-{uuid.uuid4().hex}.json"
-        with open(os.path.join(folder, f".{name}"), "w", encoding="utf-8") as f:
-            json.dump({"at": time.time_ns(), "event": event, "path": path}, f)
-        os.replace(os.path.join(folder, f".{name}"), os.path.join(folder, name))
+    one_each = spark.createDataFrame([(v,) for v in volumes], "volume string").repartition(max(1, len(volumes)))
+    return one_each.mapInPandas(each, ANSWER)
 
-    return say if folder else silent
+
+def answering(answers: DataFrame, now: int, fresh: float = FRESH) -> DataFrame:
+    """The volumes whose last answer was yes and is not older than ``fresh`` seconds."""
+    last = answers.groupBy("volume").agg(F.max_by("answers", "at").alias("answers"), F.max("at").alias("at"))
+    return last.where(F.col("answers") & (F.col("at") >= now - int(fresh * 1000))).select("volume")
+
+
+def edges(answers: DataFrame) -> DataFrame:
+    """(at, event, path) of a history of answers: "stuck" when a volume first fails, "back" when it answers again; nothing in between."""
+    before = F.coalesce(F.lag("answers").over(Window.partitionBy("volume").orderBy("at")), F.lit(True))
+    turned = answers.withColumn("before", before).where(F.col("answers") != F.col("before"))
+    return turned.select("at", F.when(F.col("answers"), "back").otherwise("stuck").alias("event"), F.col("volume").alias("path"))
 
 
 def stuck_now(events: DataFrame) -> DataFrame:
     """The paths whose last event is "stuck" and since when (a stream: output mode complete)."""
     last = events.groupBy("path").agg(F.max_by("event", "at").alias("event"), F.max("at").alias("since"))
     return last.where("event = 'stuck'").select("path", "since")
+
+
+def ready(jobs: DataFrame, up: DataFrame, volumes: list[str]) -> DataFrame:
+    """The jobs (path, out_path, ...) whose source and target lie on volumes that are up, or on none of the list."""
+    hosts = up.unionByName(up.sparkSession.createDataFrame([("",)], "volume string"))
+    for side in ("path", "out_path"):
+        jobs = jobs.join(F.broadcast(hosts), volume_of(F.col(side), volumes) == hosts.volume, "left_semi")  # a row a volume
+    return jobs
+
+
+def in_rounds(jobs: DataFrame, run: Callable[[DataFrame], DataFrame], volumes: list[str], ask: Callable[[str], bool] = responds, stopped: Callable[[], bool] = marker(""), every: float = EVERY) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Run jobs (with distinct paths) in rounds: (results, answers so far) after each, until all have had their turn or the run is stopped.
+
+    Every round asks each volume once and deals the jobs whose volumes answer; the others wait for the next
+    round, so no task sits on a dead mount and no file is lost to one. ``run`` gives a row with the ``path`` of each job
+    that is done. A round's results and the answers are tables, and only counts come to the driver.
+    """
+    spark, history = jobs.sparkSession, None
+    left = kept(jobs, "jobs")
+    while not left.isEmpty() and not stopped():
+        said = kept(asked(spark, volumes, ask), "answers")
+        history = said if history is None else history.unionByName(said)
+        up = answering(said, said.agg(F.coalesce(F.max("at"), F.lit(0))).first()[0])
+        done = kept(run(ready(left, up, volumes)), "results")
+        tried = done.select("path")
+        yield done, history
+        waiting = kept(left.join(tried, "path", "left_anti"), "jobs")
+        if waiting.count() == left.count():
+            time.sleep(every)
+        left = waiting

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import os
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-from reelmill.operators import report
+from reelmill.operators import execute, progress, report
 from reelmill.operators.predict import HEAVY_SECONDS, SKIP_SECONDS
 from reelmill.plans import library as plans
 
@@ -67,6 +72,161 @@ def fraction(line: Column, duration_s: Column) -> Column:
     return F.when((duration_s > 0) & at.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), at / duration_s)))
 
 
+def reports(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """(label, seq, at_s, line) that running encodes tell in a folder, as they come."""
+    return spark.readStream.schema(execute.REPORT).option("maxFilesPerTrigger", files_per_batch).json(folder)
+
+
+class Throttle(StatefulProcessor):
+    """Keeps of each label the time and share of the last report shown, and shows those that move on from it.
+
+    With ``hold`` a report that isn't shown is kept as well, and a timer shows the last one held ``hold`` seconds later if none
+    followed that was.
+    """
+
+    def __init__(self, step: float, wait: float, hold: float | None):
+        self.step, self.wait, self.hold = step, wait, hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at_s double, fraction double")
+        self.held = handle.getValueState("held", "seq long, at_s double, fraction double") if self.hold is not None else None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, seen = self.last.get() if self.last.exists() else (None, None)
+        waiting, out = self.held.get() if self.held is not None and self.held.exists() else None, []
+        for seq, at, share in sorted((r for b in rows for r in zip(b["seq"], b["at_s"], b["fraction"])), key=lambda r: r[0]):
+            share = None if pd.isna(share) else float(share)
+            if progress.moves_on(share, float(at), seen, last, self.step, self.wait):
+                out.append((key[0], int(seq), float(at), share))
+                last, seen, waiting = float(at), share, None
+            else:
+                waiting = int(seq), float(at), share
+        if out:
+            self.last.update((last, seen))
+        if self.held is not None:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            if waiting:
+                self.held.update(waiting)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.hold * 1000))
+            else:
+                self.held.clear()
+        yield pd.DataFrame(out, columns=REPORTED)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        if self.held is not None and self.held.exists():
+            seq, at, share = self.held.get()
+            out.append((key[0], seq, at, share))
+            self.last.update((at, share))
+            self.held.clear()
+        yield pd.DataFrame(out, columns=REPORTED)
+
+    def close(self) -> None:
+        pass
+
+
+REPORTED = ["label", "seq", "at_s", "fraction"]
+
+
+def throttled(rows: DataFrame, step: float = progress.STEP, wait: float = progress.WAIT, hold: float | None = None) -> DataFrame:
+    """``progress.shown`` of a stream of (label, seq, at_s, fraction), whose batches follow each label's order.
+
+    State of a label is two numbers (and with ``hold`` the last report not shown). Needs the RocksDB state store
+    (``with_rocks``). A restart from its checkpoint goes on where it was.
+    """
+    return rows.select(*REPORTED).groupBy("label").transformWithStateInPandas(
+        Throttle(step, wait, hold), "label string, seq long, at_s double, fraction double", "Append", "None" if hold is None else "ProcessingTime"
+    )
+
+
+def with_rocks(spark: SparkSession) -> None:
+    """Let the session's streams keep state as values and timers."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Published(SimpleDataSourceStreamReader):
+    """JSON rows of a folder's files in the order of their names, ``rows`` a batch: the offset is a file's name and a row's number in it.
+
+    Files appear whole, and names grow with time. The rows of one batch pass through the driver: there are few by design.
+    """
+
+    def __init__(self, folder: str, rows: int, names: list[str]):
+        self.folder, self.rows, self.names = folder, rows, names
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"file": "", "row": 0}
+
+    def lines(self, start: dict) -> Iterator[tuple[str, int, tuple]]:
+        for name in sorted(n for n in os.listdir(self.folder) if n.endswith(".json") and n >= start["file"]):
+            with open(os.path.join(self.folder, name), encoding="utf-8") as f:
+                for i, line in enumerate(f):
+                    if name > start["file"] or i >= start["row"]:
+                        r = json.loads(line)
+                        yield name, i + 1, tuple(r.get(c) for c in self.names)
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        found = list(islice(self.lines(start), self.rows))
+        return iter([r for *_, r in found]), {"file": found[-1][0], "row": found[-1][1]} if found else start
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        for name, row, r in self.lines(start):
+            if (name, row) > (end["file"], end["row"]):
+                return
+            yield r
+
+
+class Publishing(DataSource):
+    """Streaming source ``reelmill_published``: options ``folder`` and ``rows`` (25), and the schema that the caller gives."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "reelmill_published"
+
+    def simpleStreamReader(self, schema) -> Published:  # noqa: N802
+        return Published(self.options["folder"], int(self.options.get("rows", "25")), [f.name for f in schema.fields])
+
+
+def published(spark: SparkSession, folder: str, schema: str, rows: int = 25) -> DataFrame:
+    """What a scan has found so far, in batches of ``rows`` rows, whatever files they come in."""
+    spark.dataSource.register(Publishing)
+    return spark.readStream.format(Publishing.name()).schema(schema).option("folder", folder).option("rows", rows).load()
+
+
+class Edges(StreamingQueryListener):
+    """Tells "stuck" and "back" once each, from the stuck volumes that a query observes (``watched``) batch by batch."""
+
+    def __init__(self, tell: Callable[[str, str], None]):
+        self.tell, self.known = tell, set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        row = event.progress.observedMetrics.get("volumes")
+        if row is None:
+            return
+        for _, path, stuck in sorted(tuple(x) for x in row["changes"] or []):
+            if stuck and path not in self.known:
+                self.known.add(path)
+                self.tell("stuck", path)
+            elif not stuck and path in self.known:
+                self.known.discard(path)
+                self.tell("back", path)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def watched(answers: DataFrame) -> DataFrame:
+    """A stream of ``volumes.ANSWER`` rows that tells a listener what each batch says of its volumes: a few, asked every two seconds."""
+    return answers.observe("volumes", F.collect_set(F.struct("at", F.col("volume").alias("path"), (~F.col("answers")).alias("stuck"))).alias("changes"))
+
+
 def drained(query_source: DataFrame, mode: str, folder: str) -> DataFrame:
     """Run a stream over all that is there; each batch's rows are a table of their own below ``folder``, with ``batch``."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelmill.functions.names import extension, stem
 from reelmill import settings
-from reelmill.operators import detail, execute, history, report
+from reelmill.operators import detail, history, report
 from reelmill.plans import library as plans
 from reelmill.settings import Settings
 from reelmill.streaming import live
@@ -54,22 +54,9 @@ def test_probe_documents(spark):
     assert [(r.ok, r.vcodec, r.bit_rate) for r in rest] == [(False, None, 0)] * 3 + [(True, None, 0)]
 
 
-def test_probe_rows_and_executor_never_fail(spark, tmp_path):
+def test_probe_rows_never_fail(spark):
     scan = spark.createDataFrame([("/nowhere/a.mkv",)], "path string")
     assert not probe.normalised(probe.probed(scan)).first().ok
-    out = str(tmp_path / "out" / "a.mp4")
-    jobs = spark.createDataFrame([("/a.mkv", out, [["-c:v", "copy", "-c:s", "mov_text"], ["-c:v", "copy", "-sn"]])], "path string, out_path string, attempts array<array<string>>")
-
-    def second(command, to):
-        if "-sn" not in command:
-            return "subtitles do not fit"
-        with open(to, "wb") as f:
-            f.write(b"12345")
-        return ""
-
-    row = execute.executed(jobs, second).first()
-    assert row.ok and row.out_bytes == 5 and row.attempt == 1 and os.path.getsize(out) == 5
-    assert execute.executed(jobs, lambda c, t: "broken").first().error == "broken"
 
 
 def test_ledger_round_trip(spark, tmp_path):
@@ -106,20 +93,9 @@ def test_ledger_is_cleared_and_gone_files_match(spark, tmp_path):
     assert history.clear_ledger(spark, path) == 2 and history.ledger_lines(spark, path) == 0
 
 
-def test_placement_and_disposal(spark, tmp_path):
-    for name in ("a", "b", "c"):
-        (tmp_path / name).write_text(name)
-    rows = [(str(tmp_path / n), str(tmp_path / "old"), f) for n, f in (("a", "archived"), ("b", "deleted"), ("c", "kept"), ("gone", "archived-first"))]
-    done = execute.disposed(spark.createDataFrame(rows, "path string, archive string, fate string"))
-    assert {(r.fate, r.done, r.failed) for r in report.disposals(done).collect()} == {("archived", 1, 0), ("deleted", 1, 0), ("kept", 1, 0), ("archived-first", 1, 0)}
-    assert (tmp_path / "old" / "a").read_text() == "a" and not (tmp_path / "b").exists() and (tmp_path / "c").exists()
-
-
-def test_encoder_families_in_order():
-    listed = "V hevc_nvenc V hevc_qsv V h264_amf"
-    assert execute.hardware_encoder("h265", listed, lambda n: True) == "hevc_nvenc"
-    assert execute.hardware_encoder("h265", listed, lambda n: n != "hevc_nvenc") == "hevc_qsv"
-    assert execute.hardware_encoder("h264", listed, lambda n: False) is None
+def test_disposals_are_counted(spark):
+    done = spark.createDataFrame([("archived", ""), ("archived", ""), ("deleted", "gone"), ("kept", "")], "fate string, error string")
+    assert {(r.fate, r.done, r.failed) for r in report.disposals(done).collect()} == {("archived", 2, 0), ("deleted", 0, 1), ("kept", 1, 0)}
 
 
 def test_provenance_arguments(spark):
