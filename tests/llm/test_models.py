@@ -281,27 +281,44 @@ def test_search_of_repeated_rows_matches_its_sql(spark, tmp_path):
         assert sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in found), key=str) == expected
 
 
-def test_search_is_exact_for_large_components(spark):
+@pytest.mark.parametrize("size", [1e3, 1e8, 1e30, 1e160, 1e300])
+def test_search_is_exact_for_large_components(spark, size):
+    """Ids, order and cut scores of 600 rows in many shards against Python integers; ids 0, 50 and 100 stand twice."""
     rng = random.Random(3)
-    rows = [(i, [float(rng.choice([1, -1]) * rng.randrange(2**40)) for _ in range(5)]) for i in range(400)]
-    rows += [(400 + i, [rng.choice([1e30, -1e30, 1.0, 3e-2]) for _ in range(5)]) for i in range(60)] + [(999, [1e308] * 5)]
+    rows = [(i, [rng.choice([1, -1]) * rng.random() * (size if rng.random() < 0.6 else 1.0) for _ in range(5)]) for i in range(597)]
+    rows += [(0, rows[0][1]), (50, [1.0, 2.0, 3.0, 4.0, 5.0]), (100, rows[7][1]), (999, [1e308] * 5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows[:-1]}
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows[:-1]]
     cut = lambda s: max(-(2**63), min(2**63 - 1, s))
-    for shard in (10**6, 50):
-        got = {}
-        for r in balltree.search(df, F.col("vec_id") % 50 == 0, 5, shard_rows=shard).collect():
-            got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
-        assert set(got) == set(range(0, 460, 50))
-        for q, best in got.items():
-            scores = sorted(((cut(sum(a * b for a, b in zip(whole[q], v))), -i) for i, v in whole.items() if i != q), reverse=True)[:5]
-            assert [s for _, s in (best[k] for k in range(1, 6))] == [s for s, _ in scores]
+    expected = []
+    for n, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(whole) if m != n)[:5]
+            expected += [(q, k, i, cut(-s)) for k, (s, i) in enumerate(scored, 1)]
+    found = balltree.search(df, F.col("vec_id") % 50 == 0, 5, shard_rows=50)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == sorted(expected)
+
+
+def test_shards_of_a_cell_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(balltree, "MOST_CELLS", 2)
+    rng = np.random.default_rng(6)
+    x = np.floor(100 * rng.normal(size=(900, 4)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = balltree.integer_vectors(df, "vec_id", "embedding", 1).select("*", F.lit(1).cast("long").alias("times"), F.col("vec_id").alias("row"))
+    pivots = balltree.pivots_of(rows, 2)
+    built = balltree.trees(rows, pivots, 50).collect()
+    assert len({r.cell for r in built}) == 2 and len(built) > 5 and max(len(balltree.BallTree.unpacked(r.tree).ids) for r in built) < 160
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in balltree.search(df, F.col("vec_id") % 50 == 0, 5, scale=1, shard_rows=50, waves=(1,)).collect()}
+    for q in range(0, 900, 50):
+        scores = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(900), -scores)) if i != q][:5]
+        assert [got[q, k] for k in range(1, 6)] == [(i, int(scores[i])) for i in order]
 
 
 def test_trees_survive_packing():
     rng = np.random.default_rng(4)
     x = np.floor(100 * rng.normal(size=(3000, 8)))
-    tree = balltree.BallTree(np.arange(3000), x, np.ones(3000, np.int64))
+    tree = balltree.BallTree(np.arange(3000), x, np.ones(3000, np.int64), np.arange(3000))
     again = balltree.BallTree.unpacked(tree.packed())
     for i in range(0, 3000, 300):
         assert sorted(tree.search(i, x[i], 5, -np.inf)) == sorted(again.search(i, x[i], 5, -np.inf))
