@@ -5,12 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word contract: x20 and x09 to x0D. ``bytes.split()`` cuts at exactly these.
@@ -77,9 +78,31 @@ def tables_so_far() -> int:
     return len(_TABLES)
 
 
-def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """``rows`` (a written table of short rows) marked for broadcast where they are at most ``most``; else joins shuffle as usual."""
-    return F.broadcast(rows) if rows.count() <= most else rows
+#: Bits of a sieve at most: 32 MB. It takes 16 to 32 bits a key up to some 10 million keys, and lets more rows through beyond.
+SIEVE_BITS = 1 << 28
+
+
+def sieve(keys: DataFrame, key: str, most: int = SIEVE_BITS) -> Callable[[str], Column]:
+    """A test of a column by its name: false only for values that are not among ``keys`` (a written table).
+
+    A Bloom filter of two hashes, gathered as words of 64 bits and broadcast. Where wide rows are wanted whose key is
+    in a table, or not in it, those that the sieve tells apart need no shuffle; the others (about one in a hundred
+    more than wanted) are joined. The same way is taken at every size.
+    """
+    bits = min(most, 1 << max(16, (16 * keys.count()).bit_length()))
+    places = lambda c: [F.pmod(F.xxhash64(F.lit(i), c), F.lit(bits)) for i in range(2)]
+    place = keys.select(F.explode(F.array(*places(key))).alias("p"))
+    words = place.groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("mask")).toArrow()
+    held = np.zeros(bits // 64, np.uint64)
+    held[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    sent = keys.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def may(one: pd.Series, two: pd.Series) -> pd.Series:
+        hit = [(sent.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) for p in (one.to_numpy(), two.to_numpy())]
+        return pd.Series((hit[0] & hit[1]).astype(bool))
+
+    return lambda c: may(*places(c))
 
 
 def heavy_keys(counts: DataFrame, key: str, n: str, least: int = 10_000) -> list:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,17 @@ SAYS = {
     "legal": r"©|\(c\)|copyright|all rights reserved|privacy policy|terms of (use|service)|we use cookies|accept (all )?cookies|subscribe|newsletter|sign (up|in)|log in|advertisement|sponsored",
 }
 SAY_RULES = [re.compile(r, re.I) for r in SAYS.values()]
+#: Elements whose parts stand in the box around them; cells of a table only where it holds data.
+THROUGH = ("ul", "ol", "dl", "blockquote", "figure", "pre")
+CELLS = ("td", "th", "tr", "tbody", "thead", "tfoot", "table")
+#: Elements whose own header and title belong to what they hold.
+HOLDERS = ("article", "main")
 AROUND = len(TAGS) + len(NAMED)
-WIDTH = AROUND + len(SAYS) + 18
+WIDTH = AROUND + len(SAYS) + 24
+
+
+#: Places of the elements of ``HOLDERS`` among the marks.
+HELD = [TAGS.index(t) for t in HOLDERS]
 
 
 def marks(element: Element | None) -> np.ndarray:
@@ -49,24 +59,65 @@ def marks(element: Element | None) -> np.ndarray:
     above = element.marks if element is not None else np.zeros(AROUND, bool)
     for e in reversed(open_):
         own = [e.name == t for t in TAGS] + [bool(e.names and r.search(e.names)) for r in NAME_RULES]
+        if e.name == "header" and above[HELD].any():  # the head of an article, not of the page
+            own[TAGS.index("header")] = own[len(TAGS) + list(NAMED).index("head")] = False
         e.marks = above = above | np.array(own)
     return above
 
 
-def box(element: Element | None) -> Element | None:
-    """The element in which a block's element stands: siblings share it. Inline elements and rows of lists and tables count with their box."""
+def up(element: Element | None, names: tuple[str, ...]) -> Element | None:
+    """The nearest element of these names, from the element itself outwards."""
+    while element is not None and element.name not in names:
+        element = element.parent
+    return element
+
+
+def data_tables(blocks: list[Block]) -> set[int]:
+    """The tables of data: two rows or more, in the mean two cells or more that say something, short ones."""
+    rows: dict[int, set[int]] = {}
+    cells: dict[int, list[int]] = {}
+    for b in blocks:
+        table = up(b.element, ("table",))
+        if table is not None:
+            rows.setdefault(id(table), set()).add(id(up(b.element, ("tr", "table"))))
+            cells.setdefault(id(table), []).append(len(b.text) if b.linked <= 0.5 else 1000)
+    return {t for t, n in rows.items() if len(n) > 1 and len(cells[t]) >= 2 * len(n) and sum(cells[t]) < 60 * len(cells[t])}
+
+
+def box(element: Element | None, tables: set[int]) -> Element | None:
+    """The element in which a block's element stands: siblings share it.
+
+    Inline elements, rows of lists, cells of data tables, and the header of an article count with the box around them.
+    """
     while element is not None and element.name in INLINE:
         element = element.parent
     at = element.parent if element is not None else None
-    while at is not None and (at.name in INLINE or at.name in ("ul", "ol", "dl", "blockquote", "figure", "pre")):
+    while at is not None:
+        data = at.name in CELLS and (table := up(at, ("table",))) is not None and id(table) in tables
+        head = at.name in ("header", "hgroup") and up(at.parent, HOLDERS) is not None
+        if not (data or head or at.name in INLINE or at.name in THROUGH):
+            break
         at = at.parent
+    if element is not None and element.name in CELLS and (table := up(element, ("table",))) is not None and id(table) in tables:
+        at = table.parent
     return at
 
 
+def alike(boxes: list[Element | None]) -> dict[int, int]:
+    """For each box how many boxes of its name and names stand beside it, itself included."""
+    kinds: dict[tuple, set[int]] = {}
+    for at in boxes:
+        if at is not None:
+            kinds.setdefault((id(at.parent), at.name, at.names), set()).add(id(at))
+    return {i: len(found) for found in kinds.values() for i in found}
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     """One row a block: elements and names around it, what its text is like, how much its box holds; the constant last."""
     x = np.zeros((len(blocks), WIDTH))
-    boxes = [box(b.element) for b in blocks]
+    tables = data_tables(blocks)
+    boxes = [box(b.element, tables) for b in blocks]
+    beside = alike(boxes)
     held: dict[int, float] = {}  # characters outside links that each box holds
     for b, at in zip(blocks, boxes):
         held[id(at)] = held.get(id(at), 0.0) + len(b.text) * (1 - b.linked)
@@ -83,6 +134,8 @@ def features(blocks: list[Block]) -> np.ndarray:
         x[i, AROUND:] = (
             *says, n < 20, 20 <= n < 80, 80 <= n < 300, n >= 300, b.linked > 0.5, 0 < b.linked <= 0.5, b.text[-1] in ".!?…:;\"”»",
             b.text.count(".") + b.text.count(",") >= 3, head, talk, share >= most, share / whole, share / max(most, 1.0) < 0.2, share / whole > 0.6,
+            talk and share < most, beside.get(id(at), 1) > 1 and share < most, beside.get(id(at), 1) > 2, says[2] and share < most, says[2] and share / whole < 0.2 and i == len(blocks) - 1,
+            bool(tables) and up(b.element, ("table",)) is not None and id(up(b.element, ("table",))) in tables,
             len(blocks) == 1, len(blocks) <= 3, i == 0, 1,
         )
         since += talk
@@ -185,7 +238,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         html.append("</ul>")
 
     def talk() -> None:
-        heading = rng.choice(("Comments", f"{rng.randint(1, 90)} comments", "Responses", "Discussion", "Reader comments", "Leave a reply", "Replies", says(1, 3)))
+        heading = rng.choice(("Comments", f"{rng.randint(1, 90)} comments", "Responses", "Discussion", "Reader comments", "Leave a reply", "Replies", *(says(1, 4) for _ in range(6))))
         put(rng.choice(("<h3>$</h3>", "<h2>$</h2>", "<h4>$</h4>", "<p><b>$</b></p>")), heading, 0)
         name = rng.choice(("comment", "reply", "comment-body", "", word(), word()))
         for _ in range(rng.randint(1, 6)):
@@ -208,9 +261,31 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         lambda: around("div", rng.choice(("share", "social", "breadcrumbs", "pagination")), lambda: links(rng.randint(1, 4))),
     ]
 
-    def story() -> None:
+    def cells(label: int) -> None:
+        html.append("<table>")
+        width = rng.randint(2, 4)
+        for row in range(rng.randint(2, 5)):
+            html.append("<tr>")
+            for _ in range(width):
+                put(rng.choice(("<th>$</th>", "<td>$</td>")) if not row else "<td>$</td>", rng.choice((says(1, 3), str(rng.randint(1, 9999)), says(2, 9))), label)
+            html.append("</tr>")
+        html.append("</table>")
+
+    def terms() -> None:
+        html.append("<dl>")
+        for _ in range(rng.randint(1, 4)):
+            put("<dt>$</dt>", says(1, 4), 1)
+            put("<dd>$</dd>", says(3, 30), 1)
+        html.append("</dl>")
+
+    def story(tag: str = "") -> None:
         if some(0.8):
-            put(f"<{(h := rng.choice(('h1', 'h1', 'h2')))}>$</{h}>", says(2, 12), 1)
+            title = lambda: put(f"<{(h := rng.choice(('h1', 'h1', 'h2')))}>$</{h}>", says(2, 12), 1)
+            around("header", rng.choice(("", "", "entry-header", "head")), title) if tag in HOLDERS and some(0.4) else title()
+        if some(0.12):  # parts of their own
+            for _ in range(rng.randint(2, 4)):
+                around("section", "", lambda: (put("<h2>$</h2>", says(1, 6), 1), [put("<p>$</p>", says(8, 120), 1) for _ in range(rng.randint(1, 4))]))
+            return
         short = some(0.15)
         for _ in range(1 if short else rng.randint(1, 14)):
             kind = 0.0 if short else rng.random()
@@ -221,8 +296,10 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             elif kind < 0.88:
                 for _ in range(rng.randint(1, 4)):
                     put("<ul><li>$</li></ul>", says(2, 30), 1)
-            elif kind < 0.92:
+            elif kind < 0.9:
                 put("<blockquote>$</blockquote>", says(4, 50), 1)
+            elif kind < 0.92:
+                rng.choice((lambda: cells(1), lambda: cells(1), terms, lambda: put("<figure><img src=x><figcaption>$</figcaption></figure>", says(2, 14), 1)))()
             elif kind < 0.94:
                 put("<p><a href='#'>$</a></p>", says(3, 12), 1)
             elif kind < 0.97:  # what an article says of itself stays
@@ -268,7 +345,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     for _ in range(rng.randint(0, 3)):
         rng.choice(aside)()
     tag, name = rng.choice((("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "post-body"), ("div", "entry-content"), ("section", "story"), ("div", "article-text")))
-    around(tag, name, story)
+    around(tag, name, lambda: story(tag))
     for _ in range(rng.randint(0, 3)):
         rng.choice(aside)()
     if some(0.85):
@@ -277,8 +354,9 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     return "".join(html), labels
 
 
-def trained(pages: int = 800, seed: int = 11) -> Field:
-    """A field fitted on labelled pages made by rule (``labelled_page``), the same on every call."""
+@cache
+def trained(pages: int = 1000, seed: int = 11) -> Field:
+    """A field fitted on labelled pages made by rule (``labelled_page``), once in a process; the same in every one."""
     rng = random.Random(seed)
     rows = []
     while len(rows) < pages:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import fresh, heavy_keys, spread_join, written
+from reelmill.llm.common import fresh, heavy_keys, sieve, spread_join, written
 
 BUCKETS = 1 << 15
 #: The class of rows in which no known language is recognised; its text likelihood is uniform over grams.
@@ -20,6 +20,8 @@ FOLD[128:] = np.arange(128, 256)
 FOLD[97:123] = np.arange(97, 123)
 FOLD[65:91] = np.arange(97, 123)
 BLOCK = 1 << 18
+#: Bytes of a text model at most (128 KB a class); with more classes a larger ``least`` is asked for.
+MODEL_BYTES = 1 << 29
 
 
 def gram_buckets(text: bytes | None) -> Iterator[np.ndarray]:
@@ -53,14 +55,17 @@ class TextModel:
         return total * (min(n, cap) / n) if n else total
 
 
-def fit(rows: DataFrame, text_col: str, label_col: str, sample: int) -> TextModel:
+def fit(rows: DataFrame, text_col: str, label_col: str, sample: int, least: int = 1) -> TextModel:
     """Gram counts of every declared language over about ``sample`` of its distinct texts, all if it has no more.
 
-    Texts are drawn by their hash, in each language apart. Every language that has grams is a class, however rare
-    and however many there are: the model takes 128 KB for each.
+    Texts are drawn by their hash, in each language apart. Every declared language with ``least`` or more distinct texts
+    (by their approximate number) and with grams is a class; other declared values are evidence like any, but no class. So the
+    model (128 KB a class, gathered 64 classes at a time) is bounded by ``MODEL_BYTES`` and not by the number of values.
     """
     labelled = rows.where(F.col(label_col).isNotNull() & (F.col(label_col) != "")).select(F.lower(label_col).alias("label"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("hash"))
-    texts = written(labelled.groupBy("label").agg(F.approx_count_distinct("hash").alias("texts")), "labels")
+    texts = written(labelled.groupBy("label").agg(F.approx_count_distinct("hash").alias("texts")).where(F.col("texts") >= least), "labels")
+    if texts.count() * BUCKETS * 4 > MODEL_BYTES:
+        raise ValueError(f"{texts.count()} declared languages have {least} or more texts: raise ``least``")
     drawn = labelled.join(texts, "label").where(F.pmod("hash", F.greatest("texts", F.lit(1))) < sample).dropDuplicates(["label", "hash"]).select("label", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +82,11 @@ def fit(rows: DataFrame, text_col: str, label_col: str, sample: int) -> TextMode
     counts = drawn.mapInArrow(run, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     counts = written(counts, "grams")
     chosen = sorted(r[0] for r in counts.select("label").distinct().collect())
-    out = np.zeros((len(chosen), BUCKETS))
-    places = rows.sparkSession.createDataFrame(list(zip(chosen, range(len(chosen)))), "label string, place int")
-    table = counts.join(F.broadcast(places), "label").select("place", F.col("bucket").cast("int").alias("bucket"), "n").toPandas()  # languages times buckets at most
-    out[table["place"].to_numpy(), table["bucket"].to_numpy()] = table["n"].to_numpy()
+    out = np.zeros((len(chosen), BUCKETS), np.float32)
+    for at in range(0, len(chosen), 64):
+        place = {label: at + i for i, label in enumerate(chosen[at : at + 64])}
+        table = counts.where(F.col("label").isin(list(place))).toArrow()  # 64 times the buckets at most
+        out[[place[x] for x in table["label"].to_pylist()], table["bucket"].to_numpy()] = table["n"].to_numpy()
     return TextModel(chosen, out)
 
 
@@ -106,37 +112,43 @@ def softmax(a: Column) -> Column:
     return F.transform(e, lambda x: x / total)
 
 
-def sums(n: int, of: str = "p") -> Column:
-    return F.array(*[F.sum(F.element_at(of, i + 1)) for i in range(n)])
+def summed(p: DataFrame, by: list[str], of: str = "p") -> DataFrame:
+    """(*by, c): the arrays ``of`` summed place by place, a row for each value and class between the shuffles."""
+    long = p.select(*by, F.posexplode(of).alias("place", "x")).groupBy(*by, "place").agg(F.sum("x").alias("x"))
+    return long.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda r: r["x"]).alias("c"))
+
+
+def overall(p: DataFrame, n: int) -> list[float]:
+    """The sum of each class over all rows."""
+    found = {r.place: r.x for r in p.select(F.posexplode("p").alias("place", "x")).groupBy("place").agg(F.sum("x").alias("x")).collect()}  # a row a class
+    return [found.get(i, 0.0) for i in range(n)]
 
 
 def evidence(p: DataFrame, by: str, n: int, weight: float) -> DataFrame:
     """log P(value of ``by`` | language), smoothed towards the value's overall share."""
-    per = p.groupBy(by).agg(sums(n).alias("c"))
-    whole = [x or 0.0 for x in p.agg(sums(n).alias("c")).first()[0]]
+    per, whole = summed(p, [by]), overall(p, n)
     total = max(sum(whole), 1e-9)
-    languages = F.array(*[F.lit(float(x)) for x in whole])
+    languages = F.lit([float(x) for x in whole]) if whole else F.array().cast("array<double>")
     share = F.aggregate("c", F.lit(0.0), lambda s, x: s + x) / F.lit(total)
     return written(per.select(by, F.zip_with("c", languages, lambda c, w: F.log((c + weight * share + 1e-12) / (w + weight + 1e-12))).alias(f"{by}_like")), by)
 
 
 def host_priors(p: DataFrame, n: int, weight: float) -> DataFrame:
     """log P(language | host): host counts smoothed by the domain's, those by the corpus's."""
-    hosts = p.groupBy("host", "domain").agg(sums(n).alias("c"))
-    whole = [x or 0.0 for x in p.agg(sums(n).alias("c")).first()[0]]
-    base = [(x + 1 / n) / (sum(whole) + 1) for x in whole]
+    hosts, whole = written(summed(p, ["host", "domain"]), "host_sums"), overall(p, n)
+    base = [float((x + 1 / n) / (sum(whole) + 1)) for x in whole]
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     smooth = lambda c, prior: F.zip_with(c, prior, lambda x, q: (x + weight * q) / (total(c) + weight))
-    domains = hosts.groupBy("domain").agg(sums(n, "c").alias("d")).select("domain", smooth(F.col("d"), F.array(*[F.lit(x) for x in base])).alias("q"))
+    domains = summed(hosts, ["domain"], "c").select("domain", smooth(F.col("c"), F.lit(base)).alias("q"))
     joined = hosts.join(domains, "domain")
     return written(joined.select("host", "domain", F.transform(smooth(F.col("c"), F.col("q")), lambda x: F.log(x)).alias("host_prior")), "hosts")
 
 
-def identify(rows: DataFrame, text_col: str, declared: Column, address: Column | None, host: Column, sample: int = 20000, cap: int = 200, weight: float = 20.0, narrow: bool = False) -> DataFrame:
+def identify(rows: DataFrame, text_col: str, declared: Column, address: Column | None, host: Column, sample: int = 20000, cap: int = 200, weight: float = 20.0, narrow: bool = False, least: int = 5) -> DataFrame:
     """``rows`` with ``language``, ``confidence`` (its posterior) and ``declared_as``.
 
-    Evidence: (1) byte-trigram likelihoods of the text, fitted on about ``sample`` distinct texts of each declared language and counted
-    as ``cap`` grams at most; (2) the declared markup language and (3) the address suffix, as likelihoods
+    Evidence: (1) byte-trigram likelihoods of the text, fitted on about ``sample`` distinct texts of each declared language with
+    ``least`` or more (others are values, not classes), and counted as ``cap`` grams at most; (2) the declared markup language and (3) the address suffix, as likelihoods
     P(value | language) from sums of text posteriors grouped by value over all rows; (4) the host's prior,
     its grouped sums smoothed with ``weight`` rows of the domain's prior, and that with the corpus's. The class
     ``und`` has a uniform text likelihood: it wins where no language explains the grams, and for texts without
@@ -157,7 +169,7 @@ def identify(rows: DataFrame, text_col: str, declared: Column, address: Column |
         s: F.lower(F.regexp_extract(F.coalesce(address, F.lit("")) if address is not None else F.lit(""), r"\.([^.]+)$", 1)),
         h: name, m: F.regexp_extract(name, r"([^.]+\.[^.]+)$|^([^.]*)$", 0),
     })
-    model = fit(rows, text_col, d, sample)
+    model = fit(rows, text_col, d, sample, least)
     n = len(model.languages)
     found = scored(rows, text_col, model, like, cap)
     found = written(found.drop(text_col) if narrow else found, "likelihoods")  # each text is scored once
@@ -212,5 +224,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     found = identify(docs.select(same.alias("key"), "text", "lang", "source"), "text", F.col("lang"), None, F.col("source"), narrow=True)
     rejected = written(found.where(F.col("language") == UNKNOWN).groupBy("key").agg(F.count("*").alias("n")), "rejected")
     heavy = heavy_keys(rejected, "key", "n")
-    keyed = docs.withColumn(key, same)
-    return spread_join(keyed, rejected.select(F.col("key").alias(key)), key, "left_anti", heavy).select(*docs.columns)
+    keyed, touched = docs.withColumn(key, same), sieve(rejected, "key")
+    rest = spread_join(keyed.where(touched(key)), rejected.select(F.col("key").alias(key)), key, "left_anti", heavy)
+    return keyed.where(~touched(key)).unionByName(rest).select(*docs.columns)

@@ -182,8 +182,15 @@ class Vocabulary:
         return self.words.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE))
 
     def decode(self, ids) -> str:
-        """The text of a sequence of ids; byte pieces join to UTF-8, the first space goes."""
+        """The text of a sequence of ids; byte pieces join to UTF-8, the first space goes. Nulls are nothing, ids of no piece U+FFFD."""
+        if not isinstance(ids, np.ndarray):
+            ids = [i for i in ids if i is not None]
         ids = np.asarray(ids, np.int64)
+        known = (ids >= 0) & (ids < len(self.widths))
+        if not known.all():
+            piece = lambda i: self.bytes[self.starts[i] : self.starts[i] + self.widths[i]].tobytes() if 0 <= i < len(self.widths) else "\ufffd".encode()
+            text = b"".join(map(piece, ids.tolist())).decode("utf-8", "replace")
+            return text[1:] if text[:1] == " " else text
         widths = self.widths[ids]
         ends = np.cumsum(widths)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - ends + widths, widths)
@@ -244,7 +251,11 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model:
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``docs`` with ``out_col``: the text of the ids; null for null."""
+    """``docs`` with ``out_col``: the text of the ids; null for null.
+
+    Null elements count as nothing, ids that the model doesn't have (negative ones too) give U+FFFD each, no ids the
+    empty text. An existing column of that name stays and the new one gets an underscore; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     out_col = fresh(docs, out_col)
     at, names = docs.columns.index(ids_col), [*docs.columns, out_col]

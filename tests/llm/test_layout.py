@@ -77,6 +77,21 @@ def test_every_document_is_packed_once_without_conflicts(spark, docs, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_packing_query_matches_best_fit_in_every_pack(spark, docs, folder):
+    rows = packing.op4_packing(spark, folder).collect()
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    packs = {}
+    for r in rows:
+        packs.setdefault(r.pack, []).append(r)
+    seen = Counter((r.doc_id, r.piece) for r in rows)
+    assert seen == Counter((r.doc_id, i) for r in docs.collect() for i in range(max(1, -(-len(r.text or "") // 8192))))
+    for members in packs.values():
+        rests = sorted((r for r in members if r.length < 8192), key=lambda r: (-r.length, r.doc_id is None, r.doc_id or 0, r.piece))
+        expected = list(slow_best_fit([(r.length, source[r.doc_id], text[r.doc_id]) for r in rests], 8192))
+        assert [(r.bin, r.offset) for r in rests] == expected or Counter(seen.values()).most_common()[0][0] > 1 and sorted((r.bin, r.offset) for r in rests) == sorted(expected)
+
+
 def test_repeated_rows_are_dealt_to_several_packs(spark):
     df = spark.createDataFrame([(None if i % 2 else 7, "same", "s") for i in range(300)] + [(i, f"t{i}", "s") for i in range(100, 140)], "doc_id long, text string, source string")
     rows = packing.pack(df.select("doc_id", F.lit(4).alias("length"), "source", F.xxhash64("text").alias("cluster")), 64, rows=40).collect()

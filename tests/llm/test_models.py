@@ -1,8 +1,11 @@
 """Language ID, toxicity, extraction, search, pieces and the pipeline."""
 
+import hashlib
 import random
+from collections import Counter
 
 import duckdb
+import held_out_pages
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -10,6 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_dedup import near_kept, removed
 from reelmill.llm import balltree, extraction, langid, pieces, toxicity
 from reelmill.llm.dom import leaf_blocks
 
@@ -43,41 +47,90 @@ def test_language_of_odd_rows(spark, docs, empty):
     assert langid.keep_identified(docs).columns == docs.columns
 
 
-def test_fusion_matches_a_slow_version(spark):
-    rng = random.Random(31)
-    vocabulary = {"en": ["the", "and", "house", "river"], "de": ["der", "und", "haus", "fluss"], "fr": ["le", "et", "maison", "fleuve"]}
-    rows = []
-    for i in range(240):
-        true = rng.choice(list(vocabulary))
-        text = " ".join(rng.choice(vocabulary[true]) for _ in range(rng.randint(0, 12)))
-        rows.append((i, text, rng.choice([true, true, true, "en", None]), rng.choice([None, f"x.{true}", "x.com"]), rng.choice([f"a.{true}.org", "b.org", "c.b.org", None])))
-    df = spark.createDataFrame(rows, "id long, text string, lang string, address string, host string")
-    got = {r.id: (r.language, r.confidence) for r in langid.identify(df, "text", F.col("lang"), F.col("address"), F.col("host")).collect()}
-    model = langid.fit(df.withColumn("l", F.coalesce("lang", F.lit(""))), "text", "l", 20000)
-    n, weight = len(model.languages), 20.0
-    like = [model.likelihood(r[1].encode(), 200) for r in rows]
+def slow_fusion(rows, model, weight=20.0):
+    """Posteriors of (text, declared, address, host), one row after the other, with the model's likelihoods."""
+    n = len(model.languages)
+    like = [model.likelihood((r[0] or "").encode(), 200) for r in rows]
     soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
     p = np.array([soft(z) for z in like])
-    declared = [r[2] or "" for r in rows]
-    suffix = [r[3].rsplit(".", 1)[1] if r[3] else "" for r in rows]
-    host = [r[4] or "" for r in rows]
+    declared = [(r[1] or "").lower() for r in rows]
+    suffix = [r[2].rsplit(".", 1)[1] if r[2] and "." in r[2] else "" for r in rows]
+    host = [(r[3] or "").lower() for r in rows]
     domain = [".".join(h.split(".")[-2:]) for h in host]
     whole = p.sum(axis=0)
+    by = lambda values: {v: p[[x == v for x in values]].sum(axis=0) for v in set(values)}
 
     def spoken(values):
-        sums = {v: p[[x == v for x in values]].sum(axis=0) for v in set(values)}
+        sums = by(values)
         return [np.log((sums[v] + weight * sums[v].sum() / whole.sum() + 1e-12) / (whole + weight + 1e-12)) for v in values]
 
     base = (whole + 1 / n) / (whole.sum() + 1)
-    by_domain = {d: p[[x == d for x in domain]].sum(axis=0) for d in set(domain)}
-    by_domain = {d: (c + weight * base) / (c.sum() + weight) for d, c in by_domain.items()}
-    by_host = {h: p[[x == h for x in host]].sum(axis=0) for h in set(host)}
+    by_domain = {d: (c + weight * base) / (c.sum() + weight) for d, c in by(domain).items()}
+    by_host, out = by(host), []
     for i, (a, b) in enumerate(zip(spoken(declared), spoken(suffix))):
         prior = (by_host[host[i]] + weight * by_domain[domain[i]]) / (by_host[host[i]].sum() + weight)
-        post = soft(like[i] + np.log(prior) + a + b)
+        out.append(soft(like[i] + np.log(prior) + a + b))
+    return out
+
+
+VOCABULARY = {"en": ["the", "and", "house", "river"], "de": ["der", "und", "haus", "fluss"], "fr": ["le", "et", "maison", "fleuve"]}
+
+
+def some_text(rng):
+    true = rng.choice(list(VOCABULARY))
+    return true, " ".join(rng.choice(VOCABULARY[true]) for _ in range(rng.randint(0, 12)))
+
+
+def test_fusion_matches_a_slow_version(spark):
+    rng = random.Random(31)
+    rows = []
+    for i in range(240):
+        true, text = some_text(rng)
+        rows.append((i, text, rng.choice([true, true, true, "en", None]), rng.choice([None, f"x.{true}", "x.com"]), rng.choice([f"a.{true}.org", "b.org", "c.b.org", None])))
+    df = spark.createDataFrame(rows, "id long, text string, lang string, address string, host string")
+    got = {r.id: (r.language, r.confidence) for r in langid.identify(df, "text", F.col("lang"), F.col("address"), F.col("host")).collect()}
+    model = langid.fit(df.withColumn("l", F.coalesce("lang", F.lit(""))), "text", "l", 20000)
+    for i, post in enumerate(slow_fusion([r[1:] for r in rows], model)):
         assert abs(got[i][1] - post.max()) < 1e-6 and post[model.languages.index(got[i][0])] > post.max() - 1e-9
 
 
+def test_language_query_matches_a_slow_version(spark, tmp_path):
+    """Documents and pages through op1_langid, with the texts, markup, addresses and hosts that it takes from them."""
+    rng = random.Random(32)
+    docs, pages = [], []
+    for i in range(120):
+        true, text = some_text(rng)
+        docs.append((i, text if i % 20 else None, rng.choice([true, true, "EN", None]), rng.choice(["web", "books", None]), 1))
+        true, text = some_text(rng)
+        host = rng.choice([f"www.{true}-news.{true}", "a.example.com", "example.com"])
+        markup = rng.choice([true, true, None])
+        pages.append((i, f"https://{host}/p/{i}", f"<html{f' lang={chr(34)}{markup}{chr(34)}' if markup else ''}><body><p>{text}</p></body></html>", host, markup, text))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = [(t, l, None, s) for _, t, l, s, _ in docs] + [(" " + f" {t} ", m, h, h) for *_, h, m, t in pages]
+    df = spark.createDataFrame([(t, (l or "").lower()) for t, l, *_ in rows], "text string, l string")
+    model = langid.fit(df, "text", "l", 20000, 5)
+    got = {(r.doc_id, r.page_id): r for r in langid.op1_langid(spark, str(tmp_path)).collect()}
+    assert len(got) == 240
+    for key, row, post in zip([(i, None) for i in range(120)] + [(None, i) for i in range(120)], rows, slow_fusion(rows, model)):
+        r = got[key]
+        assert abs(r.confidence - post.max()) < 2e-6 and post[model.languages.index(r.language)] > post.max() - 1e-6
+        assert r.declared == (row[1] or "").lower() and r.kept == (r.language != "und")
+
+
+def test_thousands_of_declared_values_are_no_classes(spark):
+    rng = random.Random(33)
+    rows = [(some_text(rng)[1], f"junk{i}", "a") for i in range(5000)]
+    for _ in range(300):
+        true, text = some_text(rng)
+        rows.append((text, true, "b"))
+    df = spark.createDataFrame(rows, "text string, lang string, source string")
+    model = langid.fit(df, "text", "lang", 20000, 5)
+    assert model.languages == ["de", "en", "fr", "und"] and model.table.nbytes < 1 << 20
+    found = langid.identify(df, "text", F.col("lang"), None, F.col("source"))
+    assert found.groupBy("language").count().count() <= 4 and found.count() == 5300
+
+
 def test_every_declared_language_is_a_class(spark):
     rng = random.Random(8)
     rows = []
@@ -201,6 +254,21 @@ def test_layouts_not_trained_on(field, name):
     assert extraction.main_text(page, field).split("\n\n") == expected
 
 
+@pytest.mark.parametrize(("name", "page", "expected"), held_out_pages.pages())
+def test_pages_written_by_hand(field, name, page, expected):
+    assert extraction.main_text(page, field).split("\n\n") == expected
+
+
+def test_precision_and_recall_on_pages_not_made_by_the_trainer(field):
+    """By blocks, over ten variants of each layout; the README has the figures."""
+    right = kept = wanted = 0
+    for _, page, expected in held_out_pages.varied():
+        got = Counter(extraction.main_text(page, field).split("\n\n"))
+        right, kept, wanted = right + (got & Counter(expected)).total(), kept + got.total(), wanted + len(expected)
+    print(f"precision {right / kept:.4f}, recall {right / wanted:.4f} of {wanted} blocks")
+    assert right / kept > 0.98 and right / wanted > 0.98
+
+
 @pytest.mark.parametrize("part", ["<a ", "<div>word", "<p>w<table>", "<!", "<select>", "</x>", '<a b="', "<script", "<li>x", "<b><i>"])
 def test_long_broken_pages_take_linear_time(field, part):
     import time
@@ -358,15 +426,76 @@ def test_piece_columns(spark, docs, empty):
     assert pieces.encode(empty).count() == 0
 
 
+def test_decoding_of_odd_ids(spark):
+    rows = [(1, [None, 300, None]), (2, [300, -1, 10**6, 300]), (3, []), (4, None), (5, [None])]
+    got = {r.i: r.decoded for r in pieces.decode(spark.createDataFrame(rows, "i int, ids array<int>")).collect()}
+    one = pieces.Vocabulary.load().decode([300])
+    whole = pieces.Vocabulary.load().decode([300, 300])
+    assert got[1] == one and got[2].startswith(one) and got[2].count("\ufffd") == 2 and got[2].replace("\ufffd", "") == whole and got[3] == "" and got[4] is None and got[5] == ""
+
+
+def test_pieces_query_matches_a_slow_viterbi(spark, docs, folder):
+    v = pieces.Vocabulary.load()
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    scores = {model.IdToPiece(i): (model.GetScore(i), i) for i in range(model.GetPieceSize()) if not (model.IsByte(i) or model.IsControl(i) or model.IsUnknown(i))}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    got = {r.doc_id: r for r in pieces.op10_pieces(spark, folder).collect()}
+    assert all(r.round_trip for r in got.values()) and len(got) == len(texts) + 1
+    for i, t in texts.items():
+        if t is None or len(t) > 2000:
+            continue
+        slow = [x for w in (v.split(t) if t else []) for p in slow_viterbi(v, scores, w) for x in ([p] if isinstance(p, int) else [v.byte_ids[b] for b in p.encode()])]
+        assert (got[i].n_chars, got[i].n_ids, got[i].ids_md5) == (len(t), len(slow), hashlib.md5(" ".join(map(str, slow)).encode()).hexdigest())
+
+
+def test_toxicity_query_matches_its_chain_row_by_row(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    chain = toxicity.train(docs, labels, toxicity.label_categories())
+    got = {r.doc_id: r for r in toxicity.op5_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        p = chain.predict(toxicity.tokens(r.text))
+        assert np.allclose([got[r.doc_id][c] for c in chain.categories], p) and got[r.doc_id].is_toxic == (p[1] >= 0.5)
+
+
 def test_pipeline_stages(spark, tmp_path):
+    """Every stage against brute force on what its predecessor kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "simhash_near_dedup", "substring_dedup", "best_fit_packing"]
+    now, texts = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert now.columns == docs.columns
+        texts[name] = {r.doc_id: r.text for r in now.collect()}
+    before = {r.doc_id: r.text for r in docs.collect()}
+    spoken = {r.doc_id: r.language for r in langid.identify(docs, "text", F.col("lang"), None, F.col("source")).collect()}
+    assert texts["language_id"] == {i: t for i, t in before.items() if spoken[i] != "und"}
+    kept = docs.where(F.col("doc_id").isin(list(texts["language_id"])))
+    chain = toxicity.train(kept, spark.read.parquet(f"{SF}/labels.parquet"), toxicity.label_categories())
+    assert texts["toxicity"] == {i: t for i, t in texts["language_id"].items() if chain.predict(toxicity.tokens(t))[1] < 0.5}
+    ids = sorted(texts["toxicity"])
+    assert sorted(texts["simhash_near_dedup"]) == [ids[i] for i in near_kept([texts["toxicity"][i] or "" for i in ids])]
+    ids = sorted(texts["simhash_near_dedup"])
+    for i, (n, gone, sha) in zip(ids, removed([texts["simhash_near_dedup"][i] for i in ids], 35)):
+        assert hashlib.sha256(" ".join((texts["substring_dedup"][i] or "").split()).encode()).hexdigest() == sha
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r.doc_id for r in out}
-    assert ids <= {r.doc_id for r in docs.collect()} and len(ids) > 100
-    texts = {}
-    for r in docs.collect():
-        texts.setdefault(r.text, []).append(r.doc_id)
-    assert all(len(ids & set(same)) <= 1 for same in texts.values())
+    placed = Counter()
+    for r in out:
+        placed[r.doc_id] += r.length
+    assert placed == Counter({i: len(t or "") for i, t in texts["substring_dedup"].items()}) and set(placed) == set(texts["substring_dedup"])
+    assert len({(r.pack, r.bin, r.offset) for r in out if r.length}) == len([r for r in out if r.length])
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, docs, empty, tmp_path):
+    labels = spark.createDataFrame([(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for name, table in (("odd", docs.withColumns({"fingerprint": F.lit(1), "language": F.lit("x"), "key_x": F.lit(2)})), ("empty", empty)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in table.collect()} and bool(rows) == (name == "odd")
