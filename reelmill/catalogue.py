@@ -601,10 +601,13 @@ def _video_sql(s: Settings, hardware: str | None) -> str:
         case = f"CASE WHEN file_id % 10 = 0 THEN {case} ELSE '-c:v hevc_videotoolbox -b:v ' || target_kbps || 'k -profile:v ' || {profile} || ' -tag:v hvc1 -bf 2 -fps_mode cfr' END"
     if hardware == "h264_nvenc":
         case = f"CASE WHEN file_id % 10 = 0 THEN {case} ELSE '-c:v h264_nvenc -b:v ' || target_kbps || 'k -maxrate ' || target_kbps || 'k -preset p5 -profile:v high -pix_fmt yuv420p' END"
+    if hardware in ("hevc_qsv", "h264_amf"):
+        ends = f"' || {profile} || ' -tag:v hvc1'" if hardware == "hevc_qsv" else "high -pix_fmt yuv420p'"
+        case = f"CASE WHEN file_id % 10 = 0 THEN {case} ELSE '-c:v {hardware} -b:v ' || target_kbps || 'k -maxrate ' || target_kbps || 'k -profile:v {ends} END"
     return f"CASE WHEN mode = 'remux' THEN CASE WHEN vcodec = 'hevc' THEN '-c:v copy -tag:v hvc1' ELSE '-c:v copy' END ELSE {case} END"
 
 
-ENCODERS = {"software": (S, None), "apple": (S, "hevc_videotoolbox"), "nvidia": (replace(S, codec="h264"), "h264_nvenc")}
+ENCODERS = {"software": (S, None), "apple": (S, "hevc_videotoolbox"), "nvidia": (replace(S, codec="h264"), "h264_nvenc"), "intel": (S, "hevc_qsv"), "amd": (replace(S, codec="h264"), "h264_amf")}
 
 
 def _pixels(rows: DataFrame) -> DataFrame:
