@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import few, forget, fresh, mix, release, signed, tables_so_far, written
+from reelmill.llm.common import forget, fresh, heavy_keys, mix, release, sieve, signed, spread_join, tables_so_far, written
 from reelmill.llm.components import components
 
 BITS = 64
@@ -60,17 +60,20 @@ def with_fingerprints(docs: DataFrame, text_col: str, words: int) -> DataFrame:
 
 
 def with_set_prints(texts: DataFrame, words: int) -> DataFrame:
-    """(id, row, fp, twin, node, n) of each (id, row, body): the halves of a 128-bit fingerprint, and hash and size of the set of distinct shingles."""
-    out = texts.select("id", "row", *[F.lit(0).cast("long").alias(c) for c in ("fp", "twin", "node", "n")]).schema
+    """(id, row, fp, twin, digest, n) of each (id, row, body): the halves of a 128-bit fingerprint, a 128-bit digest and the size of the set of distinct shingles."""
+    zero = F.lit(0).cast("long")
+    out = texts.select("id", "row", zero.alias("fp"), zero.alias("twin"), F.lit(b"").alias("digest"), zero.alias("n")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, twin, node = (np.zeros(b.num_rows, np.uint64) for _ in range(3))
-            n = np.zeros(b.num_rows, np.int64)
+            fp, twin = (np.zeros(b.num_rows, np.uint64) for _ in range(2))
+            n, digest = np.zeros(b.num_rows, np.int64), []
             for i, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
                 h = np.unique(shingle_hashes(text, words))
-                fp[i], twin[i], node[i], n[i] = simhash(h), simhash(mix(h)), xxhash.xxh64_intdigest(h.tobytes(), 42), len(h)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(signed(c)) for c in (fp, twin, node)), pa.array(n)], names=out.names)
+                fp[i], twin[i], n[i] = simhash(h), simhash(mix(h)), len(h)
+                digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+            made = pa.array(signed(fp)), pa.array(signed(twin)), pa.array(digest, pa.binary()), pa.array(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["id", "row", "fp", "twin", "digest", "n"])
 
     return texts.select("id", "row", "body").mapInArrow(run, out)
 
@@ -388,25 +391,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates are checked first; then all other candidates that they leave apart, so no pair is left out for
     links that fail. Two sets at 0.8 are 9.7 bits of 64 apart in the mean: by the binomial law 11 bits in either of
     two halves find 93 % of the pairs at 0.8, 98 % at 0.85 and all but a thousandth at 0.9 (directly; others of
-    a class may link them too). Texts of equal shingle sets (by a 64-bit hash of the set) are copies;
+    a class may link them too). Texts of equal shingle sets (by a 128-bit hash of the set) are copies;
     others of equal fingerprint are candidates. Texts without words (null, empty, white space) are copies; a null
     id sorts first; of rows equal in id and text one stays; an empty table stays empty; other columns are kept
     whatever their names.
 
-    Texts are shuffled once for the sets of candidates and, where the rows to drop are too many to broadcast,
-    once for the result.
+    Of the texts only those of candidates are shuffled for their sets, and those to drop for the result: a sieve of
+    their rows (``common.sieve``) lets all others pass where they are, at every size.
     """
     name, since, spark = fresh(docs, "row_x"), tables_so_far(), docs.sparkSession
     row = F.concat_ws(":", F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n")), F.xxhash64(text_col).cast("string"))
     source = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("body"))
     own = written(with_set_prints(source, words), "fingerprints")
-    firsts = written(own.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first"), F.min("fp").alias("fp"), F.min("twin").alias("twin"), F.max("n").alias("n")), "firsts")
+    sets_of = own.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.min("fp").alias("fp"), F.min("twin").alias("twin"), F.max("n").alias("n"))
+    firsts = written(sets_of.drop("digest").withColumn("node", F.monotonically_increasing_id()), "firsts")
     some = firsts.where("n > 0")
     links = written(near_links(some.select("node", "fp", "twin", "n"), distance, similarity=similarity).distinct(), "links")
     release(spark)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     asked = written(some.join(ends, "node").select("node", "fp", "twin", "n", F.col("first.row").alias("row")), "asked")
-    bodies = source.join(few(asked.select("row", "node")), "row").dropDuplicates(["row"])
+    wanted = sieve(asked, "row")
+    bodies = source.where(wanted("row")).join(asked.select("row", "node"), "row").dropDuplicates(["row"])
     sets = written(shingle_sets(bodies, words), "shingles")
     release(spark)
     firm = written(components(alike(links, sets, similarity)), "firm")
@@ -422,10 +427,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = written(own.select("row").distinct().join(stay, "row", "left_anti").withColumnRenamed("row", name), "gone")
     several = written(times.where("times > 1").join(stay, "row", "left_semi").select(F.col("row").alias(name)), "several")
     forget(spark, since, "gone", "several")
-    kept = docs.withColumn(name, row).join(few(gone), name, "left_anti")
+    touched = sieve(gone.unionByName(several), name)
+    named = docs.withColumn(name, row)
+    rest = named.where(touched(name)).join(gone, name, "left_anti")
     if not several.isEmpty():  # rows equal in id and text
-        kept = kept.join(several, name, "left_anti").unionByName(kept.join(several, name, "left_semi").dropDuplicates([name]))
-    return kept.select(*docs.columns)
+        rest = rest.join(several, name, "left_anti").unionByName(rest.join(several, name, "left_semi").dropDuplicates([name]))
+    return named.where(~touched(name)).unionByName(rest).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
@@ -433,6 +440,7 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     own = written(with_fingerprints(docs, "text", 3).select("doc_id", F.col("fingerprint").alias("fp")), "fingerprints")
     classes = near_classes(own, near_links(own.select(F.col("fp").alias("node"), "fp"), 3))
-    least = own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes, "fp")
-    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = written(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")).join(classes, "fp"), "prints")
+    roots = written(prints.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "roots")
+    named = spread_join(prints.select("fp", "root"), roots.select("root", "component_id"), "root", "inner", heavy_keys(roots, "root", "size")).select("fp", "component_id")
+    return spread_join(own, named, "fp", "inner", heavy_keys(prints, "fp", "times")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

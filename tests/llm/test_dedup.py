@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from reelmill.llm import simhash, substrings
-from reelmill.llm.common import mix
+from reelmill.llm.common import mix, sieve
 from reelmill.llm.components import components
 
 
@@ -206,6 +206,22 @@ def test_equal_fingerprints_are_checked(spark):
     assert sorted((r.a, r.b) for r in found.collect()) == [(0, 2), (1, 3)]
 
 
+def test_a_sieve_lets_no_key_through_unseen(spark):
+    keys = spark.range(0, 30000, 3).select(F.concat(F.lit("k"), "id").alias("key"))
+    rows = spark.range(30000).select(F.concat(F.lit("k"), "id").alias("key"), "id").unionByName(spark.createDataFrame([(None, -1)], "key string, id long"))
+    for most, share in ((1 << 28, 0.02), (1 << 16, 0.2), (1 << 7, 1.0)):
+        hit = {r.id for r in rows.where(sieve(keys, "key")("key")).collect()}
+        wrong = hit - set(range(0, 30000, 3))
+        assert hit >= set(range(0, 30000, 3)) and len(sieve_hits(rows, keys, most) - set(range(0, 30000, 3))) <= share * 20002 and len(wrong) < 400
+    assert rows.where(sieve(keys.limit(0), "key")("key")).count() == 0
+
+
+def sieve_hits(rows, keys, most):
+    hit = {r.id for r in rows.where(sieve(keys, "key", most)("key")).collect()}
+    assert hit >= set(range(0, 30000, 3))
+    return hit
+
+
 def removed(texts, window):
     words = [(t or "").encode().split() for t in texts]
     where = {}
