@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import forget, heavy_keys, mix, release, signed, spread_join, tables_so_far, written
+from reelmill.llm.common import forget, heavy_keys, mix, release, sieve, signed, spread_join, tables_so_far, written
 from reelmill.llm.components import components
-from reelmill.llm.simhash import shingle_hashes, shingle_sets, whole_groups
+from reelmill.llm.simhash import pair_blocks, shingle_hashes, shingle_sets, spanning, whole_groups
 
 #: Rows of a key beyond which it is cut into blocks; every two blocks are still compared.
 BLOCK = 4096
@@ -141,79 +141,125 @@ def blocks_of(rows: DataFrame, block: int) -> DataFrame:
 
 
 def stars(shared: DataFrame, percent: int, block: int) -> DataFrame:
-    """Distinct pairs (a, b) that link the sets of each key to the smallest one of a fitting size: first guesses, few for a dense class."""
-    cut = shared.join(written(blocks_of(shared, block), "hot"), "key", "left").withColumn("x", F.pmod(F.xxhash64("nid", "key"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    """Pairs (a, b) that link each set to one of a fitting size that shares the most keys with others: one guess a set at most.
+
+    Of near copies the text that the others were made from shares the most, so most guesses of a dense class are right.
+    """
+    sizes = shared.groupBy("key").agg(F.count("*").alias("size"))
+    sizes = written(sizes, "sizes")
+    each = spread_join(shared, sizes.hint("merge"), "key", "inner", heavy_keys(sizes, "key", "size"))
+    degree = each.groupBy("nid").agg(F.sum("size").alias("degree"))
+    cut = meet(shared, written(degree, "degrees"), "nid").join(written(blocks_of(shared, block), "hot"), "key", "left")
+    cut = cut.withColumns({"x": F.pmod(F.xxhash64("nid", "key"), F.coalesce("blocks", F.lit(1))).cast("int"), "after": -F.col("degree")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, n, nid), starts, ends in whole_groups(batches, 2):
-            centre = np.repeat(starts, ends - starts)
-            while True:  # the first set that is too large for its centre is the next centre
-                far = np.flatnonzero(percent * n > 100 * n[centre])
-                if not len(far):
-                    break
-                group = np.searchsorted(ends, far, "right")
-                first = np.unique(group, return_index=True)[1]
-                for g, f in zip(group[first].tolist(), far[first].tolist()):
-                    centre[f : ends[g]] = f
-            a, b = np.minimum(nid, nid[centre]), np.maximum(nid, nid[centre])
-            pairs = np.unique(np.stack((a, b))[:, a != b], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    dealt = cut.select("key", "x", "n", "nid").repartition("key", "x").sortWithinPartitions("key", "x", "n", "nid")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        for (_, _, _, nid, n), starts, ends in whole_groups(batches, 2):
+            group, centre = np.repeat(np.arange(len(starts)), ends - starts), np.full(len(n), -1)
+            while len(rest := np.flatnonzero(centre < 0)):  # the first that has none is the next centre of its group
+                first = rest[np.unique(group[rest], return_index=True)[1]]
+                own = first[np.searchsorted(group[first], group[rest])]
+                fits = (percent * n[rest] <= 100 * n[own]) & (percent * n[own] <= 100 * n[rest])
+                centre[rest[fits]] = own[fits]
+            pairs, times = np.unique(np.stack((nid, nid[centre]))[:, nid != nid[centre]], axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(times)], names=["nid", "centre", "times"])
+
+    dealt = cut.select("key", "x", "after", "nid", "n").repartition("key", "x").sortWithinPartitions("key", "x", "after", "nid")
+    found = dealt.mapInArrow(run, "nid long, centre long, times long").groupBy("nid", "centre").agg(F.sum("times").alias("times"))
+    best = found.groupBy("nid").agg(F.max(F.struct("times", "centre")).alias("best"))
+    return best.select(F.least("nid", "best.centre").alias("a"), F.greatest("nid", "best.centre").alias("b")).distinct()
+
+
+def meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sorted join at every size: it spills where it must, and a table that happens to be small doesn't change the plan."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 2000) -> DataFrame:
     """The pairs (a, b) of sets (nid, shingles) that have this similarity, counted exactly. A set of very many pairs is copied to as many tasks as they need."""
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("copies"))
-    left = sets.join(copies, sets.nid == copies.a).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("x"))
-    dealt = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).select("a", "b", "copy")
-    both = dealt.join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y")), "b").join(left, ["a", "copy"])
+    left = meet(sets.withColumnRenamed("nid", "a"), copies, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("x"))
+    dealt = meet(pairs, copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).select("a", "b", "copy")
+    both = meet(meet(dealt, sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y")), "b"), left, ["a", "copy"])
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def open_pairs(shared: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int, block: int) -> DataFrame:
-    """Distinct pairs (a, b) of sets that share a key, are not joined yet (roots differ), and may be similar by size and by sketch.
-
-    Two sketches differ in at most as many bits as the sets in tokens. Only keys with several roots are looked at;
-    those with more than ``block`` rows are cut into blocks of which every two are a group.
+class Sketches:
+    """The sketches of a chunk of rows, of several widths; pairs are compared at the width of the narrower one."""
+
+    def __init__(self, held: pa.Array):
+        self.offsets = held.offsets.to_numpy().astype(np.int64)
+        self.offsets -= self.offsets[0]
+        self.flat, self.width = held.flatten().to_numpy().view(np.uint64), np.diff(self.offsets)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def folded(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row its place in the matrix of rows of ``w`` words, and that matrix; narrower rows have no place."""
+        if w not in self.at:
+            wide = np.flatnonzero(self.width >= w)
+            rows = np.empty((len(wide), w), np.uint64)
+            for v in np.unique(self.width[wide]).tolist():
+                mine = np.flatnonzero(self.width[wide] == v)
+                rows[mine] = folded(self.flat[self.offsets[wide[mine]][:, None] + np.arange(v)], w)
+            place = np.full(len(self.width), -1)
+            place[wide] = np.arange(len(wide))
+            self.at[w] = place, rows
+        return self.at[w]
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches of rows i and j differ."""
+        out, width = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for w in np.unique(width).tolist():
+            place, rows = self.folded(w)
+            at = np.flatnonzero(width == w)
+            step = max(1, (1 << 20) // w)
+            for s in range(0, len(at), step):
+                k = at[s : s + step]
+                out[k] = np.bitwise_count(rows[place[i[k]]] ^ rows[place[j[k]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def open_pairs(shared: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int, block: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of sets that share a key, are not joined yet (roots differ), and may be similar by size and by sketch.
+
+    Two sketches differ in at most as many bits as the sets in tokens. Without ``every`` only pairs leave a group that span
+    its roots as far as such pairs join them, those of the nearest sketches first, and a row (again: the key) says where there
+    were others. Only keys with several roots are looked at; those with more than ``block`` rows are cut into blocks of
+    which every two are a group.
     """
-    rows = shared.join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    rows = meet(shared, roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = written(rows.join(several, "key", "left_semi"), "open")
+    rows = written(meet(rows, several, "key", "left_semi"), "open")
     cut = rows.join(written(blocks_of(rows, block), "hot"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "nid", "n", "root").join(sketches, "nid")
+    cut = meet(cut.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "nid", "n", "root"), sketches, "nid")
     columns = ["key", "x", "y", "n", "nid", "own", "root", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, x, y, n, nid, own, root, held), starts, ends in whole_groups(batches, 3, 2048):
-            offsets = held.offsets.to_numpy()
-            flat, offsets = held.flatten().to_numpy().view(np.uint64), offsets - offsets[0]
-            found = []
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                width = np.diff(offsets[s : e + 1])
-                apart = x[s] != y[s]
-                for w in np.unique(width).tolist():  # pairs whose narrower sketch has so many words
-                    wide = np.flatnonzero(width >= w)
-                    words = np.concatenate([folded(flat[offsets[s + i] : offsets[s + i + 1]][None, :], w) for i in wide.tolist()])
-                    size, label, home = n[s + wide], root[s + wide], own[s + wide]
-                    narrow = width[wide] == w
-                    for i in np.flatnonzero(narrow).tolist():
-                        fits = (label != label[i]) & (percent * size <= 100 * size[i]) & (percent * size[i] <= 100 * size) & (~narrow | (np.arange(len(wide)) > i))
-                        if apart:
-                            fits &= home != home[i]
-                        c = np.flatnonzero(fits)
-                        bits = np.bitwise_count(words[c] ^ words[i]).sum(axis=1, dtype=np.int64)
-                        c = c[bits * (100 + percent) <= (size[c] + size[i]) * (100 - percent)]
-                        found.append(np.stack((np.full(len(c), nid[s + wide[i]]), nid[s + wide[c]])))
-            pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-            pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    dealt = cut.select(*columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n", "nid")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        for (key, x, y, n, nid, own, root, held), starts, ends in whole_groups(batches, 3, 4096):
+            bits_of, found = Sketches(held), [np.zeros((3, 0), np.int64)]
+            for i, j in pair_blocks(starts, ends):
+                fits = (root[i] != root[j]) & (percent * n[j] <= 100 * n[i]) & (percent * n[i] <= 100 * n[j]) & ((x[i] == y[i]) | (own[i] != own[j]))
+                i, j = i[fits], j[fits]
+                bits = bits_of.apart(i, j)
+                near = bits * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+                found.append(np.stack((i[near], j[near], bits[near])))
+            a, b, bits = np.concatenate(found, axis=1)
+            again = np.zeros(0, np.int64)
+            if len(a) and not every:
+                group = np.repeat(np.arange(len(starts)), ends - starts)
+                label = np.unique(np.stack((group, root)), axis=1, return_inverse=True)[1].reshape(-1)  # a root in each group by itself
+                at = spanning(label[a], label[b], bits)
+                left = np.bincount(group[a], minlength=len(starts)) > np.bincount(group[a[at]], minlength=len(starts))
+                again, a, b = key[starts[left]], a[at], b[at]
+            pairs = np.unique(np.sort(np.stack((nid[a], nid[b])), axis=0), axis=1)
+            none = np.zeros(pairs.shape[1], bool), np.ones(len(again), bool)
+            both = lambda p, q: pa.array(np.concatenate((p, q)), mask=np.concatenate(none))  # noqa: B023, E731
+            keys = pa.array(np.concatenate((np.zeros(pairs.shape[1], np.int64), again)), mask=~np.concatenate(none))
+            yield pa.RecordBatch.from_arrays([both(pairs[0], again), both(pairs[1], again), keys], names=["a", "b", "again"])
+
+    dealt = cut.select(*columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return dealt.mapInArrow(run, "a long, b long, again long")
 
 
 def with_sketches(sets: DataFrame, percent: int) -> DataFrame:
@@ -235,13 +281,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Equal sets are one node. Every set gives the keys of its sketch's segments in the bands of its size, and two
        similar sets share one (``join_keys``).
-    2. The sets of a key are first linked to its smallest (``stars``), these pairs are counted exactly, and components
-       of the true links found. So a class of very many near copies costs pairs in proportion to its size.
-    3. All pairs of a key that are still apart are compared by size and by parity sketch, and those that may be similar
-       counted exactly. The components of all true links are the classes.
-
-    Texts are read twice: for keys, and for the sets that share a key with another; only keys, sketches and these sets
-    are shuffled. Rows without words (null, empty, white space) have an empty set and link with nothing, not with
+    2. Each set is first linked to one that shares the most keys (``stars``), these pairs are counted exactly, and the
+       components of the true links found. So a class of very many near copies costs pairs in proportion to its size.
+    3. All pairs of a key that are still apart are compared by size and by parity sketch. Of those that may be similar
+       first the nearest that span a key's components are counted exactly, then all that are left between
+       components. The components of all true links are the classes.
+
+    Texts are read twice: for keys, and for the sets that share a key with another (picked by a sieve of their rows);
+    only keys, sketches and these sets are shuffled. Rows without words (null, empty, white space) have an empty set and link with nothing, not with
     each other either. A null id is never the least of others, and the class of null ids alone is null; rows that
     repeat an id are rows of their own in one class if their sets are linked. An empty table gives no rows. Other
     columns are not read.
@@ -251,25 +298,36 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = written(with_keys(source, words, percent), "sets")
     firsts = own.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first(F.struct("row", "n", "keys")).alias("r"), F.count("*").alias("times"))
     nodes = written(firsts.select("node", "least", "times", "r.*", F.monotonically_increasing_id().alias("nid")), "nodes")
-    shared = written(postings(nodes), "postings")
+    own = written(own.drop("keys"), "rows")
     release(spark)
+    shared = written(postings(nodes), "postings")
+    nodes = written(nodes.drop("keys"), "members")
+    forget(spark, since, "rows", "postings", "members")
     guesses = written(stars(shared, percent, block), "stars")
-    asked = nodes.join(shared.select("nid").distinct(), "nid", "left_semi").select("row", F.col("nid").alias("node"))
-    bodies = source.select("row", "body").join(asked, "row").dropDuplicates(["node"])
+    asked = written(meet(nodes, shared.select("nid").distinct(), "nid", "left_semi").select("row", F.col("nid").alias("node")), "asked")
+    wanted = sieve(asked, "row")
+    bodies = meet(source.where(wanted("row")).select("row", "body"), asked, "row").dropDuplicates(["node"])
     sets = written(shingle_sets(bodies, words).withColumnRenamed("node", "nid"), "shingles")
     release(spark)
-    links = written(verified(guesses, sets, percent), "links")
+    sketches = written(with_sketches(sets, percent), "sketches")
+    tried, links = guesses, written(verified(guesses, sets, percent), "links")
     roots = components(links).withColumnsRenamed({"node": "nid"})
-    further = open_pairs(shared, roots, with_sketches(sets, percent), percent, block).join(guesses, ["a", "b"], "left_anti")
-    more = written(verified(written(further, "further"), sets, percent), "more")
-    release(spark)
-    if not more.isEmpty():
-        roots = components(links.unionByName(more)).withColumnsRenamed({"node": "nid"})
+    for every in (False, True):
+        found = written(open_pairs(shared, roots, sketches, percent, block, every), "open_pairs")
+        release(spark)
+        further = written(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "further")
+        shared = meet(shared, found.where("again is not null").select(F.col("again").alias("key")).distinct(), "key", "left_semi")
+        tried = tried.unionByName(further)
+        more = written(verified(further, sets, percent), "more")
+        release(spark)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links).withColumnsRenamed({"node": "nid"})
     placed = nodes.select("nid", "node", "least").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
     sizes = placed.groupBy("root").agg(F.count("*").alias("size"))
     named = written(spread_join(placed, least, "root", "inner", heavy_keys(sizes, "root", "size")).select("node", "component"), "named")
-    forget(spark, since, "sets", "nodes", "named")
+    forget(spark, since, "rows", "members", "named")
     per = nodes.select("node", "times")
     out = spread_join(own.select("id", "node", "n"), named, "node", "left", heavy_keys(per, "node", "times"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
