@@ -117,6 +117,42 @@ def pair_blocks(starts: np.ndarray, ends: np.ndarray, small: int = 256) -> Itera
             yield i[i < j], j[i < j]
 
 
+def near_pairs(starts: np.ndarray, ends: np.ndarray, fp: np.ndarray, n: np.ndarray, distance: int, similarity: float, few: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of rows of one group, in blocks of rising i, whose ``fp`` differ by ``distance`` or fewer bits.
+
+    Groups lie one after the other, each in order of ``n``. A row is compared with the rows behind it up to the first whose
+    n is too large for ``similarity`` (rounded up: the bound itself is left to the caller). Groups with ``few`` such
+    rows in the mean are compared together, larger ones in blocks of 64 rows.
+    """
+    size, here = ends - starts, np.arange(ends[-1])
+    last = np.repeat(ends, size)
+    if similarity > 0:
+        width = int(n.max()) + 2
+        base = np.repeat(np.arange(len(size)) * width, size)
+        last = np.searchsorted(base + n, base + np.minimum((n / similarity).astype(np.int64) + 1, width - 1), side="right")
+    ahead = last - here - 1
+    dense = np.add.reduceat(ahead, starts) > few * size
+    rows = here[~np.repeat(dense, size) & (ahead > 0)]
+    total, step = np.cumsum(ahead[rows]), 1 << 16
+    for a in np.split(rows, np.searchsorted(total, np.arange(step, total[-1], step))) if len(rows) else ():
+        count = ahead[a]
+        until = np.cumsum(count)
+        if not len(a):
+            continue
+        j = np.arange(until[-1]) + np.repeat(a + 1 - (until - count), count)
+        at = np.flatnonzero(np.bitwise_count(np.repeat(fp[a], count) ^ fp[j]) <= distance)
+        yield a[np.searchsorted(until, at, side="right")], j[at]
+    for s, e in zip(starts[dense].tolist(), ends[dense].tolist()):
+        for at in range(s, e, 64):
+            to = min(e, at + 64)
+            end = int(last[to - 1])
+            if end > at + 1:
+                i, j = np.divmod(np.flatnonzero(np.bitwise_count(fp[at:to, None] ^ fp[None, at + 1 : end]) <= distance), end - at - 1)
+                i, j = i + at, j + at + 1
+                fits = (i < j) & (j < last[i])
+                yield i[fits], j[fits]
+
+
 def chained(key: np.ndarray, x: np.ndarray, distance: int, segments: int) -> np.ndarray:
     """Places of the differences ``x`` that pass the chain from their key's start segment, then the Hamming check.
 
@@ -181,6 +217,13 @@ def with_keys(nodes: DataFrame, segments: int, spans: int) -> DataFrame:
     return nodes.select(*rest, F.explode(F.array(*keys)).alias("k")).select(*rest, "k.*")
 
 
+def key_sizes(based: DataFrame, flips: list[int]) -> DataFrame:
+    """(key, count, total): rows of each key that ``flipped`` gives and the sum of their n, from counts of the keys before the flips."""
+    sizes = based.groupBy("base").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
+    each = sizes.withColumn("flip", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])))
+    return each.groupBy(F.col("base").bitwiseXOR(F.col("flip")).alias("key")).agg(F.sum("count").alias("count"), F.sum("total").alias("total"))
+
+
 def flipped(based: DataFrame, flips: list[int], *rest: str) -> DataFrame:
     each = based.withColumn("flip", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])))
     return each.select(F.col("base").bitwiseXOR(F.col("flip")).alias("key"), "node", "fp", "twin", "n", *rest)
@@ -196,9 +239,9 @@ def near_links(nodes: DataFrame, distance: int = 3, segments: int = 4, block: in
     Pigeonring: if two fingerprints differ by at most ``distance`` bits, then from some segment on every
     chain of l consecutive segments of the ring differs by at most l * distance / segments. Each start
     segment gives keys over the chain's first segments (one side as it is, the other with the allowed flips);
-    rows of a key meet in one sorted group, where longer chains and then the full Hamming distance are checked.
-    Of a group only spanning links leave, so a dense class costs rows in proportion to its size. A key with
-    more than ``block`` rows on the first side is cut into blocks and every pair of blocks is a group.
+    rows of a key meet in one group sorted by n, where rows of similar size are compared by the full Hamming distance
+    and then by longer chains. Of a group only spanning links leave, so a dense class costs rows in proportion to
+    its size. A key with more than ``block`` rows on the first side is cut into blocks and every pair of blocks is a group.
     """
     spans, still, flips = key_plan(distance, segments)
     nodes = nodes.where("node is not null and fp is not null").distinct()
@@ -206,7 +249,7 @@ def near_links(nodes: DataFrame, distance: int = 3, segments: int = 4, block: in
     exact = flipped(based, still).withColumn("side", F.lit(0))
     others = [x for x in flips if x not in still]
     rows = exact.unionByName(flipped(based, others).withColumn("side", F.lit(1))) if others else exact
-    hot = written(exact.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hot")
+    hot = written(key_sizes(based, still).where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hot")
     columns = ["key", "x", "y", "side", "node", "fp", "twin", "n"]
     if hot.isEmpty():
         rows = rows.withColumns({"x": F.lit(0), "y": F.lit(0)})
@@ -219,20 +262,29 @@ def near_links(nodes: DataFrame, distance: int = 3, segments: int = 4, block: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, _, _, side, node, fp, twin, n), starts, ends in whole_groups(batches, 3):
-            f, t, found = fp.view(np.uint64), twin.view(np.uint64), []
-            for i, j in pair_blocks(starts, ends):
-                at = (side[i] == 0) | (side[j] == 0)
+            f, t, found, held = fp.view(np.uint64), twin.view(np.uint64), [], 0
+
+            def joined(found: list) -> tuple[np.ndarray, np.ndarray]:
+                i, j = (np.concatenate(c) for c in zip(*found))
+                at = spanning(node[i], node[j], np.bitwise_count(f[i] ^ f[j]))
+                return i[at], j[at]
+
+            for i, j in near_pairs(starts, ends, f, n, distance, similarity):
+                at = ((side[i] == 0) | (side[j] == 0)) & (node[i] != node[j])
                 i, j = i[at], j[at]
                 at = candidates(key, f, t, n, i, j, distance, segments, similarity)
-                i, j = i[at], j[at]
-                found.append((i[node[i] != node[j]], j[node[i] != node[j]]))
-            i, j = (np.concatenate(c) for c in zip(*found)) if found else (starts[:0],) * 2
-            if len(i):
-                at = spanning(node[i], node[j], np.bitwise_count(f[i] ^ f[j]))
-                a, b = node[i[at]], node[j[at]]
+                if len(at):
+                    found.append((i[at], j[at]))
+                    held += len(at)
+                if held > 1 << 20:  # spanning links of those so far and of the next are spanning links of all
+                    found = [joined(found)]
+                    held = len(found[0][0])
+            if found:
+                i, j = joined(found)
+                a, b = node[i], node[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return rows.select(*columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.select(*columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n").mapInArrow(run, "a long, b long")
 
 
 def _and_end(batches):
@@ -322,9 +374,10 @@ def open_links(nodes: DataFrame, sets: DataFrame, similarity: float, distance: i
     with more than ``block`` rows or ``shingles`` shingles are cut into blocks; every two blocks are a group.
     """
     flips = (distance // segments + 1) // 2
-    rows = flipped(with_keys(nodes, segments, 1), masks(BITS // segments, flips), "root")
-    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / shingles)).cast("int")
-    hot = written(rows.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1"), "hot")
+    based, ways = with_keys(nodes, segments, 1), masks(BITS // segments, flips)
+    rows = flipped(based, ways, "root")
+    blocks = F.ceil(F.greatest(F.col("count") / block, F.col("total") / shingles)).cast("int")
+    hot = written(key_sizes(based, ways).select("key", blocks.alias("blocks")).where("blocks > 1"), "hot")
     rows = rows.withColumns({"x": F.lit(0), "y": F.lit(0), "own": F.lit(0)})
     if not hot.isEmpty():
         cut = rows.drop("own").join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -333,9 +386,8 @@ def open_links(nodes: DataFrame, sets: DataFrame, similarity: float, distance: i
     columns = ["key", "x", "y", "own", "node", "fp", "twin", "root", "n"]
 
     def met(i: np.ndarray, j: np.ndarray, key, x, y, own, fp, twin, root, n) -> np.ndarray:
-        """Places of the open pairs of rows i and j that their key is the first to hold."""
+        """Places of the open pairs, of near rows i and j, that their key is the first to hold."""
         at = np.flatnonzero((root[i] != root[j]) & ((x[i] == y[i]) | (own[i] != own[j])))
-        at = at[np.bitwise_count(fp[i[at]] ^ fp[j[at]]) <= distance]
         i, j = i[at], j[at]
         other = np.bitwise_count(twin[i] ^ twin[j])
         fits = (other <= 2 * distance) & ((other > distance) | (key[i] >> 60 < segments)) & (similarity * np.maximum(n[i], n[j]) <= np.minimum(n[i], n[j]))
@@ -345,25 +397,24 @@ def open_links(nodes: DataFrame, sets: DataFrame, similarity: float, distance: i
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, x, y, own, node, fp, twin, root, n), starts, ends in whole_groups(batches, 3):
             f, t, member = fp.view(np.uint64), twin.view(np.uint64), np.zeros(len(fp), bool)
-            for i, j in pair_blocks(starts, ends):
+            for i, j in near_pairs(starts, ends, f, n, distance, similarity):
                 at = met(i, j, key, x, y, own, f, t, root, n)
                 member[i[at]] = member[j[at]] = True
             if member.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[member]) for c in (key, x, y, own, node, fp, twin, root)], names=columns[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(c[member]) for c in (key, x, y, own, node, fp, twin, root, n)], names=columns)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, x, y, own, node, fp, twin, root, held), starts, ends in whole_groups(batches, 3, 2):
+        for (key, x, y, own, node, fp, twin, root, n, held), starts, ends in whole_groups(batches, 3, 2):
             f, t = np.ascontiguousarray(fp).view(np.uint64), np.ascontiguousarray(twin).view(np.uint64)
             offsets = held.offsets.to_numpy().astype(np.int64)
             offsets = offsets - offsets[0]
-            n, ids = np.diff(offsets), np.unique(held.flatten().to_numpy(), return_inverse=True)[1]
+            ids, label = (np.unique(c, return_inverse=True)[1] for c in (held.flatten().to_numpy(), root))
             mark, out = np.zeros(len(ids), bool), []
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                label = np.zeros(len(f), np.int64)
-                label[s:e] = np.unique(root[s:e], return_inverse=True)[1]
-                for i in range(s, e - 1):
-                    later = np.arange(i + 1, e)
-                    c = later[met(np.full(len(later), i), later, key, x, y, own, f, t, label, n)]
+            for a, b in near_pairs(starts, ends, f, n, distance, similarity):
+                at = met(a, b, key, x, y, own, f, t, root, n)
+                each, begins = np.unique(a[at], return_index=True)
+                for i, c in zip(each.tolist(), np.split(b[at], begins[1:])):
+                    c = c[label[c] != label[i]]
                     if not len(c):
                         continue
                     mark[ids[offsets[i] : offsets[i + 1]]] = True
@@ -378,8 +429,8 @@ def open_links(nodes: DataFrame, sets: DataFrame, similarity: float, distance: i
                 a, b = np.array(out, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = lambda df, last: df.select(*columns[:-1], last).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    found = written(dealt(rows, "n").mapInArrow(find, "key long, x int, y int, own int, node long, fp long, twin long, root long"), "open")
+    dealt = lambda df, *more: df.select(*columns, *more).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n")
+    found = written(dealt(rows).mapInArrow(find, "key long, x int, y int, own int, node long, fp long, twin long, root long, n long"), "open")
     return dealt(found.join(sets, "node"), "shingles").mapInArrow(check, "a long, b long")
 
 
@@ -406,7 +457,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets_of = own.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.min("fp").alias("fp"), F.min("twin").alias("twin"), F.max("n").alias("n"))
     firsts = written(sets_of.drop("digest").withColumn("node", F.monotonically_increasing_id()), "firsts")
     some = firsts.where("n > 0")
-    links = written(near_links(some.select("node", "fp", "twin", "n"), distance, similarity=similarity).distinct(), "links")
+    links = written(near_links(some.select("node", "fp", "twin", "n"), distance, block=4 * BLOCK, similarity=similarity).distinct(), "links")
     release(spark)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     asked = written(some.join(ends, "node").select("node", "fp", "twin", "n", F.col("first.row").alias("row")), "asked")

@@ -84,6 +84,44 @@ def test_a_dense_class_gives_few_links(spark):
     assert len(set(found.values())) == 1 and n < 100 * len(values)
 
 
+def test_pairs_too_different_in_size_are_not_compared(spark, monkeypatch):
+    """All rows share the keys of one segment: what is compared of their pairs is what the size bound lets through."""
+    rng = random.Random(8)
+    values = [rng.getrandbits(48) << 16 for _ in range(1200)]
+    values += [v ^ 3 << 40 for v in values[:100]]
+    n = [int(10 ** rng.uniform(1, 4)) for _ in values[:1200]]
+    rows = [(i, int(np.uint64(v).astype(np.int64)), (n + n)[i]) for i, v in enumerate(values)]
+    held = {}
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, schema: held.update(run=run, rows=self.toArrow()))
+        simhash.near_links(spark.createDataFrame(rows, "node long, fp long, n long"), 11, similarity=0.8)
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (compared.append(x.size), count(x))[1])
+    found = {(a, b) for batch in held["run"](iter(held["rows"].to_batches())) for a, b in zip(*(c.to_pylist() for c in batch.columns))}
+    assert found >= {(i, 1200 + i) for i in range(100) if n[i] == (n + n)[1200 + i]}
+    assert sum(compared) < 17 * len(rows) ** 2 / 2 / 4
+
+
+def test_near_pairs_match_brute_force():
+    rng = np.random.default_rng(3)
+    for similarity, spread in ((0.8, 8), (0.8, 1), (0.0, 8)):
+        size = rng.choice([2, 3, 40, 150, 400], 12)
+        ends, starts = np.cumsum(size), np.cumsum(size) - size
+        n = np.concatenate([np.sort(np.exp(rng.uniform(0, spread, k)).astype(np.int64)) for k in size])
+        fp = rng.integers(0, 2**63, 5).astype(np.uint64)[rng.integers(0, 5, ends[-1])]
+        for _ in range(9):
+            fp = fp ^ np.uint64(1) << rng.integers(0, 64, len(fp)).astype(np.uint64)
+        fits = lambda i, j: similarity * np.maximum(n[i], n[j]) <= np.minimum(n[i], n[j])
+        expected, got = set(), []
+        for i, j in simhash.pair_blocks(starts, ends):
+            at = (np.bitwise_count(fp[i] ^ fp[j]) <= 11) & fits(i, j)
+            expected |= set(zip(i[at].tolist(), j[at].tolist()))
+        for few in (8, 64, 1000):
+            got = [np.stack(x)[:, fits(*x)] for x in simhash.near_pairs(starts, ends, fp, n, 11, similarity, few)]
+            pairs = [p for x in got for p in zip(*x.tolist())]
+            assert len(pairs) == len(set(pairs)) and set(pairs) == expected and expected
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     assert {(r.node, r.root) for r in components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
