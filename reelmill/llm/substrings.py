@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import batch, forget, fresh, heavy_keys, mix, release, signed, spread_join, tables_so_far, word_hashes, words_of, written
+from reelmill.llm.common import batch, forget, fresh, heavy_keys, mix, release, sieve, signed, spread_join, tables_so_far, word_hashes, words_of, written
 
 #: Words of the gram whose least hash anchors a window.
 GRAM = 8
@@ -392,14 +392,17 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, re
     occurrences of each other, an empty table stays empty, other columns are not touched. Words are whatever
     ASCII white space separates. However many contexts a passage has, rows grow with the texts that hold it:
     an automaton has at most ``reference`` distinct segments, and what is more goes by window. A large group
-    of copies is one text with a number.
+    of copies is one text with a number. Only texts that may hold a repeat (``common.sieve``) are shuffled for the
+    result and go to Python; all others pass where they are.
     """
     since = tables_so_far()
     _, _, spans, heavy = repeats(docs, text_col, [], window, reference, broadcast)
     forget(docs.sparkSession, since, "spans")
     uid, found = fresh(docs, "uid_x"), fresh(docs, "spans_x")
     spans = spans.withColumnsRenamed({"uid": uid, "spans": found})
-    both = spread_join(docs.withColumn(uid, F.unhex(F.md5(F.col(text_col).cast("binary")))), spans, uid, "left", heavy).select(*docs.columns, found)
+    touched = sieve(spans, uid)
+    named = docs.withColumn(uid, F.unhex(F.md5(F.col(text_col).cast("binary"))))
+    both = spread_join(named.where(touched(uid)), spans, uid, "left", heavy).select(*docs.columns, found)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +412,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, re
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return both.mapInArrow(run, docs.schema)
+    return named.where(~touched(uid)).select(*docs.columns).unionByName(both.mapInArrow(run, docs.schema))
 
 
 def op7_substrings(spark, sf_dir: str) -> DataFrame:
